@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import extend, table
 
 RANKS, LIBRARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: Bytes of text that are encoded at a time.
@@ -75,56 +75,44 @@ def _offsets(data: np.ndarray, ids: np.ndarray, widths: np.ndarray) -> tuple[np.
     return char[starts + 1] - 1, char[ends], int((~opens[ends[ends < data.size]]).sum())
 
 
-def encode(df: DataFrame, text_col: str = "text", offsets: bool = False, ranks_file: str = RANKS, library_file: str = LIBRARY) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", offsets: bool = False, drop: tuple[str, ...] = (), ranks_file: str = RANKS, library_file: str = LIBRARY) -> DataFrame:
     """Adds ``ids`` (little-endian unsigned 32-bit integers, as binary) and ``n_tokens``; with ``offsets`` also
     ``starts``, ``ends`` (arrays: characters of the text) and ``n_split`` (tokens that end inside a character).
+    Columns of ``drop`` are not returned.
     """
     more = "ids binary, n_tokens long" + ", starts array<int>, ends array<int>, n_split long" * offsets
-    _refuse(df, ("ids", "n_tokens", "starts", "ends", "n_split"))
 
-    def run(batches):
+    def make():
         tokenizer, _, widths = _codec(ranks_file, library_file)
-        for batch in batches:
-            for part, data, at in steps(batch, text_col, ENCODE_BYTES):
-                texts = [t or "" for t in part.column(text_col).to_pylist()]
-                ids = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                cols = [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([i.size for i in ids], pa.int64())]
-                if offsets:
-                    found = [_offsets(data[at[k] : at[k + 1]], i, widths) for k, i in enumerate(ids)]
-                    cols += [pa.array([x[k].tolist() for x in found], pa.list_(pa.int32())) for k in (0, 1)] + [pa.array([x[2] for x in found], pa.int64())]
-                yield _with(part, cols, more)
 
-    return df.mapInArrow(run, f"{_ddl(df)}, {more}")
+        def work(part, data, at):
+            texts = [t or "" for t in part.column(text_col).to_pylist()]
+            ids = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            cols = [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([i.size for i in ids], pa.int64())]
+            if offsets:
+                found = [_offsets(data[at[k] : at[k + 1]], i, widths) for k, i in enumerate(ids)]
+                cols += [pa.array([x[k].tolist() for x in found], pa.list_(pa.int32())) for k in (0, 1)] + [pa.array([x[2] for x in found], pa.int64())]
+            return cols
+
+        return work
+
+    return extend(df, make, more, text_col, ENCODE_BYTES, drop)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", ranks_file: str = RANKS, library_file: str = LIBRARY) -> DataFrame:
     """Adds ``decoded``: the bytes of all tokens, joined. Cast it to string to read characters."""
-    _refuse(df, ("decoded",))
 
-    def run(batches):
+    def make():
         _, pieces, _ = _codec(ranks_file, library_file)
-        for batch in batches:
-            for part, _, _ in steps(batch, ids_col, 4 * ENCODE_BYTES):
-                out = [None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in part.column(ids_col).to_pylist()]
-                yield _with(part, [pa.array(out, pa.binary())], "decoded binary")
-
-    return df.mapInArrow(run, f"{_ddl(df)}, decoded binary")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
-
 
-def _with(part: pa.RecordBatch, cols: list[pa.Array], ddl: str) -> pa.RecordBatch:
-    names = [x.split()[0] for x in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *names])
+        def work(part, data, at):
+            return [pa.array([None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in part.column(ids_col).to_pylist()], pa.binary())]
 
+        return work
 
-def _refuse(df: DataFrame, names: tuple[str, ...]) -> None:
-    if clash := sorted({c.lower() for c in df.columns} & set(names)):
-        raise ValueError(f"the input already has columns named {', '.join(clash)}; rename or drop them first")
+    return extend(df, make, "decoded binary", ids_col, 4 * ENCODE_BYTES)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs).drop("text")).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decode(encode(docs, drop=("text",))).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -128,3 +128,28 @@ def lower(data: np.ndarray) -> np.ndarray:
         latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         out[1:][latin] += 32
     return out
+
+
+def extend(df: DataFrame, make, more: str, text: str, most: int = STEP_BYTES, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without the columns ``drop`` and with those of ``more`` (DDL), which ``make()`` gives a function for.
+
+    ``make`` runs once a task; what it returns turns (slice, bytes of ``text``, bounds) into the new columns' arrays.
+    """
+    added = [x.split()[0] for x in more.split(", ")]
+    if clash := sorted({c.lower() for c in df.columns} & {c.lower() for c in added}):
+        raise ValueError(f"the input already has columns named {', '.join(clash)}; rename or drop them first")
+    kept = [c for c in df.columns if c not in drop]
+    ddl = ", ".join([*(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in kept), more])
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for part, data, at in steps(batch, text, most):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *work(part, data, at)], names=[*kept, *added])
+
+    return df.mapInArrow(run, ddl)
+
+
+def sample_of(labelled: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those whose ids have the smallest hashes: the same rows at every partitioning."""
+    return labelled.orderBy(F.xxhash64(id_col), id_col).limit(most)

@@ -7,7 +7,9 @@ from importlib import import_module
 _WHERE = {
     "op3_exact_dedup": "exact",
     "op4_byte_bpe": "bpe",
+    "op7_language_id": "language",
     "op8_secrets": "secrets",
+    "op9_quality": "quality",
 }
 
 

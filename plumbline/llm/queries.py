@@ -5,8 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op2_html_extraction": "html_text",
     "op3_exact_dedup": "exact",
     "op4_byte_bpe": "bpe",
+    "op5_personal_data": "pii",
     "op7_language_id": "language",
     "op8_secrets": "secrets",
     "op9_quality": "quality",

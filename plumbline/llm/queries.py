@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op1_decontamination": "decontaminate",
     "op10_ngram_jaccard": "near",
     "op2_html_extraction": "html_text",
     "op3_exact_dedup": "exact",

@@ -11,6 +11,7 @@ _WHERE = {
     "op3_exact_dedup": "exact",
     "op4_byte_bpe": "bpe",
     "op5_personal_data": "pii",
+    "op6_suffix_array": "substrings",
     "op7_language_id": "language",
     "op8_secrets": "secrets",
     "op9_quality": "quality",

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -26,10 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local one is made.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline"))
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 
@@ -130,15 +129,58 @@ def lower(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _names(ddl: str) -> list[str]:
+    return [f.name for f in T._parse_datatype_string(ddl).fields]
+
+
+def packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows as they are in one column ``doc``, and the text beside it: whatever their columns are called."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for written tables: the checkpoint folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, and read from there."""
+    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, key) -> DataFrame:
+    """The rows of ``docs`` that ``verdict`` (id, key, kept: a row for each) keeps, with ``key`` a column of docs.
+
+    Only pairs of id and key with something to drop are joined; of rows that repeat both, as many stay as verdict keeps.
+    """
+    mark = "__verdict"
+    drops = cut(verdict.groupBy("id", "key").agg(F.count_if("kept").alias("stay"), F.count("*").alias("n")).filter("stay < n"))
+    drops = drops.select(F.col("id").alias(f"{mark}_id"), F.col("key").alias(f"{mark}_key"), F.col("stay").alias(f"{mark}_stay"))
+    keyed = docs.withColumn(mark, key)
+    joined = keyed.join(drops, F.col(id_col).eqNullSafe(F.col(f"{mark}_id")) & F.col(mark).eqNullSafe(F.col(f"{mark}_key")), "left")
+    some = drops.filter(F.col(f"{mark}_stay") > 0)
+    out = joined.filter(F.col(f"{mark}_stay").isNull())
+    if not some.isEmpty():  # rows repeated as a whole
+        twins = joined.filter(F.col(f"{mark}_stay") > 0)
+        turn = F.row_number().over(Window.partitionBy(f"{mark}_id", f"{mark}_key").orderBy(F.lit(1)))
+        out = out.unionByName(twins.withColumn(f"{mark}_turn", turn).filter(F.col(f"{mark}_turn") <= F.col(f"{mark}_stay")).drop(f"{mark}_turn"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def extend(df: DataFrame, make, more: str, text: str, most: int = STEP_BYTES, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without the columns ``drop`` and with those of ``more`` (DDL), which ``make()`` gives a function for.
 
     ``make`` runs once a task; what it returns turns (slice, bytes of ``text``, bounds) into the new columns' arrays.
+    A column of the input that has a new column's name is replaced by it.
     """
-    added = [x.split()[0] for x in more.split(", ")]
-    if clash := sorted({c.lower() for c in df.columns} & {c.lower() for c in added}):
-        raise ValueError(f"the input already has columns named {', '.join(clash)}; rename or drop them first")
-    kept = [c for c in df.columns if c not in drop]
+    added = _names(more)
+    out_of_the_way = {c.lower() for c in (*added, *drop)}
+    kept = [c for c in df.columns if c.lower() not in out_of_the_way]
     ddl = ", ".join([*(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in kept), more])
 
     def run(batches):

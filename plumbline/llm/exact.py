@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table
+from .common import cut, keep_rows, parts, table
 
 SLOTS, KICKS = 4, 200
 #: Digests that a partition folds before it passes them on.
@@ -148,10 +148,13 @@ def _index(batches: Iterator[pa.RecordBatch], most: int | None, keep: int) -> It
     yield from flush()
 
 
+def _normal(text_col: str):
+    return F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, digest) of every row; row is a number that tells repeated rows apart."""
-    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(F.encode(_normal(text_col), "UTF-8"), 256)).alias("digest"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", deleted: DataFrame | None = None) -> DataFrame:
@@ -183,6 +186,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def one_of_each_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts."""
+    found = exact_dedup(docs, id_col, text_col)
+    return keep_rows(docs, found.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"), "kept"), id_col, F.sha2(F.encode(_normal(text_col), "UTF-8"), 256))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, cut, extend, mix, parts, span_hash, table, word_bounds
+from .common import STEP_BYTES, cut, extend, keep_rows, mix, parts, span_hash, table, word_bounds
 
 N, THRESHOLD = 5, 0.8
 NO_ID = (1 << 63) - 1
@@ -273,11 +273,13 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, class_id, class_size, n_links, group_id.
 
     class_id is the smallest id of the rows with the same shingle set, group_id that of the rows that links connect,
-    n_links the number of other rows that the row is linked to. ``kept`` marks one row of each group.
+    n_links the number of other rows that the row is linked to. ``kept`` marks one row of each group, and ``text_key``
+    is a hash of the text, which tells rows of one id apart.
     """
     n = parts(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = cut(extend(rows, lambda: _sketch, "set binary, bands array<long>", "text", STEP_BYTES, ("text",)))
+    keyed = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sketch = cut(extend(keyed, lambda: _sketch, "set binary, bands array<long>", "text", STEP_BYTES, ("text",)))
     # 1. classes: one hash grouping with partial aggregation; a text without words is a class of its own
     order = F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row")
     classes = sketch.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min(order).alias("first"), F.count("*").alias("size"))
@@ -306,16 +308,22 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = linked.join(firsts, "label").select("set", "rep", "rep_id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.col("g.rep_id").alias("group"), F.col("g.rep").alias("keeper"))
     real = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
     alone = F.col("rep").isNull()
-    return sketch.select("row", "id", "set").join(known, "set", "left").select(
+    return sketch.select("row", "id", "set", "text_key").join(known, "set", "left").select(
         F.col("id").alias(id_col),
         F.when(alone, F.col("id")).otherwise(real("rep_id")).alias("class_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce(F.col("size") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
         F.when(alone, F.col("id")).otherwise(real("group")).alias("group_id"),
         (alone | (F.col("row") == F.col("keeper"))).alias("kept"),
-        "row",
+        "text_key",
     )
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each group of linked rows."""
+    found = similarity_join(docs, id_col, text_col, threshold)
+    return keep_rows(docs, found.select(F.col(id_col).alias("id"), F.col("text_key").alias("key"), "kept"), id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_join(table(spark, sf_dir, "documents")).drop("row")
+    return similarity_join(table(spark, sf_dir, "documents")).drop("text_key")

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, packed, table
 
 #: Fixed values of the contract: the kinds in order. ``id`` is a kind that only the generators propose.
 KINDS = ("email", "ip", "card", "phone")
@@ -253,10 +253,13 @@ def _chosen(trees: list, threshold: float):
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", model: dict | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``spans``: (kind, start, end, base), by kind and start; end exclusive, in code points."""
+    """Adds ``spans``: (kind, start, end, base), by kind and start; end exclusive, in code points.
+
+    A column of the input called ``spans`` is replaced.
+    """
     model = train(docs.sparkSession) if model is None else model
-    text = "_pii_text"
-    df = candidates(base_spans(docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), text), text)
+    text = "text"
+    df = candidates(base_spans(packed(docs, text_col).withColumn(text, F.coalesce(text, F.lit(""))), text), text)
     named = lambda kind, base: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"))
     base_all = F.concat(*(F.transform(f"base_{k}", named(k, True)) for k in KINDS))
     df = df.withColumn("_pii_base", base_all)
@@ -268,8 +271,8 @@ def find_personal(docs: DataFrame, text_col: str = "text", model: dict | None =
             chosen = F.filter(f"cand_{kind}", _chosen(trees, threshold))
             mine = F.array_sort(F.concat(mine, F.transform(chosen, named(kind, False))), lambda a, b: (a["start"] - b["start"]).cast("int"))
         arrays.append(mine)
-    kept = [c for c in docs.columns if c not in drop]
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.concat(*arrays).alias("spans"))
+    kept = [c for c in docs.columns if c not in drop and c.lower() != "spans"]
+    return df.select(*(F.col(f"doc.`{c}`") for c in kept), F.concat(*arrays).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: dict | None = None) -> DataFrame:

@@ -89,8 +89,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "sour
     held = scanned.filter(F.size("spans") > 0).select("row", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), F.explode("spans").alias("s"))
     values = held.select(F.col("s.digest").alias("digest"), "owner", "repo")
     # rows of a hot value fold into one per owner and repository first; both counts then need no set in memory
-    owners = values.groupBy("digest", "owner").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_owners"))
-    repos = values.groupBy("digest", "repo").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_repos"))
+    # (both are cut: Spark splits a hot key of a join between plain shuffles only)
+    owners = cut(values.groupBy("digest", "owner").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_owners")))
+    repos = cut(values.groupBy("digest", "repo").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_repos")))
     s = "s."
     weighed = (
         held.withColumn("digest", F.col("s.digest")).join(owners, "digest").join(repos, "digest")

@@ -452,7 +452,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = parts(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = cut(rows.select("id", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
-    firsts = base.groupBy("digest").agg(F.min("id").alias("least"))
+    firsts = cut(base.groupBy("digest").agg(F.min("id").alias("least")))  # cut, so that a hot digest's join can be split
     marked = cut(base.join(firsts, "digest").withColumn("copy", F.col("id") > F.col("least")).drop("least"))
     routed = rows.mapInArrow(_route, "k long, x long, d long").repartition(n, "k")
     shared = routed.mapInArrow(_shared, "d long, h long")

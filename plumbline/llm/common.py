@@ -111,6 +111,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def eights(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """For each place the eight bytes from there on as one number; beyond the end come zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((data.size,), np.dtype(f"{order}u8"), padded.data, 0, (1,)).astype(np.uint64)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: differences of one running polynomial, shifted to a common origin."""
     up, down = _table_of_powers(data.size + 1)
@@ -178,6 +184,9 @@ def extend(df: DataFrame, make, more: str, text: str, most: int = STEP_BYTES, dr
     ``make`` runs once a task; what it returns turns (slice, bytes of ``text``, bounds) into the new columns' arrays.
     A column of the input that has a new column's name is replaced by it.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # Spark's default, too much for rows of long texts
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2500)
     added = _names(more)
     out_of_the_way = {c.lower() for c in (*added, *drop)}
     kept = [c for c in df.columns if c.lower() not in out_of_the_way]

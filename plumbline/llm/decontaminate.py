@@ -1,11 +1,12 @@
 """Benchmark decontamination under edit distance: CGK embedding, bit-sampling LSH, exact verification.
 
 A document leaks an item when some part of it is within ``floor(RATIO * length)`` edits (insertions, deletions,
-substitutions of characters) of the whole item, capitals and kinds of white space aside. Per document:
+substitutions of characters) of the whole item, capitals (ASCII and Latin-1) and kinds of white space aside. Per document:
 
-1. Windows: an item with k edits allowed is cut into k + 2 pieces; at most k can be touched, so two survive, and their
-   places in the text imply window starts at most k apart. One Aho-Corasick pass finds the pieces; an item-sized window
-   opens at each implied start that a second piece supports. No leak is lost here.
+1. Windows: an item with k edits allowed is cut into k + s pieces; an edit touches one of them at most, so s survive
+   (``SUPPORT``; fewer for short items), and their places in the text imply window starts that lie close together. One
+   pass of array operations finds the pieces' first bytes in the text, and an item-sized window opens at each implied
+   start that s different pieces support. No leak is lost here.
 2. Each window and item goes through random walks (CGK): a step emits the character at the cursor, which a random bit
    of (step, character) then moves on or leaves. Walks of texts at a small edit distance fall into step again, so edit
    distance becomes Hamming distance. Bit sampling looks at ``BITS`` places of a walk; a window is kept if it falls into
@@ -30,14 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, STEP_BYTES, extend, mix, table
+from .common import BLANK, STEP_BYTES, eights, extend, lower, mix, steps, table
 
 RATIO, LEAST = 0.1, 8
+#: Pieces that must survive, and the numbers of a piece's first bytes that are looked up (the largest that fits).
+SUPPORT, SEEDS = 4, (8, 6, 4, 2, 1)
 #: Places that one repetition samples, and the share of differing places in a walk that must still be found.
 BITS, FAR = 3, 0.6
 RECALL, WALKS = 0.99, 8
 ITEM_CHARS = 4 << 20
 GROUP_BYTES = 8 * STEP_BYTES
+LOOK_BYTES = 1 << 15
 _TYPE = "array<struct<item_id:long,edits:int,start:int,end:int>>"
 
 
@@ -46,15 +50,15 @@ def repetitions(far: float = FAR, bits: int = BITS, recall: float = RECALL) -> i
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - far) ** bits))
 
 
-_BLANKS = {c: " " for c in np.flatnonzero(BLANK).tolist()}
+def plain_bytes(data: np.ndarray) -> np.ndarray:
+    """Small letters and one kind of blank, byte by byte: places stay where they are."""
+    out = lower(data)
+    out[BLANK[out]] = 32
+    return out
 
 
 def plain(text: str) -> str:
-    """Small letters and single kinds of blanks, character by character: places stay where they are."""
-    small = text.lower()
-    if len(small) != len(text):
-        small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return small.translate(_BLANKS)
+    return plain_bytes(np.frombuffer(text.encode(), np.uint8)).tobytes().decode()
 
 
 def codes(text: str) -> np.ndarray:
@@ -77,12 +81,32 @@ def walk(texts: list[np.ndarray], seed: int) -> np.ndarray:
     return out
 
 
+def _slot(v: np.ndarray) -> np.ndarray:
+    return ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+
+def _supported(starts: list[int], pieces: list[int], reach: int, need: int) -> list[int]:
+    """The distinct starts (ascending) that ``need`` different pieces within ``reach`` of each other imply."""
+    out: list[int] = []
+    held: dict[int, int] = defaultdict(int)
+    lo = done = 0
+    for hi, s in enumerate(starts):
+        held[pieces[hi]] += 1
+        while starts[lo] < s - reach:
+            held[pieces[lo]] -= 1
+            if not held[pieces[lo]]:
+                del held[pieces[lo]]
+            lo += 1
+        if len(held) >= need:
+            out += [x for x in starts[max(lo, done) : hi + 1] if not out or x != out[-1]]
+            done = hi + 1
+    return sorted(set(out))
+
+
 class Items:
     """What is searched: pieces for the pass over the text, buckets of sampled walks, and masks for the alignment."""
 
     def __init__(self, items: list[tuple[int, str]], ratio: float = RATIO):
-        import ahocorasick
-
         ids: dict[str, list[int]] = defaultdict(list)
         for i, text in items:
             if text is not None and len(text) >= LEAST and i is not None:
@@ -90,16 +114,23 @@ class Items:
         self.texts = sorted(ids)
         self.ids = [sorted(ids[t]) for t in self.texts]
         self.edits = [int(ratio * len(t) + 1e-9) for t in self.texts]
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for n, (text, k) in enumerate(zip(self.texts, self.edits, strict=True)):
-            cuts = [len(text) * j // (k + 2) for j in range(k + 3)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                pieces[text[a:b]].append((n, b))
-        self.find = ahocorasick.Automaton()
-        for piece, where in pieces.items():
-            self.find.add_word(piece, where)
-        if pieces:
-            self.find.make_automaton()
+        self.support = [SUPPORT if len(t) >= 60 else 2 for t in self.texts]
+        # seeds: for each width, the first bytes of every piece, and which items have them where
+        found: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for n, (text, k, s) in enumerate(zip(self.texts, self.edits, self.support, strict=True)):
+            cuts = [len(text) * j // (k + s) for j in range(k + s + 1)]
+            least = min(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+            width = next(w for w in SEEDS if w <= max(least, SEEDS[-1]))
+            for j, a in enumerate(cuts[:-1]):
+                seed = text[a:].encode()[:width]
+                found[width][int.from_bytes(seed, "little") << (64 - 8 * width)].append((n, len(text[:a].encode()), j))
+        self.seeds = {}
+        for width, by in found.items():
+            values = np.array(sorted(by), np.uint64)
+            first = np.concatenate([[0], np.cumsum([len(by[v]) for v in sorted(by)])])
+            maybe = np.zeros(1 << 22, bool)
+            maybe[_slot(values)] = True
+            self.seeds[width] = (values, first, np.array([x for v in sorted(by) for x in by[v]], np.int64), maybe)
         per_walk = -(-repetitions() // WALKS)
         random = np.random.default_rng(20_240_601)
         self.samples = random.random((WALKS, per_walk, BITS))  # places, as shares of a walk's length
@@ -131,34 +162,49 @@ class Items:
                 out[:, w * self.samples.shape[1] + q] = key
         return out
 
-    def windows(self, text: str) -> list[tuple[int, int]]:
-        """(item, start) of the windows that two pieces support."""
-        starts: dict[int, set[int]] = defaultdict(set)
-        for end, where in self.find.iter(text):
-            for n, b in where:
-                starts[n].add(end + 1 - b)
-            # pieces of one start support each other only if they are different: counted below by their number
+    def windows(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item, start) of the windows that enough pieces support; starts in bytes from the row's begin.
+
+        ``data`` is plain. An edit moves what follows by the bytes of a character, four at most.
+        """
+        hit_of: dict[int, list] = {w: [] for w in self.seeds}
+        for lo in range(0, data.size, LOOK_BYTES):  # a size whose arrays stay in the cache
+            x = eights(data[lo : lo + LOOK_BYTES + 8])[:LOOK_BYTES]
+            for width, (_, _, _, maybe) in self.seeds.items():
+                v = x << np.uint64(64 - 8 * width)
+                found = np.flatnonzero(maybe[_slot(v)])
+                if found.size:
+                    hit_of[width].append((found + lo, v[found]))
         out = []
-        for n, at in starts.items():
-            ordered = sorted(at)
-            k = self.edits[n]
-            near = [b - a <= k for a, b in zip(ordered, ordered[1:], strict=False)]
-            for j, s in enumerate(ordered):
-                if j and near[j - 1] or j < len(near) and near[j] or self._twice(text, n, s):
-                    out.append((n, s))
+        for width, (values, first, where, _) in self.seeds.items():
+            if not hit_of[width]:
+                continue
+            hits, v = (np.concatenate(c) for c in zip(*hit_of[width], strict=True))
+            place = np.minimum(np.searchsorted(values, v), values.size - 1)
+            good = values[place] == v
+            hits, place = hits[good], place[good]
+            row = np.searchsorted(at, hits, "right") - 1
+            good = hits + width <= at[row + 1]
+            hits, place, row = hits[good], place[good], row[good]
+            n = first[place + 1] - first[place]
+            each = np.repeat(first[place] - np.concatenate([[0], np.cumsum(n)[:-1]]) if n.size else n, n) + np.arange(n.sum())
+            item, offset, piece = where[each].T
+            start = np.repeat(hits - at[row], n) - offset
+            key = np.repeat(row, n) * len(self.texts) + item
+            _, back, many = np.unique(key, return_inverse=True, return_counts=True)
+            need = np.array(self.support)[item]
+            keep = many[back] >= need if key.size else np.zeros(0, bool)
+            key, start, piece = key[keep], start[keep], piece[keep]
+            order = np.lexsort((piece, start, key))
+            key, start, piece = key[order], start[order], piece[order]
+            if not key.size:
+                continue
+            bounds = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for lo, hi in zip(bounds.tolist(), np.append(bounds[1:], key.size).tolist(), strict=True):
+                r, i = divmod(int(key[lo]), len(self.texts))
+                out += [(r, i, s) for s in _supported(start[lo:hi].tolist(), piece[lo:hi].tolist(), 4 * self.edits[i], self.support[i])]
         return out
 
-    def _twice(self, text: str, n: int, start: int) -> bool:
-        """Whether two pieces of the item lie at this very start."""
-        item, k, found = self.texts[n], self.edits[n], 0
-        for j in range(k + 2):
-            a, b = len(item) * j // (k + 2), len(item) * (j + 1) // (k + 2)
-            if start + a >= 0 and text.startswith(item[a:b], start + a):
-                found += 1
-                if found == 2:
-                    return True
-        return False
-
     def align(self, n: int, text: str) -> tuple[int, int, int]:
         """The least edits between the item and any part of the text, and that part's bounds (the first that ends)."""
         item = self.texts[n]
@@ -215,17 +261,22 @@ def _searcher(held, text_col: str, ratio: float):
         def work(part, data, at):
             found: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(part.num_rows)]
             asked = []  # row, item, start of the window, the text around it
-            if known.texts:
-                for row, text in enumerate(part.column(text_col).to_pylist()):
-                    if text:
-                        text = plain(text)
-                        for n, start in known.windows(text):
-                            m, k = len(known.texts[n]), known.edits[n]
-                            lo = max(0, start - k)
-                            asked.append((row, n, text[max(0, start) : max(0, start) + m], lo, text[lo : start + m + k]))
+            base = 0
+            for some, raw, bounds in steps(part, text_col) if known.texts else ():
+                small = plain_bytes(raw)
+                texts: dict[int, tuple[str, np.ndarray]] = {}
+                for row, n, start in known.windows(small, bounds):
+                    if row not in texts:
+                        own = small[bounds[row] : bounds[row + 1]]
+                        texts[row] = own.tobytes().decode(), np.cumsum((own & 0xC0) != 0x80)
+                    text, char = texts[row]
+                    first = int(char[start] - 1) if start >= 0 else 0
+                    m, k = len(known.texts[n]), known.edits[n]
+                    asked.append((base + row, n, text[first : first + m], max(0, first - k), text[max(0, first - k) : first + m + k]))
+                base += some.num_rows
             for lo in range(0, len(asked), 2048):
                 some = asked[lo : lo + 2048]
-                keys = known.keys([codes(a[2]) if len(a[2]) == len(known.texts[a[1]]) else codes(a[2].ljust(len(known.texts[a[1]]), "\0")) for a in some])
+                keys = known.keys([codes(a[2].ljust(len(known.texts[a[1]]), "\0")) for a in some])
                 for (row, n, _, origin, around), own in zip(some, keys.tolist(), strict=True):
                     if not known.buckets.isdisjoint(own):
                         edits, start, end = known.align(n, around)

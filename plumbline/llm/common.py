@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: The bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -178,15 +180,27 @@ def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, key) -> DataFram
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def release() -> None:
+    """Gives memory that freed arrays have left in this process back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows an Arrow batch than Spark's default, which is too much for rows of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, 2500)
+
+
 def extend(df: DataFrame, make, more: str, text: str, most: int = STEP_BYTES, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without the columns ``drop`` and with those of ``more`` (DDL), which ``make()`` gives a function for.
 
     ``make`` runs once a task; what it returns turns (slice, bytes of ``text``, bounds) into the new columns' arrays.
     A column of the input that has a new column's name is replaced by it.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # Spark's default, too much for rows of long texts
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2500)
+    small_batches(df.sparkSession)
     added = _names(more)
     out_of_the_way = {c.lower() for c in (*added, *drop)}
     kept = [c for c in df.columns if c.lower() not in out_of_the_way]
@@ -197,6 +211,8 @@ def extend(df: DataFrame, make, more: str, text: str, most: int = STEP_BYTES, dr
         for batch in batches:
             for part, data, at in steps(batch, text, most):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *work(part, data, at)], names=[*kept, *added])
+            del batch
+            release()
 
     return df.mapInArrow(run, ddl)
 

@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, cut, extend, keep_rows, mix, parts, span_hash, table, word_bounds
+from .common import STEP_BYTES, cut, extend, keep_rows, mix, parts, release, span_hash, table, word_bounds
 
 N, THRESHOLD = 5, 0.8
 NO_ID = (1 << 63) - 1
 ROWS, BANDS = 5, 40
 #: MinHash values compared at a time, and the posterior probability under which a pair is dropped.
 CHUNK, TOLERANCE = 20, 1e-7
-BLOCK = 768
+BLOCK = 384
 #: Shingles side by side in one step of the block verification.
 COLUMNS = 4096
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -106,22 +106,25 @@ def components(nodes_edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each node's larger neighbours, then its smaller
     ones, are tied to the smallest node around. Each step is two shuffles with partial aggregation and is cut to the
-    shared folder; a hub's neighbours are never gathered. It ends when a round changes no edge.
+    shared folder. So are the minima that it joins with: both sides of the join are then plain shuffles, which Spark
+    splits where a hub's neighbours meet. It ends when every node is tied to its smallest and to no other.
     """
     edges = cut(nodes_edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        large = cut(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        edges = cut(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = cut(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct())
+        low = large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
+        # a node with one smaller neighbour is where it belongs; the others' neighbours are tied to the smallest
+        torn = cut(low.filter("n > 1").select("a", "m"))
+        if torn.isEmpty():
+            edges = large
+            # every node is tied to one other: done when that other is tied to none
+            if edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+                break
+        else:
+            small = large.join(torn, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+            edges = cut(small.filter("a > b").distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -265,6 +268,7 @@ def _join_blocks(threshold: float):
                 if not held or held[-1][0] != row:  # a repeated row brings its text again
                     held.append((row, size, block, grams))
         yield from done()
+        release()
 
     return run
 
@@ -286,10 +290,11 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes.select("set", F.col("first.row").alias("rep"), F.col("first.id").alias("rep_id"), "size"))
     # 2. candidate components of representatives
     reps = sketch.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.explode("bands").alias("key"))
-    buckets = reps.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    # (here and below, what is joined with is cut first: Spark splits a hot key of a join between plain shuffles only)
+    buckets = cut(reps.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).filter("n > 1"))
     pairs = reps.join(buckets.select("key", "least"), "key").filter("row > least").select(F.col("row").alias("a"), F.col("least").alias("b"))
     comps = cut(components(pairs))
-    sizes = comps.groupBy("label").agg(F.count("*").alias("members"))
+    sizes = cut(comps.groupBy("label").agg(F.count("*").alias("members")))
     # 3. members with their shingles, once, or once for each pair of blocks of a large component
     members = comps.join(sizes, "label").select(F.col("node").alias("row"), F.col("label").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     members = members.join(classes.select(F.col("rep").alias("row"), "rep_id", "size", F.col("set").alias("own")), "row").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
@@ -303,8 +308,8 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 4. groups and numbers of links
     groups = components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counted = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
-    linked = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counted.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    firsts = linked.groupBy("label").agg(F.min(F.struct("rep_id", "rep")).alias("g"))
+    linked = cut(classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counted.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    firsts = cut(linked.groupBy("label").agg(F.min(F.struct("rep_id", "rep")).alias("g")))
     known = linked.join(firsts, "label").select("set", "rep", "rep_id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.col("g.rep_id").alias("group"), F.col("g.rep").alias("keeper"))
     real = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
     alone = F.col("rep").isNull()

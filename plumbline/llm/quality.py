@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = cut(sample_of(known, "id", most))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `most` rows
     rows = texts.select(F.xxhash64("id").alias("h"), "id", "text", F.col("y").cast("double").alias("y"))
-    return np.frombuffer(rows.repartition(1).mapInArrow(_train, "weights binary").first()["weights"], np.float32)
+    got = rows.repartition(1).mapInArrow(_train, "weights binary").first()
+    return np.frombuffer(got["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:

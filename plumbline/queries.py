@@ -330,6 +330,8 @@ QUERIES = {
     "sim_drift_frames": sim_drift_frames,
     "synthetic_waveform": lambda s, d: synthetic.waveform(s, 500).transform(_round, *DRIFT),
     "synthetic_template": synthetic_template,
+    "synthetic_sites": lambda s, d: synthetic.sites_in_cube(s),
+    "synthetic_blinking": lambda s, d: synthetic.blinking(s),
     "corrected_csv": corrected_csv,
     "thunderstorm_export": thunderstorm_export,
     "molecule_set_export": molecule_set_export,

@@ -29,13 +29,17 @@ SIGMA, RADIUS, THRESHOLD = 1.0, 2, 0.5
 REGION_SHARE = 0.8
 
 #: Elements that hold blocks, elements that end a line but hold none, and elements that are furniture.
-CONTAINERS = {"body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "blockquote", "figure", "fieldset", "details", "dialog", "menu", "center", "address", "hgroup", "search"}
-LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "figcaption", "caption", "summary", "legend", "hr", "option", "html"}
+CONTAINERS = {"body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "figure", "fieldset", "details", "dialog", "menu", "center", "address", "hgroup", "search"}
+LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "summary", "legend", "hr", "option", "html"}
 FURNITURE = {"nav", "aside", "footer", "form", "dialog", "menu", "search", "fieldset"}
 UNREAD = {"head", "title", "script", "style", "noscript", "template", "iframe", "object", "svg", "math", "select", "button", "textarea", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation topnav breadcrumb breadcrumbs masthead footer header pagination pager share sharing social related recommended recommendations trending login signup search toolbar copyright disclaimer".split())
+ARTICLE_NAMES = {"article", "post", "entry", "story"}
+#: Names that also tell of a page's layout ("has-sidebar").
+LAYOUT_NAMES = {"sidebar", "aside", "menu", "nav", "navbar", "header", "footer", "widget", "widgets", "social", "search", "overlay", "notices"}
+LABELS = {"navigation", "menu", "breadcrumb", "breadcrumbs", "advertisement", "sidebar", "related"}
 COMMENT_NAMES = set("comment comments commentlist respond replies reply disqus discussion".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -49,7 +53,8 @@ class Lines(HTMLParser):
         self.parents: list[int] = [-1]  # container number -> its parent
         self.plain: list[list] = [["#page", 0, 0, 0]]  # container number -> tag, text, text in links, links
         self.stack: list[tuple[str, int, int]] = [("#page", 0, 0)]  # tag, container, furniture: 0 no, 1 by name, 2 for good
-        self.out: list[tuple[str, int, int, int, bool]] = []  # text, in links, tags, container, furniture
+        self.named: dict[int, int] = {}  # container -> the outermost one whose name makes it furniture
+        self.out: list[tuple[str, int, int, int, int]] = []  # text, in links, tags, container, furniture
         self.text: list[str] = []
         self.unread: list[str] = []
         self.linked = self.tags = self.links = self.unlisted = 0
@@ -60,7 +65,7 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 _, container, furniture = self.stack[-1]
-                self.out.append((text, self.linked, self.tags, container, furniture > 0))
+                self.out.append((text, self.linked, self.tags, container, furniture))
                 while container >= 0:
                     box = self.plain[container]
                     box[1] += len(text)
@@ -84,8 +89,11 @@ class Lines(HTMLParser):
         if tag in CONTAINERS:
             self.line()
             kind = self.kind(tag, attrs)
-            self.parents.append(self.stack[-1][1])
+            above = self.stack[-1][1]
+            self.parents.append(above)
             self.plain.append([tag, 0, 0, 0])
+            if kind == 1:
+                self.named[len(self.parents) - 1] = self.named.get(above, len(self.parents) - 1)
             self.stack.append((tag, len(self.parents) - 1, kind))
         elif tag in LINES:
             self.line()
@@ -116,8 +124,15 @@ class Lines(HTMLParser):
                 words = set(_SPLIT.split(value))
                 if words & COMMENT_NAMES:
                     return 2
-                if tag not in ("body", "article", "main") and words & NAMES and not (tag in ("header", "hgroup", "h1") and inside):
-                    above = 1
+                named = words & NAMES
+                if inside or words & ARTICLE_NAMES:  # an article's own header
+                    named -= {"header"}
+                if named and tag not in ("body", "article", "main"):
+                    if named - LAYOUT_NAMES:
+                        return 2
+                    above = max(above, 1)
+            elif name == "aria-label" and set(_SPLIT.split(value)) & (COMMENT_NAMES | LABELS):
+                return 2
             elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 return 2
         return above
@@ -175,7 +190,15 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.line()
-    lines = page.out
+    # a layout name that would make furniture of most of a page without an article says something else ("has-sidebar")
+    weights: dict[int, int] = {}
+    for text, _, _, container, furniture in page.out:
+        if furniture == 1:
+            weights[page.named[container]] = weights.get(page.named[container], 0) + len(text)
+    half = sum(len(t) for t, *_, f in page.out if f < 2) / 2
+    if any(box[0] in ("article", "main") for box in page.plain):
+        half = float("inf")
+    lines = [(t, linked, tags, c, f > 1 or f == 1 and weights[page.named[c]] <= half) for t, linked, tags, c, f in page.out]
     if not any(not f for *_, f in lines):
         return ""
     hit = regions(lines)
@@ -187,7 +210,7 @@ def main_text(html: str | None) -> str:
             while container >= 0:
                 weight[container] = weight.get(container, 0) + len(text)
                 container = page.parents[container]
-    best = max((c for c, w in weight.items() if w >= REGION_SHARE * total and page.plain[c][0] not in ("ul", "ol", "table", "tbody", "tr", "blockquote", "p", "li")), default=0)
+    best = max((c for c, w in weight.items() if w >= REGION_SHARE * total and page.plain[c][0] not in ("ul", "ol", "blockquote", "p", "li")), default=0)
     whole = next((c for c in _ups(page, best) if page.plain[c][0] in ("article", "main")), None)
     best = best if whole is None else whole
     out = []
@@ -206,8 +229,8 @@ def _ups(page: Lines, container: int):
 
 
 def _is_menu(box: list) -> bool:
-    """A list of three links or more and hardly any other text."""
-    return box[0] in ("ul", "ol") and box[3] >= 3 and box[2] >= 0.9 * box[1]
+    """Three links or more and hardly any other text."""
+    return box[3] >= 3 and box[2] >= 0.8 * box[1]
 
 
 def extract(pages: DataFrame, html_col: str = "html", drop: tuple[str, ...] = ()) -> DataFrame:

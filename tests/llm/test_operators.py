@@ -239,11 +239,11 @@ def test_hot_anchors_take_the_other_way():
     for hot in (2, 1000):
         was, substrings.HOT_IN_GROUP = substrings.HOT_IN_GROUP, hot
         try:
-            batch = pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows]}).to_batches()
+            batch = list(substrings._pack(pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows]}).to_batches()))
             routed = pa.Table.from_batches(list(substrings._route(batch))).to_batches()
             shared_rows = pa.Table.from_batches(list(substrings._shared(routed))).to_pandas()
             lists = shared_rows.groupby("d").h.apply(list)
-            asked = pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows], "hs": pa.array([lists.get(i, []) for i, _ in rows], pa.list_(pa.int64())), "twin": [False] * len(rows)}).to_batches()
+            asked = pa.table({"id": [i for i, _ in rows], "z": batch[0].column("z"), "n": batch[0].column("n"), "hs": pa.array([lists.get(i, []) for i, _ in rows], pa.list_(pa.int64())), "twin": [False] * len(rows)}).to_batches()
             found = pa.Table.from_batches(list(substrings._fragments(asked)))
             found = found.sort_by("k").combine_chunks().to_batches()
             spans = pa.Table.from_batches(list(substrings._search(found))).to_pylist()
@@ -419,6 +419,10 @@ def test_no_items(spark):
         ("<html><head><title>t</title><style>p{}</style><script>var x='</p>'</script></head><body><nav><a>n</a></nav><article><h1>T</h1><p>One  long\n paragraph of the article.<p>short</article><footer>f</footer></body>", "T\nOne long paragraph of the article.\nshort"),
         ("<body><header>H</header><div class='content'><p>Main words are here, and more of them.</p><div class='advert'>buy</div><form><p>f</p></form><section id='comments'><article><p>c</p></article></section><p>End.</p></div><div class='sidebar'><p>side</p></div>", "Main words are here, and more of them.\nEnd."),
         ("<div id='cookie-notice'><p>we use cookies on this site, all of them</p></div><main><p>x &eacute;&nbsp;y</p></main>", "x é y"),
+        ("<div class='page has-sidebar'><article><div class='post-header'><h1>T</h1></div><p>The words of the article, which are many.</p></article><div class='sidebar'><p>side</p></div></div>", "T\nThe words of the article, which are many."),
+        ("<div class='wrap no-sidebar'><p>All of the words are in here, every one.</p><p>More.</p></div><p class='notice'>n</p>", "All of the words are in here, every one.\nMore."),
+        ("<table><tr><td><a>one</a> <a>two</a> <a>three</a></td><td><p>The article stands in a table, as of old.</p><p>End.</p></td></tr></table>", "The article stands in a table, as of old.\nEnd."),
+        ("<main><p>Text of the page, and some more.</p><section aria-label='Reader comments'><p>c</p></section></main>", "Text of the page, and some more."),
         ("<nav>menu only</nav>", ""), ("<div><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p>A sentence that is the text of this page.</p></div>", "A sentence that is the text of this page."),
     ],
 )

@@ -161,6 +161,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folders that a table of ``stored`` was read from."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, key) -> DataFrame:
     """The rows of ``docs`` that ``verdict`` (id, key, kept: a row for each) keeps, with ``key`` a column of docs.
 

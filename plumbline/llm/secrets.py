@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, steps, table
+from .common import cut, small_batches, steps, table
 
 #: Fixed values of the contract: the kinds in order, their patterns and their least lengths.
 KINDS = ("assign", "access", "hex")
@@ -83,6 +83,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "sour
 
     ``repo_col`` names the repository that a document belongs to; by default each document is one of its own.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col or id_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
     scanned = cut(rows.mapInArrow(lambda b: _scan(b, "id", "owner", "repo", "text"), f"id {kind}, owner string, repo string, {_SPANS}").withColumn("row", F.monotonically_increasing_id()))

@@ -181,21 +181,30 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
 
         def work(part, data, at):
             rows = at.size - 1
-            starts, ends, first, gram, letter, script = _words(data, at)
-            real = np.zeros(rows, bool)
-            ascii_letter = np.concatenate([[0], np.cumsum(letter & (data < 0x80))])
-            wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
-            real = ascii_letter[at[1:]] > ascii_letter[at[:-1]]
-            for k in np.flatnonzero(~real & (wide[at[1:]] > wide[at[:-1]])):
-                real[k] = any(c.isalpha() for c in data[at[k] : at[k + 1]].tobytes().decode())
+            # words and their scores a step at a time, so that what is kept per byte stays small
+            kept, real, base = [], np.zeros(rows, bool), 0
+            for some, raw, bounds in steps(part, text_col):
+                a, b, f, gram, letter, s = _words(raw, bounds)
+                places = (a + at[base], b + at[base]) if spans else (None, None)
+                kept.append(((b - a).astype(np.int32), np.diff(f), s.astype(np.int8), word_scores(m, gram, letter, a, b, s), *places))
+                ascii_letter = np.concatenate([[0], np.cumsum(letter & (raw < 0x80))])[bounds]
+                wide = np.concatenate([[0], np.cumsum(raw >= 0x80)])[bounds]
+                has = ascii_letter[1:] > ascii_letter[:-1]
+                for k in np.flatnonzero(~has & (wide[1:] > wide[:-1])):
+                    has[k] = any(c.isalpha() for c in raw[bounds[k] : bounds[k + 1]].tobytes().decode())
+                real[base : base + some.num_rows] = has
+                base += some.num_rows
+            size, counts, script, scores = (np.concatenate([k[i] for k in kept]) for i in range(4))
+            starts, ends = (np.concatenate([k[i] for k in kept]) if spans else None for i in (4, 5))
+            del kept
+            first = np.concatenate([[0], np.cumsum(counts)])
             n = len(m.langs)
-            if not n or not starts.size:
+            if not n or not size.size:
                 pred, score, found = np.full(rows, n), np.zeros(rows), [[] for _ in range(rows)]
             else:
-                row = np.repeat(np.arange(rows), np.diff(first))
-                scores = word_scores(m, gram, letter, starts, ends, script)
+                row = np.repeat(np.arange(rows), counts)
                 label = viterbi(scores, first)
-                weight = np.where(script >= 0, ends - starts, 0)
+                weight = np.where(script >= 0, size, 0)
                 share = np.bincount(row * n + label, weight, rows * n).reshape(rows, n)
                 total = np.stack([np.bincount(row, scores[:, c], rows) for c in range(n)], 1)
                 pred = share.argmax(1)

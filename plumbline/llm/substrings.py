@@ -5,10 +5,10 @@ The steps keep volumes in proportion to the input:
 
 1. Exact copies: digests are grouped (partial aggregation); all but the smallest id of a group go as a whole, and only
    the first goes on.
-2. Routing. Of the 35 sixteen-byte grams of every 50-byte window, the one with the least hash (the rightmost if
+2. Routing. Of the 27 grams of 24 bytes of every 50-byte window, the one with the least hash (the rightmost if
    several) is its anchor; equal windows have equal anchors. One (anchor, document) row for each of a document's
-   distinct anchors, some 1 in 18 bytes, is dealt by anchor; anchors of a single document are dropped there.
-3. Fragments. For each anchor that documents share, the bytes of the windows that it anchors (50 to 84) are dealt by
+   distinct anchors, some 1 in 14 bytes, is dealt by anchor; anchors of a single document are dropped there.
+3. Fragments. For each anchor that documents share, the bytes of the windows that it anchors (50 to 76) are dealt by
    anchor to shards.
 4. A shard's fragments are laid end to end. Its suffix array is refined as by Larsson and Sadakane: ranks by eight
    bytes, then doubled depths, only groups that are still tied being sorted again. Kasai's pass, side by side for all
@@ -37,16 +37,18 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, cut, mix, parts, span_hash, steps, table, text_bytes
+from .common import STEP_BYTES, cut, eights, mix, parts, release, small_batches, span_hash, steps, table, text_bytes
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM = 50, 24
 SPREAD = WIDTH - GRAM + 1
-GROUP_BYTES = 4 * STEP_BYTES
+GROUP_BYTES, DEALT_BYTES = 8 * STEP_BYTES, 32 * STEP_BYTES
 #: An anchor that so many documents of one group have is hot, as is one with so many rows in all.
-HOT_IN_GROUP, HOT_ROWS = 8, 20_000
-SHARD_BYTES = 4 << 20
+HOT_IN_GROUP, HOT_ROWS = 32, 20_000
+SHARD_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 26) - 1)
+#: Anchors travel with 48 bits (chance agreement only costs a look), which leaves the low bits for marks.
+_ANCHOR = ~np.uint64(0xFFFF)
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,15 +57,17 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, np.zeros(0, np.uint64)
-    x = data.astype(np.uint64)
-    for size in (1, 2, 4):
-        x = (x[:-size] << np.uint64(8 * size)) | x[size:]
-    g = mix(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + x[8:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    x = eights(data)
+    g = np.zeros(data.size - GRAM + 1, np.uint64)
+    for k in range(0, GRAM, 8):
+        g = mix(g * np.uint64(0x9E3779B97F4A7C15) + x[k : k + g.size])
     place = np.arange(g.size, dtype=np.uint64) & _PLACE
     v = (g & ~_PLACE) | (_PLACE - place)
-    for size in (1, 2, 4, 8, 16):
+    size = 1
+    while 2 * size <= SPREAD:
         v = np.minimum(v[:-size], v[size:])
-    v = np.minimum(v[: n], v[3 : 3 + n])  # 32 grams and 32 three further on: 35
+        size *= 2
+    v = np.minimum(v[:n], v[SPREAD - size : SPREAD - size + n])
     ok = np.ones(data.size + 1, bool)
     size = np.diff(at)
     for end, s in zip(at[1:].tolist(), size.tolist(), strict=True):
@@ -78,14 +82,32 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     turn[1:] = (pos[1:] != pos[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(turn)
     last = np.append(first[1:], starts.size) - 1
-    return row[first], starts[first], starts[last], g[pos[first]] & ~np.uint64(1)
+    return row[first], starts[first], starts[last], g[pos[first]] & _ANCHOR
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]):
-    """Slices of about GROUP_BYTES of text."""
+def _pack(batches):
+    """Texts compressed one by one: they are shuffled once and read three times."""
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        texts = [t.encode() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int32())], names=["id", "z", "n"])
+
+
+def _unpack(batches):
+    """The batches with ``text`` (bytes) in place of its compressed form."""
+    codec = pa.Codec("zstd", 1)
     for batch in batches:
+        texts = [codec.decompress(z, n, asbytes=True) if n else b"" for z, n in zip(batch.column("z").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        others = [c for c in batch.schema.names if c not in ("z", "n")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.binary())], names=[*others, "text"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]):
+    """Slices of about GROUP_BYTES of text."""
+    for batch in _unpack(batches):
         for part, data, at in steps(batch, "text", GROUP_BYTES):
             yield part, data, at
+        release()
 
 
 def _pieces(part: pa.RecordBatch):
@@ -104,7 +126,7 @@ def _route(batches):
     """(k, x, d): dealt by k, the anchor, with x null; x equal to k marks a hot anchor's first row of a group; rows with
     another x are the further documents of a hot anchor x, dealt anywhere.
     """
-    for part, _, _ in _groups(batches, ["id", "text"]):
+    for part, _, _ in _groups(batches):
         ids = _ids(part)
         hs, ds = [], []
         for base, _, data, at in _pieces(part):
@@ -121,6 +143,8 @@ def _route(batches):
         hot = np.repeat(n >= HOT_IN_GROUP, n)
         lead = np.zeros(h.size, bool)
         lead[first] = True
+        order = np.argsort(d, kind="stable")  # rows of one document together: they compress better
+        h, d, hot, lead = h[order], d[order], hot[order], lead[order]
         k = np.where(hot & ~lead, mix(h ^ (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1), h)
         for lo in range(0, h.size, 100_000):
             s = slice(lo, lo + 100_000)
@@ -157,6 +181,7 @@ def _shared(batches):
             hot = marked | (n >= HOT_ROWS)
             keep = np.repeat(many, n)
             yield from out(d[keep], k[keep] | np.repeat(hot, n)[keep].astype(np.uint64))
+    release()
 
 
 def _gather(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,68 +194,87 @@ def _gather(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarra
 _FRAGMENT = pa.schema([("k", pa.int64()), ("frag", pa.binary()), ("d", pa.int64()), ("t", pa.int64()), ("pos", pa.int64()), ("n", pa.int32())])
 
 
-def _text_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each row's text, to tell apart texts that share an id."""
-    return span_hash(data, at[:-1], at[1:]).view(np.int64)
+def _text_key(data: np.ndarray, at: np.ndarray, twin: pa.Array) -> np.ndarray:
+    """A 64-bit key of each row's text, to tell apart texts that share an id; 0 where the id has one text."""
+    return np.where(twin.to_numpy(zero_copy_only=False), span_hash(data, at[:-1], at[1:]).view(np.int64), 0)
 
 
 def _fragments(batches):
-    """(k, frag, d, t, pos, n): n windows from byte pos on; without frag where they are known to be removed."""
-    for part, _, _ in _groups(batches, ["id", "text", "hs"]):
+    """(k, frag, d, t, pos, n): n windows from byte pos on; without frag where they are known to be removed.
+
+    Works through the partition in groups of DEALT_BYTES of text.
+    """
+    found, size = [], 0
+    for part, _, _ in _groups(batches):
         ids, asked = _ids(part), part.column("hs").to_pylist()
-        found = []
-        for base, _, data, at in _pieces(part):
-            row, a, b, h = anchors(data, at)
-            key = _text_key(data, at)
-            cuts = np.searchsorted(row, np.arange(at.size))
-            pick, hot = np.zeros(row.size, bool), np.zeros(row.size, bool)
-            for k in range(at.size - 1):
-                lo, hi = cuts[k], cuts[k + 1]
-                want = np.array(asked[base + k] or [], np.int64).view(np.uint64)
-                if hi > lo and want.size:
-                    pick[lo:hi] = np.isin(h[lo:hi], want & ~np.uint64(1))
-                    warm = want[(want & np.uint64(1)) > 0] & ~np.uint64(1)
-                    if warm.size:
-                        hot[lo:hi] = np.isin(h[lo:hi], warm)
-            cold = pick & ~hot
-            hot &= pick
-            n = (b - a + 1)[hot]
-            each = np.repeat(a[hot] - np.concatenate([[0], np.cumsum(n)[:-1]]) if n.size else a[hot], n) + np.arange(n.sum())
-            lo = np.concatenate([a[cold], each])
-            count = np.concatenate([(b - a + 1)[cold], np.ones(each.size, np.int64)])
-            hi = lo + count + WIDTH - 1
-            own = span_hash(data, lo, hi)
-            k = np.concatenate([h[cold], own[cold.sum() :]])
-            r = np.concatenate([row[cold], np.repeat(row[hot], n)])
-            raw, bounds = _gather(data, lo, hi)
-            found.append((k, own, ids[base + r], key[r], lo - at[r], count, raw, bounds))
-        k, own, d, t, pos, n = (np.concatenate([f[i] for f in found]) for i in range(6))
-        size = np.concatenate([np.diff(f[7]) for f in found])
-        raw = np.concatenate([f[6] for f in found])
-        del found
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        # a fragment that a smaller id of this group has too is known to be removed
-        order = np.lexsort((d, own))
-        lead = np.ones(own.size, bool)
-        lead[1:] = own[order][1:] != own[order][:-1]
-        least = np.empty(own.size, np.int64)
-        least[order] = d[order][np.maximum.accumulate(np.where(lead, np.arange(own.size), 0))] if own.size else d
-        known = d > least
-        k = np.where(known, mix(own ^ pos.astype(np.uint64) ^ (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), k)
-        yield from _fragment_batches(k, raw, bounds, d, t, pos, n, known)
-
-
-def _fragment_batches(k, raw, bounds, d, t, pos, n, known):
-    for dealt in (False, True):
-        which = np.flatnonzero(known != dealt) if dealt else np.flatnonzero(known)
-        for lo in range(0, which.size, 20_000):
-            w = which[lo : lo + 20_000]
-            if dealt:
-                data, at = _gather(raw, bounds[w], bounds[w + 1])
-                frag = pa.Array.from_buffers(pa.binary(), w.size, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-            else:
-                frag = pa.nulls(w.size, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(k[w].view(np.int64)), frag, pa.array(d[w]), pa.array(t[w]), pa.array(pos[w]), pa.array(n[w].astype(np.int32))], schema=_FRAGMENT)
+        for base, some, data, at in _pieces(part):
+            found.append(_cut_out(data, at, ids[base : base + some.num_rows], asked[base : base + some.num_rows], some.column("twin")))
+            size += data.size
+        if size >= DEALT_BYTES:
+            yield from _deal(found)
+            found, size = [], 0
+    if found:
+        yield from _deal(found)
+    release()
+
+
+def _cut_out(data, at, ids, asked, twin):
+    """The asked-for fragments of some rows: key, hash, id, text key, place, windows, bytes, bounds."""
+    row, a, b, h = anchors(data, at)
+    key = _text_key(data, at, twin)
+    cuts = np.searchsorted(row, np.arange(at.size))
+    pick, hot = np.zeros(row.size, bool), np.zeros(row.size, bool)
+    for k in range(at.size - 1):
+        lo, hi = cuts[k], cuts[k + 1]
+        want = np.array(asked[k] or [], np.int64).view(np.uint64)
+        if hi > lo and want.size:
+            pick[lo:hi] = np.isin(h[lo:hi], want & ~np.uint64(1))
+            warm = want[(want & np.uint64(1)) > 0] & ~np.uint64(1)
+            if warm.size:
+                hot[lo:hi] = np.isin(h[lo:hi], warm)
+    cold = pick & ~hot
+    hot &= pick
+    n = (b - a + 1)[hot]
+    each = np.repeat(a[hot] - np.concatenate([[0], np.cumsum(n)[:-1]]) if n.size else a[hot], n) + np.arange(n.sum())
+    lo = np.concatenate([a[cold], each])
+    count = np.concatenate([(b - a + 1)[cold], np.ones(each.size, np.int64)])
+    hi = lo + count + WIDTH - 1
+    own = span_hash(data, lo, hi)
+    k = np.concatenate([h[cold], own[cold.sum() :]])
+    r = np.concatenate([row[cold], np.repeat(row[hot], n)])
+    raw, bounds = _gather(data, lo, hi)
+    return k, own, ids[r], key[r], lo - at[r], count, raw, bounds
+
+
+def _deal(found):
+    k, own, d, t, pos, n = (np.concatenate([f[i] for f in found]) for i in range(6))
+    size = np.concatenate([np.diff(f[7]) for f in found])
+    raw = np.concatenate([f[6] for f in found])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    # a fragment that a smaller id of this group has too is known to be removed
+    order = np.lexsort((d, own))
+    lead = np.ones(own.size, bool)
+    lead[1:] = own[order][1:] != own[order][:-1]
+    least = np.empty(own.size, np.int64)
+    least[order] = d[order][np.maximum.accumulate(np.where(lead, np.arange(own.size), 0))] if own.size else d
+    known = d > least
+    # known windows in a row become one
+    w = np.flatnonzero(known)
+    w = w[np.lexsort((pos[w], t[w], d[w]))]
+    if w.size:
+        new = np.ones(w.size, bool)
+        new[1:] = (d[w][1:] != d[w][:-1]) | (t[w][1:] != t[w][:-1]) | (pos[w][1:] != pos[w][:-1] + n[w][:-1])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n[w], first)
+        w = w[first]
+        spread = mix(pos[w].astype(np.uint64) ^ (d[w].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.nulls(w.size, pa.binary()), pa.array(d[w]), pa.array(t[w]), pa.array(pos[w]), pa.array(total.astype(np.int32))], schema=_FRAGMENT)
+    dealt = np.flatnonzero(~known)
+    for lo in range(0, dealt.size, 20_000):
+        w = dealt[lo : lo + 20_000]
+        data, at = _gather(raw, bounds[w], bounds[w + 1])
+        frag = pa.Array.from_buffers(pa.binary(), w.size, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(k[w].view(np.int64)), frag, pa.array(d[w]), pa.array(t[w]), pa.array(pos[w]), pa.array(n[w].astype(np.int32))], schema=_FRAGMENT)
 
 
 def suffix_ranks(data: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -240,10 +284,7 @@ def suffix_ranks(data: np.ndarray, stops: np.ndarray) -> np.ndarray:
     alone, and groups of one suffix are never looked at again.
     """
     n = data.size
-    x = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for size in (1, 2, 4):
-        x = (x[:-size] << np.uint64(8 * size)) | x[size:]
-    x = x[:n]
+    x = eights(data, ">")
     left = stops - np.arange(n)
     short = left < 8
     x[short] &= ~((np.uint64(1) << (np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64)))) - np.uint64(1))
@@ -260,7 +301,7 @@ def suffix_ranks(data: np.ndarray, stops: np.ndarray) -> np.ndarray:
         beyond = tied + ahead
         inside = beyond < stops[tied]
         second = np.where(inside, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        order = np.lexsort((second, rank[tied]))
+        order = np.argsort((rank[tied].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64))  # both are below 2**32
         tied, second = tied[order], second[order]
         own = rank[tied]
         group = np.append(True, own[1:] != own[:-1])
@@ -315,11 +356,17 @@ class Shard:
     """The windows of some fragments, sorted, with the smallest id of each distinct one."""
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, ids: np.ndarray, count: np.ndarray):
-        stops = np.repeat(bounds[1:], np.diff(bounds))
+        # equal fragments are sorted once, with the smallest of their ids
+        whole = span_hash(raw, bounds[:-1], bounds[1:])
+        _, some, back = np.unique(whole, return_index=True, return_inverse=True)
+        least = np.full(some.size, NO_ID, np.int64)
+        np.minimum.at(least, back, ids)
+        self.all_ids, self.all_counts, self.back, self.counts = ids, count, back, count[some]
+        raw, bounds = _gather(raw, bounds[some], bounds[some + 1])
+        count, stops = count[some], np.repeat(bounds[1:], np.diff(bounds))
         rank = suffix_ranks(raw, stops)
         first = np.concatenate([[0], np.cumsum(count)[:-1]])
-        self.starts = np.repeat(bounds[:-1] - first, count) + np.arange(count.sum())
-        self.ids = np.repeat(ids, count)
+        self.first, self.starts = first, np.repeat(bounds[:-1] - first, count) + np.arange(count.sum())
         order = np.argsort(rank[self.starts], kind="stable")
         prefix = common_prefixes(raw, first, count, order, self.starts)
         head = prefix < WIDTH
@@ -327,7 +374,7 @@ class Shard:
         heads = np.flatnonzero(head)
         self.group = np.empty(order.size, np.int64)
         self.group[order] = np.cumsum(head) - 1
-        self.least = np.minimum.reduceat(self.ids[order], heads) if order.size else np.zeros(0, np.int64)
+        self.least = np.minimum.reduceat(np.repeat(least, count)[order], heads) if order.size else np.zeros(0, np.int64)
         self.raw, self.heads = raw, self.starts[order[heads]]
 
     def sorted_windows(self) -> np.ndarray:
@@ -335,7 +382,10 @@ class Shard:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.raw, WIDTH)[self.heads]).view(f"S{WIDTH}").ravel()
 
     def removed(self) -> np.ndarray:
-        return self.least[self.group] < self.ids
+        """Of every window of every fragment, as given: whether a smaller id has it."""
+        n = self.all_counts
+        at = np.repeat(self.first[self.back] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return self.least[self.group[at]] < np.repeat(self.all_ids, n)
 
 
 def merge(shards: list[Shard]) -> None:
@@ -420,29 +470,41 @@ def _search(batches):
         whole = int(np.searchsorted(key, key[-1]))
         yield from work(rows.slice(0, whole))
         yield from work(rows.slice(whole))
+    release()
 
 
 def _clean(batches):
     """Of each text, what is left without its spans."""
-    for batch in batches:
-        for part, data, at in steps(batch, "text"):
-            key = _text_key(data, at)
-            rows = []
-            for k, spans in enumerate(part.column("spans").to_pylist()):
-                text = data[at[k] : at[k + 1]]
-                mine = [s for s in spans if s["t"] == key[k]]
-                gone = np.zeros(text.size + 1, np.int64)
-                np.add.at(gone, [s["start"] for s in mine], 1)
-                np.add.at(gone, [s["end"] for s in mine], -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                kept = text[~gone].tobytes()
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                bounds = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-                rows.append((hashlib.sha256(text.tobytes()).digest(), int(gone.sum()), bounds, kept))
+    bound = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    for batch in _unpack(batches):
+        for part, data, at in steps(batch, "text", STEP_BYTES):
+            key, spans = _text_key(data, at, part.column("twin")), part.column("spans")
+            row = np.repeat(np.arange(part.num_rows), np.diff(spans.offsets.to_numpy()))
+            t, start, end = (spans.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("t", "start", "end"))
+            mine = t == key[row]
+            row, start, end = row[mine], start[mine], end[mine]
+            change = np.bincount(at[row] + start, minlength=data.size + 1) - np.bincount(at[row] + end, minlength=data.size + 1)
+            gone = np.cumsum(change[:-1]) > 0
+            opens, shuts = gone.copy(), gone.copy()
+            inner = at[(at > 0) & (at < data.size)]
+            opens[1:] &= ~gone[:-1]
+            shuts[:-1] &= ~gone[1:]
+            opens[inner] = gone[inner]
+            shuts[inner - 1] = gone[inner - 1]
+            a, b = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+            first = np.searchsorted(a, at)
+            home = np.repeat(np.arange(part.num_rows), np.diff(first))
+            removed = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a - at[home]), pa.array(b - at[home])], fields=list(bound)))
+            left = np.concatenate([[0], np.cumsum(~gone)])[at]
+            kept, whole = data[~gone].tobytes(), data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([r[3] for r in rows], pa.binary())],
+                [
+                    part.column("id"), pa.array([hashlib.sha256(whole[x:y]).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
+                    pa.array(np.diff(at) - np.diff(left)), removed, pa.array([kept[x:y] for x, y in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)], pa.binary()),
+                ],
                 names=["id", "digest", "n_removed", "removed", "kept"],
-            )
+            )
+        release()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -450,31 +512,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (the remaining bytes; null where the whole text stays).
     """
     n = parts(docs)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = cut(rows.select("id", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
     firsts = cut(base.groupBy("digest").agg(F.min("id").alias("least")))  # cut, so that a hot digest's join can be split
     marked = cut(base.join(firsts, "digest").withColumn("copy", F.col("id") > F.col("least")).drop("least"))
-    routed = rows.mapInArrow(_route, "k long, x long, d long").repartition(n, "k")
+    # only first copies go on; texts that share an id are told apart by a key that other rows go without
+    whole = marked.groupBy("id").agg(F.min("copy").alias("copy"), F.max("n_bytes").alias("n_bytes"), (F.min("digest") != F.max("digest")).alias("twin"))
+    alive = cut(whole.filter(~F.col("copy") & (F.col("n_bytes") >= WIDTH)).select("id", "twin"))
+    dealt = rows.mapInArrow(_pack, "id long, z binary, n int").repartition(n, "id")  # this shuffle of the texts serves all three passes over them
+    routed = dealt.join(alive, "id").select("id", "z", "n").mapInArrow(_route, "k long, x long, d long").repartition(n, "k")
     shared = routed.mapInArrow(_shared, "d long, h long")
-    lists = shared.groupBy(F.col("d").alias("id")).agg(F.collect_list("h").alias("hs"))
-    lists = lists.join(marked.filter(~F.col("copy") & (F.col("n_bytes") >= WIDTH)).select("id").distinct(), "id", "left_semi")
-    dealt = rows.repartition(n, "id")
-    fragments = dealt.join(lists, "id").select("id", "text", "hs").mapInArrow(_fragments, "k long, frag binary, d long, t long, pos long, n int")
+    lists = shared.groupBy(F.col("d").alias("id")).agg(F.collect_list("h").alias("hs")).join(alive, "id")
+    fragments = dealt.join(lists, "id").select("id", "z", "n", "hs", "twin").mapInArrow(_fragments, "k long, frag binary, d long, t long, pos long, n int")
     found = fragments.repartition(n, "k").sortWithinPartitions("k").mapInArrow(_search, "id long, t long, start long, end long")
     spans = found.groupBy("id").agg(F.collect_list(F.struct("t", "start", "end")).alias("spans"))
-    touched = dealt.join(spans, "id").select("id", "text", "spans").mapInArrow(_clean, "id long, digest binary, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    touched = dealt.join(spans.join(alive, "id"), "id").select("id", "z", "n", "spans", "twin").mapInArrow(_clean, "id long, digest binary, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary")
     touched = touched.filter("n_removed > 0")
     if not texts:
         touched = touched.withColumn("kept", F.unhex(F.sha2("kept", 256)))
     touched = touched.groupBy("id", "digest").agg(*(F.first(c).alias(c) for c in ("n_removed", "removed", "kept")))
     gone = F.col("copy") & (F.col("n_bytes") >= WIDTH)
     hashed = F.sha2("kept", 256) if texts else F.lower(F.hex("kept"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     out = marked.join(touched, ["id", "digest"], "left").select(
         F.when(F.col("id") == NO_ID, None).otherwise(F.col("id")).alias(id_col),
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, whole).otherwise(F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("removed"),
+        F.when(gone, all_of_it).otherwise(F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("removed"),
         F.when(gone, F.sha2(F.lit(b""), 256)).when(F.col("kept").isNotNull(), hashed).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
         *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if texts else []),
     )

@@ -191,7 +191,7 @@ def _gather(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarra
     return data[np.arange(bounds[-1]) + np.repeat(lo - bounds[:-1], size)], bounds
 
 
-_FRAGMENT = pa.schema([("k", pa.int64()), ("frag", pa.binary()), ("d", pa.int64()), ("t", pa.int64()), ("pos", pa.int64()), ("n", pa.int32())])
+_FRAGMENT = pa.schema([("k", pa.int64()), ("frag", pa.binary()), ("d", pa.int64()), ("t", pa.int64()), ("pos", pa.binary()), ("n", pa.int32())])
 
 
 def _text_key(data: np.ndarray, at: np.ndarray, twin: pa.Array) -> np.ndarray:
@@ -246,6 +246,17 @@ def _cut_out(data, at, ids, asked, twin):
     return k, own, ids[r], key[r], lo - at[r], count, raw, bounds
 
 
+def _places(pos: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Places as little-endian 32-bit integers, those from bounds[k] to bounds[k + 1] in one value."""
+    return pa.Array.from_buffers(pa.binary(), bounds.size - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32).tobytes()), pa.py_buffer(pos.astype("<i4").tobytes())])
+
+
+def _read_places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all rows, and how many each has."""
+    raw, at = text_bytes(column)
+    return np.frombuffer(raw.tobytes(), "<i4").astype(np.int64), np.diff(at) // 4
+
+
 def _deal(found):
     k, own, d, t, pos, n = (np.concatenate([f[i] for f in found]) for i in range(6))
     size = np.concatenate([np.diff(f[7]) for f in found])
@@ -268,13 +279,19 @@ def _deal(found):
         total = np.add.reduceat(n[w], first)
         w = w[first]
         spread = mix(pos[w].astype(np.uint64) ^ (d[w].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.nulls(w.size, pa.binary()), pa.array(d[w]), pa.array(t[w]), pa.array(pos[w]), pa.array(total.astype(np.int32))], schema=_FRAGMENT)
+        yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.nulls(w.size, pa.binary()), pa.array(d[w]), pa.array(t[w]), _places(pos[w], np.arange(w.size + 1)), pa.array(total.astype(np.int32))], schema=_FRAGMENT)
+    # a fragment that one text has in several places (as where words repeat) is dealt once, with its places
     dealt = np.flatnonzero(~known)
-    for lo in range(0, dealt.size, 20_000):
-        w = dealt[lo : lo + 20_000]
+    dealt = dealt[np.lexsort((pos[dealt], own[dealt], t[dealt], d[dealt]))]
+    new = np.ones(dealt.size, bool)
+    new[1:] = (d[dealt][1:] != d[dealt][:-1]) | (t[dealt][1:] != t[dealt][:-1]) | (own[dealt][1:] != own[dealt][:-1])
+    heads = np.append(np.flatnonzero(new), dealt.size)
+    for lo in range(0, heads.size - 1, 20_000):
+        some = heads[lo : lo + 20_001]
+        w = dealt[some[:-1]]
         data, at = _gather(raw, bounds[w], bounds[w + 1])
         frag = pa.Array.from_buffers(pa.binary(), w.size, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(k[w].view(np.int64)), frag, pa.array(d[w]), pa.array(t[w]), pa.array(pos[w]), pa.array(n[w].astype(np.int32))], schema=_FRAGMENT)
+        yield pa.RecordBatch.from_arrays([pa.array(k[w].view(np.int64)), frag, pa.array(d[w]), pa.array(t[w]), _places(pos[dealt[some[0] : some[-1]]], some - some[0]), pa.array(n[w].astype(np.int32))], schema=_FRAGMENT)
 
 
 def suffix_ranks(data: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -402,8 +419,8 @@ def merge(shards: list[Shard]) -> None:
 _SPAN = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _spans(d, t, pos, n, removed):
-    """A row for each run of removed windows of a fragment."""
+def _spans(d, t, places, n, removed):
+    """A row for each run of removed windows of a fragment, at each of the fragment's places."""
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
     frag = np.repeat(np.arange(n.size), n)
     window = np.arange(removed.size) - first[frag]
@@ -411,8 +428,13 @@ def _spans(d, t, pos, n, removed):
     starts = np.flatnonzero(removed & ~before)
     after = np.append(removed[1:], False) & np.append(window[1:] > 0, False)
     ends = np.flatnonzero(removed & ~after)
+    pos, many = places
     f = frag[starts]
-    return pa.RecordBatch.from_arrays([pa.array(d[f]), pa.array(t[f]), pa.array(pos[f] + window[starts]), pa.array(pos[f] + window[ends] + WIDTH)], schema=_SPAN)
+    each = many[f]
+    run = np.repeat(np.arange(f.size), each)
+    begin = np.concatenate([[0], np.cumsum(many)[:-1]])[f]
+    at = pos[np.repeat(begin - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())] if f.size else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(d[f][run]), pa.array(t[f][run]), pa.array(at + window[starts][run]), pa.array(at + window[ends][run] + WIDTH)], schema=_SPAN)
 
 
 def _search(batches):
@@ -421,16 +443,16 @@ def _search(batches):
     size = 0
 
     def arrays(rows: pa.RecordBatch):
-        return (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d", "t", "pos", "n"))
+        return (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d", "t", "n"))
 
     def work(rows: pa.RecordBatch):
         if not rows.num_rows:
             return
         raw, bounds = text_bytes(rows.column("frag"))
-        d, t, pos, n = arrays(rows)
+        d, t, n = arrays(rows)
         key = rows.column("k").to_numpy()
         if raw.size <= 2 * SHARD_BYTES or key[0] != key[-1]:
-            yield _spans(d, t, pos, n, Shard(raw, bounds, d, n).removed())
+            yield _spans(d, t, _read_places(rows.column("pos")), n, Shard(raw, bounds, d, n).removed())
             return
         cuts = [0]
         while cuts[-1] < n.size:
@@ -439,7 +461,7 @@ def _search(batches):
         shards = [Shard(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], d[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         merge(shards)
         for s, a, b in zip(shards, cuts, cuts[1:], strict=False):
-            yield _spans(d[a:b], t[a:b], pos[a:b], n[a:b], s.removed())
+            yield _spans(d[a:b], t[a:b], _read_places(rows.column("pos").slice(a, b - a)), n[a:b], s.removed())
 
     def one(parts_: list[pa.RecordBatch]) -> pa.RecordBatch:
         return pa.Table.from_batches(parts_).combine_chunks().to_batches()[0] if len(parts_) > 1 else parts_[0]
@@ -448,7 +470,8 @@ def _search(batches):
         dealt = batch.column("frag").is_valid()
         sure = batch.filter(pa.compute.invert(dealt))
         if sure.num_rows:
-            d, t, pos, n = arrays(sure)
+            d, t, n = arrays(sure)
+            pos, _ = _read_places(sure.column("pos"))  # one place each
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(pos), pa.array(pos + n + WIDTH - 1)], schema=_SPAN)
         batch = batch.filter(dealt)
         if batch.num_rows:
@@ -524,7 +547,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     routed = dealt.join(alive, "id").select("id", "z", "n").mapInArrow(_route, "k long, x long, d long").repartition(n, "k")
     shared = routed.mapInArrow(_shared, "d long, h long")
     lists = shared.groupBy(F.col("d").alias("id")).agg(F.collect_list("h").alias("hs")).join(alive, "id")
-    fragments = dealt.join(lists, "id").select("id", "z", "n", "hs", "twin").mapInArrow(_fragments, "k long, frag binary, d long, t long, pos long, n int")
+    fragments = dealt.join(lists, "id").select("id", "z", "n", "hs", "twin").mapInArrow(_fragments, "k long, frag binary, d long, t long, pos binary, n int")
     found = fragments.repartition(n, "k").sortWithinPartitions("k").mapInArrow(_search, "id long, t long, start long, end long")
     spans = found.groupBy("id").agg(F.collect_list(F.struct("t", "start", "end")).alias("spans"))
     touched = dealt.join(spans.join(alive, "id"), "id").select("id", "z", "n", "spans", "twin").mapInArrow(_clean, "id long, digest binary, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary")

@@ -5,10 +5,10 @@ The steps keep volumes in proportion to the input:
 
 1. Exact copies: digests are grouped (partial aggregation); all but the smallest id of a group go as a whole, and only
    the first goes on.
-2. Routing. Of the 27 grams of 24 bytes of every 50-byte window, the one with the least hash (the rightmost if
+2. Routing. Of the 31 grams of 20 bytes of every 50-byte window, the one with the least hash (the rightmost if
    several) is its anchor; equal windows have equal anchors. One (anchor, document) row for each of a document's
-   distinct anchors, some 1 in 14 bytes, is dealt by anchor; anchors of a single document are dropped there.
-3. Fragments. For each anchor that documents share, the bytes of the windows that it anchors (50 to 76) are dealt by
+   distinct anchors, some 1 in 16 bytes, is dealt by anchor; anchors of a single document are dropped there.
+3. Fragments. For each anchor that documents share, the bytes of the windows that it anchors (50 to 80) are dealt by
    anchor to shards.
 4. A shard's fragments are laid end to end. Its suffix array is refined as by Larsson and Sadakane: ranks by eight
    bytes, then doubled depths, only groups that are still tied being sorted again. Kasai's pass, side by side for all
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import STEP_BYTES, cut, eights, mix, parts, release, small_batches, span_hash, steps, table, text_bytes
 
-WIDTH, GRAM = 50, 24
+WIDTH, GRAM = 50, 20
 SPREAD = WIDTH - GRAM + 1
 GROUP_BYTES, DEALT_BYTES = 8 * STEP_BYTES, 32 * STEP_BYTES
 #: An anchor that so many documents of one group have is hot, as is one with so many rows in all.
@@ -59,7 +59,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return none, none, none, np.zeros(0, np.uint64)
     x = eights(data)
     g = np.zeros(data.size - GRAM + 1, np.uint64)
-    for k in range(0, GRAM, 8):
+    for k in sorted({*range(0, GRAM - 7, 8), GRAM - 8}):
         g = mix(g * np.uint64(0x9E3779B97F4A7C15) + x[k : k + g.size])
     place = np.arange(g.size, dtype=np.uint64) & _PLACE
     v = (g & ~_PLACE) | (_PLACE - place)

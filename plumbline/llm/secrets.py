@@ -3,7 +3,7 @@
 One Arrow pass over the texts finds the base spans (assignments, access keys, long hex) and further shapes (key blocks,
 signed web tokens, prefixed service keys). Candidate values are hashed, and the corpus says for each hash in how many
 distinct repositories and by how many distinct owners it is held: a value that many owners hold is a copied example,
-one that few hold is live-looking. Only hashes, owners and repositories are shuffled, never texts; counts of distinct
+one that few hold is live-looking. The value of a key block is the key in it, not its first line. Only hashes, owners and repositories are shuffled, never texts; counts of distinct
 owners come from two nested groupings with partial aggregation, so that a hot value or owner meets in no task.
 
 Base spans always stay. The further shapes add a span only if the value is held by few owners and has the spread of
@@ -30,12 +30,17 @@ _ANY_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c
 ASSIGN = re.compile("(" + "|".join(map(_ANY_CASE, ("password", "passwd", "secret", "token"))) + "|" + _ANY_CASE("api") + "_?" + _ANY_CASE("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")  # the runs of [0-9a-f]+ with 24 characters or more
-#: Further shapes: kind and pattern; the value is the whole match.
+#: Further shapes: kind and pattern; the value is the whole match, and for key blocks (see ``blocks``) the key's body.
 FURTHER = (
-    ("block", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")),
+    ("block", re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
     ("service", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})\b")),
 )
+#: What may stand between the lines of a key: white space, escaped line ends, quotes and comment marks.
+_GAP = r"""(?:\\+[nrt]|[\s"'>#*|,;])"""
+#: The body of a key without an END line: header fields, long base64 lines, and a short last one.
+_BODY = re.compile(rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info|Version|Comment|Charset):[^\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:(?:\\+[nr]|[\r\n]){_GAP}*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[\x20\t]*+(?:\\+[nr]|[\r\n\"',;]|\Z)))?")
+_LONG_RUN, _NOT_KEY = re.compile("[A-Za-z0-9+/=]{16,}"), re.compile(r"\\+[nrt]|[^A-Za-z0-9+/=]")
 #: A value held by this many owners or more is a copied example.
 COPIED_OWNERS = 3
 #: Bits a character that a value must have to look random.
@@ -53,8 +58,36 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def further_spans(text: str) -> list[tuple[str, int, int, int]]:
-    return [(kind, m.start(), m.end(), m.start()) for kind, p in FURTHER if kind != "block" or "PRIVATE KEY" in text for m in p.finditer(text)]
+def key_of(body: str) -> str:
+    """The base64 characters of a key's body, however its lines are broken, escaped or indented."""
+    return _NOT_KEY.sub("", body)
+
+
+def blocks(text: str) -> list[tuple[str, int, int, int, str]]:
+    """Key blocks: from BEGIN to the end of the END line, or where that is missing, of the key's body.
+
+    What stands up to an END line is a key if most of it is in long base64 runs; else (prose that names both lines) the
+    block ends with the base64 that follows BEGIN. The value is the key, and the BEGIN line where no key follows.
+    """
+    marks, found = list(FURTHER[0][1].finditer(text)), []
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        if m[1] == "BEGIN":
+            start, end = m.end(), m.end()
+            closed = text[start : after.start()] if after and after[1] == "END" else ""
+            key = key_of(closed)
+            if key and 2 * sum(map(len, _LONG_RUN.findall(closed))) >= len(key):
+                end = after.end()
+            else:
+                body = _BODY.match(text, start)
+                key, end = (key_of(body[0]), body.end()) if body else ("", end)
+            found.append(("block", m.start(), end, start if key else m.start(), key or m[0]))
+    return found
+
+
+def further_spans(text: str) -> list[tuple[str, int, int, int, str]]:
+    """(kind, start, end, start of the value, value) of the further shapes."""
+    found = blocks(text) if "PRIVATE KEY" in text else []
+    return found + [(kind, m.start(), m.end(), m.start(), m[0]) for kind, p in FURTHER[1:] for m in p.finditer(text)]
 
 
 def bits(value: str) -> float:
@@ -70,9 +103,8 @@ def _scan(batches, id_col: str, owner_col: str, repo_col: str, text_col: str):
             rows = []
             for text in part.column(text_col).to_pylist():
                 text, spans = text or "", []
-                for base, found in ((True, base_spans(text)), (False, further_spans(text))):
-                    for k, s, e, v in found:
-                        value = text[v:e]
+                for base, found in ((True, [(*s, text[s[3] : s[2]]) for s in base_spans(text)]), (False, further_spans(text))):
+                    for k, s, e, v, value in found:
                         spans.append({"kind": k, "start": s, "end": e, "value_start": v, "base": base, "digest": hashlib.sha256(value.encode()).digest()[:16], "random": bits(value) >= LEAST_BITS or k == "block"})
                 rows.append(spans)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (id_col, owner_col, repo_col)), pa.array(rows, kind)], names=["id", "owner", "repo", "spans"])

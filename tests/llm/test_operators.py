@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +199,36 @@ def test_secret_letters_are_ascii_in_either_case():
     assert secrets.base_spans("api_KEY=abcde") == [] and secrets.base_spans("APIKEY  ==x") == []
 
 
+def private_key(r, n=5, end="\n"):
+    lines = ["".join(r.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(n)] + ["Zm9v" + "".join(r.choices(string.ascii_letters, k=5)) + "=="]
+    return f"-----BEGIN RSA PRIVATE KEY-----{end}{end.join(lines)}{end}-----END RSA PRIVATE KEY-----"
+
+
+def test_private_keys_are_owned_by_their_bodies(spark):
+    r = random.Random(8)
+    keys, copied = [private_key(r) for _ in range(5)], private_key(r)
+    rows = [(k, f"é key:\n{key}\nend") for k, key in enumerate(keys)]
+    rows += [(10, copied), (11, copied.replace("\n", "\\n")), (12, copied.replace("\n", "\r\n    ")), (13, copied.rpartition("\n")[0])]  # one key in four layouts
+    rows += [(20 + k, "a line -----BEGIN EC PRIVATE KEY----- that no key follows") for k in range(3)]
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in rows], "doc_id long, text string, source string")
+    got = {x.doc_id: [s for s in x.spans if s.kind == "block"] for x in secrets.find_secrets(df).collect()}
+    for k, key in enumerate(keys):
+        assert [(s.start, s.end, s.n_owners, s.live) for s in got[k]] == [(7, 7 + len(key), 1, True)]
+    assert not any(got[i] for i in (10, 11, 12, 13, 20, 21, 22))
+
+
+def test_ends_of_key_blocks():
+    key = private_key(random.Random(9))
+    body = key.rpartition("\n")[0]
+    for before, block, after in (("x ", key, " y"), ("", key.replace("\n", "\\n"), '"'), ("", body, "\n\nSome words go on."), ("", body, "\n" + key), ("", body.rpartition("\n")[0], "\nThe words go on.")):
+        (kind, start, end, value, _), *more = secrets.further_spans(before + block + after)
+        assert (kind, start, end, value) == ("block", len(before), len(before + block), len(before) + 31)
+        assert [(s[1], s[2]) for s in more] == ([(len(block) + 1, len(block) + 1 + len(key))] if key in after else [])
+    words = "-----BEGIN PRIVATE KEY----- opens, and many plain words of prose later -----END PRIVATE KEY----- closes it"
+    assert secrets.further_spans(words) == [("block", 0, 27, 0, words[:27])]
+    assert secrets.further_spans("-----BEGIN PRIVATE KEY-----" * 20_000)[-1][4] == "-----BEGIN PRIVATE KEY-----"
+
+
 # ---- substrings --------------------------------------------------------------------------------------------------------
 def repeats(rows):
     least, out = {}, []

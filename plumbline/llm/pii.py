@@ -52,6 +52,8 @@ CUES = {
     "ssn": r"(?i)\b(ssn|social security|national id|taxpayer)\b",
     "other": r"(?i)\b(order|invoice|ref|reference|version|isbn|total|page|pages|serial|model|sku|ticket|date|lot|part|case|build)\b",
 }
+#: Ends of host names, in any case after a dot, and those that are also words or codes, in small letters alone.
+_ENDINGS, _CODES = "(?i:com|org|net|edu|gov|mil|info|biz)", "(?:io|ai|co|us|uk|eu|de|fr|es|it|nl|be|ch|at|se|no|dk|fi|pl|pt|ru|cn|jp|kr|in|au|nz|ca|br|mx|ar|za)"
 TRAIN_ROWS = 2000
 ROUNDS, RATE, PRECISION = 12, 0.5, 0.98
 BLOCK = 256
@@ -117,6 +119,8 @@ def _features(value: Column, left: Column, right: Column) -> dict[str, Column]:
         "brackets": flag(value.rlike(r"[(\[{]")),
         "dots": flag(value.rlike(r"[0-9]\.[0-9]")),
         "spelled": flag(value.rlike(r"[(\[{ ]dot[)\]} ]")),
+        # what stands after a written dot: 3 a known ending, 2 a small letter, 1 a known ending after a space, else 0
+        "ending": F.when(value.rlike(rf"\.(?:{_ENDINGS}|{_CODES})(?![A-Za-z0-9])"), 3).when(value.rlike(r"\.[a-z]"), 2).when(value.rlike(rf"\. {_ENDINGS}(?![A-Za-z0-9])"), 1).otherwise(0),
         "luhn": flag(F.when(F.length(digits) > 0, F.call_function("luhn_check", digits)).otherwise(False)),
         "mixed": flag(value.rlike("[0-9] [0-9]") & value.rlike("[0-9]-[0-9]")),
         **{f"cue_{k}": flag(left.rlike(p)) for k, p in CUES.items()},
@@ -125,12 +129,12 @@ def _features(value: Column, left: Column, right: Column) -> dict[str, Column]:
     }
 
 
-FEATURES = ("length", "digits", "groups", "brackets", "dots", "spelled", "luhn", "mixed", *(f"cue_{k}" for k in CUES), "before", "after")
+FEATURES = ("length", "digits", "groups", "brackets", "dots", "spelled", "ending", "luhn", "mixed", *(f"cue_{k}" for k in CUES), "before", "after")
 
 
 def candidates(df: DataFrame, text: str) -> DataFrame:
     """Adds cand_<kind> for each generator: arrays of (start, end, value, features)."""
-    spelled = reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in ("(at)", "[at]", "{at}", " dot ")))
+    spelled = reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in ("(at)", "[at]", "{at}", " at ")))  # every match holds one
     gates = {k: F.col(text).rlike("[0-9]{3}") for k in GENERATORS} | {"email": spelled}
     for kind, pattern in GENERATORS.items():
         df = _located(df, text, f"cand_{kind}", pattern, gates[kind])
@@ -158,6 +162,8 @@ def made_up(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         ("phone", F.concat(tel, parts(3, 3, 4)), 1), ("phone", F.concat(tel, F.lit("("), n(30, 200, 989), F.lit(") "), n(31, 200, 999), F.lit("-"), n(32, 1000, 9999)), 1),
         ("phone", F.concat(plain, F.lit("("), n(30, 200, 989), F.lit(") "), n(31, 200, 999), F.lit("-"), n(32, 1000, 9999)), 1), ("phone", F.concat(other, parts(3, 3, 4)), 0), ("phone", F.concat(plain, parts(4, 4, 4)), 0), ("phone", F.concat(plain, parts(2, 3, 3), pick(33, "", "%", "/2")), 0),
         ("email", F.concat(mail, name, F.lit(" (at) "), host, F.lit(" (dot) com")), 1), ("email", F.concat(mail, name, F.lit("[at]"), host, pick(34, "[dot]org", ".net")), 1), ("email", F.concat(mail, name, F.lit(" at "), host, F.lit(" dot com")), 1), ("email", F.concat(pick(35, "look ", "we met "), pick(36, "them", "us", "it"), F.lit(" at "), pick(37, "noon", "home", "work"), F.lit("."), pick(38, " Then", "We", " and")), 0),
+        ("email", F.concat(mail, name, F.lit(" at "), host, pick(61, "(dot)com", "[dot]org", "{dot}net", " (dot) de", " [dot] fr")), 1), ("email", F.concat(mail, name, F.lit(" at "), host, pick(62, ".com", ".org", ".co.uk", ".de", ". com")), 1),
+        ("email", F.concat(pick(63, mail, plain), pick(64, "stayed", "arrives", "and", "is", "look", "anna"), F.lit(" at "), pick(65, "home", "work", "and", "school", "example", "large"), pick(66, ". But", ". The", ". He", ".In", ". It", ". and")), 0), ("email", F.concat(pick(63, mail, plain), pick(67, "crash", "exception", "look", "line"), F.lit(" at "), pick(68, "java", "config", "index", "main"), pick(69, ".lang", ".py", ".html", ".util.list")), 0),
         ("id", F.concat(ssn, n(40, 100, 899), F.lit("-"), n(41, 10, 99), F.lit("-"), n(42, 1000, 9999)), 1), ("id", F.concat(other, n(40, 100, 899), F.lit("-"), n(41, 10, 99), F.lit("-"), n(42, 1000, 9999)), 0), ("id", F.concat(plain, n(40, 100, 899), F.lit("-"), n(41, 10, 99), F.lit("-"), n(42, 1000, 9999)), 0),
         ("card", F.concat(other, n(50, 10**12, 10**15 - 1)), 0), ("card", F.concat(plain, n(50, 10**12, 10**15 - 1)), 0), ("card", F.concat(pay, pick(51, "378282246310005", "371449635398431", "30569309025904", "4222222222222", "3782 822463 10005")), 1),
     ]

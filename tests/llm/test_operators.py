@@ -183,6 +183,18 @@ def test_added_spans_and_redaction(spark, pii_model):
     assert got[4] == "SSN <id>." and got[5] == "write to <email>" and got[3] == rows[2][1]
 
 
+def test_each_spelling_of_an_address_alone(spark, pii_model):
+    ats = [f"{a}{w}{a}" for a in ("", " ") for w in ("(at)", "[at]", "{at}")] + [" at "]
+    dots = [f"{a}{w}{a}" for a in ("", " ") for w in ("(dot)", "[dot]", "{dot}")] + [" dot ", "."]
+    rows = list(enumerate(f"jdoe{a}example{d}com" for a in ats for d in dots))
+    prose = ["They met at noon. Then we left.", "I stayed at home. But she", "Mail arrives at work. Please write", "of them at and. In with", "It stopped at java.lang again", "We looked at him.Then"]
+    both = [f"{t} and jdoe[at]example[dot]com" for t in prose]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_personal(docs_of(spark, rows + list(enumerate(prose + both, 1000))), model=pii_model, drop=("text",)).collect()}
+    assert {t: got[i] for i, t in rows} == {t: [("email", 0, len(t))] for _, t in rows}
+    for k, t in enumerate(prose):  # what else is in the text does not count
+        assert got[1000 + k] == [] and got[1000 + len(prose) + k] == [("email", len(t) + 5, len(t) + 28)]
+
+
 # ---- secrets -----------------------------------------------------------------------------------------------------------
 def test_secret_spans(spark):
     key = "x" * 3 + "A1b2C3d4"

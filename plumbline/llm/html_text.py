@@ -4,9 +4,10 @@ The standard library's parser streams start, end and data events, from which the
 text between two block boundaries, with the number of tags met in it and the container that holds it. A line's ratio
 is its text outside links over its tags; lines inside elements that are page furniture by tag, role or name (menus,
 sidebars, adverts, forms, comments ...) have none. The ratios are smoothed by a Gaussian, and lines above a threshold
-set from their spread form clusters. The clusters choose the region: the innermost container that holds most of their
-text. Every line of that region that is not furniture is returned, short ones too, so that the ratios decide where
-the article is and never drop a paragraph of it.
+set from their spread form clusters. The clusters choose the region: the ``article`` or ``main`` around the innermost
+container that holds most of their text, and the whole page where there is none. Every line of the region is returned,
+short ones too, but furniture and link lists (containers of three links or more that hold 80 % of their text), so that
+the ratios decide where the article is and never drop a paragraph of it.
 
 Nulls: a null page has an empty text. Broken markup is read as the parser reads it; unclosed elements end with their
 parents. Repeated rows are extracted one by one.
@@ -25,7 +26,7 @@ from .common import extend, table
 
 #: Width of the smoothing in lines, and the threshold as a multiple of the ratios' standard deviation.
 SIGMA, RADIUS, THRESHOLD = 1.0, 2, 0.5
-#: The region is the innermost container with this share of the clustered text.
+#: The region is sought from the innermost container with this share of the clustered text upwards.
 REGION_SHARE = 0.8
 
 #: Elements that hold blocks, elements that end a line but hold none, and elements that are furniture.
@@ -211,13 +212,14 @@ def main_text(html: str | None) -> str:
                 weight[container] = weight.get(container, 0) + len(text)
                 container = page.parents[container]
     best = max((c for c, w in weight.items() if w >= REGION_SHARE * total and page.plain[c][0] not in ("ul", "ol", "blockquote", "p", "li")), default=0)
-    whole = next((c for c in _ups(page, best) if page.plain[c][0] in ("article", "main")), None)
-    best = best if whole is None else whole
+    # without such an element nothing tells a lede or a closing beside the longest container from the rest of the article
+    path = set(_ups(page, best))
+    best = next((c for c in _ups(page, best) if page.plain[c][0] in ("article", "main")), 0)
     out = []
     for text, _, _, container, furniture in lines:
         if not furniture:
             up = list(_ups(page, container))
-            if best in up and not any(_is_menu(page.plain[c]) for c in up[: up.index(best)]):
+            if best in up and not any(c not in path and _is_menu(page.plain[c]) for c in up[: up.index(best)]):
                 out.append(text)
     return "\n".join(out)
 

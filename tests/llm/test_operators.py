@@ -473,6 +473,14 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("n", [5, 200])
+def test_text_beside_the_longest_container_stays(n):
+    inner = " ".join(["word"] * n)
+    story = f"<div class=story><h1><a>T</a></h1><p>The lede of it.</p><div><div class=text><p>{inner}</p></div></div><p>The closing words.</p></div>"
+    menu = "<div><a>one</a> <a>two</a> <a>three</a></div>"
+    assert html_text.main_text(f"<body>{menu}<div>{story}</div></body>") == f"T\nThe lede of it.\n{inner}\nThe closing words."
+
+
 def test_pages(spark, small):
     got = html_text.op2_html_extraction(spark, small).collect()
     assert got and all(r.n_chars == len(r.text) for r in got)

@@ -9,6 +9,11 @@ container that holds most of their text, and the whole page where there is none.
 short ones too, but furniture and link lists (containers of three links or more that hold 80 % of their text), so that
 the ratios decide where the article is and never drop a paragraph of it.
 
+Furniture given by a form or a name is weighed: where most of a page lies in it, and no article or main stands outside,
+it is a wrapper ("no-comments", the one form of a page) and not furniture. Comments may be longer than what they comment
+on, so that a wrapper by their names must hold nearly all of the page. A ``main`` inside furniture by form or name, and
+an ``article`` inside a form, are content. Menus, asides, footers, roles, labels and hidden elements are final.
+
 Nulls: a null page has an empty text. Broken markup is read as the parser reads it; unclosed elements end with their
 parents. Repeated rows are extracted one by one.
 """
@@ -32,8 +37,10 @@ REGION_SHARE = 0.8
 #: Elements that hold blocks, elements that end a line but hold none, and elements that are furniture.
 CONTAINERS = {"body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "figure", "fieldset", "details", "dialog", "menu", "center", "address", "hgroup", "search"}
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "summary", "legend", "hr", "option", "html"}
-FURNITURE = {"nav", "aside", "footer", "form", "dialog", "menu", "search", "fieldset"}
+FURNITURE = {"nav", "aside", "footer", "dialog", "menu", "search", "fieldset"}
 UNREAD = {"head", "title", "script", "style", "noscript", "template", "iframe", "object", "svg", "math", "select", "button", "textarea", "canvas", "audio", "video"}
+#: Elements that may stand in a head; any other start tag ends it.
+IN_HEAD = {"html", "head", "title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation topnav breadcrumb breadcrumbs masthead footer header pagination pager share sharing social related recommended recommendations trending login signup search toolbar copyright disclaimer".split())
@@ -42,6 +49,10 @@ ARTICLE_NAMES = {"article", "post", "entry", "story"}
 LAYOUT_NAMES = {"sidebar", "aside", "menu", "nav", "navbar", "header", "footer", "widget", "widgets", "social", "search", "overlay", "notices"}
 LABELS = {"navigation", "menu", "breadcrumb", "breadcrumbs", "advertisement", "sidebar", "related"}
 COMMENT_NAMES = set("comment comments commentlist respond replies reply disqus discussion".split())
+#: Shares of a page's text from which furniture by form, by name and by the names of comments is a wrapper.
+WRAPPER = {"form": 0.5, "name": 0.5, "comments": 0.9}
+#: Words by which an article or page tells of its comments ("comments-open").
+STATES = {"no", "open", "closed", "enabled", "disabled", "without"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -55,6 +66,8 @@ class Lines(HTMLParser):
         self.plain: list[list] = [["#page", 0, 0, 0]]  # container number -> tag, text, text in links, links
         self.stack: list[tuple[str, int, int]] = [("#page", 0, 0)]  # tag, container, furniture: 0 no, 1 by name, 2 for good
         self.named: dict[int, int] = {}  # container -> the outermost one whose name makes it furniture
+        self.weighed: dict[int, str] = {}  # container -> form, name or comments, which make it furniture if it is no wrapper
+        self.final: set[int] = set()  # containers that are furniture for good
         self.out: list[tuple[str, int, int, int, int]] = []  # text, in links, tags, container, furniture
         self.text: list[str] = []
         self.unread: list[str] = []
@@ -77,9 +90,9 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.unread:
-            if tag in UNREAD and tag not in VOID:
+            if tag in UNREAD and tag not in VOID and (self.unread != ["head"] or tag in IN_HEAD):
                 self.unread.append(tag)
-            elif tag == "body" and self.unread[0] == "head":
+            elif tag == "body" and self.unread[0] == "head" or self.unread == ["head"] and tag not in IN_HEAD:
                 self.unread = []
             else:
                 return
@@ -89,19 +102,23 @@ class Lines(HTMLParser):
             return
         if tag in CONTAINERS:
             self.line()
-            kind = self.kind(tag, attrs)
+            kind, why = self.kind(tag, attrs)
             above = self.stack[-1][1]
             self.parents.append(above)
             self.plain.append([tag, 0, 0, 0])
             if kind == 1:
                 self.named[len(self.parents) - 1] = self.named.get(above, len(self.parents) - 1)
+            self.note(kind, why)
             self.stack.append((tag, len(self.parents) - 1, kind))
         elif tag in LINES:
             self.line()
-            if attrs and tag != "html" and self.kind(tag, attrs) > self.stack[-1][2]:  # a paragraph that is itself furniture
+            kind, why = self.kind(tag, attrs) if attrs and tag != "html" else (0, None)
+            if kind > self.stack[-1][2] or why:  # a paragraph that is itself furniture
                 self.parents.append(self.stack[-1][1])
                 self.plain.append([tag, 0, 0, 0])
-                self.stack.append((tag, len(self.parents) - 1, 2))
+                kind = self.stack[-1][2] if why else 2
+                self.note(kind, why)
+                self.stack.append((tag, len(self.parents) - 1, kind))
         elif tag == "br":
             self.text.append(" ")
         elif tag == "a":
@@ -109,34 +126,45 @@ class Lines(HTMLParser):
             self.links += 1
         self.tags += 1
 
-    def kind(self, tag, attrs) -> int:
-        """Whether an element that starts here is furniture."""
+    def note(self, kind: int, why: str | None) -> None:
+        """Keeps what was found of the newest container."""
+        if kind > 1:
+            self.final.add(len(self.parents) - 1)
+        elif why:
+            self.weighed[len(self.parents) - 1] = why
+
+    def kind(self, tag, attrs) -> tuple[int, str | None]:
+        """Whether an element that starts here is furniture, and by what it is furniture to be weighed."""
         above = self.stack[-1][2]
         if above > 1:
-            return 2
-        if tag in ("article", "main") and above < 2:
+            return 2, None
+        why = "form" if tag == "form" else None
+        if tag in ("article", "main"):
             above = 0
         inside = any(s[0] in ("article", "main") for s in self.stack)
         if tag in FURNITURE or tag == "header" and not inside:
-            return 2
+            return 2, None
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
                 words = set(_SPLIT.split(value))
-                if words & COMMENT_NAMES:
-                    return 2
                 named = words & NAMES
                 if inside or words & ARTICLE_NAMES:  # an article's own header
                     named -= {"header"}
-                if named and tag not in ("body", "article", "main"):
+                if words & COMMENT_NAMES and not (words & STATES and tag in ("body", "article", "main")):
+                    why = "comments"
+                elif named and tag not in ("body", "article", "main"):
                     if named - LAYOUT_NAMES:
-                        return 2
-                    above = max(above, 1)
+                        why = why or "name"
+                    else:
+                        above = max(above, 1)
             elif name == "aria-label" and set(_SPLIT.split(value)) & (COMMENT_NAMES | LABELS):
-                return 2
-            elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-                return 2
-        return above
+                return 2, None
+            elif name == "role" and value in ROLES - {"form"} or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+                return 2, None
+            elif name == "role" and value == "form":
+                why = why or "form"
+        return above, why
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in UNREAD:
@@ -164,6 +192,8 @@ class Lines(HTMLParser):
         self.tags += 1
 
     def handle_data(self, data):
+        if self.unread == ["head"] and data.strip():
+            self.unread = []
         if not self.unread:
             self.text.append(data)
             if self.unlisted:
@@ -183,6 +213,37 @@ def regions(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
     return (smooth >= min(THRESHOLD * smooth.std(), smooth.max())) & (ratio > 0)
 
 
+def weighed(page: Lines) -> list[tuple[str, int, int, int, int]]:
+    """The page's lines, with those in furniture by form or name for good that is not a wrapper of the page."""
+    if not page.weighed:
+        return page.out
+
+    def inside(wrappers: set[int]) -> list[bool]:
+        """For each container, whether it is in furniture that is no wrapper."""
+        by: list[tuple[bool, bool]] = []  # in such a form, in such a name
+        for c, box in enumerate(page.plain):  # parents come first
+            form, name = by[page.parents[c]] if c else (False, False)
+            if box[0] in ("article", "main"):
+                form, name = False, name and box[0] == "article"
+            if c in page.weighed and c not in wrappers:
+                form, name = form or page.weighed[c] == "form", name or page.weighed[c] != "form"
+            by.append((form, name))
+        return [any(x) for x in by]
+
+    shut = inside(set())
+    if not any(box[0] in ("article", "main") and not shut[c] and c not in page.final for c, box in enumerate(page.plain)):
+        held: dict[int, int] = {}
+        total = 0
+        for text, _, _, container, furniture in page.out:
+            if furniture < 2:
+                total += len(text)
+                for c in _ups(page, container):
+                    if c in page.weighed:
+                        held[c] = held.get(c, 0) + len(text)
+        shut = inside({c for c, n in held.items() if n > WRAPPER[page.weighed[c]] * total})
+    return [(t, linked, tags, c, 2 if shut[c] else f) for t, linked, tags, c, f in page.out]
+
+
 def main_text(html: str | None) -> str:
     """The text of the page's article, a line for each block."""
     if not html:
@@ -191,6 +252,7 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.line()
+    page.out = weighed(page)
     # a layout name that would make furniture of most of a page without an article says something else ("has-sidebar")
     weights: dict[int, int] = {}
     for text, _, _, container, furniture in page.out:

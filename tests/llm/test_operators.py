@@ -481,6 +481,28 @@ def test_text_beside_the_longest_container_stays(n):
     assert html_text.main_text(f"<body>{menu}<div>{story}</div></body>") == f"T\nThe lede of it.\n{inner}\nThe closing words."
 
 
+WORDS = "The words of the article, which are many and go on."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><form id=aspnetForm><nav>n</nav><h1>T</h1><div><p>{WORDS}</p></div><div class=comments><p>c</p></div></form></body>", f"T\n{WORDS}"),
+        (f"<form><article><p>{WORDS}</p></article><p>f</p></form>", WORDS), (f"<div class=promo><main><p>{WORDS}</p></main><p>f</p></div>", WORDS),
+        (f"<div><p>x</p></div><form><article><p>Few.</p></article>{'<p>other words</p>' * 9}</form>", "Few."),
+        *((f"<body><div class='{c}'><h1>T</h1><p>{WORDS}</p></div></body>", f"T\n{WORDS}") for c in ("no-comments", "subscribe-page", "cookie wrap", "comments-open")),
+        (f"<body class=no-comments><article><p>{WORDS}</p></article></body>", WORDS),
+        (f"<article class='post comments-open'><p>{WORDS}</p></article><div><p>x y</p></div>", WORDS),
+        (f"<div class=text><p>{WORDS}</p></div><div id=comments>{'<p>A comment on the words.</p>' * 5}</div>", WORDS),
+        (f"<article><p>{WORDS}</p></article><div class=related>{'<article>A teaser of another one.</article>' * 5}</div>", WORDS),
+        (f"<head><title>t</title><meta charset=utf-8><p>{WORDS}</p>", WORDS), (f"<html><head><title>t</title><noscript><img></noscript><div>{WORDS}</div></html>", WORDS),
+        (f"<head><title>t</title>{WORDS}", WORDS), (f"<head><button>b</button><p>{WORDS}</p>", WORDS),
+    ],
+)
+def test_wrappers_and_open_heads(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_pages(spark, small):
     got = html_text.op2_html_extraction(spark, small).collect()
     assert got and all(r.n_chars == len(r.text) for r in got)

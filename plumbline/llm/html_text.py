@@ -6,8 +6,9 @@ is its text outside links over its tags; lines inside elements that are page fur
 sidebars, adverts, forms, comments ...) have none. The ratios are smoothed by a Gaussian, and lines above a threshold
 set from their spread form clusters. The clusters choose the region: the ``article`` or ``main`` around the innermost
 container that holds most of their text, and the whole page where there is none. Every line of the region is returned,
-short ones too, but furniture and link lists (containers of three links or more that hold 80 % of their text), so that
-the ratios decide where the article is and never drop a paragraph of it.
+short ones too, but furniture, so that the ratios decide where the article is and never drop a paragraph of it. Where
+the region is the whole page, link lists (containers of three links or more that hold 80 % of their text) go as menus;
+in an ``article`` or ``main`` they may be its references, and only tag, role or name tell a menu.
 
 Furniture given by a form or a name is weighed: where most of a page lies in it, and no article or main stands outside,
 it is a wrapper ("no-comments", the one form of a page) and not furniture. Comments may be longer than what they comment
@@ -281,7 +282,7 @@ def main_text(html: str | None) -> str:
     for text, _, _, container, furniture in lines:
         if not furniture:
             up = list(_ups(page, container))
-            if best in up and not any(c not in path and _is_menu(page.plain[c]) for c in up[: up.index(best)]):
+            if best in up and (best or not any(c not in path and _is_menu(page.plain[c]) for c in up)):
                 out.append(text)
     return "\n".join(out)
 

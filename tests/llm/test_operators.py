@@ -503,6 +503,13 @@ def test_wrappers_and_open_heads(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_lists_of_references_stay_in_an_article():
+    links = "<ol><li><a>one</a><li><a>two</a><li><a>three</a></ol>"
+    page = f"<div>{links}</div><article><p>{WORDS}</p>{links}<ul class=menu><li>m</ul></article>"
+    assert html_text.main_text(page) == f"{WORDS}\none\ntwo\nthree"
+    assert html_text.main_text(page.replace("article>", "div>")) == WORDS
+
+
 def test_pages(spark, small):
     got = html_text.op2_html_extraction(spark, small).collect()
     assert got and all(r.n_chars == len(r.text) for r in got)

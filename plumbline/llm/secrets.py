@@ -2,13 +2,14 @@
 
 One Arrow pass over the texts finds the base spans (assignments, access keys, long hex) and further shapes (key blocks,
 signed web tokens, prefixed service keys). Candidate values are hashed, and the corpus says for each hash in how many
-distinct repositories and by how many distinct owners it is held: a value that many owners hold is a copied example,
-one that few hold is live-looking. The value of a key block is the key in it, not its first line. Only hashes, owners and repositories are shuffled, never texts; counts of distinct
-owners come from two nested groupings with partial aggregation, so that a hot value or owner meets in no task.
-
-Base spans always stay. The further shapes add a span only if the value is held by few owners and has the spread of
-characters of a random key. Nulls: a null text is empty; a null owner or repository counts as one of its own.
-Repeated rows are scanned one by one and owned once.
+distinct repositories and by how many distinct owners it is held: a value in many repositories or of many owners is a
+copied example, one in few and of few is live-looking. The value of a key block is the key in it, not its first line.
+Only hashes, owners and repositories are shuffled, never texts; counts of distinct owners come from two nested groupings
+with partial aggregation, so that a hot value or owner meets in no task.
+
+Base spans always stay. The further shapes add a span only if the value is held in few repositories and by few owners,
+and has the spread of characters of a random key. Nulls: a null text is empty; a null owner or repository counts as one
+of its own. Repeated rows are scanned one by one and owned once.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ _BODY = re.compile(rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info|Version|Comment|Charset):
 _LONG_RUN, _NOT_KEY = re.compile("[A-Za-z0-9+/=]{16,}"), re.compile(r"\\+[nrt]|[^A-Za-z0-9+/=]")
 #: A value held by this many owners or more is a copied example.
 COPIED_OWNERS = 3
+#: So is one that this many repositories hold, though their owners are few.
+COPIED_REPOS = 25
 #: Bits a character that a value must have to look random.
 LEAST_BITS = 3.0
 
@@ -110,7 +113,7 @@ def _scan(batches, id_col: str, owner_col: str, repo_col: str, text_col: str):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (id_col, owner_col, repo_col)), pa.array(rows, kind)], names=["id", "owner", "repo", "spans"])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None, text_col: str = "text", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None, text_col: str = "text", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """One row per document: id, spans (kind, start, end, value_start, base, digest, n_owners, n_repos, live).
 
     ``repo_col`` names the repository that a document belongs to; by default each document is one of its own.
@@ -128,7 +131,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "sour
     s = "s."
     weighed = (
         held.withColumn("digest", F.col("s.digest")).join(owners, "digest").join(repos, "digest")
-        .withColumn("live", (F.col("n_owners") < copied_owners) & F.col("s.random"))
+        .withColumn("live", (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos) & F.col("s.random"))
         .filter(F.col("s.base") | F.col("live"))
         .select("row", F.struct(*(F.col(s + c).alias(c) for c in ("kind", "start", "end", "value_start", "base", "digest")), "n_owners", "n_repos", "live").alias("s"))
         .groupBy("row").agg(F.collect_list("s").alias("spans"))

@@ -17,13 +17,15 @@ substitutions of characters) of the whole item, capitals (ASCII and Latin-1) and
 The items are few: they travel to the tasks in blocks of at most ``ITEM_CHARS`` characters, each block a pass of its
 own, so the broadcast stays bounded at any size of the benchmark. Documents are never shuffled.
 
-Nulls: a null text leaks nothing; items that are null or shorter than ``LEAST`` characters are not searched; items of
-one text are all returned. Repeated rows are searched one by one.
+Nulls: a null text leaks nothing; items of null or (if short) blank text are not searched; items of null id leak with
+a null ``item_id``. Items shorter than ``LEAST`` characters are searched exactly, between word bounds. Items of one text
+are all returned. Repeated rows are searched one by one.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -107,12 +109,15 @@ class Items:
     """What is searched: pieces for the pass over the text, buckets of sampled walks, and masks for the alignment."""
 
     def __init__(self, items: list[tuple[int, str]], ratio: float = RATIO):
-        ids: dict[str, list[int]] = defaultdict(list)
+        ids: dict[str, list[int | None]] = defaultdict(list)
         for i, text in items:
-            if text is not None and len(text) >= LEAST and i is not None:
-                ids[plain(text)].append(i)
-        self.texts = sorted(ids)
-        self.ids = [sorted(ids[t]) for t in self.texts]
+            if text and (len(text) >= LEAST or plain(text).strip()):
+                ids[plain(text) if len(text) >= LEAST else plain(text).strip()].append(i)
+        self.texts = sorted(t for t in ids if len(t) >= LEAST)
+        short = sorted(t for t in ids if len(t) < LEAST)
+        self.short = {t: n for n, t in enumerate(short, len(self.texts))}  # searched exactly; numbered after the others
+        self.lengths = sorted({len(t) for t in short})
+        self.ids = [sorted(ids[t], key=lambda i: (i is None, i or 0)) for t in (*self.texts, *short)]
         self.edits = [int(ratio * len(t) + 1e-9) for t in self.texts]
         self.support = [SUPPORT if len(t) >= 60 else 2 for t in self.texts]
         # seeds: for each width, the first bytes of every piece, and which items have them where
@@ -240,10 +245,26 @@ class Items:
         return best, end
 
 
+_BOUND = re.compile(r"(?<!\w)|(?!\w)")
+
+
+def short_places(known: Items, text: str) -> dict[int, tuple[int, int, int]]:
+    """For each short item that stands in the plain text between word bounds: no edits, and its first place."""
+    found: dict[int, tuple[int, int, int]] = {}
+    bounds = {m.start() for m in _BOUND.finditer(text)}
+    for start in sorted(bounds):
+        for m in known.lengths:
+            if start + m in bounds:
+                n = known.short.get(text[start : start + m])
+                if n is not None:
+                    found.setdefault(n, (0, start, start + m))
+    return found
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", ratio: float = RATIO, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``leaks``: (item_id, edits, start, end) of each leaked item's best place; end exclusive, in characters."""
     spark = docs.sparkSession
-    wanted = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter(F.length("t") >= LEAST)
+    wanted = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter(F.length("t") > 0)
     chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-2 * chars // ITEM_CHARS) if chars > ITEM_CHARS else 1)
     out = docs
@@ -262,10 +283,13 @@ def _searcher(held, text_col: str, ratio: float):
             found: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(part.num_rows)]
             asked = []  # row, item, start of the window, the text around it
             base = 0
-            for some, raw, bounds in steps(part, text_col) if known.texts else ():
+            for some, raw, bounds in steps(part, text_col) if known.texts or known.short else ():
                 small = plain_bytes(raw)
+                if known.short:
+                    for row in range(some.num_rows):
+                        found[base + row] |= short_places(known, small[bounds[row] : bounds[row + 1]].tobytes().decode())
                 texts: dict[int, tuple[str, np.ndarray]] = {}
-                for row, n, start in known.windows(small, bounds):
+                for row, n, start in known.windows(small, bounds) if known.texts else ():
                     if row not in texts:
                         own = small[bounds[row] : bounds[row + 1]]
                         texts[row] = own.tobytes().decode(), np.cumsum((own & 0xC0) != 0x80)

@@ -457,6 +457,16 @@ def test_leaks_are_found_at_every_number_of_edits(spark):
         assert 0 <= leak.start < leak.end <= len(texts[k])
 
 
+def test_short_items_and_items_without_an_id(spark):
+    long = "an item of the benchmark that has no id of its own"
+    items = spark.createDataFrame([(1, "Pi = 3"), (2, "short"), (None, long), (None, "né"), (3, " "), (4, "")], "item_id long, text string")
+    rows = [(1, "so pi\t= 3, and SHORT"), (2, "pi = 31 shorter ashort née"), (3, f"x {long} y"), (4, "le NÉ. né"), (5, None), (6, "")]
+    got = {x.doc_id: [tuple(l) for l in x.leaks] for x in decontaminate.find_leaks(docs_of(spark, rows), items).collect()}
+    assert got == {1: [(1, 0, 3, 9), (2, 0, 15, 20)], 2: [], 3: [(None, 0, 2, 2 + len(long))], 4: [(None, 0, 3, 5)], 5: [], 6: []}
+    only = items.filter("item_id = 2")
+    assert [len(x.leaks) for x in decontaminate.find_leaks(docs_of(spark, rows[:1]), only).collect()] == [1]
+
+
 def test_no_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [x.leaks for x in decontaminate.find_leaks(docs_of(spark, [(1, "some text")]), none).collect()] == [[]]

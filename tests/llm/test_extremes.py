@@ -1,0 +1,58 @@
+"""The corpus operators on very long texts and on texts made of what their patterns repeat."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import pii
+
+from .test_operators import docs_of, personal
+
+MB = 1_000_000
+
+
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.train(spark)
+
+
+def test_personal_data_in_a_megabyte_of_each_pattern(spark, pii_model):
+    """No generator or base pattern recurses over its repeats, and no step takes the square of a text's spans."""
+    units = {
+        "a@b.": None, "a@b.co ": MB // 7, "1.2.3.4 ": MB // 8, "1 ": 0, "9": 0, "4111111111111111 ": 0, "+1 ": 0, "+12345678 ": None, "+1(": 0, " at ": 0, "a": 0, " dot ": 0, "4111 1111 1111 111 x": 0, "123-45-6789 ": 0, "call 212-555-1234 a@b.co ": MB // 25, "jdoe at example dot com ": 0,
+    }
+    texts = [*(u * (MB // len(u)) for u in units), "jdoe at example" + " dot com" * (MB // 8), "x" * MB + " at y.com"]
+    rows = [*enumerate(texts), (100, None), (101, "")]
+    got = {r.doc_id: r for r in pii.find_personal(docs_of(spark, rows).repartition(8, "doc_id"), model=pii_model, drop=("text",)).select("doc_id", F.size(F.filter("spans", lambda s: s["base"])).alias("base"), F.size("spans").alias("all"), F.xxhash64(pii._joined(F.filter("spans", lambda s: s["base"]))).alias("h")).collect()}
+    for k, n in enumerate(units.values()):
+        assert n is None or got[k].base == n
+    assert got[14].all == 2 * (MB // 25) and got[15].all == MB // 24  # the telephone numbers, the spelled addresses
+    assert got[16].all == 1 and got[100].all == got[101].all == 0
+    exact = {k: ",".join(f"{kind}:{a}:{b}" for kind, a, b in personal(texts[k])) for k in (0, 1, 2, 7, 14)}
+    same = spark.createDataFrame(list(exact.items()), "k int, t string").select("k", F.xxhash64("t").alias("h"))
+    assert {r.k: r.h for r in same.collect()} == {k: got[k].h for k in exact}
+
+
+def test_untouched_spans_equal_brute_force(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(300):
+        places = sorted(r.sample(range(60), 2 * r.randint(0, 6)))
+        found = list(zip(places[::2], places[1::2], strict=True))
+        base = [(a, a + r.randint(1, 9)) for a in (r.randrange(60) for _ in range(r.randint(0, 6)))]
+        rows.append((k, found, base))
+    df = spark.createDataFrame(rows, "k int, found array<struct<start:bigint,end:bigint>>, base array<struct<start:bigint,end:bigint>>")
+    got = {x.k: [tuple(s) for s in x.kept] for x in df.select("k", pii.untouched(F.col("found"), F.col("base")).alias("kept")).collect()}
+    for k, found, base in rows:
+        assert got[k] == [(s, e) for s, e in found if not any(a < e and s < b for a, b in base)]
+
+
+def test_context_does_not_change_with_place(spark, pii_model):
+    """A candidate's features are those of its own surroundings, wherever in a text it stands."""
+    one = "Call 212-555-1234 now or read order 313-555-1234 twice. "
+    got = pii.find_personal(docs_of(spark, [(1, one * 300)]), model=pii_model, drop=("text",)).first()
+    at = one.index("212")
+    assert [s.start for s in got.spans] == [k * len(one) + at for k in range(300)]
+    assert re.match(r"212-555-1234", (one * 300)[got.spans[7].start :])

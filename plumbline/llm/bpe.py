@@ -4,9 +4,10 @@ The tokenizers library splits and merges; its vocabulary spells each byte as one
 those characters (built from the rule below) leads from characters to bytes and back. Token offsets follow from the
 byte lengths of the tokens: they are given in bytes and, by the byte-to-character map of the text, in characters. A
 token may begin or end inside a character; its character offsets then cover every character that it touches, and
-decoding joins the bytes of all tokens before it reads characters.
+decoding reverses the table for every token and joins the bytes of all of them before it reads characters.
 
 Nulls: a null text is encoded as an empty one; null ids decode to null. All other columns pass through untouched.
+Repeated rows are encoded one by one; a text of any length is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -53,26 +54,35 @@ def _codec(ranks_file: str, library_file: str):
         ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
     with open(vocabulary(library_file), encoding="utf-8") as f:
         spelled = json.load(f)
-    back = {c: b for b, c in enumerate(byte_alphabet())}
-    special = {t["content"] for t in spelled.get("added_tokens", ())}
-    for token, i in spelled["model"]["vocab"].items():
-        if token not in special and ranks.get(bytes(back[c] for c in token)) != i:
-            raise ValueError(f"{ranks_file} and {library_file} differ at {token!r}")
     tokenizer = Tokenizer.from_file(vocabulary(library_file))
     tokenizer.encode_special_tokens = True
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        pieces[i] = token
+    special = {t["content"] for t in spelled.get("added_tokens", ())}
+    pieces = spelled_bytes({t: i for t, i in spelled["model"]["vocab"].items() if t not in special})
+    if wrong := [t for t, i in ranks.items() if i >= len(pieces) or pieces[i] != t] or [p for p in pieces if p and p not in ranks]:
+        raise ValueError(f"{ranks_file} and {library_file} differ at {wrong[0]!r}")
     return tokenizer, pieces, np.array([len(p) for p in pieces], np.int64)
 
 
-def _offsets(data: np.ndarray, ids: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Character start and end of each token of one text, and the number of tokens that end inside a character."""
-    ends = np.cumsum(widths[ids])
+def spelled_bytes(vocab: dict[str, int]) -> list[bytes]:
+    """The bytes of every token by its id: the byte alphabet reversed, character by character."""
+    back = {c: b for b, c in enumerate(byte_alphabet())}
+    pieces = [b""] * (max(vocab.values(), default=-1) + 1)
+    for token, i in vocab.items():
+        pieces[i] = bytes(back[c] for c in token)
+    return pieces
+
+
+def _offsets(data: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts of a step: character start and end of each token within its text, and for each text the number of its
+    tokens that end inside a character. Text k has the tokens from first[k] to first[k + 1].
+    """
+    ends = np.cumsum(widths[ids])  # the tokens' bytes are the texts' bytes, end to end
+    starts = ends - widths[ids]
     opens = (data & 0xC0) != 0x80  # the first byte of each character
     char = np.concatenate([[0], np.cumsum(opens)])
-    starts = ends - widths[ids]
-    return char[starts + 1] - 1, char[ends], int((~opens[ends[ends < data.size]]).sum())
+    origin = np.repeat(char[at[:-1]], np.diff(first))
+    split = np.concatenate([[0], np.cumsum(~np.append(opens, True)[ends])])
+    return (char[starts + 1] - 1 - origin).astype(np.int32), (char[ends] - origin).astype(np.int32), np.diff(split[first])
 
 
 def encode(df: DataFrame, text_col: str = "text", offsets: bool = False, drop: tuple[str, ...] = (), ranks_file: str = RANKS, library_file: str = LIBRARY) -> DataFrame:
@@ -88,10 +98,12 @@ def encode(df: DataFrame, text_col: str = "text", offsets: bool = False, drop: t
         def work(part, data, at):
             texts = [t or "" for t in part.column(text_col).to_pylist()]
             ids = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            cols = [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([i.size for i in ids], pa.int64())]
+            sizes = [i.size for i in ids]
+            cols = [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(sizes, pa.int64())]
             if offsets:
-                found = [_offsets(data[at[k] : at[k + 1]], i, widths) for k, i in enumerate(ids)]
-                cols += [pa.array([x[k].tolist() for x in found], pa.list_(pa.int32())) for k in (0, 1)] + [pa.array([x[2] for x in found], pa.int64())]
+                first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                starts, ends, split = _offsets(data, at, np.concatenate([*ids, np.zeros(0, "<u4")]), first, widths)
+                cols += [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)) for x in (starts, ends)] + [pa.array(split)]
             return cols
 
         return work
@@ -114,5 +126,10 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks_file: str = RANKS, library
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the columns asked for: the number of tokens that end inside a character, and the end of the last token's
+    characters, which is the text's length.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs, drop=("text",))).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    last = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long")
+    coded = encode(docs, offsets=True, drop=("text",)).select("doc_id", "n_tokens", "ids", "n_split", last.alias("n_chars"))
+    return decode(coded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split", "n_chars")

@@ -8,8 +8,8 @@ with the words and not with Python calls per word.
 
 Training reads at most ``TRAIN_ROWS`` labelled texts (a documented bound; those with the smallest id hashes), counted
 partition by partition into one table per language. Nulls: a null text is ``und`` with score 0, as is one without a
-letter; null languages are not learned from. Repeated rows are labelled one by one. With nothing to learn from, every
-text is ``und``.
+letter; null languages are not learned from. Repeated rows are labelled one by one. Ties go to the language that sorts
+first. With nothing to learn from, every text is ``und``. Texts may have any length, and languages any number.
 """
 
 from __future__ import annotations
@@ -132,7 +132,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     base, length = first[:-1][order], length[order]
     most = int(length[0]) if length.size else 0
     active = np.searchsorted(-length, -np.arange(most), "left")  # rows with more than t words
-    stay, came = np.empty((words, n), bool), np.empty(words, np.uint8)
+    kind = np.min_scalar_type(max(n - 1, 0))  # wide enough for every label
+    stay, came = np.empty((words, n), bool), np.empty(words, kind)
     now = np.zeros((length.size, n), np.float32)
     for t in range(most):
         k = active[t]
@@ -143,8 +144,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         keep = cur >= jump[:, None]
         stay[i], came[i] = keep, top
         now[:k] = np.where(keep, cur, jump[:, None]) + scores[i]
-    label = np.empty(words, np.uint8)
-    last = now.argmax(1).astype(np.uint8)
+    label = np.empty(words, kind)
+    last = now.argmax(1).astype(kind)
     for t in range(most - 1, -1, -1):
         k = active[t]
         i = base[:k] + t
@@ -205,7 +206,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
                 row = np.repeat(np.arange(rows), counts)
                 label = viterbi(scores, first)
                 weight = np.where(script >= 0, size, 0)
-                share = np.bincount(row * n + label, weight, rows * n).reshape(rows, n)
+                share = np.bincount(row * n + label.astype(np.int64), weight, rows * n).reshape(rows, n)
                 total = np.stack([np.bincount(row, scores[:, c], rows) for c in range(n)], 1)
                 pred = share.argmax(1)
                 part_of = share[np.arange(rows), pred] / np.maximum(share.sum(1), 1)

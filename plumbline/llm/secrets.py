@@ -7,9 +7,14 @@ copied example, one in few and of few is live-looking. The value of a key block
 Only hashes, owners and repositories are shuffled, never texts; counts of distinct owners come from two nested groupings
 with partial aggregation, so that a hot value or owner meets in no task.
 
+Both bounds are absolute. A credential belongs to one owner (and perhaps a mirror), however many owners the corpus has,
+so the number of owners that tells an example does not grow with theirs; repositories are bounded beside owners because
+one owner may hold an example in many.
+
 Base spans always stay. The further shapes add a span only if the value is held in few repositories and by few owners,
 and has the spread of characters of a random key. Nulls: a null text is empty; a null owner or repository counts as one
-of its own. Repeated rows are scanned one by one and owned once.
+of its own. Repeated rows are scanned one by one and owned once. Patterns scan a run of characters once, so that a text
+of any length takes time in proportion; names of key blocks longer than 30 letters are not known.
 """
 
 from __future__ import annotations
@@ -34,13 +39,13 @@ HEX = re.compile("[0-9a-f]{24,}")  # the runs of [0-9a-f]+ with 24 characters or
 #: Further shapes: kind and pattern; the value is the whole match, and for key blocks (see ``blocks``) the key's body.
 FURTHER = (
     ("block", re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+")),
     ("service", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})\b")),
 )
 #: What may stand between the lines of a key: white space, escaped line ends, quotes and comment marks.
 _GAP = r"""(?:\\+[nrt]|[\s"'>#*|,;])"""
 #: The body of a key without an END line: header fields, long base64 lines, and a short last one.
-_BODY = re.compile(rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info|Version|Comment|Charset):[^\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:(?:\\+[nr]|[\r\n]){_GAP}*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[\x20\t]*+(?:\\+[nr]|[\r\n\"',;]|\Z)))?")
+_BODY = re.compile(rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info|Version|Comment|Charset):(?:(?!-----)[^\n\\])*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:(?:\\+[nr]|[\r\n]){_GAP}*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[\x20\t]*+(?:\\+[nr]|[\r\n\"',;]|\Z)))?")
 _LONG_RUN, _NOT_KEY = re.compile("[A-Za-z0-9+/=]{16,}"), re.compile(r"\\+[nrt]|[^A-Za-z0-9+/=]")
 #: A value held by this many owners or more is a copied example.
 COPIED_OWNERS = 3

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,10 +147,17 @@ def packed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written tables: the checkpoint folder."""
+    """The shared folder for written tables: the checkpoint folder that the cluster names.
+
+    Without one, a local folder is made where the whole of Spark runs on this machine; elsewhere executors could not
+    share it, and that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline"))
     return sc.getCheckpointDir()
 
 
@@ -172,20 +179,21 @@ def discard(df: DataFrame) -> None:
 def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, key) -> DataFrame:
     """The rows of ``docs`` that ``verdict`` (id, key, kept: a row for each) keeps, with ``key`` a column of docs.
 
-    Only pairs of id and key with something to drop are joined; of rows that repeat both, as many stay as verdict keeps.
+    Only pairs of id and key with something to drop are joined. Of rows that repeat both, the verdict keeps all, none or
+    one: then the one with the smallest number stays, found by partial aggregation, so that no task meets all repeats.
     """
     mark = "__verdict"
     drops = cut(verdict.groupBy("id", "key").agg(F.count_if("kept").alias("stay"), F.count("*").alias("n")).filter("stay < n"))
     drops = drops.select(F.col("id").alias(f"{mark}_id"), F.col("key").alias(f"{mark}_key"), F.col("stay").alias(f"{mark}_stay"))
+    mine = F.col(id_col).eqNullSafe(F.col(f"{mark}_id")) & F.col(mark).eqNullSafe(F.col(f"{mark}_key"))
     keyed = docs.withColumn(mark, key)
-    joined = keyed.join(drops, F.col(id_col).eqNullSafe(F.col(f"{mark}_id")) & F.col(mark).eqNullSafe(F.col(f"{mark}_key")), "left")
+    out = keyed.join(drops, mine, "left").filter(F.col(f"{mark}_stay").isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
     some = drops.filter(F.col(f"{mark}_stay") > 0)
-    out = joined.filter(F.col(f"{mark}_stay").isNull())
     if not some.isEmpty():  # rows repeated as a whole
-        twins = joined.filter(F.col(f"{mark}_stay") > 0)
-        turn = F.row_number().over(Window.partitionBy(f"{mark}_id", f"{mark}_key").orderBy(F.lit(1)))
-        out = out.unionByName(twins.withColumn(f"{mark}_turn", turn).filter(F.col(f"{mark}_turn") <= F.col(f"{mark}_stay")).drop(f"{mark}_turn"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        twins = cut(keyed.join(some, mine).withColumn(f"{mark}_row", F.monotonically_increasing_id()))
+        firsts = twins.groupBy(f"{mark}_id", f"{mark}_key").agg(F.min(f"{mark}_row").alias(f"{mark}_row"))
+        out = out.unionByName(twins.join(firsts.select(f"{mark}_row"), f"{mark}_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return out
 
 
 def release() -> None:

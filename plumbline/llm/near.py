@@ -8,20 +8,25 @@ text its MinHash bands. Then:
    representatives go on.
 2. Representatives that share a band key form candidate components. Components come from edges to the smallest member
    of each band bucket (never from all pairs), by a distributed min-label propagation with pointer jumping.
-3. A component's members travel once, with MinHash values and shingle hashes, to a task; components of more than
-   ``BLOCK`` members are dealt in blocks, each pair of blocks to a task of its own, so work and memory of a task are
-   bounded at every size. There candidate pairs (equal in some band) meet the BayesLSH test: values are compared
-   ``CHUNK`` at a time, and a pair is dropped once the posterior probability that its similarity reaches the threshold
-   is below ``TOLERANCE``; the others are verified on their whole shingle sets. Pairs never become rows: a task returns
-   for each text the number of linked texts, and links that span its linked groups.
+3. A component's members travel to a task with their MinHash values and shingle hashes, computed once; components of
+   more than ``BLOCK`` members or ``BLOCK_BYTES`` of shingles are dealt in blocks, each pair of blocks to a task of its
+   own, so work and memory of a task are bounded at every size. There candidate pairs (equal in some band) meet the
+   BayesLSH test: values are compared ``CHUNK`` at a time, and a pair is dropped once the posterior probability that its
+   similarity reaches the threshold is below ``TOLERANCE``; the others are verified on their whole shingle sets by whole
+   numbers. Pairs never become rows: a task returns for each text the number of linked texts, and links that span its
+   linked groups.
 4. Verified links give the groups (the same propagation) and every text its number of links.
 
 Bands have ``ROWS`` values, and there are ``BANDS`` of them: a pair at similarity 0.8 is missed with probability
-(1 - 0.8**ROWS)**BANDS = 1.4e-7 by the bands and TOLERANCE-like by the pruning.
+(1 - 0.8**ROWS)**BANDS = 7.4e-7 by the bands and TOLERANCE-like by the pruning, while texts that merely share some lines
+seldom meet (0.38 at similarity 0.5, 0.09 at 0.4), which keeps components near the groups they contain. What remains
+quadratic is the count of links itself: m different texts of one component are compared pair by pair, and each of them
+is dealt m / BLOCK times.
 
 Nulls: a null text is empty; texts without words link to nothing and are classes of their own; a text with fewer than
 five words is one shingle of all its words. Repeated rows and equal texts are members of one class, each linked to the
-others. A null id keeps its row.
+others. A null id keeps its row and ranks after all others. Ties: of a class or group with several rows of the smallest
+id, the first row read stays.
 """
 
 from __future__ import annotations
@@ -35,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, cut, extend, keep_rows, mix, parts, release, span_hash, table, word_bounds
+from .common import STEP_BYTES, cut, extend, keep_rows, mix, parts, release, small_batches, span_hash, steps, table, word_bounds
 
 N, THRESHOLD = 5, 0.8
-NO_ID = (1 << 63) - 1
-ROWS, BANDS = 5, 40
+ROWS, BANDS = 7, 60
 #: MinHash values compared at a time, and the posterior probability under which a pair is dropped.
-CHUNK, TOLERANCE = 20, 1e-7
-BLOCK = 384
+CHUNK, TOLERANCE = 35, 1e-7
+#: Members of a block, and bytes of their shingles.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Shingles side by side in one step of the block verification.
 COLUMNS = 4096
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -93,12 +98,30 @@ def _set_key(g: np.ndarray) -> bytes | None:
 def _sketch(part, data, at):
     found = shingles(data, at)
     bands = [band_keys(minhash(g)).view(np.int64) if g.size else g.view(np.int64) for g in found]
-    return [pa.array([_set_key(g) for g in found], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-
-
-def _grams(part, data, at):
-    found = shingles(data, at)
-    return [pa.array([_set_key(g) for g in found], pa.binary()), pa.array([g.tobytes() for g in found], pa.binary())]
+    return [pa.array([_set_key(g) for g in found], pa.binary()), pa.array([g.size for g in found], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+
+
+_MEMBER = ("comp", "blocks", "row", "size")
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with their sets' shingle hashes and MinHash values. Rows that repeat a member's text are passed over."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for row in batch.column("row").to_pylist():
+            fresh.append(row not in seen)
+            if len(seen) >= 100_000:
+                seen.clear()
+            seen.add(row)
+        batch = batch.filter(pa.array(fresh))
+        for part, data, at in steps(batch, "text"):
+            found = shingles(data, at)
+            mine = [k for k, (g, own) in enumerate(zip(found, part.column("set").to_pylist(), strict=True)) if _set_key(g) == own]
+            part = part.take(pa.array(mine, pa.int64()))
+            found = [found[k] for k in mine]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _MEMBER), pa.array([minhash(g).tobytes() for g in found], pa.binary()), pa.array([g.tobytes() for g in found], pa.binary())], names=[*_MEMBER, "sketch", "grams"])
+        release()
 
 
 def components(nodes_edges: DataFrame) -> DataFrame:
@@ -188,11 +211,11 @@ def _verify(i: np.ndarray, j: np.ndarray, sa: list[np.ndarray], sb: list[np.ndar
         where = lambda sets: [np.searchsorted(grams, s) for s in sets]
         pa_ = where(sa)
         pb_ = pa_ if same else where(sb)
-        count = np.zeros((len(sa), len(sb)), np.float32)
-        for lo in range(0, grams.size, COLUMNS):
+        count = np.zeros((len(sa), len(sb)), np.int64)
+        for lo in range(0, grams.size, COLUMNS):  # whole numbers up to COLUMNS are exact in a product
             ma = _members(pa_, lo)
-            count += ma @ (ma if same else _members(pb_, lo)).T
-        both = count[i, j].astype(np.int64)
+            count += (ma @ (ma if same else _members(pb_, lo)).T).astype(np.int64)
+        both = count[i, j]
     # x / y >= t for whole numbers, with t as written: 0.8 means four fifths
     union = na[i] + nb[j] - both
     return both >= np.ceil(threshold * union - 1e-9)
@@ -243,7 +266,7 @@ def _join_blocks(threshold: float):
             ids, sizes = np.array([h[0] for h in held]), np.array([h[1] for h in held])
             block = np.array([h[2] for h in held])
             grams = [np.frombuffer(h[3], np.uint64) for h in held]
-            values = np.stack([minhash(g) for g in grams])
+            values = np.stack([np.frombuffer(h[4], np.uint32) for h in held])
             keys = np.stack([band_keys(v) for v in values])
             split = int((block == block[0]).sum())
             if at[1] == at[2]:
@@ -260,13 +283,13 @@ def _join_blocks(threshold: float):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(3)], schema=_FOUND)
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "row", "size", "block", "grams")]
-            for comp, i, j, row, size, block, grams in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "row", "size", "block", "grams", "sketch")]
+            for comp, i, j, row, size, block, grams, sketch in zip(*cols, strict=True):
                 if (comp, i, j) != at:
                     yield from done()
                     held, at = [], (comp, i, j)
                 if not held or held[-1][0] != row:  # a repeated row brings its text again
-                    held.append((row, size, block, grams))
+                    held.append((row, size, block, grams, sketch))
         yield from done()
         release()
 
@@ -281,44 +304,46 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is a hash of the text, which tells rows of one id apart.
     """
     n = parts(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sketch = cut(extend(keyed, lambda: _sketch, "set binary, bands array<long>", "text", STEP_BYTES, ("text",)))
+    small_batches(docs.sparkSession)
+    text_key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("*", text_key)
+    sketch = cut(extend(rows, lambda: _sketch, "set binary, n_grams long, bands array<long>", "text", STEP_BYTES, ("text",)))
     # 1. classes: one hash grouping with partial aggregation; a text without words is a class of its own
-    order = F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "text_key", "n_grams")
     classes = sketch.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min(order).alias("first"), F.count("*").alias("size"))
-    classes = cut(classes.select("set", F.col("first.row").alias("rep"), F.col("first.id").alias("rep_id"), "size"))
+    classes = cut(classes.select("set", F.col("first.row").alias("rep"), F.col("first.id").alias("rep_id"), F.col("first.text_key").alias("rep_key"), F.col("first.n_grams").alias("n_grams"), "size"))
     # 2. candidate components of representatives
     reps = sketch.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.explode("bands").alias("key"))
     # (here and below, what is joined with is cut first: Spark splits a hot key of a join between plain shuffles only)
     buckets = cut(reps.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).filter("n > 1"))
     pairs = reps.join(buckets.select("key", "least"), "key").filter("row > least").select(F.col("row").alias("a"), F.col("least").alias("b"))
     comps = cut(components(pairs))
-    sizes = cut(comps.groupBy("label").agg(F.count("*").alias("members")))
     # 3. members with their shingles, once, or once for each pair of blocks of a large component
-    members = comps.join(sizes, "label").select(F.col("node").alias("row"), F.col("label").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(classes.select(F.col("rep").alias("row"), "rep_id", "size", F.col("set").alias("own")), "row").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    # texts are found by id and told apart by their set, so that nothing rests on row numbers of a second scan
-    texts = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("rep_id"), "text").join(members, "rep_id")
-    grams = extend(texts.drop("rep_id"), lambda: _grams, "set binary, grams binary", "text", STEP_BYTES, ("text",)).filter("set = own")
+    members = comps.join(classes.withColumnRenamed("rep", "node"), "node")
+    sizes = cut(members.groupBy("label").agg(F.count("*").alias("members"), F.sum(F.col("n_grams") * 8).alias("bytes")))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    members = cut(members.join(sizes, "label").select(F.col("node").alias("row"), F.col("label").alias("comp"), blocks.alias("blocks"), "rep_id", "rep_key", "size", "set"))
+    # texts are found by id and text hash and told apart by their set, so that nothing rests on row numbers of a second scan
+    texts = rows.select("id", "text_key", "text").join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
+    grams = texts.select(*_MEMBER, "set", "text").mapInArrow(_grams, "comp long, blocks int, row long, size long, sketch binary, grams binary")
+    grams = grams.withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
     turn = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = grams.withColumn("pair", F.explode(turn)).select("comp", "pair.i", "pair.j", "row", "size", "block", "grams")
+    dealt = grams.withColumn("pair", F.explode(turn)).select("comp", "pair.i", "pair.j", "row", "size", "block", "grams", "sketch")
     dealt = dealt.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block", "row")
     found = cut(dealt.mapInArrow(_join_blocks(threshold), "node long, other long, links long"))
     # 4. groups and numbers of links
     groups = components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counted = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     linked = cut(classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counted.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-    firsts = cut(linked.groupBy("label").agg(F.min(F.struct("rep_id", "rep")).alias("g")))
+    firsts = cut(linked.groupBy("label").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep")).alias("g")))
     known = linked.join(firsts, "label").select("set", "rep", "rep_id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.col("g.rep_id").alias("group"), F.col("g.rep").alias("keeper"))
-    real = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
     alone = F.col("rep").isNull()
     return sketch.select("row", "id", "set", "text_key").join(known, "set", "left").select(
         F.col("id").alias(id_col),
-        F.when(alone, F.col("id")).otherwise(real("rep_id")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("rep_id")).alias("class_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce(F.col("size") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
-        F.when(alone, F.col("id")).otherwise(real("group")).alias("group_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("group")).alias("group_id"),
         (alone | (F.col("row") == F.col("keeper"))).alias("kept"),
         "text_key",
     )

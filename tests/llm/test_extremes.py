@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, language, pii, secrets
+from plumbline.llm import bpe, exact, language, near, pii, secrets
 
 from .test_operators import docs_of, personal
 
@@ -141,3 +141,41 @@ def test_digests_of_the_bpe_query(spark, small):
     assert got.keys() == docs.keys()
     for k, t in docs.items():
         assert got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and got[k].n_chars == len(t)
+
+
+# ---- near copies -------------------------------------------------------------------------------------------------------
+def test_many_null_and_repeated_ids_in_the_join(spark):
+    """Texts are fetched by id and text, so that k texts of one id (or none) meet k rows and not k times k."""
+    r = random.Random(2)
+    text = lambda k: " ".join(f"u{k}x{r.randrange(9999)}" for _ in range(30))
+    base = [text(k) for k in range(200)]
+    rows = [(None, t) for t in base] + [(None, t + " more") for t in base] + [(5, t + " end") for t in base[:50]] + [(None, base[0])] * 300 + [((1 << 63) - 1, base[1])]
+    found = near.similarity_join(docs_of(spark, rows))
+    got = found.collect()
+    assert len(got) == len(rows)
+    by = {}
+    for x in got:
+        by.setdefault((x.doc_id, x.text_key), x)
+    keys = {t: k for t, k in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").select("t", F.xxhash64("t")).collect()}
+    assert by[(None, keys[base[0]])].n_links == 302 and by[(None, keys[base[0]])].class_size == 301
+    assert by[(5, keys[base[3] + " end"])].n_links == 2 and by[(None, keys[base[3]])].group_id == 5
+    assert by[(None, keys[base[60] + " more"])].n_links == 1 and by[(None, keys[base[60]])].group_id is None
+    assert by[((1 << 63) - 1, keys[base[1]])].class_id == (1 << 63) - 1  # a legal id, not the mark of a missing one
+    assert len(near.one_of_each_group(docs_of(spark, rows)).collect()) == 200
+
+
+def test_near_copies_of_a_long_text(spark, monkeypatch):
+    """Blocks are bounded by bytes as well as by members."""
+    monkeypatch.setattr(near, "BLOCK_BYTES", 1 << 20)
+    r = random.Random(3)
+    long = [f"w{r.randrange(50_000)}" for _ in range(130_000)]
+    rows = [(k, " ".join(long[: 100_000 + 5_000 * k])) for k in range(6)] + [(9, "one two three four five six")]
+    got = {x.doc_id: x.n_links for x in near.similarity_join(docs_of(spark, rows)).collect()}
+    sizes = [100_000 + 5_000 * k - 4 for k in range(6)]  # shingles: the first and the last are just below 0.8
+    assert got == {k: sum(j != k and min(a, b) >= 0.8 * max(a, b) for j, b in enumerate(sizes)) for k, a in enumerate(sizes)} | {9: 0}
+
+
+def test_rows_repeated_as_a_whole_are_kept_once(spark):
+    rows = [(1, "a b")] * 500 + [(None, "a b")] * 500 + [(2, "c")] + [(None, "d")] * 3
+    kept = exact.one_of_each_text(docs_of(spark, rows).repartition(4)).collect()
+    assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted([(1, "a b"), (2, "c"), (None, "d")], key=str)

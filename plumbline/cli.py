@@ -21,8 +21,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--target_sigma_nm", "-tsig", type=float, default=10)
     p.add_argument("--max_drift_nm", "-d", type=float, default=100)
     p.add_argument("--boxcar_width", type=int, default=1)
-    p.add_argument("--interpolation", choices=("cubic", "natural", "catmull-rom", "linear"), default="cubic")
-    p.add_argument("--format", choices=("csv", "h5", "parquet"), required=True)
+    p.add_argument("--interpolation", choices=("cubic", "natural", "catmull-rom", "linear", "spline"), default="cubic")
+    p.add_argument("--format", choices=("csv", "parquet"), required=True)
+    p.add_argument("--pixel_size_nm", type=float, default=160.0, help="of a molecule set that is written")
+    p.add_argument("--rounds", help="a folder for the drift after every round of the optimizer")
     p.add_argument("--max_locs_per_segment", "-mlpseg", type=int)
     p.add_argument("--display", action="store_true", help="print the rounds of the optimizer")
     return p
@@ -32,7 +34,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("plumbline").getOrCreate()
     cfg = DriftConfig(a.segmentation_mode, a.segmentation_var, a.max_locs_per_segment, a.initial_sigma_nm, a.max_drift_nm, a.target_sigma_nm, a.boxcar_width, interpolation_method=a.interpolation)
-    result = estimate_drift(readers.read(spark, a.input), cfg)
+    result = estimate_drift(readers.read(spark, a.input), cfg, rounds_to=a.rounds)
     if a.display:
         result.trace.show(100, False)
     if a.format == "csv" and a.input.endswith(".csv"):
@@ -40,7 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.format == "csv":
         sinks.write_thunderstorm(result.corrected, a.output)
     else:
-        sinks.write_molecule_set(result.corrected, a.output, 160.0)
+        sinks.write_molecule_set(result.corrected, a.output, a.pixel_size_nm)
 
 
 if __name__ == "__main__":

@@ -32,8 +32,19 @@ def plain(scale: float, dims: int = 3) -> Kernel:
     return Kernel(scale, 1.0, +1, DRIFT[:dims])
 
 
+#: Segments up to which a drift travels to the pairs; a larger one is joined by shuffles.
+FEW = 100_000
+
+
+def few(mu: DataFrame) -> DataFrame:
+    """The drift as a table of known size where it has ``FEW`` rows or fewer: Spark then broadcasts it."""
+    rows = mu.limit(FEW + 1).toArrow()
+    return mu.sparkSession.createDataFrame(rows) if 0 < rows.num_rows <= FEW else mu
+
+
 def with_drift(pairs: DataFrame, mu: DataFrame, kernel: Kernel) -> DataFrame:
     """Pairs (segment_i, segment_j, dx0 ...) with the residuals ex, ey, ez and the weight w. ``mu``: segment, dx, dy, dz."""
+    mu = few(mu.select("segment", *kernel.axes))
     side = lambda s: mu.select(F.col("segment").alias(f"segment_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in kernel.axes))
     both = pairs.join(side("i"), "segment_i").join(side("j"), "segment_j")
     e = {c: F.col(f"{c}0") + kernel.sign * (F.col(f"{c}_i") - F.col(f"{c}_j")) for c in kernel.axes}

@@ -1,36 +1,60 @@
-"""Pair search. A radius search is an equi-join on grid cells: each row meets its own cell and half of its neighbours, so
-every pair of cells meets once, and a residual distance test decides. Hot cells are split by adaptive execution."""
+"""Pair search. A radius search is an equi-join on grid cells of two radii: each row is at home in one cell and visits the
+cells after it (in order) that its search box touches, three and a half on average, so that every close pair meets once,
+and a residual distance test decides. Hot cells are split by adaptive execution."""
 
 from __future__ import annotations
 
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import AXES
+from ..sources.scratch import cut
 
-#: The cell itself and one of each two opposite neighbours.
-HALF = [(0, 0, 0), *(o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0))]
+#: The box is searched a little wider than the radius, and cells are wider than two of it: rounding loses no pair.
+MARGIN = 1e-6
+#: Visits are rows that the planner's size estimates do not see: both sides are shuffled by cell, never broadcast.
+JOIN = "merge"
+_ROW = "__row"
 
 
-def within_radius(locs: DataFrame, radius: float, carry: tuple[str, ...] = (), flat: bool = False) -> DataFrame:
-    """All unordered pairs at a distance of ``radius`` or less: loc_i < loc_j, dx0, dy0, dz0 (i less j), and ``carry``
-    columns of both with suffixes _i and _j. With ``flat``, z is taken to be 0 everywhere, and fewer cells are visited.
+def numbered(locs: DataFrame) -> DataFrame:
+    """The rows with a number each, written once, so that both sides of a self-join see the same numbers."""
+    return cut(locs.withColumn(_ROW, F.monotonically_increasing_id()))
+
+
+def within_radius(locs: DataFrame, radius: float, carry: tuple[str, ...] = (), flat: bool = False, unique: bool = False) -> DataFrame:
+    """All unordered pairs of rows at a distance of ``radius`` or less: loc_i <= loc_j, dx0, dy0, dz0 (i less j), and
+    ``carry`` columns of both with suffixes _i and _j. With ``flat``, z is taken to be 0 everywhere, and fewer cells are
+    visited.
+
+    Rows are paired, not ids: rows that share an id (null ones too) pair with each other, and which of them is i is left
+    open. ``unique``: the caller knows that no id repeats or is null, which saves numbering the rows.
     """
     if radius <= 0:
         raise ValueError("the radius must be above 0")
-    cell = [F.floor(F.col(a) / radius).alias(f"c{a}") for a in AXES]
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("loc_id", *AXES, *carry)]
-    left = locs.select(*side("a"), *cell)
-    offsets = [o for o in HALF if not flat or o[2] == 0]
-    every = F.array(*(F.struct(*(F.lit(v).alias(f"o{a}") for v, a in zip(o, AXES, strict=True))) for o in offsets))
-    right = locs.select(*side("b"), *cell).withColumn("o", F.explode(every))
-    right = right.select(*(c for c in right.columns if c not in ("cx", "cy", "cz", "o")), *((F.col(f"c{a}") + F.col(f"o.o{a}")).alias(f"c{a}") for a in AXES), (F.col("o") == F.struct(*(F.lit(0).alias(f"o{a}") for a in AXES))).alias("own"))
+    if not unique:
+        locs = locs if _ROW in locs.columns else numbered(locs)
+    axes = AXES[:2] if flat else AXES
+    reach, size = radius * (1 + MARGIN), 2 * radius * (1 + 2 * MARGIN)
+    own = {a: F.floor(F.col(a) / size) for a in axes}
+    order = ("loc_id",) if unique else ("loc_id", _ROW)
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in (*order, *AXES, *carry)]
+    left = locs.select(*side("a"), *(own[a].alias(f"c{a}") for a in axes))
+    right = locs.select(*side("b"), *(own[a].alias(f"h{a}") for a in axes))
+    for a in axes:
+        here = F.col(f"{a}_b")
+        right = right.select("*", F.explode(F.sequence(F.floor((here - reach) / size), F.floor((here + reach) / size))).alias(f"c{a}"))
+    cell, home = F.struct(*(F.col(f"c{a}").alias(a) for a in axes)), F.struct(*(F.col(f"h{a}").alias(a) for a in axes))
+    right = right.filter(cell >= home).withColumn("own", cell == home).drop(*(f"h{a}" for a in axes))
     d = {a: F.col(f"{a}_a") - F.col(f"{a}_b") for a in AXES}
-    near = sum((d[a] * d[a] for a in AXES[1:]), d["x"] * d["x"]) <= radius * radius
-    met = left.join(right, ["cx", "cy", "cz"]).filter(near & (~F.col("own") | (F.col("loc_id_a") < F.col("loc_id_b"))))
-    first = F.col("loc_id_a") < F.col("loc_id_b")
+    near = reduce(lambda p, q: p + q, (d[a] * d[a] for a in AXES)) <= radius * radius
+    number = "loc_id" if unique else _ROW
+    met = left.join(right.hint(JOIN), [f"c{a}" for a in axes]).filter(near & (~F.col("own") | (F.col(f"{number}_a") < F.col(f"{number}_b"))))
+    first = F.col("loc_id_a") <= F.col("loc_id_b")
+    if not unique:
+        first = F.coalesce(first, F.col("loc_id_a").isNotNull())  # null ids come last
     turn = lambda c: (F.when(first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), F.when(first, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")))
     i, j = turn("loc_id")
     out = [i.alias("loc_i"), j.alias("loc_j"), *(F.when(first, d[a]).otherwise(-d[a]).alias(f"d{a}0") for a in AXES)]

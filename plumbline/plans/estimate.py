@@ -3,15 +3,16 @@
 Pairs are searched once, reduced to what the cost needs of them (two segments and a difference of positions), packed
 into binary blocks and written to the shared checkpoint folder. An evaluation is one job over the blocks: the drift of
 the segments goes out, partial sums per segment come back through one small shuffle. Where all blocks together are
-within ``LOCAL_BYTES`` (checked), they are evaluated on the driver, which saves a job per evaluation; both ways add up
-the same numbers.
+within ``DriftConfig.local_bytes`` (checked), they are evaluated on the driver, which saves a job per evaluation; both
+ways add up the same numbers.
 """
 
 from __future__ import annotations
 
-import tempfile
+import os
 import warnings
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -22,38 +23,32 @@ from pyspark.sql import functions as F
 from ..functions.spline import evaluate, pieces
 from ..operators import drift as D
 from ..operators.pairs import estimate as pair_estimate
-from ..operators.pairs import within_radius
-from ..operators.segment import Segmentation, ladder, segment
+from ..operators.pairs import _ROW, numbered, within_radius
+from ..operators.segment import Segmentation, _described, ladder, segment, statistics
 from ..schema import DRIFT, DriftConfig
+from ..sources.scratch import cut
 
-#: Pairs in a block, and the size of all blocks up to which the driver evaluates them itself.
-BLOCK, LOCAL_BYTES = 1 << 17, 256 << 20
-_PAIR = np.dtype([("i", "<i4"), ("j", "<i4"), ("d", "<f8", 3)])
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline"))
-    return df.checkpoint()
+#: Pairs in a block, and bytes of a pair in it: two segments, three differences.
+BLOCK, PAIR_BYTES = 1 << 17, 32
+#: An estimate of pairs beyond which a run warns before it begins.
+MANY_PAIRS = 250_000_000
 
 
 def _pack(batches):
-    """Rows (segment_i, segment_j, dx0, dy0, dz0) as binary blocks."""
+    """Rows (segment_i, segment_j, dx0, dy0, dz0) as binary blocks: column by column, in order of the segments."""
     held, n = [], 0
 
     def block():
-        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary()), pa.array([n])], names=["block", "n"])
+        rows = pa.Table.from_batches(held).combine_chunks()
+        i, j, *d = (rows.column(k).to_numpy() for k in range(5))
+        order = np.lexsort((j, i))
+        data = b"".join([*(x[order].astype("<i4").tobytes() for x in (i, j)), *(x[order].astype("<f8").tobytes() for x in d)])
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([order.size])], names=["block", "n"])
 
     for batch in batches:
         for lo in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(lo, BLOCK)
-            rows = np.empty(part.num_rows, _PAIR)
-            rows["i"], rows["j"] = (part.column(k).to_numpy() for k in (0, 1))
-            for k in range(3):
-                rows["d"][:, k] = part.column(k + 2).to_numpy()
-            held.append(rows.tobytes())
-            n += rows.size
+            held.append(batch.slice(lo, BLOCK))
+            n += held[-1].num_rows
             if n >= BLOCK:
                 yield block()
                 held, n = [], 0
@@ -61,28 +56,39 @@ def _pack(batches):
         yield block()
 
 
-def sums(rows: np.ndarray, mu: np.ndarray, scale: float, norm: float) -> tuple[float, np.ndarray]:
-    """Cost and gradient of the pairs of one block."""
-    i, j = rows["i"], rows["j"]
-    e = rows["d"] - (mu[i] - mu[j])
-    w = np.exp(-np.einsum("ij,ij->i", e, e) / scale) * norm
+class Block:
+    """The pairs of one block: where each pair of segments begins, its two segments, and the differences."""
+
+    def __init__(self, data: bytes):
+        n = len(data) // PAIR_BYTES
+        i, j = np.frombuffer(data, "<i4", n), np.frombuffer(data, "<i4", n, 4 * n)
+        self.d = np.frombuffer(data, "<f8", 3 * n, 8 * n).reshape(3, n)
+        self.first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))[: n or None]
+        self.many = np.diff(np.append(self.first, n))
+        self.i, self.j = i[self.first], j[self.first]
+
+
+def sums(pairs: Block, mu: np.ndarray, scale: float, norm: float) -> tuple[float, np.ndarray]:
+    """Cost and gradient of the pairs of one block. The drift and the sums are taken per pair of segments."""
+    e = pairs.d - np.repeat((mu[pairs.i] - mu[pairs.j]).T, pairs.many, axis=1)
+    w = np.exp(np.einsum("ij,ij->j", e, e) * (-1.0 / scale)) * norm
     g = np.empty_like(mu)
     for k in range(3):
-        v = w * e[:, k] * (2.0 / scale)
-        g[:, k] = np.bincount(j, v, len(mu)) - np.bincount(i, v, len(mu))
+        v = np.add.reduceat(w * e[k], pairs.first) * (2.0 / scale)
+        g[:, k] = np.bincount(pairs.j, v, len(mu)) - np.bincount(pairs.i, v, len(mu))
     return -float(w.sum()), g
 
 
 class PairBlocks:
     """The pairs of a run, ready to be evaluated again and again."""
 
-    def __init__(self, pairs: DataFrame, segments: int):
+    def __init__(self, pairs: DataFrame, segments: int, local_bytes: int = DriftConfig.local_bytes):
         packed = pairs.select("segment_i", "segment_j", "dx0", "dy0", "dz0").mapInArrow(_pack, "block binary, n long")
-        self.blocks, self.segments = _checkpointed(packed), segments
+        self.blocks, self.segments = cut(packed), segments
         self.n_pairs = self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.local = None
-        if self.n_pairs * _PAIR.itemsize <= LOCAL_BYTES:
-            self.local = [np.frombuffer(b, _PAIR) for b in self.blocks.toArrow().column("block").to_pylist()]
+        self.local, self.threads = None, ThreadPoolExecutor(os.cpu_count())
+        if self.n_pairs * PAIR_BYTES <= local_bytes:
+            self.local = [Block(b) for b in self.blocks.toArrow().column("block").to_pylist()]
 
     def objective(self, sigma: float, relabel: np.ndarray | None = None, segments: int | None = None) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
         """Cost and gradient at this width; ``relabel`` maps segments to coarser ones."""
@@ -93,8 +99,7 @@ class PairBlocks:
             fine = mu if relabel is None else mu[relabel]
             if self.local is not None:
                 cost, g = 0.0, np.zeros_like(fine)
-                for rows in self.local:
-                    c, h = sums(rows, fine, scale, norm)
+                for c, h in self.threads.map(lambda rows: sums(rows, fine, scale, norm), self.local):  # in order: the same sum every time
                     cost, g = cost + c, g + h
             else:
                 cost, g = self._job(fine, scale, norm)
@@ -110,14 +115,14 @@ class PairBlocks:
         def run(batches):
             cost, g = 0.0, np.zeros_like(held.value)
             for batch in batches:
-                for b in batch.column("block").to_pylist():
-                    c, h = sums(np.frombuffer(b, _PAIR), held.value, scale, norm)
+                for b in batch.column("block"):
+                    c, h = sums(Block(b.as_py()), held.value, scale, norm)
                     cost, g = cost + c, g + h
             at = np.flatnonzero(g.any(1))
             arrays = [pa.array(np.append(at, -1)), pa.array(np.append(g[at, 0], cost)), *(pa.array(np.append(g[at, k], 0.0)) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(arrays, names=["segment", "gx", "gy", "gz"])
 
-        got = self.blocks.mapInArrow(run, "segment long, gx double, gy double, gz double").groupBy("segment").agg(*(F.sum(c).alias(c) for c in ("gx", "gy", "gz"))).toArrow()
+        got = self.blocks.select("block").mapInArrow(run, "segment long, gx double, gy double, gz double").groupBy("segment").agg(*(F.sum(c).alias(c) for c in ("gx", "gy", "gz"))).toArrow()
         held.destroy()
         s, v = got.column("segment").to_numpy(), np.stack([got.column(c).to_numpy() for c in ("gx", "gy", "gz")], 1)
         g = np.zeros_like(mu)
@@ -136,8 +141,12 @@ class DriftResult:
 
 
 def interpolate(frames: DataFrame, centers: np.ndarray, mu: np.ndarray, method: str) -> DataFrame:
-    """Per-frame drift from per-segment drift: cubic, natural (straight beyond the ends), catmull-rom or linear."""
+    """Per-frame drift from per-segment drift: cubic, natural (straight beyond the ends), catmull-rom or linear; "spline" is
+    cubic from four segments on and linear under that.
+    """
     spark = frames.sparkSession
+    if method == "spline":
+        method = "cubic" if len(centers) >= 4 else "linear"
     if method in ("cubic", "natural"):
         if len(centers) == 1:
             warnings.warn("one segment: the drift is constant", stacklevel=2)
@@ -154,31 +163,42 @@ def interpolate(frames: DataFrame, centers: np.ndarray, mu: np.ndarray, method:
 
 
 def _prepared(locs: DataFrame, cfg: DriftConfig, segmentation: Segmentation | None):
-    from ..operators.segment import statistics
-
     seg = segmentation or segment(locs, cfg.segmentation_var, cfg.segmentation_mode, cfg.max_locs_per_segment, seed=cfg.seed)
-    seg = Segmentation(_checkpointed(seg.assign), seg.segments, seg.params)
-    from ..operators.segment import _described
-
-    table = (_described(seg.assign, seg.params.get("min_n_locs_per_window", -1) != -1) if segmentation is None else seg.segments).orderBy("segment").toArrow()
+    rows = numbered(seg.assign)
+    seg = Segmentation(rows.drop(_ROW), seg.segments, seg.params)
+    table = (_described(rows, seg.params.get("min_n_locs_per_window", -1) != -1) if segmentation is None else seg.segments).orderBy("segment").toArrow()
     centers = np.array(table.column("center_frame").to_pylist(), float)
     if not len(centers):
         raise ValueError("no segment: there are too few localizations for the segmentation asked for")
-    valid = seg.assign.filter("valid")
+    valid = rows.filter("valid")
     expected = pair_estimate(valid, cfg.max_drift_nm).first()["n_pairs"]
-    if expected > cfg.max_pairs:
+    if cfg.max_pairs is not None and expected > cfg.max_pairs:
         raise ValueError(f"about {expected:,} pairs, more than max_pairs {cfg.max_pairs:,}: lower max_drift_nm or max_locs_per_segment")
-    blocks = PairBlocks(within_radius(valid, cfg.max_drift_nm, ("segment",)), len(centers))
+    if expected > MANY_PAIRS:
+        warnings.warn(f"about {expected:,} pairs: a lower max_drift_nm or max_locs_per_segment would be faster", stacklevel=3)
+    blocks = PairBlocks(within_radius(valid, cfg.max_drift_nm, ("segment",)), len(centers), cfg.local_bytes)
     return seg, centers, blocks, statistics(seg).first().asDict()
 
 
-def estimate_drift(locs: DataFrame, cfg: DriftConfig = DriftConfig(), segmentation: Segmentation | None = None) -> DriftResult:
-    """The drift of every frame from 0 to the last, and the localizations without it."""
+def estimate_drift(locs: DataFrame, cfg: DriftConfig = DriftConfig(), segmentation: Segmentation | None = None, rounds_to: str | None = None) -> DriftResult:
+    """The drift of every frame from 0 to the last, and the localizations without it.
+
+    ``rounds_to``: a folder to which every round of the optimizer adds its drift, as it ends.
+    """
+    from ..sources.sinks import write_intermediate
     from .optimize import anneal
 
     spark, sigma0 = locs.sparkSession, cfg.sigma0
     seg, centers, blocks, params = _prepared(locs, cfg, segmentation)
-    mu, trace = anneal(blocks.objective, len(centers), sigma0, cfg.target_sigma_nm, cfg.max_drift_nm * cfg.drift_max_bound_factor, cfg.boxcar_width, cfg.criterion, cfg.refine)
+
+    def keep(step: dict, mu: np.ndarray) -> None:
+        rows = [(step["iteration"], step["sigma"], step["failures"], k, float(f), *map(float, m)) for k, (f, m) in enumerate(zip(centers, mu, strict=True))]
+        write_intermediate(spark.createDataFrame(rows, "iteration int, sigma double, failures int, segment int, center_frame double, dx double, dy double, dz double"), rounds_to)
+
+    mu, trace = anneal(
+        blocks.objective, len(centers), sigma0, cfg.target_sigma_nm, cfg.max_drift_nm * cfg.drift_max_bound_factor, cfg.boxcar_width, cfg.criterion, cfg.refine,
+        optimizer=cfg.optimizer, on_failure=cfg.on_failure, on_round=keep if rounds_to else None,
+    )
     return _result(spark, locs, cfg, seg, centers, mu, trace, params | {"n_pairs": blocks.n_pairs} | asdict(cfg))
 
 
@@ -187,7 +207,8 @@ def _result(spark, locs, cfg, seg, centers, mu, trace, params) -> DriftResult:
     per_frame = interpolate(frames, centers, mu, cfg.interpolation_method)
     rows = [(k, float(f), *map(float, m)) for k, (f, m) in enumerate(zip(centers, mu, strict=True))]
     segments = spark.createDataFrame(rows, "segment int, center_frame double, dx double, dy double, dz double")
-    steps = spark.createDataFrame([tuple(t.values()) for t in trace], "iteration int, sigma double, delta double, cost double, evaluations int, good boolean")
+    names = ("iteration", "sigma", "delta", "cost", "evaluations", "good")
+    steps = spark.createDataFrame([tuple(t[c] for c in names) for t in trace], "iteration int, sigma double, delta double, cost double, evaluations int, good boolean")
     return DriftResult(seg, segments, per_frame, D.apply(locs, per_frame), steps, params)
 
 

@@ -6,6 +6,8 @@ label sites. F4: a drift of the segments in closed form. Floating sums are round
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,9 @@ from .operators import segment as S
 from .operators import smooth as W
 from .plans.estimate import estimate_drift, interpolate, refine_in_time
 from .schema import DRIFT, DriftConfig
+from .self_test import WITHIN_NM, recovered
 from .sources import readers, sinks, synthetic
+from .sources.scratch import scratch
 
 R, SIGMA, WINDOW, LEAST, CAP = 20.0, 6.0, 50, 200, 100
 
@@ -77,13 +81,34 @@ def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def _pairs(spark, sf) -> DataFrame:
-    return P.within_radius(windows(spark, sf).assign, R, ("segment",))
+    return P.within_radius(windows(spark, sf).assign, R, ("segment",), unique=True)  # F1 is keyed by event_id
 
 
 def _mu(spark, sf) -> DataFrame:
     return closed_drift(windows(spark, sf).segments)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads back."""
+    return f"{scratch(spark)}/files-{uuid.uuid4().hex}.csv"
+
+
+def observed_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """every user is a site on a grid of 400 nm, seen in the hours of its events, with an error of some nanometres
+    and the drift of ``slow_drift``.
+    """
+    u, f = F.col("user_id"), F.col("frame").cast("double")
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").cast("int")
+    rows = _table(spark, sf, "events").select(F.col("event_id").alias("loc_id"), hour.alias("frame"), "user_id", (F.pmod(F.floor("value"), F.lit(5)) - 2).alias("ex"), (F.pmod(F.col("event_id"), F.lit(5)) - 2).alias("ey"))
+    at = {"x": F.pmod(u, F.lit(17)) * 400.0 + F.col("ex") + 40 * F.sin(f / 180), "y": F.pmod(F.floor(u / 17), F.lit(17)) * 400.0 + F.col("ey") + 0.06 * f, "z": F.floor(u / 289) * 400.0 + 25 * F.cos(f / 150)}
+    return rows.select("loc_id", *(c.alias(a) for a, c in at.items()), "frame")
+
+
+def slow_drift(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.col("frame").cast("double")
+    return D.frame_axis_of(locs(spark, sf)).select("frame", (40 * F.sin(f / 180)).alias("dx"), (0.06 * f).alias("dy"), (25 * F.cos(f / 150)).alias("dz"))
+
+
 def _smoothed(spark, sf):
     return centers(spark, sf)
 
@@ -111,20 +136,27 @@ def sim_drift_frames(spark, sf):
 
 
 def csv_scan(spark, sf):
-    t = locs(spark, sf).select(F.col("loc_id").alias("id"), "frame", F.col("x").alias("x [nm]"), F.col("y").alias("y [nm]"))
-    return readers.essentials(t)
+    """F1 as a CSV file without z, written and scanned."""
+    path = _folder(spark)
+    locs(spark, sf).select(F.col("loc_id").alias("id"), "frame", F.col("x").alias("x [nm]"), F.col("y").alias("y [nm]"), F.lit("x").alias("note")).write.option("header", True).csv(path)
+    return readers.read(spark, path)
 
 
 def corrected_csv(spark, sf):
     t = locs(spark, sf).select(F.col("loc_id").alias("id"), "frame", F.col("x").alias("x [nm]"), F.col("y").alias("y [nm]"), F.col("z").alias("z [nm]"), (F.col("x") * 2).alias("intensity"))
     # multiples of 1/8, so that three decimals hold every value
     flat = frame_drift(spark, sf).select("frame", (F.floor(F.col("frame") / 10) / 8.0).alias("dx"), F.lit(0.5).alias("dy"), F.lit(-0.25).alias("dz"))
-    return sinks.corrected_csv(t, flat)
+    path = _folder(spark)
+    sinks.write_corrected_csv(t, flat, path, single=False)
+    back = readers._csv(spark, path)
+    return back.select(F.col("id").cast("long"), F.col("frame").cast("int"), *(F.col(f"`{c}`") for c in back.columns[2:]))
 
 
 def thunderstorm_export(spark, sf):
-    out = sinks.thunderstorm(locs(spark, sf))
-    return out.toDF("id", "frame", "x_nm", "y_nm", "z_nm")
+    path = _folder(spark)
+    sinks.write_thunderstorm(locs(spark, sf), path, single=False)
+    out = readers._csv(spark, path).toDF("id", "frame", "x_nm", "y_nm", "z_nm")
+    return out.withColumns({"id": F.col("id").cast("long"), "frame": F.col("frame").cast("int")})
 
 
 def molecule_set_export(spark, sf):
@@ -133,7 +165,9 @@ def molecule_set_export(spark, sf):
 
 
 def drift_csv(spark, sf):
-    return sinks.drift_csv(frame_drift(spark, sf))
+    path = _folder(spark)
+    sinks.write_drift_csv(frame_drift(spark, sf), path, single=False)
+    return readers._csv(spark, path, "frame double, x_nm double, y_nm double, z_nm double")
 
 
 def synthetic_template(spark, sf):
@@ -172,17 +206,17 @@ def seg_cap_choice(spark, sf):
 
 
 def pairs_radius(spark, sf):
-    p = P.within_radius(locs(spark, sf), R)
+    p = P.within_radius(locs(spark, sf), R, unique=True)
     return _round(p, "dx0", "dy0", "dz0")
 
 
 def pairs_radius_count(spark, sf):
-    return P.within_radius(locs(spark, sf), R).agg(F.count("*").alias("n_pairs"))
+    return P.within_radius(locs(spark, sf), R, unique=True).agg(F.count("*").alias("n_pairs"))
 
 
 def pairs_radius_flat(spark, sf):
     flat = locs(spark, sf).withColumn("z", F.lit(0.0))
-    return P.within_radius(flat, 5.0, flat=True).agg(F.count("*").alias("n_pairs"))
+    return P.within_radius(flat, 5.0, flat=True, unique=True).agg(F.count("*").alias("n_pairs"))
 
 
 def pairs_binned(spark, sf):
@@ -248,10 +282,14 @@ def interp_step(spark, sf):
 
 
 def _splined(method: str):
+    """Knots at the segments' centers, on a cubic (which not-a-knot splines give back) or on a line (natural ones)."""
+
     def query(spark, sf):
         rows = centers(spark, sf).orderBy("segment").toArrow()  # a row per segment
-        mu = list(zip(*(rows.column(c).to_pylist() for c in DRIFT), strict=True))
-        return _round(interpolate(D.frame_axis_of(locs(spark, sf)), rows.column("center_frame").to_numpy(), mu, method), *DRIFT)
+        at = rows.column("center_frame").to_numpy()
+        t = at / 100.0
+        mu = list(zip(*((t**3 - 4 * t * t, 2 * t * t - t, 3 - t) if method == "cubic" else (2 * t, 1 - t, 0.5 * t)), strict=True))
+        return _round(interpolate(D.frame_axis_of(locs(spark, sf)), at, mu, method), *DRIFT, digits=4)
 
     return query
 
@@ -281,33 +319,51 @@ def stride_subsample(spark, sf):
     return locs(spark, sf).filter(F.col("loc_id") % 10 == 0)
 
 
-_RECOVERY = DriftConfig(2, 2, None, 120, 100, 10)
+_RECOVERY = DriftConfig(2, 24, None, 120, 100, 10)
 
 
-def _recovered(spark):
-    truth = synthetic.waveform(spark, 40)
-    return estimate_drift(synthetic.sites_in_cube(spark, 500, 40, 120), _RECOVERY), truth
+def _recovered(spark, sf, cfg=_RECOVERY):
+    return estimate_drift(observed_sites(spark, sf), cfg)
 
 
-def drift_recovery(spark, sf):
-    result, truth = _recovered(spark)
-    return M.error(result.drift_frames, truth).select("error", (F.col("error") < 1.0).alias("ok"))
+def _recovery(cfg: DriftConfig):
+    """Whether the drift put into all events comes back within a nanometre."""
+
+    def query(spark, sf):
+        whole = observed_sites(spark, sf).agg(F.count("*").alias("n_locs"), F.max("frame").alias("last_frame"))
+        error = M.error(_recovered(spark, sf, cfg).drift_frames, slow_drift(spark, sf)).select((F.col("error") < WITHIN_NM).alias("ok"))
+        return whole.crossJoin(error)  # one row each
+
+    return query
+
+
+def drift_recovery_frames(spark, sf):
+    """Of every frame, whether its drift (less the mean) is within 5 nm of the one put in."""
+    side = lambda df, s: D.centered(df).select("frame", *(F.col(c).alias(f"{c}_{s}") for c in DRIFT))
+    both = side(_recovered(spark, sf).drift_frames, "a").join(side(slow_drift(spark, sf), "b"), "frame")
+    return both.select("frame", reduce(lambda p, q: p & q, [F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) < 5.0 for c in DRIFT]).alias("near"))
+
+
+def self_test(spark, sf):
+    """The self-test at its own size: 60,000 localizations of 500 frames."""
+    result, truth = recovered(spark)
+    return M.error(result.drift_frames, truth).select((F.col("error") < WITHIN_NM).alias("ok"))
 
 
 def optimizer_trace(spark, sf):
-    return _recovered(spark)[0].trace
+    return _recovered(spark, sf).trace
 
 
 def drift_frames(spark, sf):
-    return _recovered(spark)[0].drift_frames
+    return _recovered(spark, sf).drift_frames
 
 
 def corrected_locs(spark, sf):
-    return _recovered(spark)[0].corrected
+    return _recovered(spark, sf).corrected
 
 
 def drift_refined(spark, sf):
-    return refine_in_time(synthetic.sites_in_cube(spark, 400, 24, 100), DriftConfig(2, 2, None, None, 100, 10)).drift_segments
+    return refine_in_time(observed_sites(spark, sf), DriftConfig(2, 24, None, None, 100, 10)).drift_segments
 
 
 def drift_blinking(spark, sf):
@@ -317,7 +373,7 @@ def drift_blinking(spark, sf):
 
 
 def result_parameters(spark, sf):
-    return sinks.parameters(_recovered(spark)[0].params, spark)
+    return sinks.parameters(_recovered(spark, sf).params, spark)
 
 
 QUERIES = {
@@ -330,8 +386,8 @@ QUERIES = {
     "sim_drift_frames": sim_drift_frames,
     "synthetic_waveform": lambda s, d: synthetic.waveform(s, 500).transform(_round, *DRIFT),
     "synthetic_template": synthetic_template,
-    "synthetic_sites": lambda s, d: synthetic.sites_in_cube(s),
-    "synthetic_blinking": lambda s, d: synthetic.blinking(s),
+    "synthetic_sites": lambda s, d: synthetic.sites_in_cube(s).transform(_round, "x", "y", "z"),
+    "synthetic_blinking": lambda s, d: synthetic.blinking(s).transform(_round, "x", "y", "z"),
     "corrected_csv": corrected_csv,
     "thunderstorm_export": thunderstorm_export,
     "molecule_set_export": molecule_set_export,
@@ -382,7 +438,10 @@ QUERIES = {
     "drift_mean_abs_difference": _compared(M.mean_abs_difference, "mean_abs_difference"),
     "drift_range_ok": drift_range_ok,
     "dataset_summary": lambda s, d: M.summary(locs(s, d)),
-    "drift_recovery": drift_recovery,
+    "drift_recovery": _recovery(_RECOVERY),
+    "drift_recovery_on_executors": _recovery(replace(_RECOVERY, local_bytes=0)),
+    "drift_recovery_frames": drift_recovery_frames,
+    "self_test": self_test,
     "drift_frames": drift_frames,
     "corrected_locs": corrected_locs,
     "optimizer_trace": optimizer_trace,
@@ -467,6 +526,14 @@ def _catmull(c: str) -> str:
     return f"CASE WHEN r.k IS NULL THEN 0 ELSE 0.5::DOUBLE * (2 * {c}1 + ({c}2 - {c}0) * t + (2 * {c}0 - 5 * {c}1 + 4 * {c}2 - {c}3) * t * t + (3 * {c}1 - {c}0 - 3 * {c}2 + {c}3) * t * t * t) END"
 
 
+def _share(of: str, seed: int, salt: int) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', {of}, '{seed}', '{salt}')), 1, 10))::BIGINT / 1099511627776.0::DOUBLE)"
+
+
+def _normal(salt: int) -> str:
+    return f"sqrt(-2 * ln(1 - {_share('id', 1, salt)})) * cos(2 * pi() * {_share('id', 1, salt + 1)})"
+
+
 _KNOTS = "k AS (SELECT segment AS k, center_frame AS x1, lead(center_frame) OVER w AS x2, count(*) OVER () AS n, " + ", ".join(f"lag({d}) OVER w AS {d}0, {d} AS {d}1, lead({d}) OVER w AS {d}2, lead({d}, 2) OVER w AS {d}3" for d in DRIFT) + " FROM centers WINDOW w AS (ORDER BY center_frame))"
 
 ORACLES = {
@@ -479,6 +546,14 @@ ORACLES = {
     "sim_drift_frames": "SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS INT) AS frame, round(r_regionkey * 1.0::DOUBLE, 6) AS dx, round(r_regionkey * -2.0::DOUBLE, 6) + 0.0::DOUBLE AS dy, 0.0::DOUBLE AS dz FROM region",
     "synthetic_waveform": "WITH t AS (SELECT CAST(unnest(range(0, 500)) AS INT) AS frame), b AS (SELECT frame, (3 * sin(frame / 20.0::DOUBLE + 0.37::DOUBLE) + 1.25::DOUBLE * cos(frame / 6.0::DOUBLE + 1.2::DOUBLE) + frame / 25.0::DOUBLE) * 10 AS b FROM t) SELECT frame, round(b, 6) AS dx, round(b * 0.7::DOUBLE, 6) AS dy, round(b * -0.5::DOUBLE, 6) + 0.0::DOUBLE AS dz FROM b",
     "synthetic_template": "WITH f AS (SELECT CAST(unnest(range(0, 20)) AS INT) AS frame) SELECT CAST(frame * 1000000 + n_nationkey AS BIGINT) AS loc_id, round(n_nationkey * 5000.0::DOUBLE + 5 * sin(frame / 19.0::DOUBLE * (4 * pi())) + frame / 19.0::DOUBLE * 20, 6) + 0.0::DOUBLE AS x, round(n_regionkey * 5000.0::DOUBLE + frame / 19.0::DOUBLE * 5, 6) AS y, 0.0::DOUBLE AS z, frame FROM nation, f",
+    "synthetic_sites": f"WITH l AS (SELECT CAST(id AS BIGINT) AS loc_id, CAST(id // 120 AS INT) AS frame, CAST(floor({_share('id', 123, 0)} * 1000) AS BIGINT) AS site FROM (SELECT unnest(range(0, 60000)) AS id)), b AS (SELECT *, (3 * sin(frame / 20.0::DOUBLE + 0.37::DOUBLE) + 1.25::DOUBLE * cos(frame / 6.0::DOUBLE + 1.2::DOUBLE) + frame / 25.0::DOUBLE) * 10 AS b FROM l) SELECT loc_id, " + ", ".join(f"round({_share('site', 123, k + 1)} * 1000 + b * {f}::DOUBLE, 6) + 0.0::DOUBLE AS {a}" for k, (a, f) in enumerate((("x", 1.0), ("y", 0.7), ("z", -0.5)))) + ", frame FROM b",
+    "synthetic_blinking": f"WITH m AS (SELECT id, id // 40 AS m, CAST(floor({_share('id', 1, 9)} * 100) AS INT) AS frame FROM (SELECT unnest(range(0, 800)) AS id)) SELECT CAST(id AS BIGINT) AS loc_id, " + ", ".join(f"round({_share('m', 1, 20 + k)} * 10 + {_normal(30 + 2 * k)} * 0.05::DOUBLE + frame / 100.0::DOUBLE * {f * 0.05}::DOUBLE, 6) + 0.0::DOUBLE AS {a}" for k, (a, f) in enumerate((("x", 2.0), ("y", 5.0), ("z", -3.0)))) + ", frame FROM m",
+    "interp_cubic": f"WITH {_LOCS}, {_AXIS}, t AS (SELECT frame, frame / 100.0::DOUBLE AS t FROM axis) SELECT frame, round(t * t * t - 4 * t * t, 4) + 0.0::DOUBLE AS dx, round(2 * t * t - t, 4) + 0.0::DOUBLE AS dy, round(3 - t, 4) + 0.0::DOUBLE AS dz FROM t",
+    "interp_natural": f"WITH {_LOCS}, {_AXIS}, t AS (SELECT frame, frame / 100.0::DOUBLE AS t FROM axis) SELECT frame, round(2 * t, 4) + 0.0::DOUBLE AS dx, round(1 - t, 4) + 0.0::DOUBLE AS dy, round(0.5::DOUBLE * t, 4) + 0.0::DOUBLE AS dz FROM t",
+    "drift_recovery": f"WITH {_LOCS} SELECT count(*) AS n_locs, max(frame) AS last_frame, true AS ok FROM locs",
+    "drift_recovery_on_executors": f"WITH {_LOCS} SELECT count(*) AS n_locs, max(frame) AS last_frame, true AS ok FROM locs",
+    "drift_recovery_frames": f"WITH {_LOCS}, {_AXIS} SELECT frame, true AS near FROM axis",
+    "self_test": "SELECT true AS ok",
     "corrected_csv": f"""WITH {_LOCS} SELECT loc_id AS id, frame, printf('%.3f', x - floor(frame / 10.0::DOUBLE) / 8.0::DOUBLE) AS "x [nm]", printf('%.3f', y - 0.5::DOUBLE) AS "y [nm]", printf('%.3f', z + 0.25::DOUBLE) AS "z [nm]", printf('%.3f', x * 2) AS intensity FROM locs""",
     "thunderstorm_export": f"WITH {_LOCS} SELECT loc_id AS id, frame, printf('%.3f', x) AS x_nm, printf('%.3f', y) AS y_nm, printf('%.3f', z) AS z_nm FROM locs",
     "molecule_set_export": f"WITH {_LOCS} SELECT round((y / 160)::FLOAT::DOUBLE, 4) AS \"X_POS_PIXELS\", round((x / 160)::FLOAT::DOUBLE, 4) AS \"Y_POS_PIXELS\", round((z / 160)::FLOAT::DOUBLE, 4) AS \"Z_POS_PIXELS\", round((5.0::DOUBLE / 160)::FLOAT::DOUBLE, 4) AS \"PRECISION_XY_PIXELS\", round(0.1::FLOAT::DOUBLE, 4) AS \"PRECISION_Z_PIXELS\", 1000.0::DOUBLE AS \"PHOTONS\", 0::INT AS \"CHANNEL\", frame AS \"FRAME_NUMBER\", loc_id::INT AS \"INDEX\" FROM locs",

@@ -40,7 +40,7 @@ def essentials(df: DataFrame) -> DataFrame:
     """The localization columns of a table with ThunderSTORM headers."""
     if missing := [c for c in (FRAME, *CSV_AXES[:2]) if c not in df.columns]:
         raise KeyError(f"no column {missing[0]!r}")
-    number = F.col("id").cast("long") if "id" in df.columns else F.monotonically_increasing_id()
+    number = F.col("id").cast("long") if "id" in df.columns else F.monotonically_increasing_id()  # the pair search numbers rows for itself
     z = F.col(f"`{CSV_AXES[2]}`").cast("double") if CSV_AXES[2] in df.columns else F.lit(0.0)
     return df.select(number.alias("loc_id"), *(F.col(f"`{c}`").cast("double").alias(c[0]) for c in CSV_AXES[:2]), z.alias("z"), F.col(FRAME).cast("double").cast("int").alias("frame"))
 
@@ -92,9 +92,14 @@ def ideal_positions(locs: DataFrame, sites: DataFrame, drift: DataFrame) -> Data
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """By ending: .csv, or .parquet / .h5 for a molecule set's folder; anything else is a ValueError."""
+    """By ending: .csv, or .parquet for a molecule set's folder; anything else is a ValueError.
+
+    .h5 files need a library that Spark does not have: they are refused with the way out.
+    """
     if path.endswith(".csv"):
         return read_thunderstorm(spark, path)
-    if path.endswith((".parquet", ".h5")):
+    if path.endswith(".parquet"):
         return read_molecule_set(spark, path)
-    raise ValueError(f"{path}: neither .csv nor .h5 nor .parquet")
+    if path.endswith(".h5"):
+        raise ValueError(f"{path}: HDF5 can't be read here; write its datatable and meta as Parquet to a folder named *.parquet")
+    raise ValueError(f"{path}: neither .csv nor .parquet")

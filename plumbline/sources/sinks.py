@@ -86,8 +86,10 @@ def parameters(params: dict, spark) -> DataFrame:
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(params.items())], "key string, value string")
 
 
-def write_details(result, path: str) -> None:
-    """Tables drift_segments, drift_frames, parameters and trace of a finished run."""
+def write_details(result, path: str, truth: DataFrame | None = None) -> None:
+    """Tables drift_segments, drift_frames, parameters and trace of a finished run, and the true drift where it is known."""
+    if truth is not None:
+        truth.write.mode("overwrite").parquet(f"{path}/drift_truth")
     result.drift_segments.write.mode("overwrite").parquet(f"{path}/drift_segments")
     result.drift_frames.write.mode("overwrite").parquet(f"{path}/drift_frames")
     parameters(result.params, result.drift_frames.sparkSession).write.mode("overwrite").parquet(f"{path}/parameters")

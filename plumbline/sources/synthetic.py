@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,19 @@ def waveform(spark: SparkSession, n_frames: int = 500) -> DataFrame:
     return spark.range(n_frames).select(F.col("id").cast("int").alias("frame"), base.alias("dx"), (base * 0.7).alias("dy"), (base * -0.5).alias("dz"))
 
 
+def share(of: Column, seed: int, salt: int) -> Column:
+    """A number from 0 up to 1 for each value, from the first 40 bits of a digest: the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", of.cast("string"), F.lit(str(seed)), F.lit(str(salt)))), 1, 10), 16, 10).cast("double") / float(1 << 40)
+
+
 def sites_in_cube(spark: SparkSession, n_sites: int = 1000, n_frames: int = 500, per_frame: int = 120, seed: int = 123) -> DataFrame:
     """Localizations of sites in a cube of 1000 nm, each frame seeing ``per_frame`` of them at random, drifted by the waveform.
 
     Every row's site follows from its number, so that lost tasks make the same rows again.
     """
-    share = lambda salt, of: F.pmod(F.xxhash64(of, F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
-    rows = spark.range(n_frames * per_frame).select(F.col("id").alias("loc_id"), F.floor(F.col("id") / per_frame).cast("int").alias("frame"), F.floor(share(0, F.col("id")) * n_sites).alias("site"))
+    rows = spark.range(n_frames * per_frame).select(F.col("id").alias("loc_id"), F.floor(F.col("id") / per_frame).cast("int").alias("frame"), F.floor(share(F.col("id"), seed, 0) * n_sites).alias("site"))
     at = rows.join(waveform(spark, n_frames), "frame")
-    return at.select("loc_id", *((share(k + 1, F.col("site")) * 1000.0 + F.col(f"d{a}")).alias(a) for k, a in enumerate("xyz")), "frame")
+    return at.select("loc_id", *((share(F.col("site"), seed, k + 1) * 1000.0 + F.col(f"d{a}")).alias(a) for k, a in enumerate("xyz")), "frame")
 
 
 def template(spark: SparkSession, sites: DataFrame, n_frames: int = 20) -> DataFrame:
@@ -38,7 +42,6 @@ def template(spark: SparkSession, sites: DataFrame, n_frames: int = 20) -> DataF
 def blinking(spark: SparkSession, n_molecules: int = 20, per_molecule: int = 40, n_frames: int = 100, precision: float = 0.05, size: float = 10.0, seed: int = 1) -> DataFrame:
     """Molecules in a box, each seen at random times with Gaussian error, under a linear drift of 2, 5 and -3 precisions."""
     rows = spark.range(n_molecules * per_molecule).select(F.col("id").alias("loc_id"), F.floor(F.col("id") / per_molecule).alias("m"))
-    share = lambda salt, of: (F.pmod(F.xxhash64(of, F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    normal = lambda salt: F.sqrt(-2 * F.log(share(salt, F.col("loc_id")))) * F.cos(2 * math.pi * share(salt + 1, F.col("loc_id")))
-    rows = rows.withColumn("frame", F.floor(share(9, F.col("loc_id")) * n_frames).cast("int"))
-    return rows.select("loc_id", *((share(20 + k, F.col("m")) * size + normal(30 + 2 * k) * precision + F.col("frame") / float(n_frames) * (f * precision)).alias(a) for k, (a, f) in enumerate((("x", 2.0), ("y", 5.0), ("z", -3.0)))), "frame")
+    normal = lambda salt: F.sqrt(-2 * F.log(1 - share(F.col("loc_id"), seed, salt))) * F.cos(2 * math.pi * share(F.col("loc_id"), seed, salt + 1))
+    rows = rows.withColumn("frame", F.floor(share(F.col("loc_id"), seed, 9) * n_frames).cast("int"))
+    return rows.select("loc_id", *((share(F.col("m"), seed, 20 + k) * size + normal(30 + 2 * k) * precision + F.col("frame") / float(n_frames) * (f * precision)).alias(a) for k, (a, f) in enumerate((("x", 2.0), ("y", 5.0), ("z", -3.0)))), "frame")

@@ -1,5 +1,6 @@
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from plumbline.operators import metrics as M
 from plumbline.operators import pairs as P
 from plumbline.operators import segment as S
 from plumbline.plans import estimate as E
-from plumbline.plans.optimize import anneal, minimise, reflect_boxcar
+from plumbline.plans.optimize import anneal, minimise, one_level, optimized, reflect_boxcar
 from plumbline.schema import LOCS, DriftConfig
 from plumbline.sources import readers, sinks, synthetic
 
@@ -73,6 +74,33 @@ def test_pairs_equal_brute_force(spark, radius):
     assert got == want and (900, 901) in got
 
 
+@pytest.mark.parametrize("flat", [False, True])
+def test_rows_that_share_an_id_are_paired(spark, flat):
+    """Rows are paired, not ids: in one cell or across, with null ids and with rows repeated as a whole."""
+    r = random.Random(9)
+    rows = [(r.choice((None, 1, 2, 2, 3)), round(r.uniform(-9, 9), 1), round(r.uniform(-9, 9), 1), 0.0 if flat else round(r.uniform(-9, 9), 1), 0) for _ in range(90)]
+    rows += rows[:20] + [(1, 0.5, 0.0, 0.0, 0), (1, 1.0, 0.0, 0.0, 0), (2, -0.5, 0.0, 0.0, 0), (2, 0.25, 0.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "loc_id long, x double, y double, z double, frame int")
+    got = sorted(((p.loc_i, p.loc_j, round(abs(p.dx0), 6), round(abs(p.dy0), 6), round(abs(p.dz0), 6)) for p in P.within_radius(df, 1.5, flat=flat).collect()), key=str)
+    want = []
+    for k, a in enumerate(rows):
+        for b in rows[:k]:
+            if sum((a[c] - b[c]) ** 2 for c in (1, 2, 3)) <= 1.5 * 1.5:
+                i, j = sorted((a[0], b[0]), key=lambda v: (v is None, v or 0))
+                want.append((i, j, *(round(abs(a[c] - b[c]), 6) for c in (1, 2, 3))))
+    assert got == sorted(want, key=str) and len(want) > 30
+
+
+def test_pairs_on_cell_edges(spark):
+    """Distances of just the radius, coordinates on the edges of cells, and far from the origin."""
+    for far in (0.0, 1e6, -1e7):
+        rows = [(k, far + 2.5 * (k % 5), -2.5 * (k // 5 % 3), 2.5 * (k // 15), 0) for k in range(45)]
+        got = {(p.loc_i, p.loc_j) for p in P.within_radius(frame_of(spark, rows), 2.5, unique=True).collect()}
+        got5 = {(p.loc_i, p.loc_j) for p in P.within_radius(frame_of(spark, rows), 5.0).collect()}
+        near = lambda r: {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and sum((a[c] - b[c]) ** 2 for c in (1, 2, 3)) <= r * r}
+        assert got == near(2.5) and got5 == near(5.0) and got and got5
+
+
 def test_pair_join_is_an_equi_join(spark):
     plan = P.within_radius(frame_of(spark, cloud(20)), 5.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "cx" in plan and "Cross" not in plan
@@ -94,7 +122,7 @@ def test_block_path_equals_sql_path_and_finite_differences(spark):
     blocks.local = None  # the distributed evaluation
     job, h = blocks.objective(9.0)(mu.ravel())
     assert job == pytest.approx(value) and h == pytest.approx(g)
-    blocks.local = [np.frombuffer(b, E._PAIR) for b in blocks.blocks.toArrow().column("block").to_pylist()]
+    blocks.local = [E.Block(b) for b in blocks.blocks.toArrow().column("block").to_pylist()]
     f = blocks.objective(9.0)
     for k in (0, 7, 17):
         d = np.zeros(18)
@@ -226,12 +254,62 @@ def test_refuses_too_many_pairs_and_too_small_sigma(spark):
     locs = frame_of(spark, cloud(80))
     with pytest.raises(ValueError, match="pairs"):
         E.estimate_drift(locs, DriftConfig(2, 1, max_pairs=10))
+    assert DriftConfig().max_pairs is None  # opt-in
     with pytest.raises(ValueError, match="sigma"):
         E.estimate_drift(locs, DriftConfig(2, 1, max_drift_nm=2))
     with pytest.raises(ValueError, match="no segment"):
         E.estimate_drift(locs, DriftConfig(1, 1000))
 
 
+def test_estimates_on_executors_and_driver_agree(spark, tmp_path):
+    locs = synthetic.sites_in_cube(spark, 100, 16, 60)
+    cfg = DriftConfig(2, 2, None, 60, 100, 30)
+    here = E.estimate_drift(locs, cfg, rounds_to=str(tmp_path / "rounds"))
+    there = E.estimate_drift(locs, replace(cfg, local_bytes=0))
+    values = lambda r: np.array([x[2:] for x in r.drift_segments.orderBy("segment").collect()])
+    assert values(there) == pytest.approx(values(here), abs=1e-3)
+    rounds = spark.read.parquet(str(tmp_path / "rounds"))
+    assert rounds.select("iteration").distinct().count() == here.trace.count() and rounds.count() == 8 * here.trace.count()
+
+
+def test_unbounded_minimiser_and_one_level():
+    centre = np.array([0.3, 9.0, -9.0])
+    bowl = lambda v: (float(((v - centre) ** 2).sum()), 2 * (v - centre))
+    x, _, good, calls = optimized(bowl, np.zeros(3), 2.0, "bfgs")
+    assert good and x == pytest.approx(centre, abs=1e-5) and calls < 100
+    assert one_level(bowl, np.zeros((1, 3)), 5.0) == pytest.approx(np.array([[0.3, 5.0, -5.0]]), abs=1e-5)
+    with pytest.raises(ValueError):
+        optimized(bowl, np.zeros(3), 2.0, "newton")
+
+
+def test_restart_from_no_drift_after_the_second_failure():
+    seen = []
+
+    def broken(sigma):
+        def f(v):
+            seen.append((sigma, v.copy()))
+            return float("nan"), np.ones_like(v)
+
+        return f
+
+    mu, trace = anneal(broken, 2, 10.0, 1.0, 5.0, start=np.ones((2, 3)), on_failure="restart")
+    assert len(trace) == 6 and not any(t["good"] for t in trace) and mu == pytest.approx(0)
+    first = [v for s, v in seen if s == 10.0]
+    assert first and first[0] == pytest.approx(1) and {s for s, _ in seen} == {10.0, 20.0}
+
+
+def test_spline_needs_four_segments(spark):
+    few, more = (np.array([1.0, 4.0, 6.0, 9.0])[:n] for n in (3, 4))
+    mu = np.array([[0.0] * 3, [4.0] * 3, [1.0] * 3, [2.0] * 3])
+    at = lambda c, m: [r[1:] for r in E.interpolate(D.frame_axis(spark, 9), c, mu[: len(c)], m).orderBy("frame").collect()]
+    assert at(few, "spline") == at(few, "linear") and at(more, "spline") == at(more, "cubic")
+
+
+def test_hdf5_is_refused_with_the_way_out(spark):
+    with pytest.raises(ValueError, match="Parquet"):
+        readers.read(spark, "table.h5")
+
+
 def test_one_segment_is_a_constant(spark):
     with pytest.warns(UserWarning):
         result = E.estimate_drift(frame_of(spark, cloud(40)), DriftConfig(2, 100, max_drift_nm=30))

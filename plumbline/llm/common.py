@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import cut, scratch  # noqa: F401  (the operators take both from here)
+
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
 #: The bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -25,15 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: lineage ends here, and it survives lost executors.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local one is made.
-    """
-    scratch(df.sparkSession)
-    return df.checkpoint()
-
-
 def parts(df: DataFrame) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -146,21 +138,6 @@ def packed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for written tables: the checkpoint folder that the cluster names.
-
-    Without one, a local folder is made where the whole of Spark runs on this machine; elsewhere executors could not
-    share it, and that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline"))
-    return sc.getCheckpointDir()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder, and read from there."""
     path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"

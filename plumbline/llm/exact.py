@@ -3,12 +3,15 @@
 Texts are equal when they are identical after every run of ASCII white space is one space. Each row's digest (SHA-256
 of the normalised UTF-8 text) is computed by built-in functions in one scan and cut to the shared folder; texts are
 never shuffled. Every input partition first folds its own repeats (so that a hot text arrives once per partition, not
-once per row), then digests are dealt by value to index shards. A shard's cuckoo filter answers "seen before?" from
-16-bit fingerprints; a hit is verified against the full digests stored with the bucket's slots; an insertion that
-finds no room doubles the table and fills it again from the stored keys. Digests whose live count falls to nought are
-deleted from the filter.
-
-Nulls: a null text is empty; a null id ranks after all others. Rows that repeat id and text: one of them stays.
+once per row), then digests are dealt by value to index shards, in order within each. A shard's cuckoo filter answers "seen
+before?" from 16-bit fingerprints; a hit is verified against the full digests stored with the bucket's slots; an
+insertion that finds no room doubles the table and fills it again from the stored keys. As digests come in order, those
+of a range are complete when a later one arrives: every ``RANGE_MOST`` digests the range is passed on and deleted from
+the filter, so that an index holds a range and never a shard, however large that is. Digests whose live count has fallen
+to nought are deleted and not passed on.
+
+Nulls: a null text is empty; a null id ranks after all others (any long is a legal id). Rows that repeat id and text:
+one of them stays. Texts of any length are digested whole.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from .common import cut, keep_rows, parts, table
 SLOTS, KICKS = 4, 200
 #: Digests that a partition folds before it passes them on.
 FOLD_MOST = 200_000
-NO_ID = (1 << 63) - 1
+#: Digests that an index shard holds at a time.
+RANGE_MOST = 200_000
+#: Ranks of ids: real ones by value, then null, then those of deleted rows.
+REAL, NULL, GONE = 0, 1, 2
 
 
 class CuckooIndex:
@@ -111,40 +117,34 @@ class CuckooIndex:
         return (e for e in self.entries if e is not None)
 
 
-_FOLDED = pa.schema([("digest", pa.binary()), ("first_id", pa.int64()), ("first_row", pa.int64()), ("live", pa.int64())])
-_FOLDED_DDL = "digest binary, first_id long, first_row long, live long"
-
-
-def _out(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, _FOLDED.types, strict=True)], schema=_FOLDED)
+_FOLDED = pa.schema([("digest", pa.binary()), ("rank", pa.int32()), ("first_id", pa.int64()), ("first_row", pa.int64()), ("live", pa.int64())])
+_FOLDED_DDL = "digest binary, rank int, first_id long, first_row long, live long"
 
 
-def _index(batches: Iterator[pa.RecordBatch], most: int | None, keep: int) -> Iterator[pa.RecordBatch]:
-    """Folds rows of one digest into one; passes on what it has when it holds ``most`` digests, and at the end.
+def _index(batches: Iterator[pa.RecordBatch], most: int, ordered: bool, keep: int = 1) -> Iterator[pa.RecordBatch]:
+    """Folds rows of one digest into one, with the first by rank, id and row, and the sum of their counts.
 
-    Rows with a count under one are deletions; a digest with none left goes from the index when the input ends.
+    When the index holds ``most`` digests, all of them are passed on and deleted from it. Where the input is ``ordered``
+    by digest, they are complete then, and those with a count under ``keep`` are not passed on.
     """
     index = CuckooIndex()
 
     def flush():
-        rows = []
-        for digest, (best, live) in list(index):
-            if most is None and live <= 0:
-                index.delete(digest)
-            elif live >= keep or most is not None:
-                rows.append((digest, *best, live))
-        return [_out(rows[i : i + 50_000]) for i in range(0, len(rows), 50_000)]
+        rows = [(digest, *best, live) for digest, (best, live) in index if live >= keep or not ordered]
+        for digest in [digest for digest, _ in index]:
+            index.delete(digest)
+        for lo in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 50_000], strict=True), _FOLDED.types, strict=True)], schema=_FOLDED)
 
     for batch in batches:
-        for digest, i, row, live in zip(*(batch.column(c).to_pylist() for c in _FOLDED.names), strict=True):
+        for digest, rank, i, row, live in zip(*(batch.column(c).to_pylist() for c in _FOLDED.names), strict=True):
             was = index.find(digest)
-            if was is None:
-                index.insert(digest, ((i, row), live))
-            else:
-                index.replace(digest, (min(was[0], (i, row)), was[1] + live))
-        if most and index.size >= most:
-            yield from flush()
-            index = CuckooIndex()
+            if was is not None:
+                index.replace(digest, (min(was[0], (rank, i, row)), was[1] + live))
+                continue
+            if index.size >= most:
+                yield from flush()
+            index.insert(digest, ((rank, i, row), live))
     yield from flush()
 
 
@@ -167,16 +167,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = deleted.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("gone")).distinct() if deleted is not None else None
     base = base.join(gone, "id", "left") if gone is not None else base.withColumn("gone", F.lit(None).cast("boolean"))
     dead = F.coalesce("gone", F.lit(False))
-    rows = base.select("digest", F.when(dead, NO_ID).otherwise(F.coalesce("id", F.lit(NO_ID))).alias("first_id"), F.when(dead, NO_ID).otherwise(F.col("row")).alias("first_row"), F.lit(1).cast("long").alias("live"))
+    rank = F.when(dead, GONE).when(F.col("id").isNull(), NULL).otherwise(REAL)
+    rows = base.select("digest", rank.alias("rank"), F.coalesce("id", F.lit(0)).alias("first_id"), F.col("row").alias("first_row"), F.lit(1).cast("long").alias("live"))
     if gone is not None:
-        rows = rows.unionByName(base.filter(dead).select("digest", F.lit(NO_ID).alias("first_id"), F.lit(NO_ID).alias("first_row"), F.lit(-1).cast("long").alias("live")))
-    folded = rows.mapInArrow(lambda batches: _index(batches, FOLD_MOST, 1), _FOLDED_DDL)
-    shards = folded.repartition(parts(docs), "digest")
-    groups = shards.mapInArrow(lambda batches: _index(batches, None, 2), _FOLDED_DDL)
-    if gone is not None:  # a digest's last live row must be told from one that was never live
-        groups = shards.mapInArrow(lambda batches: _index(batches, None, 1), _FOLDED_DDL)
+        rows = rows.unionByName(rows.filter(F.col("rank") == GONE).withColumn("live", F.lit(-1).cast("long")))
+    # a digest without a group is that of a single row; with deletions, a single live row must be told from none
+    fold, span, keep = FOLD_MOST, RANGE_MOST, 2 if gone is None else 1
+    folded = rows.mapInArrow(lambda batches: _index(batches, fold, False), _FOLDED_DDL)
+    shards = folded.repartition(parts(docs), "digest").sortWithinPartitions("digest")
+    groups = shards.mapInArrow(lambda batches: _index(batches, span, True, keep), _FOLDED_DDL)
     alone = F.col("live").isNull()
-    first = F.when(F.col("first_id") == NO_ID, None).otherwise(F.col("first_id"))
+    first = F.when(F.col("rank") == REAL, F.col("first_id"))
     return base.join(groups, "digest", "left").select(
         F.col("id").alias(id_col),
         F.when(dead, None).when(alone, F.col("id")).otherwise(first).alias("keep_id"),

@@ -6,7 +6,7 @@ candidates for it. Viterbi over the words of a text, with a fixed penalty for a
 label; neighbouring words of one label are a span. Texts of a slice run side by side, one step a word, so the time goes
 with the words and not with Python calls per word.
 
-Training reads at most ``TRAIN_ROWS`` labelled texts (a documented bound; those with the smallest id hashes), counted
+Training reads the labelled texts of at most ``TRAIN_ROWS`` ids (a documented bound; the smallest id hashes), counted
 partition by partition into one table per language. Nulls: a null text is ``und`` with score 0, as is one without a
 letter; null languages are not learned from. Repeated rows are labelled one by one. Ties go to the language that sorts
 first. With nothing to learn from, every text is ``und``. Texts may have any length, and languages any number.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, cut, extend, lower, sample_of, steps, table, word_bounds
 
-#: Rows, at most, that the model learns from.
+#: Ids, at most, whose rows the model learns from.
 TRAIN_ROWS = 4000
 BITS = 16
 #: Cost of a change of language between two words, in nats.
@@ -67,9 +67,18 @@ def _words(data: np.ndarray, at: np.ndarray):
 
 
 def _count(batches):
-    """Trigram and script counts per language, one row for each language of the partition."""
+    """Trigram and script counts per language; tables of many languages are passed on before they are many more."""
     grams: dict[str, np.ndarray] = {}
+
+    def out():
+        for lang, g in grams.items():
+            i = np.flatnonzero(g)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * i.size), pa.array(i), pa.array(g[i])], names=["lang", "i", "n"])
+        grams.clear()
+
     for batch in batches:
+        if len(grams) > 64:
+            yield from out()
         for part, data, at in steps(batch, "text"):
             starts, ends, first, gram, letter, script = _words(data, at)
             for k, lang in enumerate(part.column("lang").to_pylist()):
@@ -78,9 +87,7 @@ def _count(batches):
                 g[: 1 << BITS] += np.bincount(gram[lo:hi][letter[lo:hi]], minlength=1 << BITS)
                 s = script[first[k] : first[k + 1]]
                 g[1 << BITS :] += np.bincount(s[s >= 0], minlength=len(SCRIPTS))
-    for lang, g in grams.items():
-        i = np.flatnonzero(g)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * i.size), pa.array(i), pa.array(g[i])], names=["lang", "i", "n"])
+    yield from out()
 
 
 class Model:

@@ -4,10 +4,10 @@ Features of a text are its words, pairs of neighbouring words, and the same of t
 digits and other bytes as classes, runs as one), hashed to 2**18 weights. A text's score is the sparse dot product of
 its feature shares with the weights. Words are found and hashed for a megabyte of text at a time by array operations.
 
-Training reads at most ``TRAIN_ROWS`` labelled texts (a documented bound; those with the smallest id hashes) in one
-task, in hash order, so that a lost task trains the same model again. The weights (1 MB) travel with the scoring tasks.
+Training reads at most ``TRAIN_ROWS`` labelled texts (a documented bound; those with the smallest hashes of ids, ids and
+texts, however often an id repeats) in one task, in that order, so that a lost task trains the same model again. The weights (1 MB) travel with the scoring tasks.
 Nulls: a null text is empty and gets the score of the bias; null labels and ids are not learned from. A document with
-several labels counts as 1 if any is 1.
+several labels counts as 1 if any is 1. Repeated rows are scored one by one; equal scores are equal chances.
 """
 
 from __future__ import annotations
@@ -82,10 +82,10 @@ class Ftrl:
 
 
 def _train(batches):
-    rows = [(h, i, t, y) for b in batches for h, i, t, y in zip(*(b.column(c).to_pylist() for c in ("h", "id", "text", "y")), strict=True)]
-    rows.sort(key=lambda r: r[:2])
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("h", "id", "t", "text", "y")), strict=True)]
+    rows.sort(key=lambda r: r[:3])
     ready = []
-    for _, _, text, y in rows:
+    for *_, text, y in rows:
         index, _ = features(*text_bytes(pa.array([text or ""])))
         i, n = np.unique(index, return_counts=True)
         ready.append((i, SCALE * n / max(1, index.size), float(y)))
@@ -100,9 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Weights, bias last, learned from the labelled rows (at most ``most`` of them)."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     chosen = cut(sample_of(known, "id", most))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `most` rows
-    rows = texts.select(F.xxhash64("id").alias("h"), "id", "text", F.col("y").cast("double").alias("y"))
-    got = rows.repartition(1).mapInArrow(_train, "weights binary").first()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # of at most `most` ids
+    rows = texts.select(F.xxhash64("id").alias("h"), "id", "text", F.xxhash64("text").alias("t"), F.col("y").cast("double").alias("y"))
+    got = rows.orderBy("h", "id", "t").limit(most).repartition(1).mapInArrow(_train, "weights binary").first()
     return np.frombuffer(got["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 

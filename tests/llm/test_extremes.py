@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact, language, near, pii, secrets
+from plumbline.llm import bpe, exact, language, near, pii, quality, secrets
 
 from .test_operators import docs_of, personal
 
@@ -179,3 +179,46 @@ def test_rows_repeated_as_a_whole_are_kept_once(spark):
     rows = [(1, "a b")] * 500 + [(None, "a b")] * 500 + [(2, "c")] + [(None, "d")] * 3
     kept = exact.one_of_each_text(docs_of(spark, rows).repartition(4)).collect()
     assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted([(1, "a b"), (2, "c"), (None, "d")], key=str)
+
+
+# ---- exact copies ------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_indexes_of_small_ranges(spark, monkeypatch, most):
+    """However few digests an index holds at a time, the groups are the same."""
+    monkeypatch.setattr(exact, "FOLD_MOST", most)
+    monkeypatch.setattr(exact, "RANGE_MOST", most)
+    r = random.Random(5)
+    top = (1 << 63) - 1
+    rows = [(r.choice((None, top, k % 90, k)), f"text {r.randrange(60)}") for k in range(400)] + [(None, "only null"), (None, "only null"), (top, "only top"), (top, "only top")]
+    got = exact.exact_dedup(docs_of(spark, rows).repartition(5)).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    by = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    assert len(got) == len(rows) and sum(x.kept for x in got) == len(groups)
+    for x in got:
+        real = [i for i in by[x.text_sha256] if i is not None]
+        assert (x.group_size, x.keep_id) == (len(by[x.text_sha256]), min(real) if real else None)
+    gone = spark.createDataFrame([(k,) for k in range(0, 400, 3)], "doc_id long")
+    left = exact.exact_dedup(docs_of(spark, rows).repartition(5), deleted=gone).collect()
+    still = {t: [i for i in ids if i is None or not (i < 400 and i % 3 == 0)] for t, ids in groups.items()}
+    by = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in still.items()}
+    assert sum(x.kept for x in left) == sum(bool(v) for v in still.values())
+    for x in left:
+        if x.group_size:
+            real = [i for i in by[x.text_sha256] if i is not None]
+            assert (x.group_size, x.keep_id) == (len(by[x.text_sha256]), min(real) if real else None)
+
+
+def test_exact_copies_of_a_long_text(spark):
+    long = "word  \t" * (MB // 7)
+    got = exact.exact_dedup(docs_of(spark, [(2, long), (1, long.replace("\t", " ")), (3, long + "x")])).collect()
+    assert sorted((x.doc_id, x.keep_id, x.kept) for x in got) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+# ---- quality -----------------------------------------------------------------------------------------------------------
+def test_an_id_that_repeats_is_read_within_the_bound(spark):
+    docs = docs_of(spark, [(1, f"good words {k}") for k in range(500)] + [(2, "bad")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    few = [quality.fit(docs.repartition(n), labels, most=50) for n in (1, 6)]
+    assert (few[0] == few[1]).all() and few[0].any()

@@ -22,14 +22,22 @@ with one anchor do not enter step 2 at all, for their anchor is known to be shar
 smaller id in the same group is known to be removed and is not dealt. A hot anchor's windows are dealt by their own
 hashes instead of the anchor, so that those at the passage's edges, which differ from document to document, spread.
 
-Nulls: a null text is empty; a null id ranks after all others, and null ids do not precede each other. Rows that
-repeat an id never remove each other's bytes. Texts under 50 bytes stay.
+Memory: the shuffles have as many partitions as the bytes of the texts ask for (``PART_BYTES``). A task of step 2 passes
+the rows of a hot anchor on as soon as it is known to be hot; a task of step 4 folds equal fragments of one key to that
+of the smallest id whenever it holds a shard of them, so that a window common to the corpus is held once.
+
+Nulls: a null text is empty; a null id ranks after all others (an id of 2**63 - 1 ranks the same), and null ids do not
+precede each other. Rows that repeat an id never remove each other's bytes. Texts under 50 bytes stay. Ties: windows of
+one id are judged by smaller ids alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +53,24 @@ GROUP_BYTES, DEALT_BYTES = 8 * STEP_BYTES, 32 * STEP_BYTES
 #: An anchor that so many documents of one group have is hot, as is one with so many rows in all.
 HOT_IN_GROUP, HOT_ROWS = 32, 20_000
 SHARD_BYTES = 1 << 20
+#: Bytes of text for each partition of a shuffle, and rows that a task of step 2 holds before it looks for hot anchors.
+PART_BYTES, HELD_ROWS = 64 << 20, 4_000_000
 NO_ID = (1 << 63) - 1
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What the steps hold at a time; the results do not depend on it."""
+
+    group_bytes: int = field(default_factory=lambda: GROUP_BYTES)
+    dealt_bytes: int = field(default_factory=lambda: DEALT_BYTES)
+    hot_in_group: int = field(default_factory=lambda: HOT_IN_GROUP)
+    hot_rows: int = field(default_factory=lambda: HOT_ROWS)
+    shard_bytes: int = field(default_factory=lambda: SHARD_BYTES)
+    part_bytes: int = field(default_factory=lambda: PART_BYTES)
+    held_rows: int = field(default_factory=lambda: HELD_ROWS)
+
+
 _PLACE = np.uint64((1 << 26) - 1)
 #: Anchors travel with 48 bits (chance agreement only costs a look), which leaves the low bits for marks.
 _ANCHOR = ~np.uint64(0xFFFF)
@@ -90,7 +115,7 @@ def _pack(batches):
     codec = pa.Codec("zstd", 1)
     for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int32())], names=["id", "z", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("u"), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int32())], names=["id", "u", "z", "n"])
 
 
 def _unpack(batches):
@@ -102,10 +127,10 @@ def _unpack(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.binary())], names=[*others, "text"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]):
-    """Slices of about GROUP_BYTES of text."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int):
+    """Slices of at most so many bytes of text."""
     for batch in _unpack(batches):
-        for part, data, at in steps(batch, "text", GROUP_BYTES):
+        for part, data, at in steps(batch, "text", most):
             yield part, data, at
         release()
 
@@ -122,65 +147,90 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _route(batches):
-    """(k, x, d): dealt by k, the anchor, with x null; x equal to k marks a hot anchor's first row of a group; rows with
-    another x are the further documents of a hot anchor x, dealt anywhere.
+def _route(batches, bounds: Bounds | None = None):
+    """(k, x, d, u): dealt by k, the anchor, with x null; x equal to k marks a hot anchor's first row of a group; rows
+    with another x are the further documents of a hot anchor x, dealt anywhere. u tells documents without an id apart.
     """
-    for part, _, _ in _groups(batches):
-        ids = _ids(part)
-        hs, ds = [], []
+    bounds = bounds or Bounds()
+    for part, _, _ in _groups(batches, bounds.group_bytes):
+        ids, own = _ids(part), part.column("u").to_numpy()
+        hs, ds, us = [], [], []
         for base, _, data, at in _pieces(part):
             row, _, _, h = anchors(data, at)
             hs.append(h)
             ds.append(ids[base + row])
-        h, d = np.concatenate(hs), np.concatenate(ds)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
+            us.append(own[base + row])
+        h, d, u = np.concatenate(hs), np.concatenate(ds), np.concatenate(us)
+        some = bool(u.any())
+        order = np.lexsort((u, d, h) if some else (d, h))
+        h, d, u = h[order], d[order], u[order]
         new = np.ones(h.size, bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[new], d[new]
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (u[1:] != u[:-1])
+        h, d, u = h[new], d[new], u[new]
         _, first, n = np.unique(h, return_index=True, return_counts=True)
-        hot = np.repeat(n >= HOT_IN_GROUP, n)
+        hot = np.repeat(n >= bounds.hot_in_group, n)
         lead = np.zeros(h.size, bool)
         lead[first] = True
         order = np.argsort(d, kind="stable")  # rows of one document together: they compress better
-        h, d, hot, lead = h[order], d[order], hot[order], lead[order]
-        k = np.where(hot & ~lead, mix(h ^ (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1), h)
+        h, d, u, hot, lead = h[order], d[order], u[order], hot[order], lead[order]
+        k = np.where(hot & ~lead, mix(h ^ ((d + u).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1), h)
         for lo in range(0, h.size, 100_000):
             s = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(h[s].view(np.int64), mask=~hot[s]), pa.array(d[s])], names=["k", "x", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(h[s].view(np.int64), mask=~hot[s]), pa.array(d[s]), pa.array(u[s])], names=["k", "x", "d", "u"])
 
 
-def _shared(batches):
-    """(d, h) of the anchors that several documents have; the low bit of h tells the hot ones."""
-    ks, ds, marks = [], [], []
+def _shared(batches, bounds: Bounds | None = None):
+    """(d, u, h) of the anchors that several documents have; the low bit of h tells the hot ones.
+
+    Rows of an anchor are held until it is known whether it is hot, and all others to the end of the partition; a hot
+    anchor's rows are passed on at once but for those of one document, until a second document is seen.
+    """
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    bounds = bounds or Bounds()
+    held, size, most, sure_hot = [none], 0, bounds.held_rows, np.zeros(0, np.uint64)
 
-    def out(d, h):
+    def out(d, u, h):
         for lo in range(0, d.size, 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(d[lo : lo + 100_000]), pa.array(h[lo : lo + 100_000].view(np.int64))], names=["d", "h"])
+            s = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(u[s]), pa.array(h[s].view(np.int64))], names=["d", "u", "h"])
+
+    def sorted_rows():
+        k, d, u, mark = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(k, kind="stable")
+        k, d, u, mark = k[order], d[order], u[order], mark[order]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if k.size else np.zeros(0, np.int64)
+        if not first.size:
+            return (k, d, u, mark), first, first, np.zeros(0, bool), np.zeros(0, bool)
+        n = np.diff(np.append(first, k.size))
+        marked = np.logical_or.reduceat(mark, first)
+        many = marked | (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))
+        return (k, d, u, mark), first, n, many, marked | (n >= bounds.hot_rows)
 
     for batch in batches:
-        k, d = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("k", "d"))
+        k, d, u = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "d", "u"))
+        k = k.view(np.uint64)
         has = batch.column("x").is_valid().to_numpy(zero_copy_only=False)
         x = batch.column("x").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         sure = has & (x != k)
-        yield from out(d[sure].view(np.int64), x[sure] | np.uint64(1))
-        ks.append(k[~sure])
-        ds.append(d[~sure].view(np.int64))
-        marks.append(has[~sure])
-    if ks:
-        k, d, mark = np.concatenate(ks), np.concatenate(ds), np.concatenate(marks)
-        del ks, ds, marks
-        order = np.argsort(k)
-        k, d, mark = k[order], d[order], mark[order]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if k.size else np.zeros(0, np.int64)
-        if first.size:
-            n = np.diff(np.append(first, k.size))
-            marked = np.maximum.reduceat(mark, first)
-            many = marked | (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))
-            hot = marked | (n >= HOT_ROWS)
-            keep = np.repeat(many, n)
-            yield from out(d[keep], k[keep] | np.repeat(hot, n)[keep].astype(np.uint64))
+        yield from out(d[sure], u[sure], x[sure] | np.uint64(1))
+        known = ~sure & np.isin(k, sure_hot) if sure_hot.size else np.zeros(k.size, bool)
+        yield from out(d[known], u[known], k[known] | np.uint64(1))
+        rest = ~sure & ~known
+        held.append((k[rest], d[rest], u[rest], has[rest]))
+        size += int(rest.sum())
+        if size >= most:
+            (k, d, u, mark), first, n, many, hot = sorted_rows()
+            go = np.repeat(many & hot, n)  # shared for certain, and hot: nothing that comes later changes that
+            yield from out(d[go], u[go], k[go] | np.uint64(1))
+            sure_hot = np.union1d(sure_hot, k[first[many & hot]])
+            alone = np.repeat(~many & hot, n)  # many rows of one document: one of them stands for all
+            alone[first] = False
+            stay = ~go & ~alone
+            held, size = [(k[stay], d[stay], u[stay], mark[stay])], int(stay.sum())
+            most = max(bounds.held_rows, 2 * size)
+    (k, d, u, _), _, n, many, hot = sorted_rows()
+    keep = np.repeat(many, n)
+    yield from out(d[keep], u[keep], k[keep] | np.repeat(hot, n)[keep].astype(np.uint64))
     release()
 
 
@@ -194,23 +244,25 @@ def _gather(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarra
 _FRAGMENT = pa.schema([("k", pa.int64()), ("frag", pa.binary()), ("d", pa.int64()), ("t", pa.int64()), ("pos", pa.binary()), ("n", pa.int32())])
 
 
-def _text_key(data: np.ndarray, at: np.ndarray, twin: pa.Array) -> np.ndarray:
-    """A 64-bit key of each row's text, to tell apart texts that share an id; 0 where the id has one text."""
-    return np.where(twin.to_numpy(zero_copy_only=False), span_hash(data, at[:-1], at[1:]).view(np.int64), 0)
+def _text_key(data: np.ndarray, at: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+    """A 64-bit key of each row's text, to tell apart texts that share an id or have none; 0 where the id has one text."""
+    twin, u = (part.column(c).to_numpy(zero_copy_only=False) for c in ("twin", "u"))
+    return np.where(u != 0, u, np.where(twin, span_hash(data, at[:-1], at[1:]).view(np.int64), 0))
 
 
-def _fragments(batches):
+def _fragments(batches, bounds: Bounds | None = None):
     """(k, frag, d, t, pos, n): n windows from byte pos on; without frag where they are known to be removed.
 
-    Works through the partition in groups of DEALT_BYTES of text.
+    Works through the partition in groups of ``dealt_bytes`` of text.
     """
+    bounds = bounds or Bounds()
     found, size = [], 0
-    for part, _, _ in _groups(batches):
+    for part, _, _ in _groups(batches, bounds.group_bytes):
         ids, asked = _ids(part), part.column("hs").to_pylist()
         for base, some, data, at in _pieces(part):
-            found.append(_cut_out(data, at, ids[base : base + some.num_rows], asked[base : base + some.num_rows], some.column("twin")))
+            found.append(_cut_out(data, at, ids[base : base + some.num_rows], asked[base : base + some.num_rows], some))
             size += data.size
-        if size >= DEALT_BYTES:
+        if size >= bounds.dealt_bytes:
             yield from _deal(found)
             found, size = [], 0
     if found:
@@ -218,10 +270,10 @@ def _fragments(batches):
     release()
 
 
-def _cut_out(data, at, ids, asked, twin):
+def _cut_out(data, at, ids, asked, part):
     """The asked-for fragments of some rows: key, hash, id, text key, place, windows, bytes, bounds."""
     row, a, b, h = anchors(data, at)
-    key = _text_key(data, at, twin)
+    key = _text_key(data, at, part)
     cuts = np.searchsorted(row, np.arange(at.size))
     pick, hot = np.zeros(row.size, bool), np.zeros(row.size, bool)
     for k in range(at.size - 1):
@@ -437,10 +489,11 @@ def _spans(d, t, places, n, removed):
     return pa.RecordBatch.from_arrays([pa.array(d[f][run]), pa.array(t[f][run]), pa.array(at + window[starts][run]), pa.array(at + window[ends][run] + WIDTH)], schema=_SPAN)
 
 
-def _search(batches):
+def _search(batches, bounds: Bounds | None = None):
     """Rows come sorted by k. Whole keys fill a shard; a key that is larger than a shard is cut and merged."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    most = (bounds or Bounds()).shard_bytes
+    size, limit = 0, most
 
     def arrays(rows: pa.RecordBatch):
         return (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d", "t", "n"))
@@ -448,21 +501,44 @@ def _search(batches):
     def work(rows: pa.RecordBatch):
         if not rows.num_rows:
             return
-        raw, bounds = text_bytes(rows.column("frag"))
-        d, t, n = arrays(rows)
         key = rows.column("k").to_numpy()
-        if raw.size <= 2 * SHARD_BYTES or key[0] != key[-1]:
-            yield _spans(d, t, _read_places(rows.column("pos")), n, Shard(raw, bounds, d, n).removed())
+        if key[0] == key[-1] and rows.column("frag").nbytes > 2 * most:
+            rows, spans = folded(rows)
+            yield spans
+        raw, at = text_bytes(rows.column("frag"))
+        d, t, n = arrays(rows)
+        if raw.size <= 2 * most or key[0] != key[-1]:
+            yield _spans(d, t, _read_places(rows.column("pos")), n, Shard(raw, at, d, n).removed())
             return
         cuts = [0]
         while cuts[-1] < n.size:
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bounds, bounds[cuts[-1]] + SHARD_BYTES, "right")) - 1))
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + most, "right")) - 1))
         cuts[-1] = n.size
-        shards = [Shard(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], d[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        shards = [Shard(raw[at[a] : at[b]], at[a : b + 1] - at[a], d[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         merge(shards)
         for s, a, b in zip(shards, cuts, cuts[1:], strict=False):
             yield _spans(d[a:b], t[a:b], _read_places(rows.column("pos").slice(a, b - a)), n[a:b], s.removed())
 
+    def folded(rows: pa.RecordBatch):
+        """Of one key's rows, those that no equal fragment of a smaller id beats, once each; spans of the others."""
+        raw, at = text_bytes(rows.column("frag"))
+        d, t, n = arrays(rows)
+        own = span_hash(raw, at[:-1], at[1:])
+        order = np.lexsort((t, d, own))
+        new = np.append(True, own[order][1:] != own[order][:-1])
+        least = d[order][np.maximum.accumulate(np.where(new, np.arange(order.size), 0))]
+        beaten = d[order] > least
+        lost = order[beaten]
+        many = n[lost]
+        pos, each = _read_places(rows.column("pos").take(pa.array(lost)))
+        spans = _spans(d[lost], t[lost], (pos, each), many, np.ones(int(many.sum()), bool))
+        # the others have the least id: those that repeat id, text and places as well say nothing more
+        twins = new | (d[order] != np.append(-1, d[order][:-1])) | (t[order] != np.append(0, t[order][:-1]))
+        twins |= own[order] != np.append(np.uint64(0), own[order][:-1])
+        places = rows.column("pos").take(pa.array(order)).to_pylist()
+        twins |= np.array([True, *(a != b for a, b in zip(places[1:], places, strict=False))])
+        return rows.take(pa.array(np.sort(order[~beaten & twins]))), spans
+
     def one(parts_: list[pa.RecordBatch]) -> pa.RecordBatch:
         return pa.Table.from_batches(parts_).combine_chunks().to_batches()[0] if len(parts_) > 1 else parts_[0]
 
@@ -477,15 +553,18 @@ def _search(batches):
         if batch.num_rows:
             held.append(batch)
             size += batch.column("frag").nbytes
-        if size > SHARD_BYTES:
+        if size > limit:
             rows = one(held)
             key = rows.column("k").to_numpy()
             whole = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if whole:
                 yield from work(rows.slice(0, whole))
                 rows = rows.slice(whole)
-            held = [rows]
-            size = 0 if whole == 0 else rows.column("frag").nbytes
+            if rows.column("frag").nbytes > most:  # one key
+                rows, spans = folded(rows)
+                yield spans
+            held, size = [rows], rows.column("frag").nbytes
+            limit = max(most, 2 * size)  # what is left of a large key is looked at again when it has doubled
     if held:
         # what is left: keys that fill one shard, then perhaps a last large key
         rows = one(held)
@@ -501,7 +580,7 @@ def _clean(batches):
     bound = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     for batch in _unpack(batches):
         for part, data, at in steps(batch, "text", STEP_BYTES):
-            key, spans = _text_key(data, at, part.column("twin")), part.column("spans")
+            key, spans = _text_key(data, at, part), part.column("spans")
             row = np.repeat(np.arange(part.num_rows), np.diff(spans.offsets.to_numpy()))
             t, start, end = (spans.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("t", "start", "end"))
             mine = t == key[row]
@@ -522,44 +601,49 @@ def _clean(batches):
             kept, whole = data[~gone].tobytes(), data.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("id"), pa.array([hashlib.sha256(whole[x:y]).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
+                    part.column("id"), part.column("u"), pa.array([hashlib.sha256(whole[x:y]).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
                     pa.array(np.diff(at) - np.diff(left)), removed, pa.array([kept[x:y] for x, y in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)], pa.binary()),
                 ],
-                names=["id", "digest", "n_removed", "removed", "kept"],
+                names=["id", "u", "digest", "n_removed", "removed", "kept"],
             )
         release()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bounds: Bounds | None = None) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, removed (spans of bytes), kept_sha256 and, with ``texts``, kept
     (the remaining bytes; null where the whole text stays).
     """
-    n = parts(docs)
+    bounds = bounds or Bounds()
     small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = cut(rows.select("id", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
+    whole_text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # u spreads and tells apart documents that have no id, by their texts
+    own = F.when(F.col("id") == NO_ID, F.xxhash64("text", F.lit(1))).otherwise(F.lit(0)).cast("long").alias("u")
+    rows = docs.select(F.col(id_col).cast("long").alias("real"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), whole_text.alias("text")).select("*", own)
+    base = cut(rows.select("real", "id", "u", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
     firsts = cut(base.groupBy("digest").agg(F.min("id").alias("least")))  # cut, so that a hot digest's join can be split
     marked = cut(base.join(firsts, "digest").withColumn("copy", F.col("id") > F.col("least")).drop("least"))
     # only first copies go on; texts that share an id are told apart by a key that other rows go without
-    whole = marked.groupBy("id").agg(F.min("copy").alias("copy"), F.max("n_bytes").alias("n_bytes"), (F.min("digest") != F.max("digest")).alias("twin"))
-    alive = cut(whole.filter(~F.col("copy") & (F.col("n_bytes") >= WIDTH)).select("id", "twin"))
-    dealt = rows.mapInArrow(_pack, "id long, z binary, n int").repartition(n, "id")  # this shuffle of the texts serves all three passes over them
-    routed = dealt.join(alive, "id").select("id", "z", "n").mapInArrow(_route, "k long, x long, d long").repartition(n, "k")
-    shared = routed.mapInArrow(_shared, "d long, h long")
-    lists = shared.groupBy(F.col("d").alias("id")).agg(F.collect_list("h").alias("hs")).join(alive, "id")
-    fragments = dealt.join(lists, "id").select("id", "z", "n", "hs", "twin").mapInArrow(_fragments, "k long, frag binary, d long, t long, pos binary, n int")
-    found = fragments.repartition(n, "k").sortWithinPartitions("k").mapInArrow(_search, "id long, t long, start long, end long")
-    spans = found.groupBy("id").agg(F.collect_list(F.struct("t", "start", "end")).alias("spans"))
-    touched = dealt.join(spans.join(alive, "id"), "id").select("id", "z", "n", "spans", "twin").mapInArrow(_clean, "id long, digest binary, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    whole = marked.groupBy("id", "u").agg(F.min("copy").alias("copy"), F.max("n_bytes").alias("n_bytes"), (F.min("digest") != F.max("digest")).alias("twin"))
+    alive = cut(whole.filter(~F.col("copy") & (F.col("n_bytes") >= WIDTH)).select("id", "u", "twin", "n_bytes"))
+    n = max(parts(docs), math.ceil((alive.agg(F.sum("n_bytes")).first()[0] or 0) / bounds.part_bytes))
+    alive, key = alive.drop("n_bytes"), ["id", "u"]
+    dealt = rows.select("id", "u", "text").mapInArrow(_pack, "id long, u long, z binary, n int").repartition(n, *key)  # this shuffle of the texts serves all three passes over them
+    routed = dealt.join(alive, key).select("id", "u", "z", "n").mapInArrow(partial(_route, bounds=bounds), "k long, x long, d long, u long").repartition(n, "k")
+    shared = routed.mapInArrow(partial(_shared, bounds=bounds), "d long, u long, h long")
+    lists = shared.groupBy(F.col("d").alias("id"), "u").agg(F.collect_list("h").alias("hs")).join(alive, key)
+    fragments = dealt.join(lists, key).select("id", "u", "z", "n", "hs", "twin").mapInArrow(partial(_fragments, bounds=bounds), "k long, frag binary, d long, t long, pos binary, n int")
+    found = fragments.repartition(n, "k").sortWithinPartitions("k").mapInArrow(partial(_search, bounds=bounds), "id long, t long, start long, end long")
+    spans = found.groupBy("id", F.when(F.col("id") == NO_ID, F.col("t")).otherwise(F.lit(0)).alias("u")).agg(F.collect_list(F.struct("t", "start", "end")).alias("spans"))
+    touched = dealt.join(spans.join(alive, key), key).select("id", "u", "z", "n", "spans", "twin").mapInArrow(_clean, "id long, u long, digest binary, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary")
     touched = touched.filter("n_removed > 0")
     if not texts:
         touched = touched.withColumn("kept", F.unhex(F.sha2("kept", 256)))
-    touched = touched.groupBy("id", "digest").agg(*(F.first(c).alias(c) for c in ("n_removed", "removed", "kept")))
+    touched = touched.groupBy(*key, "digest").agg(*(F.first(c).alias(c) for c in ("n_removed", "removed", "kept")))
     gone = F.col("copy") & (F.col("n_bytes") >= WIDTH)
     hashed = F.sha2("kept", 256) if texts else F.lower(F.hex("kept"))
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    out = marked.join(touched, ["id", "digest"], "left").select(
-        F.when(F.col("id") == NO_ID, None).otherwise(F.col("id")).alias(id_col),
+    out = marked.join(touched, [*key, "digest"], "left").select(
+        F.col("real").alias(id_col),
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, all_of_it).otherwise(F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("removed"),

@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact, language, near, pii, quality, secrets
+from plumbline.llm import bpe, exact, language, near, pii, quality, secrets, substrings
 
-from .test_operators import docs_of, personal
+from .test_operators import docs_of, personal, repeats, words
 
 MB = 1_000_000
 
@@ -222,3 +222,38 @@ def test_an_id_that_repeats_is_read_within_the_bound(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     few = [quality.fit(docs.repartition(n), labels, most=50) for n in (1, 6)]
     assert (few[0] == few[1]).all() and few[0].any()
+
+
+# ---- repeated substrings -----------------------------------------------------------------------------------------------
+TINY = [
+    substrings.Bounds(group_bytes=2_000, dealt_bytes=3_000, hot_in_group=3, hot_rows=20, shard_bytes=400, part_bytes=5_000, held_rows=10),
+    substrings.Bounds(group_bytes=2_000, dealt_bytes=3_000, hot_in_group=10_000, hot_rows=1_000_000, shard_bytes=200, held_rows=50),
+    substrings.Bounds(group_bytes=1 << 20, dealt_bytes=1 << 20, hot_in_group=2, hot_rows=2, shard_bytes=100, held_rows=1),
+]
+
+
+@pytest.mark.parametrize("bounds", TINY)
+def test_repeats_within_tiny_bounds(spark, bounds):
+    """Whatever a step may hold, hot passages, null ids in bulk and ids that repeat come out as by brute force."""
+    r = random.Random(7)
+    passages = [words(r, 30, 25) for _ in range(3)]
+    rows = [(k if k % 4 else None, f"{words(r, 6)} {r.choice(passages)[r.randrange(40) :]} {words(r, r.randrange(12))}") for k in range(160)]
+    rows += [(None, rows[5][1])] * 5 + [(k, passages[0]) for k in (500, 501)] + [(7, passages[1]), (7, passages[1] + " x"), (7, passages[1]), (900, None), (None, ""), (901, "é" * 60 + passages[2])]
+    got = substrings.remove_repeats(docs_of(spark, rows).repartition(3), bounds=bounds).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, len(x.removed), x.kept_sha256) for x in got), key=str) == repeats(rows)
+
+
+def test_the_largest_id_is_no_null(spark):
+    top = (1 << 63) - 1
+    text = "some words that make a text of more than fifty bytes, all of them"
+    got = substrings.remove_repeats(docs_of(spark, [(top, text), (None, "another text that is long enough to have its own fifty"), (3, text)])).collect()
+    assert sorted(((x.doc_id, x.n_removed) for x in got), key=str) == sorted([(3, 0), (top, len(text)), (None, 0)], key=str)
+
+
+def test_repeats_in_a_long_text(spark):
+    r = random.Random(8)
+    long = words(r, 200_000, 90_000)
+    rows = [(1, long), (2, "x" + long[5_000:900_000] + "y"), (3, "a" * MB), (4, "a" * (MB // 2) + "b")]
+    got = {x.doc_id: x for x in substrings.remove_repeats(docs_of(spark, rows)).collect()}
+    assert got[1].n_removed == 0 and [tuple(s) for s in got[2].removed] == [(1, 895_001)]
+    assert got[3].n_removed == 0 and [tuple(s) for s in got[4].removed] == [(0, MB // 2)]

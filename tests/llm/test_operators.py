@@ -290,11 +290,11 @@ def test_hot_anchors_take_the_other_way():
     for hot in (2, 1000):
         was, substrings.HOT_IN_GROUP = substrings.HOT_IN_GROUP, hot
         try:
-            batch = list(substrings._pack(pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows]}).to_batches()))
+            batch = list(substrings._pack(pa.table({"id": [i for i, _ in rows], "u": pa.array([0] * len(rows), pa.int64()), "text": [t for _, t in rows]}).to_batches()))
             routed = pa.Table.from_batches(list(substrings._route(batch))).to_batches()
             shared_rows = pa.Table.from_batches(list(substrings._shared(routed))).to_pandas()
             lists = shared_rows.groupby("d").h.apply(list)
-            asked = pa.table({"id": [i for i, _ in rows], "z": batch[0].column("z"), "n": batch[0].column("n"), "hs": pa.array([lists.get(i, []) for i, _ in rows], pa.list_(pa.int64())), "twin": [False] * len(rows)}).to_batches()
+            asked = pa.table({"id": [i for i, _ in rows], "u": pa.array([0] * len(rows), pa.int64()), "z": batch[0].column("z"), "n": batch[0].column("n"), "hs": pa.array([lists.get(i, []) for i, _ in rows], pa.list_(pa.int64())), "twin": [False] * len(rows)}).to_batches()
             found = pa.Table.from_batches(list(substrings._fragments(asked)))
             found = found.sort_by("k").combine_chunks().to_batches()
             spans = pa.Table.from_batches(list(substrings._search(found))).to_pylist()

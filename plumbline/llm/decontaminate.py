@@ -3,23 +3,27 @@
 A document leaks an item when some part of it is within ``floor(RATIO * length)`` edits (insertions, deletions,
 substitutions of characters) of the whole item, capitals (ASCII and Latin-1) and kinds of white space aside. Per document:
 
-1. Windows: an item with k edits allowed is cut into k + s pieces; an edit touches one of them at most, so s survive
-   (``SUPPORT``; fewer for short items), and their places in the text imply window starts that lie close together. One
-   pass of array operations finds the pieces' first bytes in the text, and an item-sized window opens at each implied
-   start that s different pieces support. No leak is lost here.
-2. Each window and item goes through random walks (CGK): a step emits the character at the cursor, which a random bit
-   of (step, character) then moves on or leaves. Walks of texts at a small edit distance fall into step again, so edit
-   distance becomes Hamming distance. Bit sampling looks at ``BITS`` places of a walk; a window is kept if it falls into
-   an item's bucket in one of the repetitions, whose number follows from the target recall.
-3. What is left is verified exactly by bit-parallel alignment of the item anywhere in the window and k characters
-   around it. The least number of edits is returned, with its place.
-
-The items are few: they travel to the tasks in blocks of at most ``ITEM_CHARS`` characters, each block a pass of its
-own, so the broadcast stays bounded at any size of the benchmark. Documents are never shuffled.
+1. Walks: an item, and an item-sized window of a text, go through random walks (CGK): a step emits the character at the
+   cursor, which a random bit of (step, character) then moves on or leaves. Walks of texts at a small edit distance fall
+   into step again, so edit distance becomes Hamming distance.
+2. Buckets: bit sampling looks at ``BITS`` places of a walk, in as many repetitions as the target recall asks for. The
+   items' buckets are a table; a window is a candidate for every item of its length that it shares a bucket with.
+3. Candidates are verified exactly by bit-parallel alignment of the item anywhere in the window and k characters around
+   it. The least number of edits is returned, with its place; of equal ones the first.
+
+Windows are opened where a text can hold a leak at all, not at every character: an item with k edits allowed is cut into
+k + s pieces; an edit touches one of them at most, so s survive (``SUPPORT``; fewer for short items), and their places in
+the text imply window starts that lie close together. One pass of array operations finds the pieces' first bytes, and
+windows open at each implied start that s different pieces of some item support, which loses no leak. Which items a
+window is held against is decided by the buckets alone.
+
+The items are few: they travel to the tasks in blocks of at most ``ITEM_CHARS`` characters. Each further block is a pass
+and a written table of its own, one broadcast at a time, so that memory stays bounded at any size of the benchmark. With
+one block, documents are never shuffled or written.
 
 Nulls: a null text leaks nothing; items of null or (if short) blank text are not searched; items of null id leak with
 a null ``item_id``. Items shorter than ``LEAST`` characters are searched exactly, between word bounds. Items of one text
-are all returned. Repeated rows are searched one by one.
+are all returned. Repeated rows are searched one by one, texts of any length as a whole.
 """
 
 from __future__ import annotations
@@ -27,13 +31,14 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, STEP_BYTES, eights, extend, lower, mix, steps, table
+from .common import BLANK, STEP_BYTES, cut, eights, extend, lower, mix, packed, steps, table
 
 RATIO, LEAST = 0.1, 8
 #: Pieces that must survive, and the numbers of a piece's first bytes that are looked up (the largest that fits).
@@ -139,10 +144,10 @@ class Items:
         per_walk = -(-repetitions() // WALKS)
         random = np.random.default_rng(20_240_601)
         self.samples = random.random((WALKS, per_walk, BITS))  # places, as shares of a walk's length
-        self.buckets: set[int] = set()
-        if self.texts:
-            keys = self.keys([codes(t) for t in self.texts])
-            self.buckets = set(keys.ravel().tolist())
+        self.buckets: dict[int, list[int]] = defaultdict(list)  # the items of each bucket; keys tell lengths apart
+        for n, keys in enumerate(self.keys([codes(t) for t in self.texts]).tolist() if self.texts else ()):
+            for key in set(keys):
+                self.buckets[key].append(n)
         self.masks = [self._masks(t) for t in self.texts]
 
     @staticmethod
@@ -167,8 +172,15 @@ class Items:
                 out[:, w * self.samples.shape[1] + q] = key
         return out
 
+    def candidates(self, windows: list[str], length: list[int]) -> list[list[int]]:
+        """For each window of so many characters (fewer at a text's end), the items that share a bucket with it."""
+        keys = self.keys([codes(w.ljust(m, "\0")) for w, m in zip(windows, length, strict=True)])
+        none: list[int] = []
+        return [sorted({n for key in own for n in self.buckets.get(key, none)}) for own in keys.tolist()]
+
     def windows(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, item, start) of the windows that enough pieces support; starts in bytes from the row's begin.
+        """(row, length, start) of the windows that enough pieces of an item support, once each; lengths in characters,
+        starts in bytes from the row's begin.
 
         ``data`` is plain. An edit moves what follows by the bytes of a character, four at most.
         """
@@ -180,7 +192,7 @@ class Items:
                 found = np.flatnonzero(maybe[_slot(v)])
                 if found.size:
                     hit_of[width].append((found + lo, v[found]))
-        out = []
+        out: set[tuple[int, int, int]] = set()
         for width, (values, first, where, _) in self.seeds.items():
             if not hit_of[width]:
                 continue
@@ -207,8 +219,8 @@ class Items:
             bounds = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             for lo, hi in zip(bounds.tolist(), np.append(bounds[1:], key.size).tolist(), strict=True):
                 r, i = divmod(int(key[lo]), len(self.texts))
-                out += [(r, i, s) for s in _supported(start[lo:hi].tolist(), piece[lo:hi].tolist(), 4 * self.edits[i], self.support[i])]
-        return out
+                out.update((r, len(self.texts[i]), s) for s in _supported(start[lo:hi].tolist(), piece[lo:hi].tolist(), 4 * self.edits[i], self.support[i]))
+        return sorted(out)
 
     def align(self, n: int, text: str) -> tuple[int, int, int]:
         """The least edits between the item and any part of the text, and that part's bounds (the first that ends)."""
@@ -266,13 +278,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter(F.length("t") > 0)
     chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-2 * chars // ITEM_CHARS) if chars > ITEM_CHARS else 1)
-    out = docs
+    blocks = -(-2 * chars // ITEM_CHARS) if chars > ITEM_CHARS else 1
+
+    def searched(df: DataFrame, b: int, drop: tuple[str, ...]) -> tuple[DataFrame, object]:
+        rows = [(r["i"], r["t"]) for r in wanted.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]  # ITEM_CHARS at most, give or take
+        held = spark.sparkContext.broadcast(rows)
+        return extend(df, _searcher(held, text_col, ratio), f"leaks {_TYPE}", text_col, GROUP_BYTES, drop), held
+
+    if blocks == 1:
+        return searched(docs, 0, drop)[0]
+    numbered = cut(packed(docs, text_col).withColumn("row", F.monotonically_increasing_id()))
+    text_col, found = "text", []
     for b in range(blocks):
-        rows = [(r["i"], r["t"]) for r in wanted.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]  # ITEM_CHARS at most, give or take
-        out = extend(out, _searcher(spark.sparkContext.broadcast(rows), text_col, ratio), f"leaks_{b} {_TYPE}", text_col, GROUP_BYTES, drop if b == blocks - 1 else ())
-    names = [f"leaks_{b}" for b in range(blocks)]
-    return out.withColumn("leaks", F.concat(*names)).drop(*names)
+        out, held = searched(numbered.select("row", "text"), b, ("text",))
+        found.append(cut(out.filter(F.size("leaks") > 0)))
+        held.destroy()
+    every = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    kept = [c for c in docs.columns if c not in drop and c.lower() != "leaks"]
+    leaks = F.coalesce("leaks", F.array().cast(_TYPE)).alias("leaks")
+    return numbered.join(every, "row", "left").select(*(F.col(f"doc.`{c}`") for c in kept), leaks)
 
 
 def _searcher(held, text_col: str, ratio: float):
@@ -281,7 +305,7 @@ def _searcher(held, text_col: str, ratio: float):
 
         def work(part, data, at):
             found: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(part.num_rows)]
-            asked = []  # row, item, start of the window, the text around it
+            asked = []  # row, length, the window's first character, the row's text
             base = 0
             for some, raw, bounds in steps(part, text_col) if known.texts or known.short else ():
                 small = plain_bytes(raw)
@@ -289,22 +313,22 @@ def _searcher(held, text_col: str, ratio: float):
                     for row in range(some.num_rows):
                         found[base + row] |= short_places(known, small[bounds[row] : bounds[row + 1]].tobytes().decode())
                 texts: dict[int, tuple[str, np.ndarray]] = {}
-                for row, n, start in known.windows(small, bounds) if known.texts else ():
+                for row, m, start in known.windows(small, bounds) if known.texts else ():
                     if row not in texts:
                         own = small[bounds[row] : bounds[row + 1]]
                         texts[row] = own.tobytes().decode(), np.cumsum((own & 0xC0) != 0x80)
                     text, char = texts[row]
                     first = int(char[start] - 1) if start >= 0 else 0
-                    m, k = len(known.texts[n]), known.edits[n]
-                    asked.append((base + row, n, text[first : first + m], max(0, first - k), text[max(0, first - k) : first + m + k]))
+                    asked.append((base + row, m, first, text))
                 base += some.num_rows
             for lo in range(0, len(asked), 2048):
                 some = asked[lo : lo + 2048]
-                keys = known.keys([codes(a[2].ljust(len(known.texts[a[1]]), "\0")) for a in some])
-                for (row, n, _, origin, around), own in zip(some, keys.tolist(), strict=True):
-                    if not known.buckets.isdisjoint(own):
-                        edits, start, end = known.align(n, around)
-                        if edits <= known.edits[n]:
+                for (row, m, first, text), near in zip(some, known.candidates([t[f : f + m] for _, m, f, t in some], [a[1] for a in some]), strict=True):
+                    for n in near:
+                        k = known.edits[n]
+                        origin = max(0, first - k)
+                        edits, start, end = known.align(n, text[origin : first + m + k])
+                        if edits <= k:
                             best = (edits, origin + start, origin + end)
                             found[row][n] = min(found[row].get(n, best), best)
             rows = [[{"item_id": i, "edits": e, "start": s, "end": t} for n, (e, s, t) in sorted(f.items()) for i in known.ids[n]] for f in found]

@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact, language, near, pii, quality, secrets, substrings
+from plumbline.llm import bpe, decontaminate, exact, language, near, pii, quality, secrets, substrings
 
-from .test_operators import docs_of, personal, repeats, words
+from .test_operators import docs_of, edited, personal, repeats, words
 
 MB = 1_000_000
 
@@ -257,3 +257,68 @@ def test_repeats_in_a_long_text(spark):
     got = {x.doc_id: x for x in substrings.remove_repeats(docs_of(spark, rows)).collect()}
     assert got[1].n_removed == 0 and [tuple(s) for s in got[2].removed] == [(1, 895_001)]
     assert got[3].n_removed == 0 and [tuple(s) for s in got[4].removed] == [(0, MB // 2)]
+
+
+# ---- decontamination ---------------------------------------------------------------------------------------------------
+def least_edits(item, texts):
+    """By dynamic programming over whole texts: the least edits between the item and any part of each."""
+    most = max(map(len, texts))
+    grid = np.zeros((len(texts), most), np.uint32)
+    for k, t in enumerate(texts):
+        grid[k, : len(t)] = decontaminate.codes(t) + 1
+    row = np.zeros((len(texts), most + 1), np.int32)
+    place = np.arange(most + 1, dtype=np.int32)
+    for i, c in enumerate(decontaminate.codes(item) + 1, 1):
+        new = np.full_like(row, i)
+        new[:, 1:] = np.minimum(row[:, :-1] + (grid != c), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - place, axis=1) + place
+    return row.min(1)
+
+
+@pytest.fixture(scope="module")
+def leaky():
+    """Texts with items planted at every number of edits that counts, and some more; what leaks by brute force."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghinorst") for _ in range(r.randint(2, 8)))
+    items = [" ".join(word() for _ in range(r.choice((3, 8, 12, 20)))) for _ in range(30)]
+    texts = []
+    for k in range(150):
+        t = items[k % 30]
+        n = r.randint(0, int(len(t) * 0.13) + 1)
+        texts.append(" ".join([*(word() for _ in range(r.randrange(60))), edited(r, t, n), *(word() for _ in range(r.randrange(60)))]))
+    return items, texts, {(k, i) for i, t in enumerate(items) for k, e in enumerate(least_edits(t, texts)) if e <= int(0.1 * len(t) + 1e-9)}
+
+
+def test_leaks_against_brute_force(spark, leaky, monkeypatch):
+    items, texts, true = leaky
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda: {(x.doc_id, l.item_id) for x in decontaminate.find_leaks(docs_of(spark, enumerate(texts)), table).collect() for l in x.leaks}
+    got = found()
+    assert got <= true and len(got) >= 0.97 * len(true) > 80
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 700)  # many blocks, one after the other
+    assert found() == got
+
+
+def test_recall_of_the_buckets_alone(leaky):
+    """With windows at every place and nothing but shared buckets to choose the items."""
+    items, texts, true = leaky
+    known = decontaminate.Items(list(enumerate(items)))
+    hit = set()
+    for k in sorted({k for k, _ in true})[::3]:
+        for m in {len(t) for t in known.texts}:
+            starts = range(max(1, len(texts[k]) - m + 1))
+            for s, near in zip(starts, known.candidates([texts[k][s : s + m] for s in starts], [m] * len(starts)), strict=True):
+                for n in near:
+                    e = known.edits[n]
+                    if len(known.texts[n]) == m and known.align(n, texts[k][max(0, s - e) : s + m + e])[0] <= e:
+                        hit |= {(k, i) for i in known.ids[n]}
+    asked = {(k, i) for k, i in true if k in sorted({k for k, _ in true})[::3]}
+    assert hit <= true and len(hit & asked) >= 0.97 * len(asked) > 25
+
+
+def test_leaks_in_a_long_text(spark):
+    item = "which of these cities lies furthest to the north of the two rivers"
+    text = "word and words " * (MB // 15)
+    rows = [(1, text + item + text), (2, text), (3, item[:10] * (MB // 10))]
+    got = {x.doc_id: [(l.edits, l.start) for l in x.leaks] for x in decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: [(0, len(text))], 2: [], 3: []}

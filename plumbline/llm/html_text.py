@@ -10,18 +10,23 @@ short ones too, but furniture, so that the ratios decide where the article is an
 the region is the whole page, link lists (containers of three links or more that hold 80 % of their text) go as menus;
 in an ``article`` or ``main`` they may be its references, and only tag, role or name tell a menu.
 
-Furniture given by a form or a name is weighed: where most of a page lies in it, and no article or main stands outside,
+A name is a word list's guess, so it needs company: a class or id makes furniture by itself only if all of its words
+are names of furniture or of layout ("cookie-banner", "related-posts-list"). Where a word says something else
+("social-history", "share-price", "story-related-art"), the figures of the block decide: it is furniture if half of its
+text stands in links. Furniture given by a form or a name is weighed: where most of a page lies in it, and no article or main stands outside,
 it is a wrapper ("no-comments", the one form of a page) and not furniture. Comments may be longer than what they comment
 on, so that a wrapper by their names must hold nearly all of the page. A ``main`` inside furniture by form or name, and
 an ``article`` inside a form, are content. Menus, asides, footers, roles, labels and hidden elements are final.
 
 Nulls: a null page has an empty text. Broken markup is read as the parser reads it; unclosed elements end with their
-parents. Repeated rows are extracted one by one.
+parents, unread ones (an open ``svg`` or ``button``) too. Time is linear in the page, however deep it is nested. Ties:
+of containers that hold equally much, the innermost. Repeated rows are extracted one by one.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,13 +44,17 @@ REGION_SHARE = 0.8
 CONTAINERS = {"body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "figure", "fieldset", "details", "dialog", "menu", "center", "address", "hgroup", "search"}
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "summary", "legend", "hr", "option", "html"}
 FURNITURE = {"nav", "aside", "footer", "dialog", "menu", "search", "fieldset"}
-UNREAD = {"head", "title", "script", "style", "noscript", "template", "iframe", "object", "svg", "math", "select", "button", "textarea", "canvas", "audio", "video"}
+UNREAD = {"head", "title", "script", "style", "noscript", "template", "iframe", "object", "svg", "select", "button", "textarea", "canvas", "audio", "video"}
 #: Elements that may stand in a head; any other start tag ends it.
 IN_HEAD = {"html", "head", "title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation topnav breadcrumb breadcrumbs masthead footer header pagination pager share sharing social related recommended recommendations trending login signup search toolbar copyright disclaimer".split())
 ARTICLE_NAMES = {"article", "post", "entry", "story"}
+#: Words of layout and of what furniture is made of: beside a name of furniture they say nothing else.
+LAYOUT = set("a all area article articles bar block body bottom box btn button buttons center col column columns container content feed fixed float form global grid group heading holder icon icons inline inner input item items js label left line link links list main message mobile module more most news outer page panel part post posts primary region right row secondary section site slot sticky story stories strip text the title tool tools top unit up user wrap wrapper zone".split())
+#: The share of its text in links from which a block of a mixed name is furniture.
+LINKED = 0.5
 #: Names that also tell of a page's layout ("has-sidebar").
 LAYOUT_NAMES = {"sidebar", "aside", "menu", "nav", "navbar", "header", "footer", "widget", "widgets", "social", "search", "overlay", "notices"}
 LABELS = {"navigation", "menu", "breadcrumb", "breadcrumbs", "advertisement", "sidebar", "related"}
@@ -64,14 +73,17 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parents: list[int] = [-1]  # container number -> its parent
-        self.plain: list[list] = [["#page", 0, 0, 0]]  # container number -> tag, text, text in links, links
-        self.stack: list[tuple[str, int, int]] = [("#page", 0, 0)]  # tag, container, furniture: 0 no, 1 by name, 2 for good
+        self.plain: list[list] = [["#page", 0, 0, 0]]  # container number -> tag, text, text in links, links (of its own, until ``total``)
+        self.stack: list[tuple[str, int, int, bool]] = [("#page", 0, 0, False)]  # tag, container, furniture (0 no, 1 by name, 2 for good), in an article or main
+        self.open: Counter[str] = Counter()  # elements on the stack
+        self.mixed: set[int] = set()  # containers of a mixed name, which is furniture if their figures agree
         self.named: dict[int, int] = {}  # container -> the outermost one whose name makes it furniture
         self.weighed: dict[int, str] = {}  # container -> form, name or comments, which make it furniture if it is no wrapper
         self.final: set[int] = set()  # containers that are furniture for good
         self.out: list[tuple[str, int, int, int, int]] = []  # text, in links, tags, container, furniture
         self.text: list[str] = []
         self.unread: list[str] = []
+        self.within: Counter[str] = Counter()  # containers and lines that opened in what is not read
         self.linked = self.tags = self.links = self.unlisted = 0
 
     def line(self) -> None:
@@ -79,14 +91,12 @@ class Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                _, container, furniture = self.stack[-1]
+                _, container, furniture, _ = self.stack[-1]
                 self.out.append((text, self.linked, self.tags, container, furniture))
-                while container >= 0:
-                    box = self.plain[container]
-                    box[1] += len(text)
-                    box[2] += min(self.linked, len(text))
-                    box[3] += self.links
-                    container = self.parents[container]
+                box = self.plain[container]
+                box[1] += len(text)
+                box[2] += min(self.linked, len(text))
+                box[3] += self.links
         self.text, self.linked, self.tags, self.links = [], 0, 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -96,10 +106,12 @@ class Lines(HTMLParser):
             elif tag == "body" and self.unread[0] == "head" or self.unread == ["head"] and tag not in IN_HEAD:
                 self.unread = []
             else:
+                if tag in CONTAINERS or tag in LINES:
+                    self.within[tag] += 1
                 return
         if tag in UNREAD:
             if not self.unread:
-                self.unread = [tag]
+                self.unread, self.within = [tag], Counter()
             return
         if tag in CONTAINERS:
             self.line()
@@ -110,7 +122,7 @@ class Lines(HTMLParser):
             if kind == 1:
                 self.named[len(self.parents) - 1] = self.named.get(above, len(self.parents) - 1)
             self.note(kind, why)
-            self.stack.append((tag, len(self.parents) - 1, kind))
+            self.push(tag, kind)
         elif tag in LINES:
             self.line()
             kind, why = self.kind(tag, attrs) if attrs and tag != "html" else (0, None)
@@ -119,7 +131,7 @@ class Lines(HTMLParser):
                 self.plain.append([tag, 0, 0, 0])
                 kind = self.stack[-1][2] if why else 2
                 self.note(kind, why)
-                self.stack.append((tag, len(self.parents) - 1, kind))
+                self.push(tag, kind)
         elif tag == "br":
             self.text.append(" ")
         elif tag == "a":
@@ -127,10 +139,27 @@ class Lines(HTMLParser):
             self.links += 1
         self.tags += 1
 
+    def push(self, tag: str, kind: int) -> None:
+        self.stack.append((tag, len(self.parents) - 1, kind, self.stack[-1][3] or tag in ("article", "main")))
+        self.open[tag] += 1
+
+    def total(self) -> None:
+        """Gives every container the figures of those in it, and settles which mixed names are furniture."""
+        for c in range(len(self.plain) - 1, 0, -1):  # parents come first
+            box, above = self.plain[c], self.plain[self.parents[c]]
+            for k in (1, 2, 3):
+                above[k] += box[k]
+        for c in self.mixed:
+            _, text, linked, links = self.plain[c]
+            if links and linked >= LINKED * text:
+                self.weighed[c] = "name"
+
     def note(self, kind: int, why: str | None) -> None:
         """Keeps what was found of the newest container."""
         if kind > 1:
             self.final.add(len(self.parents) - 1)
+        elif why == "mixed":
+            self.mixed.add(len(self.parents) - 1)
         elif why:
             self.weighed[len(self.parents) - 1] = why
 
@@ -142,23 +171,27 @@ class Lines(HTMLParser):
         why = "form" if tag == "form" else None
         if tag in ("article", "main"):
             above = 0
-        inside = any(s[0] in ("article", "main") for s in self.stack)
+        inside = self.stack[-1][3]
         if tag in FURNITURE or tag == "header" and not inside:
             return 2, None
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
-                words = set(_SPLIT.split(value))
-                named = words & NAMES
-                if inside or words & ARTICLE_NAMES:  # an article's own header
-                    named -= {"header"}
-                if words & COMMENT_NAMES and not (words & STATES and tag in ("body", "article", "main")):
+                every = set(_SPLIT.split(value))
+                if every & COMMENT_NAMES and not (every & STATES and tag in ("body", "article", "main")):
                     why = "comments"
-                elif named and tag not in ("body", "article", "main"):
-                    if named - LAYOUT_NAMES:
-                        why = why or "name"
-                    else:
-                        above = max(above, 1)
+                elif tag not in ("body", "article", "main"):
+                    for one in value.split():
+                        words = set(_SPLIT.split(one)) - {""}
+                        named = words & NAMES
+                        if inside or every & ARTICLE_NAMES:  # an article's own header
+                            named -= {"header"}
+                        if named and not all(w in NAMES or w in LAYOUT or not w.isalpha() for w in words):
+                            why = why or "mixed"
+                        elif named - LAYOUT_NAMES:
+                            why = "name" if why in (None, "mixed") else why
+                        elif named:
+                            above = max(above, 1)
             elif name == "aria-label" and set(_SPLIT.split(value)) & (COMMENT_NAMES | LABELS):
                 return 2, None
             elif name == "role" and value in ROLES - {"form"} or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
@@ -176,15 +209,26 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.unread:
-            if tag in self.unread:
-                del self.unread[len(self.unread) - 1 - self.unread[::-1].index(tag) :]
-            return
+            if self.unread[-1] == tag:
+                self.unread.pop()
+                return
+            if tag in UNREAD:
+                if tag in self.unread:
+                    del self.unread[len(self.unread) - 1 - self.unread[::-1].index(tag) :]
+                return
+            if self.within[tag]:
+                self.within[tag] -= 1
+                return
+            if not self.open[tag]:
+                return
+            self.unread = []  # the end of an element around the unread one, which ends with it
         if tag == "a":
             self.unlisted = max(0, self.unlisted - 1)
         elif tag in CONTAINERS or tag in LINES:
             self.line()
-            for k in range(len(self.stack) - 1, 0, -1):
+            for k in range(len(self.stack) - 1, 0, -1) if self.open[tag] else ():
                 if self.stack[k][0] == tag:
+                    self.open.subtract(s[0] for s in self.stack[k:])
                     del self.stack[k:]
                     self.unlisted = 0
                     break
@@ -233,15 +277,8 @@ def weighed(page: Lines) -> list[tuple[str, int, int, int, int]]:
 
     shut = inside(set())
     if not any(box[0] in ("article", "main") and not shut[c] and c not in page.final for c, box in enumerate(page.plain)):
-        held: dict[int, int] = {}
-        total = 0
-        for text, _, _, container, furniture in page.out:
-            if furniture < 2:
-                total += len(text)
-                for c in _ups(page, container):
-                    if c in page.weighed:
-                        held[c] = held.get(c, 0) + len(text)
-        shut = inside({c for c, n in held.items() if n > WRAPPER[page.weighed[c]] * total})
+        held = _held(page, ((c, len(text)) for text, _, _, c, furniture in page.out if furniture < 2))
+        shut = inside({c for c in page.weighed if held[c] > WRAPPER[page.weighed[c]] * held[0]})
     return [(t, linked, tags, c, 2 if shut[c] else f) for t, linked, tags, c, f in page.out]
 
 
@@ -253,6 +290,7 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.line()
+    page.total()
     page.out = weighed(page)
     # a layout name that would make furniture of most of a page without an article says something else ("has-sidebar")
     weights: dict[int, int] = {}
@@ -266,25 +304,26 @@ def main_text(html: str | None) -> str:
     if not any(not f for *_, f in lines):
         return ""
     hit = regions(lines)
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, _, container, _), h in zip(lines, hit, strict=True):
-        if h:
-            total += len(text)
-            while container >= 0:
-                weight[container] = weight.get(container, 0) + len(text)
-                container = page.parents[container]
-    best = max((c for c, w in weight.items() if w >= REGION_SHARE * total and page.plain[c][0] not in ("ul", "ol", "blockquote", "p", "li")), default=0)
+    weight = _held(page, ((c, len(text)) for (text, _, _, c, _), h in zip(lines, hit, strict=True) if h))
+    best = max((c for c, w in enumerate(weight) if w and w >= REGION_SHARE * weight[0] and page.plain[c][0] not in ("ul", "ol", "blockquote", "p", "li")), default=0)
     # without such an element nothing tells a lede or a closing beside the longest container from the rest of the article
     path = set(_ups(page, best))
     best = next((c for c in _ups(page, best) if page.plain[c][0] in ("article", "main")), 0)
-    out = []
-    for text, _, _, container, furniture in lines:
-        if not furniture:
-            up = list(_ups(page, container))
-            if best in up and (best or not any(c not in path and _is_menu(page.plain[c]) for c in up)):
-                out.append(text)
-    return "\n".join(out)
+    keeps: list[bool] = []  # of each container, whether it is in the region and in no menu
+    for c, box in enumerate(page.plain):
+        above = c > 0 and keeps[page.parents[c]]
+        keeps.append(c == best or above and (best > 0 or c in path or not _is_menu(box)))
+    return "\n".join(text for text, _, _, container, furniture in lines if not furniture and keeps[container])
+
+
+def _held(page: Lines, lines) -> list[int]:
+    """Of each container, the text of those of the lines (container, length) that are in it."""
+    held = [0] * len(page.plain)
+    for c, n in lines:
+        held[c] += n
+    for c in range(len(held) - 1, 0, -1):
+        held[page.parents[c]] += held[c]
+    return held
 
 
 def _ups(page: Lines, container: int):

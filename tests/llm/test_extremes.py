@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, exact, language, near, pii, quality, secrets, substrings
+from plumbline.llm import bpe, decontaminate, exact, html_text, language, near, pii, quality, secrets, substrings
 
 from .test_operators import docs_of, edited, personal, repeats, words
 
@@ -322,3 +322,34 @@ def test_leaks_in_a_long_text(spark):
     rows = [(1, text + item + text), (2, text), (3, item[:10] * (MB // 10))]
     got = {x.doc_id: [(l.edits, l.start) for l in x.leaks] for x in decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {1: [(0, len(text))], 2: [], 3: []}
+
+
+# ---- pages -------------------------------------------------------------------------------------------------------------
+BODY = "The words of the article, which are many and go on."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        *((f"<{t}><p>{BODY}</p><{e} class='{c}'><p>Said of it.</p></{e}></{t}>", f"{BODY}\nSaid of it.") for t in ("main", "article") for e, c in (("div", "social-history"), ("section", "notice-board"), ("div", "share-price"), ("div", "advert-law-review"))),
+        *((f"<main><p>{BODY}</p><div class='{c}'><p>Said of it.</p></div></main>", BODY) for c in ("ad", "cookie-banner", "newsletter signup-box", "related-posts", "social-share-buttons", "ad-300x250", "promo_text", "reader-comments", "sidebar-right")),
+        (f"<main><p>{BODY}</p><div class='share-price'><a>one</a> <a>two</a></div></main>", BODY),  # the figures agree with the name
+        (f"<div class='story-related-art'><article><p>{BODY}</p></article></div>", BODY), (f"<body><div class='story-related-art'><p>{BODY}</p></div></body>", BODY),
+        (f"<article><p>{BODY} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", f"{BODY} x=2 holds."),
+        (f"<article><p>{BODY}</p><h2>References</h2><ol><li><a>one</a><li><a>two</a><li><a>three</a></ol></article>", f"{BODY}\nReferences\none\ntwo\nthree"),
+        *((f"<article><p>{BODY}</p><div><{u}><b>x</div><p>More of it.</p></article>", f"{BODY}\nMore of it.") for u in ("svg", "object", "button", "select", "canvas")),
+        (f"<article><p>{BODY}</p><div><svg><foreignObject><div>x</div></foreignObject></svg>And</div><p>on.</p></article>", f"{BODY}\nAnd\non."),
+        (f"<article><div><object><div><p>x</div></div><p>{BODY}</p></article>", BODY),
+        ("<p>a</div></div></p></article><p>b", "a\nb"),
+    ],
+)
+def test_names_need_company(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div class=box>x", "<section><p>y", "<svg>", "<div></p>", "<ul><li><a>z</a>", "<b>", "<button>", "<article>w", "<form>v", "</div>", "<div class='share-price'>u"])
+def test_deep_and_broken_pages_take_linear_time(unit):
+    n = 20_000
+    began = time.perf_counter()
+    html_text.main_text(f"<article><p>{BODY}</p>" + unit * n + "</section></div>" * n + f"<p>{BODY}</p>")
+    assert time.perf_counter() - began < 8, unit

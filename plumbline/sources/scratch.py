@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder: the checkpoint folder that the cluster names.
@@ -14,6 +16,9 @@ def scratch(spark: SparkSession) -> str:
     share it, and that is an error.
     """
     sc = spark.sparkContext
+    conf = sc._jsc.sc().conf()
+    if not conf.contains(CLEAN):  # else written tables would stay until someone deletes the folder
+        conf.set(CLEAN, "true")
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
@@ -23,6 +28,6 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there."""
+    """``df`` written to the shared folder and read from there. The files go when no table refers to them any more."""
     scratch(df.sparkSession)
     return df.checkpoint()

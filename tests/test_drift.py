@@ -366,3 +366,25 @@ def test_stream_is_corrected(spark, tmp_path):
     q = write_stream(corrected_stream(read_stream(spark, str(tmp_path / "in")), drift), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("x")).first()[0] == pytest.approx(sum(r[1] - 1 for r in cloud(30)))
+
+
+def test_written_tables_go_when_nothing_refers_to_them(spark):
+    import gc
+    import time
+    from pathlib import Path
+
+    from plumbline.sources.scratch import cut, scratch
+
+    folder = Path(scratch(spark).removeprefix("file:"))
+    held, gone = cut(spark.range(10)), cut(spark.range(20))
+    files = lambda: {p.name for p in folder.glob("rdd-*") if any(p.iterdir())}
+    before = files()
+    used = held.selectExpr("id + 1 AS k")
+    del held, gone
+    for _ in range(50):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+        if len(files()) < len(before):
+            break
+    assert len(files()) < len(before) and used.agg(F.sum("k")).first()[0] == 55

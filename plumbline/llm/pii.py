@@ -328,7 +328,10 @@ def find_personal(docs: DataFrame, text_col: str = "text", model: dict | None =
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: dict | None = None) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; spans that overlap are replaced as one."""
+    """``docs`` with every span replaced by its kind in angle brackets; spans that overlap are replaced as one.
+
+    Each span copies the text before it, so that time goes with spans times text.
+    """
     found = find_personal(docs, text_col, model)
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]).cast("int"))
     text = F.coalesce(F.col(text_col), F.lit(""))

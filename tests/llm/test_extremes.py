@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, exact, html_text, language, near, pii, quality, secrets, substrings
+from plumbline.llm import queries as registry
 
 from .test_operators import docs_of, edited, personal, repeats, words
 
@@ -353,3 +354,23 @@ def test_deep_and_broken_pages_take_linear_time(unit):
     began = time.perf_counter()
     html_text.main_text(f"<article><p>{BODY}</p>" + unit * n + "</section></div>" * n + f"<p>{BODY}</p>")
     assert time.perf_counter() - began < 8, unit
+
+
+# ---- all of them -------------------------------------------------------------------------------------------------------
+def test_clashing_columns_change_no_result(spark, small, tmp_path):
+    """Columns that operators use inside, in the input, filled with what would mislead them."""
+    names = "row id u k h d t x set key label node comp spans ids score digest rank kept copy live first_id pair text_key text_sha256 base_email cand_id leaks removed n_tokens owner repo n_grams bands size doc".split()
+    for name in ("documents", "pages", "benchmark", "labels"):
+        df = spark.read.parquet(f"{small}/{name}.parquet").limit(80)
+        df.write.parquet(str(tmp_path / f"plain/{name}.parquet"))
+        spark.read.parquet(str(tmp_path / f"plain/{name}.parquet")).select("*", *(F.lit(k).alias(c) for k, c in enumerate(names) if c not in df.columns)).write.parquet(str(tmp_path / f"more/{name}.parquet"))
+    for name, query in registry.queries().items():
+        plain, more = (query(spark, str(tmp_path / d)) for d in ("plain", "more"))
+        rows = lambda df, of: sorted(map(str, df.select(*of).collect()))
+        assert rows(plain, plain.columns) == rows(more, plain.columns), name
+
+
+def test_rows_kept_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g", 7), (2, "a b c d e f g", 8), (2, "a b c d e f g", 9), (3, "x", 10)], "doc_id long, text string, row int").withColumns({c: F.lit("z") for c in ("id", "key", "kept", "set", "stay", "n")})
+    for one in (exact.one_of_each_text(rows), near.one_of_each_group(rows)):
+        assert one.columns == rows.columns and sorted((x.doc_id, x.row) for x in one.collect()) == [(1, 7), (3, 10)]

@@ -20,16 +20,18 @@ def frame_axis_of(locs: DataFrame) -> DataFrame:
 def _intervals(frames: DataFrame, knots: DataFrame, lead: dict[str, Column], outside: bool) -> DataFrame:
     """Each frame beside the last knot at or before it (``outside``: frames before the first knot get the first).
 
-    As-of by one sort of frames and knots together, rather than a join of every frame with every interval.
+    Only the knots, a row per segment, are put in order as a whole. Each is spread over the frames up to the next, and
+    the frames meet it by an equi-join, so that no task sees all frames.
     """
-    both = frames.select(F.col("frame").cast("double").alias("at"), "frame", F.lit(1).alias("kind"), F.lit(None).alias("knot"))
-    known = knots.select(F.col("center_frame").alias("at"), F.lit(None).cast("int").alias("frame"), F.lit(0).alias("kind"), F.struct(F.col("center_frame").alias("x1"), *(c.alias(k) for k, c in lead.items())).alias("knot"))
-    joined = both.withColumn("knot", F.lit(None).cast(known.schema["knot"].dataType)).unionByName(known)
-    order = Window.orderBy("at", "kind")
-    held = F.last("knot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    w = Window.orderBy("center_frame")
+    known = knots.select(F.col("center_frame").alias("x1"), F.lead("center_frame").over(w).alias("__next"), F.lag("center_frame").over(w).isNull().alias("__first"), *(c.alias(k) for k, c in lead.items()))
+    ends = frames.agg(F.min("frame").alias("__least"), F.max("frame").alias("__most")).filter("__most IS NOT NULL")
+    lo, hi = F.ceil("x1").cast("int"), F.coalesce(F.ceil("__next").cast("int") - 1, F.greatest("__most", F.ceil("x1").cast("int")))
     if outside:
-        held = F.coalesce(held, F.first("knot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return joined.withColumn("knot", held).filter("kind = 1").select("frame", "knot.*")
+        lo = F.when(F.col("__first"), F.least("__least", lo)).otherwise(lo)
+    spread = known.crossJoin(F.broadcast(ends)).withColumn("__lo", lo).withColumn("__hi", hi).filter("__lo <= __hi")  # one row
+    spread = spread.select(F.explode(F.sequence("__lo", "__hi")).alias("frame"), "x1", *lead)
+    return frames.join(spread, "frame", "left")
 
 
 def catmull_rom(frames: DataFrame, knots: DataFrame, whole_numbers: bool = False) -> DataFrame:

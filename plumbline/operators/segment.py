@@ -58,11 +58,19 @@ def by_frame_windows(locs: DataFrame, n_frames: int, cap: int | None = None, ord
 
 
 def _scan(least: int):
-    """Over (frame, n, total, is_last) by frame: the segment of each frame, or -1 for a tail that never fills one."""
+    """Over (frame, n, total, is_last) by frame: the segment of each frame, or -1 for a tail that never fills one.
+
+    The rule is sequential, so one task reads the table of frame counts, a row per frame and not per localization. It
+    holds the frames of the open segment alone: what is closed is passed on.
+    """
 
     def run(batches):
         number = held = 0
         frames, segments, open_frames = [], [], []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(frames, pa.int32()), pa.array(segments, pa.int32())], names=["frame", "segment"])
+
         for batch in batches:
             for frame, n, total, last in zip(*(batch.column(c).to_pylist() for c in ("frame", "n", "total", "is_last")), strict=True):
                 held += n
@@ -72,9 +80,12 @@ def _scan(least: int):
                     frames += open_frames
                     segments += [number] * len(open_frames)
                     number, held, open_frames = number + 1, 0, []
+            if len(frames) > 50_000:
+                yield out()
+                frames, segments = [], []
         frames += open_frames
         segments += [-1] * len(open_frames)
-        yield pa.RecordBatch.from_arrays([pa.array(frames, pa.int32()), pa.array(segments, pa.int32())], names=["frame", "segment"])
+        yield out()
 
     return run
 

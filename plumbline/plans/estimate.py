@@ -218,7 +218,7 @@ def refine_in_time(locs: DataFrame, cfg: DriftConfig = DriftConfig()) -> DriftRe
     A level's pairs are those of the finest segments, relabelled. A width's levels end early where the trajectory (less
     its mean) begins to change more than at the level before.
     """
-    from .optimize import minimise
+    from .optimize import minimise, reflect_boxcar
 
     seg, centers, blocks, params = _prepared(locs, cfg, None)
     total, bound = len(centers), cfg.max_drift_nm * cfg.drift_max_bound_factor
@@ -230,7 +230,7 @@ def refine_in_time(locs: DataFrame, cfg: DriftConfig = DriftConfig()) -> DriftRe
             relabel = np.minimum(np.arange(total) // (total // n), n - 1)
             mids = np.array([centers[relabel == k].mean() for k in range(n)])
             first = np.zeros((n, 3)) if mu is None else evaluate(*pieces(at, mu), mids)
-            x, value, good, calls = minimise(blocks.objective(sigma, relabel, n), first.ravel(), bound)
+            x, value, good, calls = minimise(blocks.objective(sigma, relabel, n), reflect_boxcar(first, 3).ravel(), bound, ftol=1e-12)
             x = x.reshape(n, 3)
             now = evaluate(*pieces(mids, x), axis)
             now -= now.mean(0)

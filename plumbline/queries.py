@@ -7,7 +7,7 @@ label sites. F4: a drift of the segments in closed form. Floating sums are round
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
+from dataclasses import asdict, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -372,6 +372,76 @@ def drift_blinking(spark, sf):
     return estimate_drift(synthetic.blinking(spark), cfg).drift_frames
 
 
+def refined_recovery(spark, sf):
+    """Whether refinement in time brings the drift back as well."""
+    found = refine_in_time(observed_sites(spark, sf), DriftConfig(2, 24, None, None, 100, 10)).drift_frames
+    return M.error(found, slow_drift(spark, sf)).select((F.col("error") < 2 * WITHIN_NM).alias("ok"))
+
+
+def blinking_recovery(spark, sf):
+    """Whether the linear drift of the blinking molecules comes back within half of their error of 0.05."""
+    f = F.col("frame") / 100.0 * 0.05
+    truth = drift_blinking(spark, sf).select("frame", (f * 2).alias("dx"), (f * 5).alias("dy"), (f * -3).alias("dz"))
+    return M.error(drift_blinking(spark, sf), truth).select((F.col("error") < 0.025).alias("ok"))
+
+
+def corrected_near(spark, sf):
+    """Of every localization, whether correction brings it back to its site, a constant shift of all aside."""
+    l, d = observed_sites(spark, sf), slow_drift(spark, sf)
+    put = l.join(d, "frame").select("loc_id", *((F.col(a) - F.col(f"d{a}")).alias(f"{a}_site") for a in "xyz"))
+    both = _recovered(spark, sf).corrected.join(put, "loc_id").select("loc_id", *((F.col(a) - F.col(f"{a}_site")).alias(f"d{a}") for a in "xyz"))
+    shift = both.agg(*(F.avg(c).alias(f"{c}_mean") for c in DRIFT))
+    return both.crossJoin(F.broadcast(shift)).select("loc_id", reduce(lambda p, q: p & q, [F.abs(F.col(c) - F.col(f"{c}_mean")) < 5.0 for c in DRIFT]).alias("near"))  # one row
+
+
+def given_segmentation(spark, sf):
+    """The drift of the events again, over segments of equal counts made beforehand."""
+    l = observed_sites(spark, sf)
+    seg = S.by_equal_counts(l, 30)
+    result = estimate_drift(l, _RECOVERY, seg)
+    error = M.error(result.drift_frames, slow_drift(spark, sf)).select((F.col("error") < 2 * WITHIN_NM).alias("ok"))
+    return result.drift_segments.agg(F.count("*").alias("n_segments")).crossJoin(error)  # one row each
+
+
+def optimizer_rounds(spark, sf):
+    """The segments in every round that the optimizer has kept as it went along."""
+    path = _folder(spark)
+    trace = estimate_drift(observed_sites(spark, sf), _RECOVERY, rounds_to=path).trace
+    rounds = spark.read.parquet(path).join(trace.select("iteration"), "iteration", "left_semi")
+    whole = rounds.select("iteration").distinct().agg((F.count("*") == trace.count()).alias("all_rounds"))
+    return rounds.groupBy("segment").agg(F.first("center_frame").alias("center_frame")).crossJoin(whole).transform(_round, "center_frame")  # one row
+
+
+def details_written(spark, sf):
+    """The segments of a finished run with their centers, written with its details and read back."""
+    path = _folder(spark)
+    sinks.write_details(_recovered(spark, sf), path, slow_drift(spark, sf))
+    truth = spark.read.parquet(f"{path}/drift_truth").agg(F.count("*").alias("n_truth"))
+    return spark.read.parquet(f"{path}/drift_segments").select("segment", "center_frame").crossJoin(truth).transform(_round, "center_frame")  # one row
+
+
+def seg_by_mode(spark, sf):
+    """The segmentation by each mode's number."""
+    l = locs(spark, sf)
+    modes = [S.segment(l, v, m).segments.select(F.lit(m).alias("mode"), "segment", "start_frame", "end_frame", "n_locs") for m, v in ((0, 12), (1, LEAST), (2, WINDOW))]
+    return reduce(DataFrame.unionByName, modes)
+
+
+def csv_all(spark, sf):
+    """Every column of a CSV file, with its type found."""
+    path = _folder(spark)
+    _table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice").write.option("header", True).csv(path)
+    back = readers.read_csv_all(spark, path)
+    return back.select(F.col("p_partkey").cast("long"), "p_name", "p_retailprice")
+
+
+def custom_written(spark, sf):
+    """A drift table written as JSON and read back."""
+    path = _folder(spark)
+    sinks.write_custom(frame_drift(spark, sf), path, "json")
+    return _round(spark.read.schema("frame int, dx double, dy double, dz double").json(path), *DRIFT)
+
+
 def result_parameters(spark, sf):
     return sinks.parameters(_recovered(spark, sf).params, spark)
 
@@ -448,6 +518,15 @@ QUERIES = {
     "result_parameters": result_parameters,
     "drift_refined": drift_refined,
     "drift_blinking": drift_blinking,
+    "drift_refined_recovery": refined_recovery,
+    "drift_blinking_recovery": blinking_recovery,
+    "corrected_near": corrected_near,
+    "drift_given_segmentation": given_segmentation,
+    "optimizer_rounds": optimizer_rounds,
+    "details_written": details_written,
+    "seg_by_mode": seg_by_mode,
+    "csv_all_columns": csv_all,
+    "custom_written": custom_written,
 }
 
 
@@ -603,3 +682,33 @@ ORACLES = {
     "drift_range_ok": f"WITH {_DRIFT}, s AS (SELECT (max(dx) - min(dx)) * 0.5::DOUBLE AS a, (max(dy) - min(dy)) * 0.5::DOUBLE AS b, (max(dz) - min(dz)) * 0.5::DOUBLE AS c FROM drift) SELECT round(a, 6) AS dx_range, round(b, 6) AS dy_range, round(c, 6) AS dz_range, a <= 5 AND b <= 5 AND c <= 5 AS ok FROM s",
     "dataset_summary": f"WITH {_LOCS} SELECT count(*) AS n_locs, count(DISTINCT frame) AS n_frames, max(frame) AS max_frame, max(greatest(abs(x), abs(y), abs(z))) AS max_abs FROM locs",
 }
+
+#: F6 in SQL, and its segments of 24 frames.
+_SITES = """sites AS (SELECT event_id AS loc_id, CAST(floor((epoch(ts) - 1704067200) / 3600) AS INT) AS frame, user_id AS u, CAST(floor(value) AS BIGINT) % 5 - 2 AS ex, event_id % 5 - 2 AS ey FROM events),
+assign AS (SELECT loc_id, frame, CAST(k.segment AS INT) AS segment, u % 17 * 400.0::DOUBLE + ex + 40 * sin(frame / 180.0::DOUBLE) AS x, (u // 17) % 17 * 400.0::DOUBLE + ey + 0.06::DOUBLE * frame AS y, (u // 289) * 400.0::DOUBLE + 25 * cos(frame / 150.0::DOUBLE) AS z
+  FROM sites JOIN (SELECT frame, (row_number() OVER (ORDER BY frame) - 1) // 24 AS segment FROM (SELECT DISTINCT frame FROM sites)) k USING (frame)),
+segments AS (SELECT segment, round(avg(frame), 6) AS center_frame FROM assign GROUP BY segment)"""
+
+
+def _parameters() -> str:
+    """Settings as they are written, beside what the data give."""
+    given = asdict(_RECOVERY) | {"frames_per_window": 24, "min_n_locs_per_window": -1, "n_locs_invalid": 0}
+    rows = [f"SELECT '{k}' AS key, '{v}' AS value" for k, v in given.items()]
+    rows += [f"SELECT '{k}', CAST(count(*) AS VARCHAR) FROM {t}" for k, t in (("n_segments", "segments"), ("n_locs", "assign"), ("n_locs_valid", "assign"), ("n_pairs", "pairs"))]
+    return f"WITH {_SITES}, {_near('assign', 100.0)} " + " UNION ALL ".join(rows)
+
+
+_MODES = {0: _by_count("CAST(ceil(sum(n) / 12.0::DOUBLE) AS BIGINT)"), 1: _by_count(str(LEAST))}
+_BOUNDS = "segment, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_locs FROM assign WHERE segment >= 0 GROUP BY segment"
+ORACLES |= {
+    "result_parameters": _parameters(),
+    "drift_refined_recovery": "SELECT true AS ok",
+    "drift_blinking_recovery": "SELECT true AS ok",
+    "corrected_near": "SELECT event_id AS loc_id, true AS near FROM events",
+    "drift_given_segmentation": "SELECT 30::BIGINT AS n_segments, true AS ok",
+    "optimizer_rounds": f"WITH {_SITES} SELECT segment, center_frame, true AS all_rounds FROM segments",
+    "details_written": f"WITH {_SITES} SELECT segment, center_frame, (SELECT max(frame) + 1 FROM assign)::BIGINT AS n_truth FROM segments",
+    "seg_by_mode": f"SELECT * FROM (WITH RECURSIVE {_MODES[0]} SELECT 0::INT AS mode, {_BOUNDS}) UNION ALL SELECT * FROM (WITH RECURSIVE {_MODES[1]} SELECT 1::INT AS mode, {_BOUNDS}) UNION ALL SELECT * FROM (WITH {_SEG} SELECT 2::INT AS mode, {_BOUNDS})",
+    "csv_all_columns": "SELECT p_partkey, p_name, p_retailprice FROM part",
+    "custom_written": f"WITH {_DRIFT} SELECT frame, {_R3} FROM drift",
+}

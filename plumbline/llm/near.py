@@ -10,7 +10,8 @@ text its MinHash bands. Then:
    of each band bucket (never from all pairs), by a distributed min-label propagation with pointer jumping.
 3. A component's members travel to a task with their MinHash values and shingle hashes, computed once; components of
    more than ``BLOCK`` members or ``BLOCK_BYTES`` of shingles are dealt in blocks, each pair of blocks to a task of its
-   own, so work and memory of a task are bounded at every size. There candidate pairs (equal in some band) meet the
+   own, so work and memory of a task are bounded at every size. Its blocks hold texts of like length: sets whose sizes
+   differ by more than the threshold allows cannot be linked, and their blocks never meet. There candidate pairs (equal in some band) meet the
    BayesLSH test: values are compared ``CHUNK`` at a time, and a pair is dropped once the posterior probability that its
    similarity reaches the threshold is below ``TOLERANCE``; the others are verified on their whole shingle sets by whole
    numbers. Pairs never become rows: a task returns for each text the number of linked texts, and links that span its
@@ -20,8 +21,8 @@ text its MinHash bands. Then:
 Bands have ``ROWS`` values, and there are ``BANDS`` of them: a pair at similarity 0.8 is missed with probability
 (1 - 0.8**ROWS)**BANDS = 7.4e-7 by the bands and TOLERANCE-like by the pruning, while texts that merely share some lines
 seldom meet (0.38 at similarity 0.5, 0.09 at 0.4), which keeps components near the groups they contain. What remains
-quadratic is the count of links itself: m different texts of one component are compared pair by pair, and each of them
-is dealt m / BLOCK times.
+quadratic is the count of links itself: m different texts of like length in one component are compared pair by pair, and
+each of them is dealt some 3 m / BLOCK times.
 
 Nulls: a null text is empty; texts without words link to nothing and are classes of their own; a text with fewer than
 five words is one shingle of all its words. Repeated rows and equal texts are members of one class, each linked to the
@@ -48,6 +49,8 @@ ROWS, BANDS = 7, 60
 CHUNK, TOLERANCE = 35, 1e-7
 #: Members of a block, and bytes of their shingles.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: More than the blocks of one length that a component may have.
+UNITS = 1 << 32
 #: Shingles side by side in one step of the block verification.
 COLUMNS = 4096
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -101,7 +104,7 @@ def _sketch(part, data, at):
     return [pa.array([_set_key(g) for g in found], pa.binary()), pa.array([g.size for g in found], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
 
 
-_MEMBER = ("comp", "blocks", "row", "size")
+_MEMBER = ("comp", "unit", "pairs", "row", "size")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,16 +322,24 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = reps.join(buckets.select("key", "least"), "key").filter("row > least").select(F.col("row").alias("a"), F.col("least").alias("b"))
     comps = cut(components(pairs))
     # 3. members with their shingles, once, or once for each pair of blocks of a large component
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n_grams") * 8) / BLOCK_BYTES)).cast("int").alias("blocks")
     members = comps.join(classes.withColumnRenamed("rep", "node"), "node")
-    sizes = cut(members.groupBy("label").agg(F.count("*").alias("members"), F.sum(F.col("n_grams") * 8).alias("bytes")))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = cut(members.join(sizes, "label").select(F.col("node").alias("row"), F.col("label").alias("comp"), blocks.alias("blocks"), "rep_id", "rep_key", "size", "set"))
+    sizes = cut(members.groupBy("label").agg(blocks))
+    # sets of a threshold or more in common are of the same length class or of neighbouring ones (the base is a little
+    # wider than the threshold, so that rounding parts none)
+    length = F.when(F.col("blocks") > 1, F.floor(F.ln("n_grams") / math.log(1.01 / threshold))).otherwise(0).cast("int")
+    members = members.join(sizes, "label").withColumn("length", length).drop("blocks")
+    dealt_in = members.groupBy("label", "length").agg(blocks).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("length", "blocks"))).alias("of"))  # few lengths: a logarithm
+    own = F.pmod(F.xxhash64("node"), F.col("of")[F.col("length")]).cast("int")
+    unit = lambda length, block: length * UNITS + block
+    met = F.flatten(F.transform(F.array(*(F.col("length") + d for d in (-1, 0, 1))), lambda n: F.when(F.map_contains_key("of", n), F.transform(F.sequence(F.lit(0), F.col("of")[n] - 1), lambda k: unit(n.cast("long"), k))).otherwise(F.array().cast("array<bigint>"))))
+    members = members.join(cut(dealt_in), "label").withColumn("unit", unit(F.col("length").cast("long"), own)).withColumn("pairs", met)
+    members = cut(members.select(F.col("node").alias("row"), F.col("label").alias("comp"), "unit", "pairs", "rep_id", "rep_key", "size", "set"))
     # texts are found by id and text hash and told apart by their set, so that nothing rests on row numbers of a second scan
     texts = rows.select("id", "text_key", "text").join(members, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
-    grams = texts.select(*_MEMBER, "set", "text").mapInArrow(_grams, "comp long, blocks int, row long, size long, sketch binary, grams binary")
-    grams = grams.withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    turn = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = grams.withColumn("pair", F.explode(turn)).select("comp", "pair.i", "pair.j", "row", "size", "block", "grams", "sketch")
+    grams = texts.select(*_MEMBER, "set", "text").mapInArrow(_grams, "comp long, unit long, pairs array<long>, row long, size long, sketch binary, grams binary")
+    turn = F.transform("pairs", lambda k: F.struct(F.least(k, F.col("unit")).alias("i"), F.greatest(k, F.col("unit")).alias("j")))
+    dealt = grams.withColumn("pair", F.explode(turn)).select("comp", "pair.i", "pair.j", "row", "size", F.col("unit").alias("block"), "grams", "sketch")
     dealt = dealt.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block", "row")
     found = cut(dealt.mapInArrow(_join_blocks(threshold), "node long, other long, links long"))
     # 4. groups and numbers of links

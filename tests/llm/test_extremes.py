@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, decontaminate, exact, html_text, language, near, pii, quality, secrets, substrings
 from plumbline.llm import queries as registry
 
-from .test_operators import docs_of, edited, personal, repeats, words
+from .test_operators import docs_of, edited, linked, personal, repeats, words
 
 MB = 1_000_000
 
@@ -176,6 +176,25 @@ def test_near_copies_of_a_long_text(spark, monkeypatch):
     assert got == {k: sum(j != k and min(a, b) >= 0.8 * max(a, b) for j, b in enumerate(sizes)) for k, a in enumerate(sizes)} | {9: 0}
 
 
+def test_lengths_at_the_edge_of_the_threshold(spark, monkeypatch):
+    """In components of many blocks, texts of neighbouring lengths still meet: 4 of 5 shingles, 16 of 20, and so on."""
+    monkeypatch.setattr(near, "BLOCK", 2)
+    r = random.Random(6)
+    rows, k = [], 0
+    for g in range(6):
+        long = [f"g{g}w{j}" for j in range(600)]
+        for n in (4, 5, 8, 10, 16, 20, 25, 40, 50, 64, 80, 100, 125, 256, 320, 400, 500):
+            rows.append((k, " ".join(long[: n + 4])))
+            k += 1
+    r.shuffle(rows)
+    got = {x.doc_id: (x.n_links, x.group_id) for x in near.similarity_join(docs_of(spark, rows)).collect()}
+    n, group = linked(rows)
+    first = {}
+    for x, (i, _) in enumerate(rows):
+        first[group[x]] = min(first.get(group[x], i), i)
+    assert got == {i: (n[x], first[group[x]]) for x, (i, _) in enumerate(rows)} and max(n) > 1
+
+
 def test_rows_repeated_as_a_whole_are_kept_once(spark):
     rows = [(1, "a b")] * 500 + [(None, "a b")] * 500 + [(2, "c")] + [(None, "d")] * 3
     kept = exact.one_of_each_text(docs_of(spark, rows).repartition(4)).collect()

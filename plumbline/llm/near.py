@@ -328,7 +328,8 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # sets of a threshold or more in common are of the same length class or of neighbouring ones (the base is a little
     # wider than the threshold, so that rounding parts none)
     length = F.when(F.col("blocks") > 1, F.floor(F.ln("n_grams") / math.log(1.01 / threshold))).otherwise(0).cast("int")
-    members = members.join(sizes, "label").withColumn("length", length).drop("blocks")
+    # (cut, so that the grouping adds up within partitions first, rather than where the join has dealt a hot label)
+    members = cut(members.join(sizes, "label").withColumn("length", length).drop("blocks"))
     dealt_in = members.groupBy("label", "length").agg(blocks).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("length", "blocks"))).alias("of"))  # few lengths: a logarithm
     own = F.pmod(F.xxhash64("node"), F.col("of")[F.col("length")]).cast("int")
     unit = lambda length, block: length * UNITS + block

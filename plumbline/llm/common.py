@@ -80,19 +80,6 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _table_of_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    if "up" not in _powers or _powers["up"].size < n:
-        base = 0x9E3779B97F4A7C15
-        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            p = np.full(max(n, STEP_BYTES + 1), b, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _powers[name] = p
-    return _powers["up"], _powers["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,11 +99,21 @@ def eights(data: np.ndarray, order: str = "<") -> np.ndarray:
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: differences of one running polynomial, shifted to a common origin."""
-    up, down = _table_of_powers(data.size + 1)
-    run = np.zeros(data.size + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: data.size], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    """A 64-bit hash of the bytes of each span: the sum of its blocks of eight bytes, each mixed with its place, and the
+    length. (No polynomial: modulo 2**64 those are equal for strings of some structure, whatever the base.)
+    """
+    length = ends - starts
+    blocks = (length + 7) >> 3
+    stop = np.cumsum(blocks)
+    place = np.arange(stop[-1] if stop.size else 0) - np.repeat(stop - blocks, blocks)
+    at = np.repeat(starts, blocks) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.ndarray((data.size + 1,), "<u8", padded.data, 0, (1,))[at]
+    over = np.maximum(at + 8 - np.repeat(ends, blocks), 0).astype(np.uint64) << np.uint64(3)  # bits of the last block beyond the span
+    value = (value << over) >> over
+    run = np.zeros(value.size + 1, np.uint64)
+    np.cumsum(mix(value ^ mix((place.astype(np.uint64) + np.uint64(1)) * _ODD)), out=run[1:])
+    return mix(run[stop] - run[stop - blocks] + length.astype(np.uint64) * _ODD)
 
 
 def lower(data: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, exact, html_text, language, near, pii, quality, secrets, substrings
+from plumbline.llm import bpe, common, decontaminate, exact, html_text, language, near, pii, quality, secrets, substrings
 from plumbline.llm import queries as registry
 
 from .test_operators import docs_of, edited, linked, personal, repeats, words
@@ -201,6 +201,37 @@ def test_rows_repeated_as_a_whole_are_kept_once(spark):
     assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted([(1, "a b"), (2, "c"), (None, "d")], key=str)
 
 
+def _thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_unlike_words_of_like_structure_stay_apart(spark, n):
+    """A string and its complement, which a polynomial modulo 2**64 takes for equal, alone and inside texts."""
+    a = _thue_morse(n)
+    b = a.translate(str.maketrans("ab", "ba"))
+    few = [f"w{k}" for k in range(8)]
+    inside = [" ".join([*few[:4], x, *few[4:]]) for x in (a, b)]
+    rows = [(1, a), (2, b), (3, inside[0]), (4, inside[1]), (5, a)]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in near.similarity_join(docs_of(spark, rows)).collect()}
+    assert got == {1: (1, 1), 5: (1, 1), 2: (2, 0), 3: (3, 0), 4: (4, 0)}
+    assert sorted(x.doc_id for x in near.one_of_each_group(docs_of(spark, rows)).collect()) == [1, 2, 3, 4]
+
+
+def test_span_hash_tells_blocks_and_lengths_apart():
+    r = np.random.default_rng(4)
+    data = np.concatenate([np.zeros(40, np.uint8), r.integers(0, 3, 4000).astype(np.uint8)])
+    starts = r.integers(0, 4000, 20_000)
+    ends = starts + r.integers(0, 40, 20_000)
+    seen = {}
+    for a, b, h in zip(starts, ends, common.span_hash(data, starts, ends).tolist(), strict=True):
+        assert seen.setdefault(h, data[a:b].tobytes()) == data[a:b].tobytes()
+    assert len(seen) == len({data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)})
+
+
 # ---- exact copies ------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("most", [1, 7, 1000])
 def test_indexes_of_small_ranges(spark, monkeypatch, most):

@@ -7,6 +7,7 @@ from importlib import import_module
 _WHERE = {
     "op1_decontamination": "decontaminate",
     "op10_ngram_jaccard": "near",
+    "op12_merkle_manifest": "merkle",
     "op2_html_extraction": "html_text",
     "op3_exact_dedup": "exact",
     "op4_byte_bpe": "bpe",
@@ -24,5 +25,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .exact import OP3_SQL
+    from .merkle import OP12_SQL
 
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op12_merkle_manifest": OP12_SQL}

@@ -7,6 +7,7 @@ from importlib import import_module
 _WHERE = {
     "op1_decontamination": "decontaminate",
     "op10_ngram_jaccard": "near",
+    "op11_license_scan": "licenses",
     "op12_merkle_manifest": "merkle",
     "op2_html_extraction": "html_text",
     "op3_exact_dedup": "exact",

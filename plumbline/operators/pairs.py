@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from ..schema import AXES
 from ..sources.scratch import cut
+from .ordered import numbered as ordered_numbers
 
 #: The box is searched a little wider than the radius, and cells are wider than two of it: rounding loses no pair.
 MARGIN = 1e-6
 #: Visits are rows that the planner's size estimates do not see: both sides are shuffled by cell, never broadcast.
 JOIN = "merge"
 _ROW = "__row"
+#: Ids in a row of a histogram's index.
+PIECE = 4096
 
 
 def numbered(locs: DataFrame) -> DataFrame:
@@ -93,21 +96,42 @@ def estimate(locs: DataFrame, max_drift: float) -> DataFrame:
     return counts.agg(total.alias("n_pairs")).select("n_pairs", F.bround(F.col("n_pairs").cast("decimal(38,0)"), -4).cast("long").alias("n_pairs_rounded"))
 
 
+def _once(locs: DataFrame) -> DataFrame:
+    """loc_id and a number for each row."""
+    return (locs if _ROW in locs.columns else numbered(locs)).select("loc_id", _ROW)
+
+
+def _in_order(met: DataFrame) -> DataFrame:
+    """loc_i and loc_j of pairs of rows (loc_id_a, loc_id_b): the smaller id first, null ids last."""
+    first = F.coalesce(F.col("loc_id_a") <= F.col("loc_id_b"), F.col("loc_id_a").isNotNull())
+    return met.select(F.when(first, F.col("loc_id_a")).otherwise(F.col("loc_id_b")).alias("loc_i"), F.when(first, F.col("loc_id_b")).otherwise(F.col("loc_id_a")).alias("loc_j"))
+
+
 def within_cells(locs: DataFrame, size: float) -> DataFrame:
-    """All pairs of one cell, without a distance test and without neighbours: loc_i < loc_j."""
-    c = cells(locs, size, bounded=True).select("loc_id", "cx", "cy", "cz")
-    return c.withColumnRenamed("loc_id", "loc_i").join(c.withColumnRenamed("loc_id", "loc_j"), ["cx", "cy", "cz"]).filter("loc_i < loc_j").select("loc_i", "loc_j")
+    """All pairs of rows of one cell, without a distance test and without neighbours: loc_i <= loc_j (as in
+    ``within_radius``, rows are paired and not ids). Both sides are shuffled by cell, so that a hot cell is split.
+    """
+    c = cells(locs if _ROW in locs.columns else numbered(locs), size, bounded=True).select("cx", "cy", "cz", "loc_id", _ROW)
+    side = lambda s: c.select("cx", "cy", "cz", F.col("loc_id").alias(f"loc_id_{s}"), F.col(_ROW).alias(f"{_ROW}_{s}"))
+    return _in_order(side("a").join(side("b").hint(JOIN), ["cx", "cy", "cz"]).filter(f"{_ROW}_a < {_ROW}_b"))
 
 
-def histogram(locs: DataFrame, size: float) -> DataFrame:
-    """Cells with the number of their rows and the rows' ids in order."""
-    return cells(locs, size, bounded=True).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("loc_id")).alias("loc_ids"))
+def histogram(locs: DataFrame, size: float, piece: int = PIECE) -> DataFrame:
+    """Cells and which rows are in them, as a compressed index: the rows' ids in order of cells and ids are one list, cut
+    at multiples of ``piece`` and at the ends of cells. Each row of the result is one cut: cx, cy, cz, the place in the
+    list at which it begins, its length n, and its loc_ids. A cell of any size is as many rows as it takes.
+    """
+    order = ["cx", "cy", "cz", "loc_id"]
+    listed = ordered_numbers(cells(locs, size, bounded=True).select(*order), order, "k")
+    cut_at = listed.groupBy("cx", "cy", "cz", F.expr(f"k DIV {piece}").alias("__piece"))
+    return cut_at.agg(F.min("k").alias("first"), F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "loc_id"))), lambda r: r["loc_id"]).alias("loc_ids")).drop("__piece")
 
 
 def every_pair(locs: DataFrame) -> DataFrame:
-    """All pairs i < j: for a handful of rows only, as their number is n (n - 1) / 2."""
-    few = locs.select("loc_id")
-    return few.select(F.col("loc_id").alias("loc_i")).join(few.select(F.col("loc_id").alias("loc_j")), F.col("loc_i") < F.col("loc_j"))
+    """All pairs of rows: for a handful of rows only, as their number is n (n - 1) / 2."""
+    few = _once(locs)
+    side = lambda s: few.select(F.col("loc_id").alias(f"loc_id_{s}"), F.col(_ROW).alias(f"{_ROW}_{s}"))
+    return _in_order(side("a").join(side("b"), F.col(f"{_ROW}_a") < F.col(f"{_ROW}_b")))
 
 
 def squared(d: list[Column]) -> Column:

@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BY_COUNT, BY_WINDOWS
+from ..sources.scratch import cut
+from .ordered import chain, next_points, numbered, running
 
 
 @dataclass
@@ -29,13 +30,42 @@ def frame_counts(locs: DataFrame) -> DataFrame:
     return locs.groupBy("frame").agg(F.count("*").alias("n"))
 
 
-def _kept(assign: DataFrame, cap: int | None, order: list[Column] | None, seed: int) -> DataFrame:
-    """Marks at most ``cap`` rows of each segment as valid: a reproducible random choice, or the first by ``order``."""
+#: The hash of a choice has 60 bits; rows are counted by the first so many of them.
+_HASH_BITS, _COUNTED_BITS = 60, 12
+
+
+def choice_hash(seed: int) -> Column:
+    """A number for each loc_id, from a digest: the same in every engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.col("loc_id").cast("string"), F.lit(str(seed)))), 1, _HASH_BITS // 4)
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def _kept(assign: DataFrame, cap: int | None, order: list[str] | None, seed: int) -> DataFrame:
+    """Marks at most ``cap`` rows of each segment as valid: a reproducible random choice, or the first by ``order``.
+
+    The choice is that of the least hashes. They are counted by segment and leading bits first; that says in which range
+    of hashes a segment's last chosen row lies. Rows below that range are chosen and rows above are not, where they are;
+    only those in it are put in order.
+    """
     if not cap:  # None and 0 mean no cap
         return assign.withColumn("valid", F.col("segment") >= 0)
-    order = order or [F.xxhash64("loc_id", F.lit(seed)), F.col("loc_id")]
-    rank = F.row_number().over(Window.partitionBy("segment").orderBy(*order))
-    return assign.withColumn("_rank", rank).withColumn("valid", (F.col("segment") >= 0) & (F.col("_rank") <= cap)).drop("_rank")
+    if order:
+        return _first(assign.withColumn("__left", F.lit(cap)), order).drop("__left")
+    hashed = assign.withColumn("__hash", choice_hash(seed)).withColumn("__range", F.shiftright("__hash", _HASH_BITS - _COUNTED_BITS))
+    counts = hashed.filter("segment >= 0").groupBy("segment", "__range").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("segment").orderBy("__range")))  # 4096 rows at most
+    edge = upto.filter(F.col("upto") >= cap).groupBy("segment").agg(F.min(F.struct("__range", (F.lit(cap) - F.col("upto") + F.col("n")).alias("left"))).alias("e"))
+    both = hashed.join(edge.select("segment", F.col("e.__range").alias("__edge"), F.col("e.left").alias("__left")), "segment", "left")
+    clear = both.filter("__edge IS NULL OR __range <> __edge").withColumn("valid", (F.col("segment") >= 0) & (F.col("__edge").isNull() | (F.col("__range") < F.col("__edge"))))
+    close = _first(both.filter("__range = __edge"), ["__hash", "loc_id"])
+    return clear.unionByName(close).drop("__hash", "__range", "__edge", "__left")
+
+
+def _first(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with ``valid``: whether they are among the first ``__left`` of their segment."""
+    at = cut(numbered(rows, ["segment", *order], "__k"))
+    first = at.groupBy("segment").agg(F.min("__k").alias("__first"))
+    return at.join(first, "segment").withColumn("valid", (F.col("segment") >= 0) & (F.col("__k") - F.col("__first") < F.col("__left"))).drop("__k", "__first")
 
 
 def _described(assign: DataFrame, center_of_kept: bool) -> DataFrame:
@@ -50,62 +80,52 @@ def frame_ranks(counts: DataFrame) -> DataFrame:
     return counts.withColumn("k", F.row_number().over(Window.orderBy("frame")) - 1)
 
 
-def by_frame_windows(locs: DataFrame, n_frames: int, cap: int | None = None, order: list[Column] | None = None, seed: int = 0) -> Segmentation:
+def by_frame_windows(locs: DataFrame, n_frames: int, cap: int | None = None, order: list[str] | None = None, seed: int = 0) -> Segmentation:
     """Windows of ``n_frames`` consecutive observed frames (gaps do not count). Centers are means before the cap."""
     ranks = frame_ranks(frame_counts(locs)).select("frame", (F.floor(F.col("k") / n_frames)).cast("int").alias("segment"))
     assign = _kept(locs.join(ranks, "frame"), cap, order, seed)
     return Segmentation(assign, _described(assign, False), {"frames_per_window": n_frames, "min_n_locs_per_window": -1})
 
 
-def _scan(least: int):
-    """Over (frame, n, total, is_last) by frame: the segment of each frame, or -1 for a tail that never fills one.
+def closes(counts: DataFrame, least: int, size: int | None = None) -> DataFrame:
+    """(frame, segment) of a table of frame counts (frame, n): whole frames are collected until ``least`` localizations
+    are there and as many are left; -1 for a tail that never fills a segment.
 
-    The rule is sequential, so one task reads the table of frame counts, a row per frame and not per localization. It
-    holds the frames of the open segment alone: what is closed is passed on.
+    "Left" is the whole table less the open segment only: closed segments are not taken off. So a segment that begins
+    after a number of localizations ends at the first frame that holds ``least`` more, or else, where that one holds
+    too much, at the last frame of all. Both are found by a search over the running counts, for every frame as a
+    beginning; the beginnings that count are those met from the first frame on.
     """
-
-    def run(batches):
-        number = held = 0
-        frames, segments, open_frames = [], [], []
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(frames, pa.int32()), pa.array(segments, pa.int32())], names=["frame", "segment"])
-
-        for batch in batches:
-            for frame, n, total, last in zip(*(batch.column(c).to_pylist() for c in ("frame", "n", "total", "is_last")), strict=True):
-                held += n
-                open_frames.append(frame)
-                # "enough left" looks at the whole table less the open segment only; closed segments are not taken off
-                if held >= least and (total - held >= least or last):
-                    frames += open_frames
-                    segments += [number] * len(open_frames)
-                    number, held, open_frames = number + 1, 0, []
-            if len(frames) > 50_000:
-                yield out()
-                frames, segments = [], []
-        frames += open_frames
-        segments += [-1] * len(open_frames)
-        yield out()
-
-    return run
-
-
-def by_count(locs: DataFrame, least: int, cap: int | None = None, order: list[Column] | None = None, seed: int = 0) -> Segmentation:
-    """Whole frames are collected until ``least`` localizations are there. Centers are means of what the cap keeps."""
-    counts = frame_counts(locs)
-    whole = counts.agg(F.sum("n").alias("total"), F.max("frame").alias("last"))
-    table = counts.crossJoin(whole).select("frame", "n", "total", (F.col("frame") == F.col("last")).alias("is_last"))  # one row beside each
-    frames = table.repartition(1).sortWithinPartitions("frame").mapInArrow(_scan(least), "frame int, segment int")
-    assign = _kept(locs.join(frames, "frame"), cap, order, seed)
+    at = cut(running(counts.withColumn("__one", F.lit(1)), ["frame"], {"__upto": "n", "__k": "__one"}, size))
+    total, frames = at.agg(F.coalesce(F.max("__upto"), F.lit(0)), F.coalesce(F.max("__k"), F.lit(0))).first()
+    rows = at.select("frame", F.col("__upto").alias("value"), (F.col("__k") - 1).alias("id"), "n")
+    found = next_points(rows.select("id", "value"), rows.select("id", (F.col("value") - F.col("n") + least).alias("value")), size, 2 * frames)
+    begin = rows.select("id", (F.col("value") - F.col("n")).alias("before"))
+    reached = rows.select(F.col("id").alias("found"), F.col("value").alias("reached"))
+    both = begin.join(found, "id").join(reached, "found", "left")
+    last = frames - 1
+    close = F.when((F.col("reached") - F.col("before") <= total - least) | (F.col("found") == last), F.col("found")).when(F.col("found").isNotNull(), F.lit(last))
+    pointers = cut(both.select("id", (close + 1).alias("next")))
+    starts = chain(pointers, 0, size, frames).join(pointers.withColumn("tail", F.col("next").isNull()).drop("next"), "id")
+    marked = rows.select("frame", "id").join(starts, "id", "left").select("frame", F.col("number").isNotNull().cast("long").alias("start"), F.coalesce(F.col("tail"), F.lit(False)).cast("long").alias("tail"))
+    told = running(marked, ["frame"], {"starts": "start", "open": "tail"}, size, frames)
+    return told.select("frame", F.when(F.col("open") > 0, -1).otherwise(F.col("starts") - 1).cast("int").alias("segment"))
+
+
+def by_count(locs: DataFrame, least: int, cap: int | None = None, order: list[str] | None = None, seed: int = 0) -> Segmentation:
+    """Whole frames are collected until ``least`` localizations are there (see ``closes``). Centers are means of what the
+    cap keeps.
+    """
+    assign = _kept(locs.join(closes(frame_counts(locs), least), "frame"), cap, order, seed)
     return Segmentation(assign, _described(assign, True), {"frames_per_window": -1, "min_n_locs_per_window": least})
 
 
-def by_windows(locs: DataFrame, n_windows: int, cap: int | None = None, order: list[Column] | None = None, seed: int = 0) -> Segmentation:
+def by_windows(locs: DataFrame, n_windows: int, cap: int | None = None, order: list[str] | None = None, seed: int = 0) -> Segmentation:
     """As many windows of equal counts as come of ceil(N / n_windows) localizations each, or fewer."""
     return by_count(locs, math.ceil(locs.count() / n_windows), cap, order, seed)
 
 
-def segment(locs: DataFrame, var: int, mode: int = 2, cap: int | None = None, order: list[Column] | None = None, seed: int = 0) -> Segmentation:
+def segment(locs: DataFrame, var: int, mode: int = 2, cap: int | None = None, order: list[str] | None = None, seed: int = 0) -> Segmentation:
     """By mode: 0 windows, 1 count, anything else frames."""
     how = by_windows if mode == BY_WINDOWS else by_count if mode == BY_COUNT else by_frame_windows
     return how(locs, var, cap, order, seed)

@@ -25,7 +25,7 @@ from .self_test import WITHIN_NM, recovered
 from .sources import readers, sinks, synthetic
 from .sources.scratch import scratch
 
-R, SIGMA, WINDOW, LEAST, CAP = 20.0, 6.0, 50, 200, 100
+R, SIGMA, WINDOW, LEAST, CAP, SEED = 20.0, 6.0, 50, 200, 100, 7
 
 
 # ---- fixtures ----------------------------------------------------------------------------------------------------------
@@ -189,7 +189,12 @@ def seg_num_windows(spark, sf):
 
 
 def seg_cap(spark, sf):
-    return S.by_frame_windows(locs(spark, sf), WINDOW, CAP, [F.col("loc_id")]).assign.select("loc_id", "segment", "valid")
+    return S.by_frame_windows(locs(spark, sf), WINDOW, CAP, ["loc_id"]).assign.select("loc_id", "segment", "valid")
+
+
+def seg_cap_seeded(spark, sf):
+    """The reproducible random choice."""
+    return S.by_frame_windows(locs(spark, sf), WINDOW, CAP, seed=SEED).assign.select("loc_id", "segment", "valid")
 
 
 def seg_coarsen(spark, sf):
@@ -197,7 +202,7 @@ def seg_coarsen(spark, sf):
 
 
 def relabel_valid(spark, sf):
-    return S.relabelled(S.by_frame_windows(locs(spark, sf), WINDOW, CAP, [F.col("loc_id")]))
+    return S.relabelled(S.by_frame_windows(locs(spark, sf), WINDOW, CAP, ["loc_id"]))
 
 
 def seg_cap_choice(spark, sf):
@@ -229,7 +234,7 @@ def pairs_all(spark, sf):
 
 
 def histogram(spark, sf):
-    return P.histogram(locs(spark, sf), 40.0).select("cx", "cy", "cz", "n", F.array_join(F.col("loc_ids").cast("array<string>"), ",").alias("loc_ids"))
+    return P.histogram(locs(spark, sf), 40.0, 64).select("cx", "cy", "cz", "first", "n", F.array_join(F.col("loc_ids").cast("array<string>"), ",").alias("loc_ids"))
 
 
 def cost_by_segment_pair(spark, sf):
@@ -281,17 +286,21 @@ def interp_step(spark, sf):
     return _round(D.step(S.frames_of_segments(s.segments), closed_drift(s.segments)), *DRIFT)
 
 
-def _splined(method: str):
-    """Knots at the segments' centers, on a cubic (which not-a-knot splines give back) or on a line (natural ones)."""
+def interp_cubic(spark, sf):
+    """Knots at the segments' centers, on a cubic, which not-a-knot splines give back."""
+    at = centers(spark, sf).orderBy("segment").toArrow().column("center_frame").to_numpy()  # a row per segment
+    t = at / 100.0
+    mu = list(zip(t**3 - 4 * t * t, 2 * t * t - t, 3 - t, strict=True))
+    return _round(interpolate(D.frame_axis_of(locs(spark, sf)), at, mu, "cubic"), *DRIFT, digits=4)
 
-    def query(spark, sf):
-        rows = centers(spark, sf).orderBy("segment").toArrow()  # a row per segment
-        at = rows.column("center_frame").to_numpy()
-        t = at / 100.0
-        mu = list(zip(*((t**3 - 4 * t * t, 2 * t * t - t, 3 - t) if method == "cubic" else (2 * t, 1 - t, 0.5 * t)), strict=True))
-        return _round(interpolate(D.frame_axis_of(locs(spark, sf)), at, mu, method), *DRIFT, digits=4)
 
-    return query
+def interp_natural(spark, sf):
+    """Three knots, at the frames that are one, two and three quarters of the last: the natural spline through 0, h, 0
+    has a closed form, with straight ends.
+    """
+    last = locs(spark, sf).agg(F.max("frame")).first()[0]
+    q = last / 4.0
+    return _round(interpolate(D.frame_axis_of(locs(spark, sf)), [q, 2 * q, 3 * q], [(0.0, 0.0, 1.0), (3.0, -7.0, 1.0), (0.0, 0.0, 1.0)], "natural"), *DRIFT, digits=4)
 
 
 def apply_drift(spark, sf):
@@ -471,6 +480,7 @@ QUERIES = {
     "seg_assign_num_locs": lambda s, d: S.by_count(locs(s, d), LEAST).assign.select("loc_id", "segment", "valid"),
     "seg_num_windows": seg_num_windows,
     "seg_cap": seg_cap,
+    "seg_cap_seeded": seg_cap_seeded,
     "seg_cap_choice": seg_cap_choice,
     "seg_equal_count": lambda s, d: S.by_equal_counts(locs(s, d), 12).segments.transform(_round, "center_frame"),
     "frame_to_segment": lambda s, d: S.frames_of_segments(windows(s, d).segments),
@@ -497,8 +507,8 @@ QUERIES = {
     "interp_catmull_rom": interp_catmull_rom,
     "interp_linear": interp_linear,
     "interp_step": interp_step,
-    "interp_cubic": _splined("cubic"),
-    "interp_natural": _splined("natural"),
+    "interp_cubic": interp_cubic,
+    "interp_natural": interp_natural,
     "apply_drift": apply_drift,
     "drift_center": drift_center,
     "drift_error": _compared(M.error, "error"),
@@ -628,14 +638,15 @@ ORACLES = {
     "synthetic_sites": f"WITH l AS (SELECT CAST(id AS BIGINT) AS loc_id, CAST(id // 120 AS INT) AS frame, CAST(floor({_share('id', 123, 0)} * 1000) AS BIGINT) AS site FROM (SELECT unnest(range(0, 60000)) AS id)), b AS (SELECT *, (3 * sin(frame / 20.0::DOUBLE + 0.37::DOUBLE) + 1.25::DOUBLE * cos(frame / 6.0::DOUBLE + 1.2::DOUBLE) + frame / 25.0::DOUBLE) * 10 AS b FROM l) SELECT loc_id, " + ", ".join(f"round({_share('site', 123, k + 1)} * 1000 + b * {f}::DOUBLE, 6) + 0.0::DOUBLE AS {a}" for k, (a, f) in enumerate((("x", 1.0), ("y", 0.7), ("z", -0.5)))) + ", frame FROM b",
     "synthetic_blinking": f"WITH m AS (SELECT id, id // 40 AS m, CAST(floor({_share('id', 1, 9)} * 100) AS INT) AS frame FROM (SELECT unnest(range(0, 800)) AS id)) SELECT CAST(id AS BIGINT) AS loc_id, " + ", ".join(f"round({_share('m', 1, 20 + k)} * 10 + {_normal(30 + 2 * k)} * 0.05::DOUBLE + frame / 100.0::DOUBLE * {f * 0.05}::DOUBLE, 6) + 0.0::DOUBLE AS {a}" for k, (a, f) in enumerate((("x", 2.0), ("y", 5.0), ("z", -3.0)))) + ", frame FROM m",
     "interp_cubic": f"WITH {_LOCS}, {_AXIS}, t AS (SELECT frame, frame / 100.0::DOUBLE AS t FROM axis) SELECT frame, round(t * t * t - 4 * t * t, 4) + 0.0::DOUBLE AS dx, round(2 * t * t - t, 4) + 0.0::DOUBLE AS dy, round(3 - t, 4) + 0.0::DOUBLE AS dz FROM t",
-    "interp_natural": f"WITH {_LOCS}, {_AXIS}, t AS (SELECT frame, frame / 100.0::DOUBLE AS t FROM axis) SELECT frame, round(2 * t, 4) + 0.0::DOUBLE AS dx, round(1 - t, 4) + 0.0::DOUBLE AS dy, round(0.5::DOUBLE * t, 4) + 0.0::DOUBLE AS dz FROM t",
+    # through (-1, 0), (0, 1), (1, 0): the second derivative at 0 is -3, and 0 at the ends, whose slopes are 3/2 and -3/2
+    "interp_natural": f"WITH {_LOCS}, {_AXIS}, u AS (SELECT frame, abs(frame / ((SELECT max(frame) FROM locs) / 4.0::DOUBLE) - 2) AS u FROM axis), v AS (SELECT frame, CASE WHEN u <= 1 THEN 1 - 1.5::DOUBLE * u * u + 0.5::DOUBLE * u * u * u ELSE 1.5::DOUBLE * (1 - u) END AS v FROM u) SELECT frame, round(3 * v, 4) + 0.0::DOUBLE AS dx, round(-7 * v, 4) + 0.0::DOUBLE AS dy, 1.0::DOUBLE AS dz FROM v",
     "drift_recovery": f"WITH {_LOCS} SELECT count(*) AS n_locs, max(frame) AS last_frame, true AS ok FROM locs",
     "drift_recovery_on_executors": f"WITH {_LOCS} SELECT count(*) AS n_locs, max(frame) AS last_frame, true AS ok FROM locs",
     "drift_recovery_frames": f"WITH {_LOCS}, {_AXIS} SELECT frame, true AS near FROM axis",
     "self_test": "SELECT true AS ok",
     "corrected_csv": f"""WITH {_LOCS} SELECT loc_id AS id, frame, printf('%.3f', x - floor(frame / 10.0::DOUBLE) / 8.0::DOUBLE) AS "x [nm]", printf('%.3f', y - 0.5::DOUBLE) AS "y [nm]", printf('%.3f', z + 0.25::DOUBLE) AS "z [nm]", printf('%.3f', x * 2) AS intensity FROM locs""",
-    "thunderstorm_export": f"WITH {_LOCS} SELECT loc_id AS id, frame, printf('%.3f', x) AS x_nm, printf('%.3f', y) AS y_nm, printf('%.3f', z) AS z_nm FROM locs",
-    "molecule_set_export": f"WITH {_LOCS} SELECT round((y / 160)::FLOAT::DOUBLE, 4) AS \"X_POS_PIXELS\", round((x / 160)::FLOAT::DOUBLE, 4) AS \"Y_POS_PIXELS\", round((z / 160)::FLOAT::DOUBLE, 4) AS \"Z_POS_PIXELS\", round((5.0::DOUBLE / 160)::FLOAT::DOUBLE, 4) AS \"PRECISION_XY_PIXELS\", round(0.1::FLOAT::DOUBLE, 4) AS \"PRECISION_Z_PIXELS\", 1000.0::DOUBLE AS \"PHOTONS\", 0::INT AS \"CHANNEL\", frame AS \"FRAME_NUMBER\", loc_id::INT AS \"INDEX\" FROM locs",
+    "thunderstorm_export": f"WITH {_LOCS} SELECT row_number() OVER (ORDER BY loc_id) - 1 AS id, frame, printf('%.3f', x) AS x_nm, printf('%.3f', y) AS y_nm, printf('%.3f', z) AS z_nm FROM locs",
+    "molecule_set_export": f"WITH {_LOCS} SELECT round((y / 160)::FLOAT::DOUBLE, 4) AS \"X_POS_PIXELS\", round((x / 160)::FLOAT::DOUBLE, 4) AS \"Y_POS_PIXELS\", round((z / 160)::FLOAT::DOUBLE, 4) AS \"Z_POS_PIXELS\", round((5.0::DOUBLE / 160)::FLOAT::DOUBLE, 4) AS \"PRECISION_XY_PIXELS\", round(0.1::FLOAT::DOUBLE, 4) AS \"PRECISION_Z_PIXELS\", 1000.0::DOUBLE AS \"PHOTONS\", 0::INT AS \"CHANNEL\", frame AS \"FRAME_NUMBER\", row_number() OVER (ORDER BY loc_id) - 1 AS \"INDEX\" FROM locs",
     "drift_csv": f"WITH {_DRIFT} SELECT frame::DOUBLE AS frame, dx AS x_nm, dy AS y_nm, dz AS z_nm FROM drift",
     "seg_group_by_frame": f"WITH {_LOCS} SELECT frame, count(*) AS n FROM locs GROUP BY frame",
     "seg_frame_windows": f"WITH {_SEG} {_DESCRIBED}",
@@ -646,6 +657,7 @@ ORACLES = {
     "seg_assign_num_locs": f"WITH RECURSIVE {_by_count(str(LEAST))} SELECT loc_id, segment, segment >= 0 AS valid FROM assign",
     "seg_num_windows": f"WITH RECURSIVE {_by_count('CAST(ceil(sum(n) / 12.0::DOUBLE) AS BIGINT)')} {_DESCRIBED}",
     "seg_cap": f"WITH {_SEG} SELECT loc_id, segment, row_number() OVER (PARTITION BY segment ORDER BY loc_id) <= {CAP} AS valid FROM assign",
+    "seg_cap_seeded": f"WITH {_SEG}, h AS (SELECT *, ('0x' || substr(md5(loc_id || ':{SEED}'), 1, 15))::BIGINT AS h FROM assign) SELECT loc_id, segment, row_number() OVER (PARTITION BY segment ORDER BY h, loc_id) <= {CAP} AS valid FROM h",
     "relabel_valid": f"WITH {_SEG}, v AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY loc_id) AS k FROM assign) SELECT loc_id, x, y, z, segment AS frame FROM v WHERE k <= {CAP}",
     "seg_cap_choice": f"WITH {_LOCS}, n AS (SELECT count(*) AS n, count(DISTINCT frame) AS f FROM locs) SELECT 0::INT AS mode, CAST(floor((n // 12) * 0.5::DOUBLE) AS BIGINT) AS max_locs_per_segment FROM n UNION ALL SELECT 1, CAST(floor({LEAST} * 0.5::DOUBLE) AS BIGINT) FROM n UNION ALL SELECT 2, CAST(floor(n * {WINDOW}::DOUBLE / f * 0.5::DOUBLE) AS BIGINT) FROM n",
     "seg_equal_count": f"WITH {_LOCS}, r AS (SELECT *, row_number() OVER (ORDER BY frame, loc_id) - 1 AS rn, count(*) OVER () AS total FROM locs), assign AS (SELECT *, CAST(least(rn // greatest(total // 12, 1), 11) AS INT) AS segment FROM r) {_DESCRIBED}",
@@ -659,7 +671,7 @@ ORACLES = {
     "pairs_radius_count": f"WITH {_LOCS}, {_near('locs', R)} SELECT count(*) AS n_pairs FROM pairs",
     "pairs_radius_flat": f"WITH {_LOCS}, flat AS (SELECT loc_id, x, y, 0.0::DOUBLE AS z FROM locs), {_near('flat', 5.0)} SELECT count(*) AS n_pairs FROM pairs",
     "pairs_all": "SELECT i.n_nationkey AS loc_i, j.n_nationkey AS loc_j FROM nation i JOIN nation j ON i.n_nationkey < j.n_nationkey",
-    "histogram_3d": f"WITH {_LOCS}, {_CELLS(40.0, True)} SELECT cx, cy, cz, count(*) AS n, string_agg(loc_id::VARCHAR, ',' ORDER BY loc_id) AS loc_ids FROM cells GROUP BY cx, cy, cz",
+    "histogram_3d": f"WITH {_LOCS}, {_CELLS(40.0, True)}, k AS (SELECT *, row_number() OVER (ORDER BY cx, cy, cz, loc_id) - 1 AS k FROM cells) SELECT cx, cy, cz, min(k) AS first, count(*) AS n, string_agg(loc_id::VARCHAR, ',' ORDER BY loc_id) AS loc_ids FROM k GROUP BY cx, cy, cz, k // 64",
     "cost_value": f"WITH {_weights(*_G)} SELECT round(-sum(w), 4) AS cost FROM w",
     "cost_by_segment_pair": f"WITH {_weights(*_G)} SELECT ti AS segment_i, tj AS segment_j, count(*) AS n_pairs, round(sum(w), 6) AS w, round(sum(w * ex), 6) + 0.0::DOUBLE AS mx, round(sum(w * ey), 6) + 0.0::DOUBLE AS my, round(sum(w * ez), 6) + 0.0::DOUBLE AS mz FROM w GROUP BY ti, tj",
     "cost_gradient": _gradient(*_G),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.drift import apply
+from ..operators.ordered import numbered
 from .readers import CSV_AXES, FRAME
 
 
@@ -37,31 +38,29 @@ def write_corrected_csv(table: DataFrame, drift: DataFrame, path: str, single: b
 
 
 def thunderstorm(locs: DataFrame) -> DataFrame:
-    """id, frame and positions to three decimals; z only if some z is not 0. Ids are those of the rows, by loc_id from 0."""
+    """id, frame and positions to three decimals; z only if some z is not 0. Ids are 0 to n - 1, in order of loc_id."""
     has_z = locs.filter("z <> 0").limit(1).count() > 0
-    columns = [F.col("loc_id").alias('"id"'), F.col("frame").alias('"frame"'), three("x").alias('"x [nm]"'), three("y").alias('"y [nm]"')]
-    return locs.select(*columns, *([three("z").alias('"z [nm]"')] if has_z else []))
+    columns = [F.col("k").alias('"id"'), F.col("frame").alias('"frame"'), three("x").alias('"x [nm]"'), three("y").alias('"y [nm]"')]
+    return numbered(locs, ["loc_id"]).select(*columns, *([three("z").alias('"z [nm]"')] if has_z else []))
 
 
 def write_thunderstorm(locs: DataFrame, path: str, single: bool = True) -> None:
-    """Header names carry their quotes, as other programs expect them. With ``single``, ids are made consecutive."""
-    table = thunderstorm(locs)
-    if single:
-        table = table.coalesce(1).sortWithinPartitions('`"id"`')
-        table = table.withColumn('"id"', F.monotonically_increasing_id())
-    _write(table, path, single)
+    """Header names carry their quotes, as other programs expect them. Ids follow each other in the order of the files."""
+    _write(thunderstorm(locs), path, single)
 
 
 def molecule_set(locs: DataFrame, pixel_nm: float, photons: Column | None = None, ux: Column | None = None, uy: Column | None = None, uz: Column | None = None, flat: bool = False, swap_axes: bool = True) -> DataFrame:
-    """The nine columns of a molecule set. x and y change places (``swap_axes``), and z goes by the sideways pixel."""
+    """The nine columns of a molecule set. x and y change places (``swap_axes``), z goes by the sideways pixel, and INDEX
+    runs from 0 to n - 1 in order of loc_id.
+    """
     f32 = lambda c: c.cast("float")
     x, y = ("y", "x") if swap_axes else ("x", "y")
     xy = F.sqrt(ux * ux + uy * uy) / pixel_nm if ux is not None and uy is not None else F.lit(0.1)
-    return locs.select(
+    return numbered(locs, ["loc_id"], "__index").select(
         f32(F.col(x) / pixel_nm).alias("X_POS_PIXELS"), f32(F.col(y) / pixel_nm).alias("Y_POS_PIXELS"),
         f32(F.lit(1.0) if flat else F.col("z") / pixel_nm).alias("Z_POS_PIXELS"), f32(xy).alias("PRECISION_XY_PIXELS"),
         f32(uz / pixel_nm if uz is not None else F.lit(0.1)).alias("PRECISION_Z_PIXELS"), f32(photons if photons is not None else F.lit(1000.0)).alias("PHOTONS"),
-        F.lit(0).alias("CHANNEL"), F.col("frame").cast("int").alias("FRAME_NUMBER"), F.col("loc_id").cast("int").alias("INDEX"),
+        F.lit(0).alias("CHANNEL"), F.col("frame").cast("int").alias("FRAME_NUMBER"), F.col("__index").alias("INDEX"),
     )
 
 

@@ -66,6 +66,27 @@ def test_cap_is_reproducible(spark):
     assert pick(2) == pick(5)
 
 
+@pytest.mark.parametrize("cap", [1, 7, 20, 1000])
+def test_the_seeded_choice_is_that_of_the_least_hashes(spark, cap):
+    """Exactly ``cap`` rows of a segment, ids that repeat (and so tie) included."""
+    import hashlib
+
+    rows = [(k if k % 3 else 5, 1.0 * k, 0.0, 0.0, k % 4) for k in range(160)]
+    got = S.by_frame_windows(frame_of(spark, rows), 2, cap, seed=3).assign.collect()
+    key = lambda i: (int(hashlib.md5(f"{i}:3".encode()).hexdigest()[:15], 16), i)
+    for segment in (0, 1):
+        here = [r for r in got if r.segment == segment]
+        chosen = sorted(key(r.loc_id) for r in here if r.valid)
+        assert chosen == sorted(key(r.loc_id) for r in here)[:cap] and len(here) == 80
+    assert len(got) == 160
+
+
+def test_a_hot_segment_is_not_put_in_order(spark):
+    """Rows away from the edge of the choice are marked where they are: none of them passes through a window."""
+    plan = S.by_frame_windows(frame_of(spark, cloud(50)), 2, 20).assign._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(segment" not in plan
+
+
 @pytest.mark.parametrize("radius", [3.0, 15.0, 500.0])
 def test_pairs_equal_brute_force(spark, radius):
     rows = cloud(120) + [(900, 0.0, 0.0, 0.0, 0), (901, radius, 0.0, 0.0, 1), (902, 0.0, 0.0, 0.0, 1)]
@@ -91,6 +112,25 @@ def test_rows_that_share_an_id_are_paired(spark, flat):
     assert got == sorted(want, key=str) and len(want) > 30
 
 
+def test_rows_that_share_an_id_are_paired_in_cells_and_all_in_all(spark):
+    rows = [(1, 0.0, 0.0, 0.0, 0), (1, 0.1, 0.0, 0.0, 0), (2, 0.2, 0.0, 0.0, 0), (2, 0.3, 0.0, 0.0, 0), (None, 0.3, 0.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "loc_id long, x double, y double, z double, frame int")
+    want = [(1, 1), (1, 2), (1, 2), (1, 2), (1, 2), (1, None), (1, None), (2, 2), (2, None), (2, None)]
+    for pairs in (P.within_cells(df, 5.0), P.every_pair(df)):
+        assert sorted(map(tuple, pairs.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_cell_of_many_rows_is_many_rows_of_the_index(spark):
+    rows = [(k, 0.0 if k < 900 else 10.0 * (k % 5), 0.0, 0.0, 0) for k in range(1000)]
+    got = sorted(P.histogram(frame_of(spark, rows), 10.0, 64).collect(), key=lambda r: r.first)
+    assert max(r.n for r in got) <= 64 and [r.n for r in got] == [len(r.loc_ids) for r in got]
+    assert [r.first for r in got] == [sum(x.n for x in got[:k]) for k in range(len(got))]  # one list without gaps
+    size = {k: v for k, v in ((0, 920), (1, 20), (2, 20), (3, 40))}  # the last cell takes its upper edge
+    for cx, n in size.items():
+        here = [i for r in got if r.cx == cx for i in r.loc_ids]
+        assert len(here) == n and here == sorted(here)
+
+
 def test_pairs_on_cell_edges(spark):
     """Distances of just the radius, coordinates on the edges of cells, and far from the origin."""
     for far in (0.0, 1e6, -1e7):
@@ -329,6 +369,33 @@ def test_csv_round_trip(spark, tmp_path):
         readers.read(spark, "x.txt")
 
 
+def test_exported_ids_follow_each_other(spark, tmp_path):
+    """0 to n - 1 over all part files, in order of loc_id, whatever the ids were."""
+    from plumbline.operators import ordered
+
+    locs = frame_of(spark, [(k * k * 10_000_000_000, float(k), 0.0, 0.0, k) for k in range(50)]).repartition(5)
+    size, ordered.SIZE = ordered.SIZE, 10
+    try:
+        sinks.write_thunderstorm(locs, str(tmp_path / "t.csv"), single=False)
+        sinks.write_molecule_set(locs, str(tmp_path / "m.parquet"), 1.0, swap_axes=False)
+    finally:
+        ordered.SIZE = size
+    files = sorted((tmp_path / "t.csv").glob("part*"))
+    lines = [x for f in files for x in f.read_text().splitlines()[1:]]
+    assert len(files) > 2 and [x.split(",")[:2] for x in lines] == [[str(k), str(k)] for k in range(50)]
+    assert {(r.INDEX, r.FRAME_NUMBER) for r in spark.read.parquet(str(tmp_path / "m.parquet/datatable")).collect()} == {(k, k) for k in range(50)}
+
+
+def test_command_line_on_several_files_without_ids(spark, tmp_path):
+    from plumbline.cli import main
+
+    locs = synthetic.sites_in_cube(spark, 200, 8, 40).repartition(3)
+    locs.select("frame", F.col("x").alias("x [nm]"), F.col("y").alias("y [nm]"), F.col("z").alias("z [nm]")).write.option("header", True).csv(str(tmp_path / "in.csv"))
+    main(["-i", str(tmp_path / "in.csv"), "-o", str(tmp_path / "out.parquet"), "-sv", "2", "-isig", "60", "--format", "parquet"], spark)
+    table = spark.read.parquet(str(tmp_path / "out.parquet/datatable"))
+    assert sorted(r.INDEX for r in table.collect()) == list(range(320))
+
+
 def test_molecule_set_round_trip(spark, tmp_path):
     locs = frame_of(spark, cloud(20))
     sinks.write_molecule_set(locs, str(tmp_path / "m.parquet"), 160.0, swap_axes=False)

@@ -55,12 +55,17 @@ def within_radius(locs: DataFrame, radius: float, carry: tuple[str, ...] = (), f
     near = reduce(lambda p, q: p + q, (d[a] * d[a] for a in AXES)) <= radius * radius
     number = "loc_id" if unique else _ROW
     met = left.join(right.hint(JOIN), [f"c{a}" for a in axes]).filter(near & (~F.col("own") | (F.col(f"{number}_a") < F.col(f"{number}_b"))))
+    return turned(met.select("*", *(d[a].alias(f"d{a}0") for a in AXES)), carry, unique)
+
+
+def turned(met: DataFrame, carry: tuple[str, ...], unique: bool = False) -> DataFrame:
+    """Pairs of rows a and b with their difference, so that the one with the smaller id (null ids come last) is i."""
     first = F.col("loc_id_a") <= F.col("loc_id_b")
     if not unique:
-        first = F.coalesce(first, F.col("loc_id_a").isNotNull())  # null ids come last
+        first = F.coalesce(first, F.col("loc_id_a").isNotNull())
     turn = lambda c: (F.when(first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), F.when(first, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")))
     i, j = turn("loc_id")
-    out = [i.alias("loc_i"), j.alias("loc_j"), *(F.when(first, d[a]).otherwise(-d[a]).alias(f"d{a}0") for a in AXES)]
+    out = [i.alias("loc_i"), j.alias("loc_j"), *(F.when(first, F.col(f"d{a}0")).otherwise(-F.col(f"d{a}0")).alias(f"d{a}0") for a in AXES)]
     for c in carry:
         ci, cj = turn(c)
         out += [ci.alias(f"{c}_i"), cj.alias(f"{c}_j")]

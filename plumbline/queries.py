@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .operators import cost as C
 from .operators import drift as D
+from .operators import kdpairs as K
 from .operators import metrics as M
 from .operators import pairs as P
 from .operators import segment as S
@@ -219,6 +220,12 @@ def pairs_radius_count(spark, sf):
     return P.within_radius(locs(spark, sf), R, unique=True).agg(F.count("*").alias("n_pairs"))
 
 
+def pairs_kd(spark, sf):
+    """The pairs within the radius by leaves of a k-d partition, about 32 of them."""
+    l = locs(spark, sf)
+    return _round(K.within_radius_kd(l, R, leaf_rows=max(64, l.count() // 32)), "dx0", "dy0", "dz0")
+
+
 def pairs_radius_flat(spark, sf):
     flat = locs(spark, sf).withColumn("z", F.lit(0.0))
     return P.within_radius(flat, 5.0, flat=True, unique=True).agg(F.count("*").alias("n_pairs"))
@@ -492,6 +499,7 @@ QUERIES = {
     "pairs_binned": pairs_binned,
     "pairs_radius": pairs_radius,
     "pairs_radius_count": pairs_radius_count,
+    "pairs_kd": pairs_kd,
     "pairs_radius_flat": pairs_radius_flat,
     "pairs_all": pairs_all,
     "histogram_3d": histogram,
@@ -668,6 +676,7 @@ ORACLES = {
     "pair_estimate": f"WITH {_LOCS}, {_CELLS(R, False)}, n AS (SELECT count(*) AS n FROM cells GROUP BY cx, cy, cz) SELECT CAST(sum(n * (n - 1)) AS BIGINT) AS n_pairs, CAST(round_even(sum(n * (n - 1))::DOUBLE / 10000, 0) * 10000 AS BIGINT) AS n_pairs_rounded FROM n",
     "pairs_binned": f"WITH {_LOCS}, {_CELLS(R, True)} SELECT count(*) AS n_pairs, CAST(sum(i.loc_id + 3 * j.loc_id) AS BIGINT) AS checksum FROM cells i JOIN cells j USING (cx, cy, cz) WHERE i.loc_id < j.loc_id",
     "pairs_radius": f"WITH {_LOCS}, {_near('locs', R)} SELECT loc_i, loc_j, round(dx0, 6) + 0.0::DOUBLE AS dx0, round(dy0, 6) + 0.0::DOUBLE AS dy0, round(dz0, 6) + 0.0::DOUBLE AS dz0 FROM pairs",
+    "pairs_kd": f"WITH {_LOCS}, {_near('locs', R)} SELECT loc_i, loc_j, round(dx0, 6) + 0.0::DOUBLE AS dx0, round(dy0, 6) + 0.0::DOUBLE AS dy0, round(dz0, 6) + 0.0::DOUBLE AS dz0 FROM pairs",
     "pairs_radius_count": f"WITH {_LOCS}, {_near('locs', R)} SELECT count(*) AS n_pairs FROM pairs",
     "pairs_radius_flat": f"WITH {_LOCS}, flat AS (SELECT loc_id, x, y, 0.0::DOUBLE AS z FROM locs), {_near('flat', 5.0)} SELECT count(*) AS n_pairs FROM pairs",
     "pairs_all": "SELECT i.n_nationkey AS loc_i, j.n_nationkey AS loc_j FROM nation i JOIN nation j ON i.n_nationkey < j.n_nationkey",

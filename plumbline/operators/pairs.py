@@ -101,6 +101,44 @@ def estimate(locs: DataFrame, max_drift: float) -> DataFrame:
     return counts.agg(total.alias("n_pairs")).select("n_pairs", F.bround(F.col("n_pairs").cast("decimal(38,0)"), -4).cast("long").alias("n_pairs_rounded"))
 
 
+#: Rows whose partners are counted, and standard errors to either side of an expected number.
+SAMPLED, ERRORS = 4000, 3.0
+_AROUND = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+
+
+def expected(locs: DataFrame, radius: float, sampled: int = SAMPLED) -> DataFrame:
+    """One row: how many pairs ``within_radius`` would find, without finding them.
+
+    n_candidates is exact, and no fewer than the pairs: cells of the radius are counted, and each count is multiplied
+    with those of the cells around it. Of about ``sampled`` rows, chosen by a hash, the candidates and the partners
+    within the radius are counted; their ratio times n_candidates is n_pairs, with n_least and n_most to either side
+    (ERRORS standard errors of a ratio; a table of ``sampled`` rows or fewer is counted as a whole). Rows are read three
+    times, and what is shuffled are counts of cells; the sampled rows' visits, 27 a row, are broadcast.
+    """
+    rows = (locs if _ROW in locs.columns else numbered(locs)).select(_ROW, *AXES).dropna()
+    size = radius * (1 + 2 * MARGIN)
+    rows = rows.withColumns({f"c{a}": F.floor(F.col(a) / size).cast("long") for a in AXES})
+    cells_, around = cut(rows.groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))), [f"c{a}" for a in AXES]
+    half = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("xyz", o, strict=True))) for o in _AROUND if o > (0, 0, 0)))
+    beside = cells_.withColumn("o", F.explode(half)).select(*((F.col(f"c{a}") + F.col(f"o.{a}")).alias(f"c{a}") for a in AXES), F.col("n").alias("m"))
+    total = cells_.agg((F.sum(F.col("n") * (F.col("n") - 1)) / 2).alias("own"), F.sum("n").alias("n")).crossJoin(cells_.join(beside.hint(JOIN), around).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("others")))  # one row each
+    n_rows, candidates = total.select(F.coalesce("n", F.lit(0)), F.coalesce((F.col("own") + F.col("others")).cast("long"), F.lit(0))).first()
+    share = max(1, n_rows // sampled)
+    some = rows.filter(F.pmod(F.xxhash64(_ROW), F.lit(share)) == 0).limit(2 * sampled)
+    whole = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("xyz", o, strict=True))) for o in _AROUND))
+    visits = some.withColumn("o", F.explode(whole)).select(F.col(_ROW).alias("me"), *(F.col(a).alias(f"{a}_me") for a in AXES), *((F.col(f"c{a}") + F.col(f"o.{a}")).alias(f"c{a}") for a in AXES))
+    square = reduce(lambda p, q: p + q, ((F.col(a) - F.col(f"{a}_me")) * (F.col(a) - F.col(f"{a}_me")) for a in AXES))
+    met = rows.join(F.broadcast(visits), around).filter(F.col(_ROW) != F.col("me"))  # 54 times ``sampled`` rows at most
+    per = met.groupBy("me").agg(F.count("*").alias("x"), F.count_if(square <= radius * radius).alias("y"))
+    sums = per.agg(*(F.coalesce(F.sum(F.col(p).cast("double") * F.col(q)), F.lit(0.0)).alias(p + q) for p, q in ("xx", "xy", "yy")), *(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(f"s{c}") for c in "xy"), F.count("*").alias("k"))
+    ratio = F.when(F.col("sx") > 0, F.col("sy") / F.col("sx")).otherwise(0.0)
+    spread = F.sqrt(F.greatest(F.col("yy") - 2 * F.col("r") * F.col("xy") + F.col("r") * F.col("r") * F.col("xx"), F.lit(0.0)) * F.col("k") / F.greatest(F.col("k") - 1, F.lit(1)))
+    off = F.when((F.col("sx") == 0) | F.lit(share == 1), 0.0).otherwise(ERRORS * spread / F.col("sx"))
+    out = sums.withColumn("r", ratio).withColumn("off", off)
+    near = lambda c: F.round(F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)) * candidates).cast("long")
+    return out.select(F.lit(candidates).cast("long").alias("n_candidates"), near(F.col("r")).alias("n_pairs"), near(F.col("r") - F.col("off")).alias("n_least"), near(F.col("r") + F.col("off")).alias("n_most"))
+
+
 def _once(locs: DataFrame) -> DataFrame:
     """loc_id and a number for each row."""
     return (locs if _ROW in locs.columns else numbered(locs)).select("loc_id", _ROW)

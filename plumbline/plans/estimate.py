@@ -1,29 +1,32 @@
 """The whole estimate: segments, pairs, annealed minimisation, interpolation, correction.
 
 Pairs are searched once, reduced to what the cost needs of them (two segments and a difference of positions), packed
-into binary blocks and written to the shared checkpoint folder. An evaluation is one job over the blocks: the drift of
-the segments goes out, partial sums per segment come back through one small shuffle. Where all blocks together are
-within ``DriftConfig.local_bytes`` (checked), they are evaluated on the driver, which saves a job per evaluation; both
-ways add up the same numbers.
+into binary blocks, written to the shared checkpoint folder and held on the executors. An evaluation is one job over the
+blocks: the drift of the segments goes out, partial sums per segment come back. Only where all blocks together are within
+``DriftConfig.local_bytes`` (some MB, checked) are they evaluated on the driver, which saves a job per evaluation.
+
+Sums do not depend on how pairs are dealt: what a pair adds is rounded to a whole number of units, which are chosen so
+that the sum of all pairs fits into 62 bits, and whole numbers add up to the same in every order. So an estimate is the
+same, bit for bit, on the driver and on executors, and at every number of partitions.
 """
 
 from __future__ import annotations
 
-import os
+import math
 import warnings
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spline import evaluate, pieces
 from ..operators import drift as D
 from ..operators.pairs import estimate as pair_estimate
-from ..operators.pairs import _ROW, numbered, within_radius
+from ..operators.pairs import _ROW, expected, numbered, within_radius
 from ..operators.segment import Segmentation, _described, ladder, segment, statistics
 from ..schema import DRIFT, DriftConfig
 from ..sources.scratch import cut
@@ -68,66 +71,115 @@ class Block:
         self.i, self.j = i[self.first], j[self.first]
 
 
-def sums(pairs: Block, mu: np.ndarray, scale: float, norm: float) -> tuple[float, np.ndarray]:
-    """Cost and gradient of the pairs of one block. The drift and the sums are taken per pair of segments."""
+@dataclass(frozen=True)
+class Kernel:
+    """The Gaussian at one width, and the units of cost and gradient for so many pairs."""
+
+    sigma: float
+    n_pairs: int
+
+    @property
+    def scale(self) -> float:
+        return 4.0 * self.sigma * self.sigma
+
+    @property
+    def norm(self) -> float:
+        return 1.0 / self.sigma
+
+    def _unit(self, most: float) -> float:
+        """A power of two: as many pairs of ``most`` each, in units of it, stay under 2**61."""
+        return 2.0 ** (math.ceil(math.log2(most * max(1, self.n_pairs))) - 61)
+
+    @property
+    def cost_unit(self) -> float:
+        return self._unit(self.norm)
+
+    @property
+    def gradient_unit(self) -> float:
+        # |e| exp(-|e|^2 / scale) is largest where |e|^2 = scale / 2
+        return self._unit(2.0 * self.norm / self.scale * math.sqrt(self.scale / 2.0) * math.exp(-0.5))
+
+
+def sums(pairs: Block, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]:
+    """Cost and gradient of the pairs of one block, in units. The drift and the sums are taken per pair of segments."""
     e = pairs.d - np.repeat((mu[pairs.i] - mu[pairs.j]).T, pairs.many, axis=1)
-    w = np.exp(np.einsum("ij,ij->j", e, e) * (-1.0 / scale)) * norm
-    g = np.empty_like(mu)
+    w = np.exp(np.einsum("ij,ij->j", e, e) * (-1.0 / kernel.scale)) * kernel.norm
+    g = np.zeros(mu.shape, np.int64)
+    cost = -int(np.rint(w / kernel.cost_unit).astype(np.int64).sum())
+    w *= 2.0 / kernel.scale / kernel.gradient_unit
     for k in range(3):
-        v = np.add.reduceat(w * e[k], pairs.first) * (2.0 / scale)
-        g[:, k] = np.bincount(pairs.j, v, len(mu)) - np.bincount(pairs.i, v, len(mu))
-    return -float(w.sum()), g
+        v = np.add.reduceat(np.rint(w * e[k]).astype(np.int64), pairs.first)
+        np.subtract.at(g[:, k], pairs.i, v)
+        np.add.at(g[:, k], pairs.j, v)
+    return cost, g
 
 
 class PairBlocks:
-    """The pairs of a run, ready to be evaluated again and again."""
+    """The pairs of a run, ready to be evaluated again and again, until they are released."""
+
+    #: Rows of partial sums that the driver takes as they are; more are added up by segment first.
+    FEW = 200_000
 
     def __init__(self, pairs: DataFrame, segments: int, local_bytes: int = DriftConfig.local_bytes):
         packed = pairs.select("segment_i", "segment_j", "dx0", "dy0", "dz0").mapInArrow(_pack, "block binary, n long")
         self.blocks, self.segments = cut(packed), segments
-        self.n_pairs = self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.local, self.threads = None, ThreadPoolExecutor(os.cpu_count())
+        self.n_pairs, self.parts = self.blocks.select("n", F.spark_partition_id().alias("part")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("part")).first()
+        self.local = None
         if self.n_pairs * PAIR_BYTES <= local_bytes:
             self.local = [Block(b) for b in self.blocks.toArrow().column("block").to_pylist()]
+        else:
+            self.blocks = self.blocks.select("block").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        if self.local is None:
+            self.blocks.unpersist()
+        self.local = None
 
     def objective(self, sigma: float, relabel: np.ndarray | None = None, segments: int | None = None) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
         """Cost and gradient at this width; ``relabel`` maps segments to coarser ones."""
-        scale, norm, n = 4.0 * sigma * sigma, 1.0 / sigma, segments or self.segments
+        kernel, n = Kernel(sigma, self.n_pairs), segments or self.segments
 
         def value(flat: np.ndarray) -> tuple[float, np.ndarray]:
             mu = flat.reshape(n, 3)
             fine = mu if relabel is None else mu[relabel]
-            if self.local is not None:
-                cost, g = 0.0, np.zeros_like(fine)
-                for c, h in self.threads.map(lambda rows: sums(rows, fine, scale, norm), self.local):  # in order: the same sum every time
-                    cost, g = cost + c, g + h
-            else:
-                cost, g = self._job(fine, scale, norm)
+            cost, g = self._here(fine, kernel) if self.local is not None else self._job(fine, kernel)
             if relabel is not None:
-                g = np.stack([np.bincount(relabel, g[:, k], n) for k in range(3)], 1)
-            return cost, g.ravel()
+                coarse = np.zeros((n, 3), np.int64)
+                np.add.at(coarse, relabel, g)
+                g = coarse
+            return cost * kernel.cost_unit, g.ravel() * kernel.gradient_unit
 
         return value
 
-    def _job(self, mu: np.ndarray, scale: float, norm: float) -> tuple[float, np.ndarray]:
+    def _here(self, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]:
+        cost, g = 0, np.zeros(mu.shape, np.int64)
+        for block in self.local:
+            c, h = sums(block, mu, kernel)
+            cost, g = cost + c, g + h
+        return cost, g
+
+    def _job(self, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]:
         held = self.blocks.sparkSession.sparkContext.broadcast(mu)  # three numbers a segment
 
         def run(batches):
-            cost, g = 0.0, np.zeros_like(held.value)
+            cost, g = 0, np.zeros(held.value.shape, np.int64)
             for batch in batches:
                 for b in batch.column("block"):
-                    c, h = sums(Block(b.as_py()), held.value, scale, norm)
+                    c, h = sums(Block(b.as_py()), held.value, kernel)
                     cost, g = cost + c, g + h
             at = np.flatnonzero(g.any(1))
-            arrays = [pa.array(np.append(at, -1)), pa.array(np.append(g[at, 0], cost)), *(pa.array(np.append(g[at, k], 0.0)) for k in (1, 2))]
+            arrays = [pa.array(np.append(at, -1)), pa.array(np.append(g[at, 0], cost)), *(pa.array(np.append(g[at, k], 0)) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(arrays, names=["segment", "gx", "gy", "gz"])
 
-        got = self.blocks.select("block").mapInArrow(run, "segment long, gx double, gy double, gz double").groupBy("segment").agg(*(F.sum(c).alias(c) for c in ("gx", "gy", "gz"))).toArrow()
+        got = self.blocks.mapInArrow(run, "segment long, gx long, gy long, gz long")
+        if self.parts * (len(mu) + 1) > self.FEW:
+            got = got.groupBy("segment").agg(*(F.sum(c).alias(c) for c in ("gx", "gy", "gz")))
+        got = got.toArrow()
         held.destroy()
         s, v = got.column("segment").to_numpy(), np.stack([got.column(c).to_numpy() for c in ("gx", "gy", "gz")], 1)
-        g = np.zeros_like(mu)
-        g[s[s >= 0]] = v[s >= 0]
-        return float(v[s < 0, 0].sum()), g
+        g = np.zeros(mu.shape, np.int64)
+        np.add.at(g, s[s >= 0], v[s >= 0])
+        return int(v[s < 0, 0].sum()), g
 
 
 @dataclass
@@ -171,11 +223,13 @@ def _prepared(locs: DataFrame, cfg: DriftConfig, segmentation: Segmentation | No
     if not len(centers):
         raise ValueError("no segment: there are too few localizations for the segmentation asked for")
     valid = rows.filter("valid")
-    expected = pair_estimate(valid, cfg.max_drift_nm).first()["n_pairs"]
-    if cfg.max_pairs is not None and expected > cfg.max_pairs:
-        raise ValueError(f"about {expected:,} pairs, more than max_pairs {cfg.max_pairs:,}: lower max_drift_nm or max_locs_per_segment")
-    if expected > MANY_PAIRS:
-        warnings.warn(f"about {expected:,} pairs: a lower max_drift_nm or max_locs_per_segment would be faster", stacklevel=3)
+    if cfg.max_pairs is not None:
+        guess = expected(valid, cfg.max_drift_nm).first()
+        if guess["n_pairs"] > cfg.max_pairs:
+            raise ValueError(f"about {guess['n_pairs']:,} pairs ({guess['n_least']:,} to {guess['n_most']:,}), more than max_pairs {cfg.max_pairs:,}: lower max_drift_nm or max_locs_per_segment")
+    dense = pair_estimate(valid, cfg.max_drift_nm).first()["n_pairs"]
+    if dense > MANY_PAIRS:
+        warnings.warn(f"about {dense:,} pairs: a lower max_drift_nm or max_locs_per_segment would be faster", stacklevel=3)
     blocks = PairBlocks(within_radius(valid, cfg.max_drift_nm, ("segment",)), len(centers), cfg.local_bytes)
     return seg, centers, blocks, statistics(seg).first().asDict()
 
@@ -195,10 +249,13 @@ def estimate_drift(locs: DataFrame, cfg: DriftConfig = DriftConfig(), segmentati
         rows = [(step["iteration"], step["sigma"], step["failures"], k, float(f), *map(float, m)) for k, (f, m) in enumerate(zip(centers, mu, strict=True))]
         write_intermediate(spark.createDataFrame(rows, "iteration int, sigma double, failures int, segment int, center_frame double, dx double, dy double, dz double"), rounds_to)
 
-    mu, trace = anneal(
-        blocks.objective, len(centers), sigma0, cfg.target_sigma_nm, cfg.max_drift_nm * cfg.drift_max_bound_factor, cfg.boxcar_width, cfg.criterion, cfg.refine,
-        optimizer=cfg.optimizer, on_failure=cfg.on_failure, on_round=keep if rounds_to else None,
-    )
+    try:
+        mu, trace = anneal(
+            blocks.objective, len(centers), sigma0, cfg.target_sigma_nm, cfg.max_drift_nm * cfg.drift_max_bound_factor, cfg.boxcar_width, cfg.criterion, cfg.refine,
+            optimizer=cfg.optimizer, on_failure=cfg.on_failure, on_round=keep if rounds_to else None,
+        )
+    finally:
+        blocks.release()
     return _result(spark, locs, cfg, seg, centers, mu, trace, params | {"n_pairs": blocks.n_pairs} | asdict(cfg))
 
 
@@ -218,11 +275,20 @@ def refine_in_time(locs: DataFrame, cfg: DriftConfig = DriftConfig()) -> DriftRe
     A level's pairs are those of the finest segments, relabelled. A width's levels end early where the trajectory (less
     its mean) begins to change more than at the level before.
     """
-    from .optimize import minimise, reflect_boxcar
-
     seg, centers, blocks, params = _prepared(locs, cfg, None)
     total, bound = len(centers), cfg.max_drift_nm * cfg.drift_max_bound_factor
     axis = np.arange(np.floor(centers.min()), np.ceil(centers.max()) + 1)
+    try:
+        mu, at, trace = _refined(blocks, centers, total, bound, axis, cfg)
+    finally:
+        blocks.release()
+    return _result(locs.sparkSession, locs, cfg, seg, at, mu, trace, params | {"n_pairs": blocks.n_pairs} | asdict(cfg))
+
+
+def _refined(blocks: PairBlocks, centers: np.ndarray, total: int, bound: float, axis: np.ndarray, cfg: DriftConfig):
+    from .minimisers import lbfgsb
+    from .optimize import reflect_boxcar
+
     mu, at, path, deltas, trace = None, None, None, [], []
     sigma = cfg.max_drift_nm / 3.0
     while sigma >= max(1.0, cfg.target_sigma_nm):
@@ -230,7 +296,7 @@ def refine_in_time(locs: DataFrame, cfg: DriftConfig = DriftConfig()) -> DriftRe
             relabel = np.minimum(np.arange(total) // (total // n), n - 1)
             mids = np.array([centers[relabel == k].mean() for k in range(n)])
             first = np.zeros((n, 3)) if mu is None else evaluate(*pieces(at, mu), mids)
-            x, value, good, calls = minimise(blocks.objective(sigma, relabel, n), reflect_boxcar(first, 3).ravel(), bound, ftol=1e-12)
+            x, value, good, calls = lbfgsb(blocks.objective(sigma, relabel, n), reflect_boxcar(first, 3).ravel(), bound, ftol=1e-12)
             x = x.reshape(n, 3)
             now = evaluate(*pieces(mids, x), axis)
             now -= now.mean(0)
@@ -242,4 +308,4 @@ def refine_in_time(locs: DataFrame, cfg: DriftConfig = DriftConfig()) -> DriftRe
                     break
             mu, at, path = x, mids, now
         sigma /= 1.5
-    return _result(locs.sparkSession, locs, cfg, seg, at, mu, trace, params | {"n_pairs": blocks.n_pairs} | asdict(cfg))
+    return mu, at, trace

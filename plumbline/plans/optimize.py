@@ -1,5 +1,5 @@
-"""A bounded quasi-Newton minimiser, and the coarse-to-fine schedule that drives it. Both run on the driver over three
-numbers per segment; the objective is whatever is called (a Spark job over cached pair blocks, as a rule)."""
+"""The coarse-to-fine schedule that drives a minimiser. It runs on the driver over three numbers per segment; the objective
+is whatever is called (a Spark job over cached pair blocks, as a rule)."""
 
 from __future__ import annotations
 
@@ -7,60 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
-
-
-def minimise(f: Objective, x0: np.ndarray, bound: float, gtol: float = 1e-5, ftol: float = 1e3 * np.finfo(float).eps, memory: int = 10, max_rounds: int = 15_000, max_trials: int = 40) -> tuple[np.ndarray, float, bool, int]:
-    """Minimum of f within [-bound, bound]: (x, value, whether it ended well, number of evaluations).
-
-    Limited-memory BFGS directions on the free variables, projected backtracking steps.
-    """
-    clip = lambda v: np.clip(v, -bound, bound)
-    x = clip(np.asarray(x0, float))
-    value, g = f(x)
-    calls, pairs = 1, []
-    for _ in range(max_rounds):
-        if np.abs(x - clip(x - g)).max(initial=0.0) <= gtol:
-            return x, value, True, calls
-        held = ((x <= -bound) & (g > 0)) | ((x >= bound) & (g < 0))
-        q = np.where(held, 0.0, g)
-        back = []
-        for s, y, rho in reversed(pairs):
-            a = rho * (s @ q)
-            q -= a * y
-            back.append(a)
-        if pairs:
-            s, y, _ = pairs[-1]
-            q *= (s @ y) / (y @ y)
-        else:
-            q /= max(np.linalg.norm(q), 1e-300)
-        for (s, y, rho), a in zip(pairs, reversed(back), strict=True):
-            q += s * (a - rho * (y @ q))
-        d = np.where(held, 0.0, -q)
-        if g @ d >= 0:
-            d, pairs = np.where(held, 0.0, -g), []
-        step = 1.0
-        for _ in range(max_trials):
-            new = clip(x + step * d)
-            got, h = f(new)
-            calls += 1
-            if np.isfinite(got) and got <= value + 1e-4 * (g @ (new - x)):
-                break
-            step *= 0.5
-        else:
-            # no descent to be had: a flat place if the last model was all there is, else start from the gradient again
-            if not pairs:
-                return x, value, np.abs(x - clip(x - g)).max() <= 1e2 * gtol, calls
-            pairs = []
-            continue
-        s, y = new - x, h - g
-        if s @ y > 1e-10 * (y @ y):
-            pairs = [*pairs, (s, y, 1.0 / (s @ y))][-memory:]
-        small = value - got <= ftol * max(abs(value), abs(got), 1.0)
-        x, value, g = new, got, h
-        if small:
-            return x, value, True, calls
-    return x, value, False, calls
+from .minimisers import Objective, dfp, lbfgsb, projected
 
 
 def reflect_boxcar(mu: np.ndarray, width: int) -> np.ndarray:
@@ -76,18 +23,22 @@ def reflect_boxcar(mu: np.ndarray, width: int) -> np.ndarray:
 
 
 def optimized(f: Objective, x0: np.ndarray, bound: float, optimizer: str = "lbfgsb") -> tuple[np.ndarray, float, bool, int]:
-    """By name: "lbfgsb" within the bounds, or "bfgs" without bounds, with every update kept, for 100 rounds at most."""
+    """By name: "lbfgsb" within the bounds; "bfgs" without bounds, with the whole inverse Hessian, for 100 rounds at most;
+    "projected" within the bounds, by steps that are cut off at them.
+    """
     if optimizer == "lbfgsb":
-        return minimise(f, x0, bound)
+        return lbfgsb(f, x0, bound)
     if optimizer == "bfgs":
-        return minimise(f, x0, np.inf, gtol=1e-7, memory=100, max_rounds=100)
+        return dfp(f, x0)
+    if optimizer == "projected":
+        return projected(f, x0, bound)
     raise ValueError(f"no optimizer called {optimizer!r}")
 
 
 def one_level(f: Objective, start: np.ndarray, bound: float, width: int = 3) -> np.ndarray:
     """One minimisation at one width, from a smoothed start: the drift of the segments."""
     mu = reflect_boxcar(start, width)
-    return minimise(f, mu.ravel(), bound, ftol=1e-12)[0].reshape(mu.shape)
+    return lbfgsb(f, mu.ravel(), bound, ftol=1e-12)[0].reshape(mu.shape)
 
 
 def anneal(

@@ -226,6 +226,13 @@ def pairs_kd(spark, sf):
     return _round(K.within_radius_kd(l, R, leaf_rows=max(64, l.count() // 32)), "dx0", "dy0", "dz0")
 
 
+def pairs_expected(spark, sf):
+    """Candidates by counts of cells, and whether the number of pairs that a sample tells is within a tenth of theirs."""
+    guess = P.expected(locs(spark, sf), R)
+    both = guess.crossJoin(pairs_radius_count(spark, sf).withColumnRenamed("n_pairs", "n"))  # one row each
+    return both.select("n_candidates", (F.abs(F.col("n_pairs") - F.col("n")) <= 0.1 * F.col("n")).alias("near"))
+
+
 def pairs_radius_flat(spark, sf):
     flat = locs(spark, sf).withColumn("z", F.lit(0.0))
     return P.within_radius(flat, 5.0, flat=True, unique=True).agg(F.count("*").alias("n_pairs"))
@@ -410,6 +417,27 @@ def corrected_near(spark, sf):
     return both.crossJoin(F.broadcast(shift)).select("loc_id", reduce(lambda p, q: p & q, [F.abs(F.col(c) - F.col(f"{c}_mean")) < 5.0 for c in DRIFT]).alias("near"))  # one row
 
 
+def optimizers(spark, sf):
+    """The drift of the events by each of the minimisers, over the same pairs: whether it comes back within a nanometre,
+    and for the bounded one whether it took no more evaluations than plain projected steps do.
+    """
+    from .plans.estimate import _prepared
+    from .plans.optimize import anneal
+
+    l, cfg, frames = observed_sites(spark, sf), replace(_RECOVERY, local_bytes=64 << 20), D.frame_axis_of(locs(spark, sf))
+    _, at, blocks, _ = _prepared(l, cfg, None)
+    rows, calls = [], {}
+    try:
+        for name in ("projected", "lbfgsb", "bfgs"):
+            mu, trace = anneal(blocks.objective, len(at), cfg.sigma0, cfg.target_sigma_nm, cfg.max_drift_nm * cfg.drift_max_bound_factor, optimizer=name)
+            error = M.error(interpolate(frames, at, mu, "cubic"), slow_drift(spark, sf)).first()["error"]
+            calls[name] = sum(t["evaluations"] for t in trace)
+            rows.append((name, error < WITHIN_NM, name != "lbfgsb" or calls[name] <= calls["projected"]))
+    finally:
+        blocks.release()
+    return spark.createDataFrame(rows, "optimizer string, ok boolean, few boolean")
+
+
 def given_segmentation(spark, sf):
     """The drift of the events again, over segments of equal counts made beforehand."""
     l = observed_sites(spark, sf)
@@ -500,6 +528,7 @@ QUERIES = {
     "pairs_radius": pairs_radius,
     "pairs_radius_count": pairs_radius_count,
     "pairs_kd": pairs_kd,
+    "pairs_expected": pairs_expected,
     "pairs_radius_flat": pairs_radius_flat,
     "pairs_all": pairs_all,
     "histogram_3d": histogram,
@@ -528,6 +557,7 @@ QUERIES = {
     "dataset_summary": lambda s, d: M.summary(locs(s, d)),
     "drift_recovery": _recovery(_RECOVERY),
     "drift_recovery_on_executors": _recovery(replace(_RECOVERY, local_bytes=0)),
+    "drift_recovery_on_driver": _recovery(replace(_RECOVERY, local_bytes=256 << 20)),
     "drift_recovery_frames": drift_recovery_frames,
     "self_test": self_test,
     "drift_frames": drift_frames,
@@ -541,6 +571,7 @@ QUERIES = {
     "corrected_near": corrected_near,
     "drift_given_segmentation": given_segmentation,
     "optimizer_rounds": optimizer_rounds,
+    "optimizers": optimizers,
     "details_written": details_written,
     "seg_by_mode": seg_by_mode,
     "csv_all_columns": csv_all,
@@ -612,6 +643,7 @@ _R3 = "round(dx, 6) + 0.0::DOUBLE AS dx, round(dy, 6) + 0.0::DOUBLE AS dy, round
 _DRIFT = f"{_LOCS}, {_AXIS}, drift AS (SELECT frame, frame * 0.01::DOUBLE AS dx, frame * -0.005::DOUBLE AS dy, 0.0::DOUBLE AS dz FROM axis)"
 _TWO = f"{_DRIFT}, other AS (SELECT frame, frame * 0.011::DOUBLE AS dx, sin(frame / 50.0::DOUBLE) AS dy, 1.0::DOUBLE AS dz FROM axis), d AS (SELECT frame, a.dx - b.dx AS ex, a.dy - b.dy AS ey, a.dz - b.dz AS ez FROM drift a JOIN other b USING (frame))"
 _MOL = """m AS (SELECT l_orderkey * 8 + l_linenumber AS loc_id, l_partkey::DOUBLE AS px, l_suppkey::DOUBLE AS py, l_linenumber::DOUBLE AS pz, l_extendedprice AS photons, CAST(datediff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) AS INT) AS frame FROM lineitem)"""
+_CELL = R * (1 + 2 * P.MARGIN)
 _CELLS = lambda size, bounded: "cells AS (SELECT loc_id, " + ", ".join((f"CAST(least(floor(({a} - {a}0) / {size}::DOUBLE), greatest(ceil(({a}1 - {a}0) / {size}::DOUBLE), 1) - 1) AS BIGINT)" if bounded else f"CAST(floor(({a} - {a}0) / {size}::DOUBLE) AS BIGINT)") + f" AS c{a}" for a in "xyz") + " FROM locs, (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) AS x1, max(y) AS y1, max(z) AS z1 FROM locs))"
 
 
@@ -650,6 +682,7 @@ ORACLES = {
     "interp_natural": f"WITH {_LOCS}, {_AXIS}, u AS (SELECT frame, abs(frame / ((SELECT max(frame) FROM locs) / 4.0::DOUBLE) - 2) AS u FROM axis), v AS (SELECT frame, CASE WHEN u <= 1 THEN 1 - 1.5::DOUBLE * u * u + 0.5::DOUBLE * u * u * u ELSE 1.5::DOUBLE * (1 - u) END AS v FROM u) SELECT frame, round(3 * v, 4) + 0.0::DOUBLE AS dx, round(-7 * v, 4) + 0.0::DOUBLE AS dy, 1.0::DOUBLE AS dz FROM v",
     "drift_recovery": f"WITH {_LOCS} SELECT count(*) AS n_locs, max(frame) AS last_frame, true AS ok FROM locs",
     "drift_recovery_on_executors": f"WITH {_LOCS} SELECT count(*) AS n_locs, max(frame) AS last_frame, true AS ok FROM locs",
+    "drift_recovery_on_driver": f"WITH {_LOCS} SELECT count(*) AS n_locs, max(frame) AS last_frame, true AS ok FROM locs",
     "drift_recovery_frames": f"WITH {_LOCS}, {_AXIS} SELECT frame, true AS near FROM axis",
     "self_test": "SELECT true AS ok",
     "corrected_csv": f"""WITH {_LOCS} SELECT loc_id AS id, frame, printf('%.3f', x - floor(frame / 10.0::DOUBLE) / 8.0::DOUBLE) AS "x [nm]", printf('%.3f', y - 0.5::DOUBLE) AS "y [nm]", printf('%.3f', z + 0.25::DOUBLE) AS "z [nm]", printf('%.3f', x * 2) AS intensity FROM locs""",
@@ -676,6 +709,7 @@ ORACLES = {
     "pair_estimate": f"WITH {_LOCS}, {_CELLS(R, False)}, n AS (SELECT count(*) AS n FROM cells GROUP BY cx, cy, cz) SELECT CAST(sum(n * (n - 1)) AS BIGINT) AS n_pairs, CAST(round_even(sum(n * (n - 1))::DOUBLE / 10000, 0) * 10000 AS BIGINT) AS n_pairs_rounded FROM n",
     "pairs_binned": f"WITH {_LOCS}, {_CELLS(R, True)} SELECT count(*) AS n_pairs, CAST(sum(i.loc_id + 3 * j.loc_id) AS BIGINT) AS checksum FROM cells i JOIN cells j USING (cx, cy, cz) WHERE i.loc_id < j.loc_id",
     "pairs_radius": f"WITH {_LOCS}, {_near('locs', R)} SELECT loc_i, loc_j, round(dx0, 6) + 0.0::DOUBLE AS dx0, round(dy0, 6) + 0.0::DOUBLE AS dy0, round(dz0, 6) + 0.0::DOUBLE AS dz0 FROM pairs",
+    "pairs_expected": f"WITH {_LOCS}, g AS (SELECT CAST(floor(x / {_CELL}::DOUBLE) AS BIGINT) AS a, CAST(floor(y / {_CELL}::DOUBLE) AS BIGINT) AS b, CAST(floor(z / {_CELL}::DOUBLE) AS BIGINT) AS c, count(*) AS n FROM locs GROUP BY ALL), o AS (SELECT i.v AS i, j.v AS j, k.v AS k FROM (VALUES (-1), (0), (1)) i(v), (VALUES (-1), (0), (1)) j(v), (VALUES (-1), (0), (1)) k(v)) SELECT CAST((SELECT sum(g.n * h.n) FROM g, o, g h WHERE h.a = g.a + i AND h.b = g.b + j AND h.c = g.c + k) - (SELECT sum(n) FROM g) AS BIGINT) // 2 AS n_candidates, true AS near",
     "pairs_kd": f"WITH {_LOCS}, {_near('locs', R)} SELECT loc_i, loc_j, round(dx0, 6) + 0.0::DOUBLE AS dx0, round(dy0, 6) + 0.0::DOUBLE AS dy0, round(dz0, 6) + 0.0::DOUBLE AS dz0 FROM pairs",
     "pairs_radius_count": f"WITH {_LOCS}, {_near('locs', R)} SELECT count(*) AS n_pairs FROM pairs",
     "pairs_radius_flat": f"WITH {_LOCS}, flat AS (SELECT loc_id, x, y, 0.0::DOUBLE AS z FROM locs), {_near('flat', 5.0)} SELECT count(*) AS n_pairs FROM pairs",
@@ -723,6 +757,7 @@ _MODES = {0: _by_count("CAST(ceil(sum(n) / 12.0::DOUBLE) AS BIGINT)"), 1: _by_co
 _BOUNDS = "segment, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_locs FROM assign WHERE segment >= 0 GROUP BY segment"
 ORACLES |= {
     "result_parameters": _parameters(),
+    "optimizers": "SELECT o AS optimizer, true AS ok, true AS few FROM (VALUES ('projected'), ('lbfgsb'), ('bfgs')) o(o)",
     "drift_refined_recovery": "SELECT true AS ok",
     "drift_blinking_recovery": "SELECT true AS ok",
     "corrected_near": "SELECT event_id AS loc_id, true AS near FROM events",

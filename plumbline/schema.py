@@ -36,12 +36,12 @@ class DriftConfig:
     seed: int = 0
     #: If given, more pairs than this (by estimate) are refused; none are ever left out, nor the radius made smaller.
     max_pairs: int | None = None
-    #: "lbfgsb": bounded, limited memory. "bfgs": unbounded, all updates kept, 100 rounds at most.
+    #: "lbfgsb": bounded, limited memory. "bfgs": unbounded, whole inverse Hessian, 100 rounds at most. "projected": bounded.
     optimizer: str = "lbfgsb"
     #: After a failed minimisation: "retry" as it is, later at twice the width; "restart" from no drift at twice the width.
     on_failure: str = "retry"
     #: Pairs of so many bytes in all are evaluated on the driver, which saves a job each time; more on the executors.
-    local_bytes: int = 256 << 20
+    local_bytes: int = 8 << 20
 
     @property
     def sigma0(self) -> float:

@@ -13,8 +13,10 @@ same, bit for bit, on the driver and on executors, and at every number of partit
 from __future__ import annotations
 
 import math
+import os
 import warnings
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -31,21 +33,26 @@ from ..operators.segment import Segmentation, _described, ladder, segment, stati
 from ..schema import DRIFT, DriftConfig
 from ..sources.scratch import cut
 
-#: Pairs in a block, and bytes of a pair in it: two segments, three differences.
-BLOCK, PAIR_BYTES = 1 << 17, 32
+#: Pairs in a block, and bytes of a pair in it: three differences. (Segments are told once for each run of pairs.)
+BLOCK, PAIR_BYTES = 1 << 17, 24
 #: An estimate of pairs beyond which a run warns before it begins.
 MANY_PAIRS = 250_000_000
 
 
 def _pack(batches):
-    """Rows (segment_i, segment_j, dx0, dy0, dz0) as binary blocks: column by column, in order of the segments."""
+    """Rows (segment_i, segment_j, dx0, dy0, dz0) as binary blocks, in order of the segments: the differences, axis by
+    axis, then the segments and length of each run of a pair of segments, and how many runs there are.
+    """
     held, n = [], 0
 
     def block():
         rows = pa.Table.from_batches(held).combine_chunks()
         i, j, *d = (rows.column(k).to_numpy() for k in range(5))
         order = np.lexsort((j, i))
-        data = b"".join([*(x[order].astype("<i4").tobytes() for x in (i, j)), *(x[order].astype("<f8").tobytes() for x in d)])
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        runs = (i[first], j[first], np.diff(np.append(first, i.size)), np.array([first.size]))
+        data = b"".join([*(x[order].astype("<f8").tobytes() for x in d), *(x.astype("<i4").tobytes() for x in runs)])
         return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([order.size])], names=["block", "n"])
 
     for batch in batches:
@@ -63,12 +70,11 @@ class Block:
     """The pairs of one block: where each pair of segments begins, its two segments, and the differences."""
 
     def __init__(self, data: bytes):
-        n = len(data) // PAIR_BYTES
-        i, j = np.frombuffer(data, "<i4", n), np.frombuffer(data, "<i4", n, 4 * n)
-        self.d = np.frombuffer(data, "<f8", 3 * n, 8 * n).reshape(3, n)
-        self.first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))[: n or None]
-        self.many = np.diff(np.append(self.first, n))
-        self.i, self.j = i[self.first], j[self.first]
+        size = memoryview(data).nbytes
+        n = int(np.frombuffer(data, "<i4", 1, size - 4)[0])
+        self.i, self.j, self.many = np.frombuffer(data, "<i4", 3 * n, size - 12 * n - 4).reshape(3, n)
+        self.first = np.cumsum(self.many) - self.many
+        self.d = np.frombuffer(data, "<f8", (size - 12 * n - 4) // 8).reshape(3, -1)
 
 
 @dataclass(frozen=True)
@@ -127,13 +133,15 @@ class PairBlocks:
         self.local = None
         if self.n_pairs * PAIR_BYTES <= local_bytes:
             self.local = [Block(b) for b in self.blocks.toArrow().column("block").to_pylist()]
+            self.threads = ThreadPoolExecutor(os.cpu_count())
         else:
             self.blocks = self.blocks.select("block").persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
         if self.local is None:
             self.blocks.unpersist()
-        self.local = None
+        else:
+            self.threads.shutdown()
 
     def objective(self, sigma: float, relabel: np.ndarray | None = None, segments: int | None = None) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
         """Cost and gradient at this width; ``relabel`` maps segments to coarser ones."""
@@ -153,8 +161,7 @@ class PairBlocks:
 
     def _here(self, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]:
         cost, g = 0, np.zeros(mu.shape, np.int64)
-        for block in self.local:
-            c, h = sums(block, mu, kernel)
+        for c, h in self.threads.map(lambda block: sums(block, mu, kernel), self.local):
             cost, g = cost + c, g + h
         return cost, g
 
@@ -165,7 +172,7 @@ class PairBlocks:
             cost, g = 0, np.zeros(held.value.shape, np.int64)
             for batch in batches:
                 for b in batch.column("block"):
-                    c, h = sums(Block(b.as_py()), held.value, kernel)
+                    c, h = sums(Block(b.as_buffer()), held.value, kernel)
                     cost, g = cost + c, g + h
             at = np.flatnonzero(g.any(1))
             arrays = [pa.array(np.append(at, -1)), pa.array(np.append(g[at, 0], cost)), *(pa.array(np.append(g[at, k], 0)) for k in (1, 2))]

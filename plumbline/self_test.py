@@ -11,7 +11,7 @@ from .sources import synthetic
 
 #: The size of the self-test and its settings.
 SITES, FRAMES, PER_FRAME, WITHIN_NM = 1000, 500, 120, 1.0
-CONFIG = DriftConfig(2, 2, None, 120, 100, 10)
+CONFIG = DriftConfig(2, 2, None, 120, 100, 10, local_bytes=256 << 20)  # one machine
 
 
 def recovered(spark: SparkSession, sites: int = SITES, frames: int = FRAMES, per_frame: int = PER_FRAME) -> tuple[DriftResult, DataFrame]:

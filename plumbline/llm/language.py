@@ -3,13 +3,16 @@
 Learned per language: log frequencies of letter trigrams (bytes of small-letter words, blanks at their ends), and the
 scripts that its texts use. A word's script is that of its first letter; languages never seen in that script are no
 candidates for it. Viterbi over the words of a text, with a fixed penalty for a change of language, gives each word a
-label; neighbouring words of one label are a span. Texts of a slice run side by side, one step a word, so the time goes
-with the words and not with Python calls per word.
+label; neighbouring words of one label are a span. Texts of a slice run side by side, and so do the runs of ``RUN`` words
+that a longer text is cut into: each run is walked from every language it may be entered with, and the runs are then
+chained, so that the labels are those of one walk over the whole text, in the time of as many short ones.
 
 Training reads the labelled texts of at most ``TRAIN_ROWS`` ids (a documented bound; the smallest id hashes), counted
 partition by partition into one table per language. Nulls: a null text is ``und`` with score 0, as is one without a
 letter; null languages are not learned from. Repeated rows are labelled one by one. Ties go to the language that sorts
-first. With nothing to learn from, every text is ``und``. Texts may have any length, and languages any number.
+first. With nothing to learn from, every text is ``und``. Texts may have any length, and languages any number: from 257 on
+they share trigram classes (hashes of fewer bits), so that the table that travels to the tasks stays within
+``TABLE_BYTES``.
 """
 
 from __future__ import annotations
@@ -30,6 +33,11 @@ SMOOTH = 0.5
 #: A script counts as a language's own from this share of its words on.
 SCRIPT_SHARE = 0.005
 GROUP_BYTES = 6 << 20
+#: Words of a run, and the number of languages up to which a run is walked from each of them. Beyond it a step does the
+#: work of so many languages that texts are walked whole.
+RUN, ENTRIES = 512, 32
+#: Bytes of the table of log frequencies, at most (32-bit numbers, languages times trigram classes).
+TABLE_BYTES = 64 << 20
 
 #: First code points of script ranges (Unicode blocks), and the script that begins there.
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "devanagari", "indic", "thai", "georgian", "hangul", "kana", "han", "other")
@@ -90,13 +98,20 @@ def _count(batches):
     yield from out()
 
 
+def bits_for(langs: int) -> int:
+    """Bits of a trigram class, with which the table of so many languages has ``TABLE_BYTES`` at most."""
+    return max(1, min(BITS, (TABLE_BYTES // 4 // max(1, langs)).bit_length() - 1))
+
+
 class Model:
-    def __init__(self, counts: dict[str, np.ndarray]):
-        self.langs = sorted(counts)
-        n = np.array([counts[c] for c in self.langs], np.float64).reshape(len(self.langs), (1 << BITS) + len(SCRIPTS))
-        grams, scripts = n[:, : 1 << BITS] + SMOOTH, n[:, 1 << BITS :]
-        logs = np.log(grams / grams.sum(1, keepdims=True))
-        self.table = (logs - logs.mean(0, keepdims=True)).T.astype(np.float32).copy() if self.langs else np.zeros((1 << BITS, 0), np.float32)
+    """What is known of the languages ``langs`` (sorted): ``grams`` and ``scripts`` count what each has, a row for each."""
+
+    def __init__(self, langs: list[str], grams: np.ndarray, scripts: np.ndarray):
+        self.langs, self.bits = langs, grams.shape[1].bit_length() - 1
+        logs = np.log(grams + np.float32(SMOOTH), dtype=np.float32)
+        logs -= np.log(grams.sum(1, dtype=np.float64) + SMOOTH * grams.shape[1]).astype(np.float32)[:, None]
+        logs -= logs.mean(0, keepdims=True) if langs else 0
+        self.table = logs.T.copy()
         own = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
         own |= ~own.any(0, keepdims=True)  # a script that no language uses rules none out
         self.allowed = own.T
@@ -107,22 +122,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = cut(sample_of(known.select(F.col(id_col).alias("id")).distinct(), "id", most))
     rows = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), "id")  # at most `most` rows
-    counted = rows.select("lang", "text").mapInArrow(_count, "lang string, i long, n long").groupBy("lang", "i").agg(F.sum("n").alias("n"))
-    counts: dict[str, np.ndarray] = {}
-    for batch in [counted.toArrow()]:  # languages of the bounded sample times 2**16 trigrams at most
-        lang, i, n = batch.column("lang").to_pylist(), batch.column("i").to_numpy(), batch.column("n").to_numpy()
-        where: dict[str, list[int]] = {}
-        for k, c in enumerate(lang):
-            where.setdefault(c, []).append(k)
-        for c, ks in where.items():
-            counts[c] = np.zeros((1 << BITS) + len(SCRIPTS))
-            counts[c][i[ks]] = n[ks]
-    return Model(counts)
+    counted = cut(rows.select("lang", "text").mapInArrow(_count, "lang string, i long, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")))
+    bits = bits_for(counted.select("lang").distinct().count())
+    if bits < BITS:  # before they are sent to the driver
+        gram = F.col("i") < 1 << BITS
+        folded = F.when(gram, F.shiftright("i", BITS - bits)).otherwise(F.col("i"))
+        counted = counted.groupBy("lang", folded.alias("i")).agg(F.sum("n").alias("n"))
+    got = counted.toArrow()  # TABLE_BYTES / 4 counts at most
+    coded = got.column("lang").combine_chunks().dictionary_encode()
+    langs, i, n = coded.dictionary.to_pylist(), got.column("i").to_numpy(), got.column("n").to_numpy()
+    order = sorted(range(len(langs)), key=langs.__getitem__)
+    rank = np.empty(len(langs), np.int64)
+    rank[order] = np.arange(len(langs))
+    row, script = rank[coded.indices.to_numpy()], i >= 1 << BITS
+    grams, scripts = np.zeros((len(langs), 1 << bits), np.float32), np.zeros((len(langs), len(SCRIPTS)))
+    grams[row[~script], i[~script]] = n[~script]
+    scripts[row[script], i[script] - (1 << BITS)] = n[script]
+    return Model([langs[k] for k in order], grams, scripts)
 
 
 def word_scores(model: Model, gram: np.ndarray, letter: np.ndarray, starts: np.ndarray, ends: np.ndarray, script: np.ndarray) -> np.ndarray:
     """Of every word and language; nought for words without letters."""
     out = np.empty((starts.size, len(model.langs)), np.float32)
+    gram = gram >> np.uint32(BITS - model.bits)
     for c in range(len(model.langs)):
         run = np.concatenate([[0.0], np.cumsum(np.where(letter, model.table[gram, c], np.float32(0)), dtype=np.float64)])
         out[:, c] = run[ends] - run[starts]
@@ -131,33 +153,89 @@ def word_scores(model: Model, gram: np.ndarray, letter: np.ndarray, starts: np.n
     return out
 
 
-def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best label of every word; row k has the words from first[k] to first[k + 1]."""
+def _forward(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, now: np.ndarray, switch: float, stay: np.ndarray | None = None, came: np.ndarray | None = None) -> np.ndarray:
+    """Walks runs (begin, length; the longest first) side by side, from the states ``now`` (run, entry, label), which it
+    replaces by those after the last word: the best paths' worth there, less what is returned (run, entry).
+
+    Before each word the best state is set to nought, so that numbers stay small however long a run is. ``stay`` and
+    ``came`` take how the best paths of a run's first entry got to every word.
+    """
+    gained = np.zeros(now.shape[:2])
+    for t in range(int(length[0]) if length.size else 0):
+        k = int(np.searchsorted(-length, -t, "left"))  # runs with more than t words
+        i, cur = begin[:k] + t, now[:k]
+        top = cur.max(-1)
+        gained[:k] += top
+        cur -= top[..., None]
+        if stay is not None:
+            stay[i], came[i] = cur[:, 0] >= -np.float32(switch), cur[:, 0].argmax(-1)
+        np.maximum(cur, -np.float32(switch), out=cur)
+        cur += scores[i][:, None]
+    return gained
+
+
+def _backward(stay: np.ndarray, came: np.ndarray, begin: np.ndarray, length: np.ndarray, last: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Follows the best paths of the runs back from the labels ``last`` (run, choice) of their last words; returns the
+    labels before their first words. ``label`` takes those of every word, of the first choice."""
+    for t in range(int(length[0]) - 1 if length.size else -1, -1, -1):
+        k = int(np.searchsorted(-length, -t, "left"))
+        i, cur = begin[:k] + t, last[:k]
+        if label is not None:
+            label[i] = cur[:, 0]
+        last[:k] = np.where(np.take_along_axis(stay[i], cur, 1), cur, came[i][:, None])
+    return last
+
+
+def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH, run: int = RUN) -> np.ndarray:
+    """The best label of every word; row k has the words from first[k] to first[k + 1].
+
+    Rows of more than ``run`` words are cut. What a path gains in a run, by the labels before its first word and at its
+    last, is a matrix; chained from a row's begin, the matrices give the states that each run is truly entered with.
+    """
     words, n = scores.shape
-    length = np.diff(first)
-    order = np.argsort(-length, kind="stable")
-    base, length = first[:-1][order], length[order]
-    most = int(length[0]) if length.size else 0
-    active = np.searchsorted(-length, -np.arange(most), "left")  # rows with more than t words
+    count = np.diff(first)
+    many = np.maximum(1, -(-count // run)) if n <= ENTRIES else np.ones(count.size, np.int64)
+    head = np.cumsum(many) - many  # each row's first run
+    nth = np.arange(many.sum()) - np.repeat(head, many)
+    begin = np.repeat(first[:-1], many) + nth * run
+    length = np.where(nth + 1 < np.repeat(many, many), run, np.repeat(count, many) - nth * run)
+    entry = np.zeros((nth.size, 1, n), np.float32)
+    full = np.flatnonzero(nth + 1 < np.repeat(many, many))  # those that another one follows
+    if full.size:
+        each = np.full((n, n), -switch, np.float32)
+        np.fill_diagonal(each, 0)
+        after = np.tile(each, (full.size, 1, 1))
+        gained = _forward(scores, begin[full], length[full], after, switch)
+        after += (gained - gained.max(1, keepdims=True))[..., None].astype(np.float32)
+        place = np.cumsum(nth + 1 < np.repeat(many, many)) - 1
+        live, j = np.flatnonzero(many > 1), 0
+        while live.size:
+            here = head[live] + j
+            best = (entry[here, 0][:, :, None] + after[place[here]]).max(1)
+            entry[here + 1, 0] = best - best.max(1, keepdims=True)
+            j += 1
+            live = live[many[live] > j + 1]
+        del after
     kind = np.min_scalar_type(max(n - 1, 0))  # wide enough for every label
     stay, came = np.empty((words, n), bool), np.empty(words, kind)
-    now = np.zeros((length.size, n), np.float32)
-    for t in range(most):
-        k = active[t]
-        i = base[:k] + t
-        cur = now[:k]
-        top = cur.argmax(1)
-        jump = cur[np.arange(k), top] - np.float32(switch if t else 0)
-        keep = cur >= jump[:, None]
-        stay[i], came[i] = keep, top
-        now[:k] = np.where(keep, cur, jump[:, None]) + scores[i]
+    order = np.argsort(-length, kind="stable")
+    now = entry[order]
+    _forward(scores, begin[order], length[order], now, switch, stay, came)
+    last = np.empty((nth.size, 1), np.int64)
+    last[order, 0] = now[:, 0].argmax(1)  # right for the last run of each row
+    if full.size:
+        later = np.flatnonzero(nth > 0)
+        back = later[np.argsort(-length[later], kind="stable")]
+        before = np.zeros((nth.size, n), kind)
+        before[back] = _backward(stay, came, begin[back], length[back], np.tile(np.arange(n), (back.size, 1)))
+        live, j = np.flatnonzero(many > 1), 1
+        while live.size:
+            here = head[live] + many[live] - j
+            last[here - 1, 0] = before[here, last[here, 0]]
+            j += 1
+            live = live[many[live] > j]
     label = np.empty(words, kind)
-    last = now.argmax(1).astype(kind)
-    for t in range(most - 1, -1, -1):
-        k = active[t]
-        i = base[:k] + t
-        label[i] = last[:k]
-        last[:k] = np.where(stay[i, last[:k]], last[:k], came[i])
+    _backward(stay, came, begin[order], length[order], last[order], label)
     return label
 
 

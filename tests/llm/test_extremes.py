@@ -71,6 +71,57 @@ def test_more_labels_than_a_byte_holds(best):
     assert language.viterbi(scores, np.array([0, 3, 6])).tolist() == [best] * 3 + [299] * 3
 
 
+def plain_viterbi(scores, switch):
+    """One walk over all words, on whole numbers: exact."""
+    now, back = [0] * scores.shape[1], []
+    for t, word in enumerate(scores.tolist()):
+        top = now.index(max(now))
+        jump = now[top] - switch * (t > 0)
+        back.append([c if v >= jump else top for c, v in enumerate(now)])
+        now = [max(v, jump) + w for v, w in zip(now, word, strict=True)]
+    out = [now.index(max(now))] if back else []
+    for step in back[:0:-1]:
+        out.append(step[out[-1]])
+    return out[::-1]
+
+
+@pytest.mark.parametrize("run", [1, 2, 7, 512])
+@pytest.mark.parametrize("n", [1, 2, 5, 33])
+def test_chained_runs_give_the_labels_of_one_walk(run, n):
+    r = np.random.default_rng(run * 100 + n)
+    counts = np.concatenate([r.integers(0, 30, 40), [0, 1, 700, 513, 512]])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    scores = r.integers(-6, 7, (first[-1], n)).astype(np.float32)
+    scores[first[42] + 20 : first[42] + 600] = 0  # a long stretch that says nothing
+    label = language.viterbi(scores, first, 5.0, run=run)
+    for lo, hi in zip(first, first[1:], strict=False):
+        assert label[lo:hi].tolist() == plain_viterbi(scores[lo:hi], 5)
+
+
+@pytest.mark.parametrize("mb", [1, 10])
+def test_a_long_text_takes_hardly_longer_than_short_ones(mb):
+    r = np.random.default_rng(mb)
+    words = 150_000 * mb
+    scores = r.normal(0, 3, (words, 4)).astype(np.float32)
+
+    def seconds(first):
+        began = time.perf_counter()
+        language.viterbi(scores, first)
+        return time.perf_counter() - began
+
+    assert seconds(np.array([0, words])) < 6 * seconds(np.arange(0, words + 1, 150)) + 1
+
+
+def test_the_table_of_many_languages_is_bounded(spark, monkeypatch):
+    assert language.bits_for(4) == language.bits_for(256) == language.BITS and language.bits_for(257) == language.BITS - 1
+    monkeypatch.setattr(language, "TABLE_BYTES", 1 << 16)
+    rows = [(k, ["der hund und die katze", "the dog and the cat of", "le chien et le chat sont"][k % 3] * 3, "den"[k % 3]) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert model.table.nbytes <= 1 << 16 and model.table.shape == (1 << model.bits, 3)
+    assert all(x.lang_pred == x.lang for x in language.identify(df, model).collect())
+
+
 def test_three_hundred_languages(spark):
     """Each language has a word of its own; the last ones are told as well as the first."""
     r = random.Random(1)

@@ -17,9 +17,14 @@ the text imply window starts that lie close together. One pass of array operatio
 windows open at each implied start that s different pieces of some item support, which loses no leak. Which items a
 window is held against is decided by the buckets alone.
 
-The items are few: they travel to the tasks in blocks of at most ``ITEM_CHARS`` characters. Each further block is a pass
-and a written table of its own, one broadcast at a time, so that memory stays bounded at any size of the benchmark. With
-one block, documents are never shuffled or written.
+The items are few: they travel to the tasks in blocks of some ``ITEM_CHARS`` characters, of which each item counts
+``ITEM_COST`` more than it has, so that an index of many small ones stays within ``INDEX_BYTES`` too. A block's index is
+built once, of sorted arrays, and its size is checked before it is broadcast. Each further block is a pass and a written
+table of its own, one broadcast at a time, so that memory stays bounded at any size of the benchmark. With one block,
+documents are never shuffled or written.
+
+Equal windows of a batch of documents are walked and aligned once, and texts are searched by stretches of
+``STRETCH_BYTES`` that overlap by what a leak can take, so that neither repeats nor length are a burden.
 
 Nulls: a null text leaks nothing; items of null or (if short) blank text are not searched; items of null id leak with
 a null ``item_id``. Items shorter than ``LEAST`` characters are searched exactly, between word bounds. Items of one text
@@ -46,9 +51,13 @@ SUPPORT, SEEDS = 4, (8, 6, 4, 2, 1)
 #: Places that one repetition samples, and the share of differing places in a walk that must still be found.
 BITS, FAR = 3, 0.6
 RECALL, WALKS = 0.99, 8
-ITEM_CHARS = 4 << 20
+ITEM_CHARS, ITEM_COST = 4 << 20, 100
+INDEX_BYTES = 256 << 20
 GROUP_BYTES = 8 * STEP_BYTES
 LOOK_BYTES = 1 << 15
+STRETCH_BYTES = 1 << 20
+#: Windows that wait for their walks at a time, and characters that are walked side by side.
+WINDOWS, WALKED = 1 << 14, 1 << 20
 _TYPE = "array<struct<item_id:long,edits:int,start:int,end:int>>"
 
 
@@ -136,19 +145,32 @@ class Items:
                 found[width][int.from_bytes(seed, "little") << (64 - 8 * width)].append((n, len(text[:a].encode()), j))
         self.seeds = {}
         for width, by in found.items():
-            values = np.array(sorted(by), np.uint64)
-            first = np.concatenate([[0], np.cumsum([len(by[v]) for v in sorted(by)])])
-            maybe = np.zeros(1 << 22, bool)
-            maybe[_slot(values)] = True
-            self.seeds[width] = (values, first, np.array([x for v in sorted(by) for x in by[v]], np.int64), maybe)
+            values = sorted(by)
+            first = np.concatenate([[0], np.cumsum([len(by[v]) for v in values])])
+            self.seeds[width] = (np.array(values, np.uint64), first, np.array([x for v in values for x in by[v]], np.int32).reshape(-1, 3))
+        #: Bytes from a leak's begin to the end of its last piece, and as much again as edits may move it.
+        self.span = max((len(t.encode()) + 8 * k for t, k in zip(self.texts, self.edits, strict=True)), default=0) + 8
         per_walk = -(-repetitions() // WALKS)
         random = np.random.default_rng(20_240_601)
         self.samples = random.random((WALKS, per_walk, BITS))  # places, as shares of a walk's length
-        self.buckets: dict[int, list[int]] = defaultdict(list)  # the items of each bucket; keys tell lengths apart
-        for n, keys in enumerate(self.keys([codes(t) for t in self.texts]).tolist() if self.texts else ()):
-            for key in set(keys):
-                self.buckets[key].append(n)
-        self.masks = [self._masks(t) for t in self.texts]
+        keys = self.keys([codes(t) for t in self.texts])
+        order = np.argsort(keys, axis=None, kind="stable")
+        self.buckets = keys.ravel()[order], (order // max(1, keys.shape[1])).astype(np.int32)  # sorted keys, which tell lengths apart, and their items
+        self._held: dict[int, tuple[dict[str, int], dict[str, int]]] = {}  # masks of the items aligned last
+
+    def nbytes(self) -> int:
+        """What the index holds in arrays and texts."""
+        arrays = sum(a.nbytes for one in self.seeds.values() for a in one) + sum(a.nbytes for a in self.buckets)
+        return arrays + sum(4 * len(t) for t in self.texts)
+
+    def _maybe(self, width: int) -> np.ndarray:
+        """Which slots some seed of the width has: made where it is first asked for, it does not travel."""
+        if not hasattr(self, "_slots"):
+            self._slots = {}
+        if width not in self._slots:
+            self._slots[width] = np.zeros(1 << 22, bool)
+            self._slots[width][_slot(self.seeds[width][0])] = True
+        return self._slots[width]
 
     @staticmethod
     def _masks(text: str) -> dict[str, int]:
@@ -159,24 +181,39 @@ class Items:
 
     def keys(self, texts: list[np.ndarray]) -> np.ndarray:
         """The bucket of every text in every repetition; texts of different lengths share none."""
-        size = np.array([t.size for t in texts])
-        out = np.empty((len(texts), WALKS * self.samples.shape[1]), np.uint64)
-        rows = np.arange(len(texts))
-        for w in range(WALKS):
-            walked = walk(texts, w)
-            for q, places in enumerate(self.samples[w]):
-                key = mix(size.astype(np.uint64) * np.uint64(WALKS * self.samples.shape[1]) + np.uint64(w * self.samples.shape[1] + q))
-                for p in places:
-                    # a walk of n characters is over after some 2 n steps, so places lie within those
-                    key = mix(key * np.uint64(3) + walked[rows, (p * 2 * size).astype(np.int64)])
-                out[:, w * self.samples.shape[1] + q] = key
+        size = np.array([t.size for t in texts], np.int64)
+        order = np.argsort(size, kind="stable")
+        per_walk = self.samples.shape[1]
+        out = np.empty((len(texts), WALKS * per_walk), np.uint64)
+        lo = 0
+        while lo < order.size:  # texts of like length, so that the longest does not set the width of all
+            hi = lo + 1
+            while hi < order.size and size[order[hi]] * (hi + 1 - lo) <= WALKED and size[order[hi]] <= 2 * size[order[lo]] + 64:
+                hi += 1
+            group = order[lo:hi]
+            own, rows = size[group], np.arange(group.size)
+            for w in range(WALKS):
+                walked = walk([texts[k] for k in group], w)
+                for q, places in enumerate(self.samples[w]):
+                    key = mix(own.astype(np.uint64) * np.uint64(WALKS * per_walk) + np.uint64(w * per_walk + q))
+                    for p in places:
+                        # a walk of n characters is over after some 2 n steps, so places lie within those
+                        key = mix(key * np.uint64(3) + walked[rows, (p * 2 * own).astype(np.int64)])
+                    out[group, w * per_walk + q] = key
+            lo = hi
         return out
 
     def candidates(self, windows: list[str], length: list[int]) -> list[list[int]]:
         """For each window of so many characters (fewer at a text's end), the items that share a bucket with it."""
         keys = self.keys([codes(w.ljust(m, "\0")) for w, m in zip(windows, length, strict=True)])
-        none: list[int] = []
-        return [sorted({n for key in own for n in self.buckets.get(key, none)}) for own in keys.tolist()]
+        held, items = self.buckets
+        lo = np.searchsorted(held, keys)
+        row, at = np.nonzero(held[np.minimum(lo, held.size - 1)] == keys)
+        lo, hi = lo[row, at], np.searchsorted(held, keys[row, at], "right")
+        out: list[set[int]] = [set() for _ in windows]
+        for k, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            out[k].update(items[a:b].tolist())
+        return [sorted(found) for found in out]
 
     def windows(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, length, start) of the windows that enough pieces of an item support, once each; lengths in characters,
@@ -184,16 +221,32 @@ class Items:
 
         ``data`` is plain. An edit moves what follows by the bytes of a character, four at most.
         """
+        stretch = max(STRETCH_BYTES, self.span)
+        if data.size <= stretch + self.span:
+            return sorted(self._windows(data, at))
+        out: set[tuple[int, int, int]] = set()
+        for lo in range(0, data.size, stretch):
+            hi = min(data.size, lo + stretch + self.span)
+            some = np.flatnonzero((at[1:] > lo) & (at[:-1] < hi))
+            if some.size:
+                a, b = int(some[0]), int(some[-1])
+                cuts = np.clip(at[a : b + 2] - lo, 0, hi - lo)
+                off = lo + int(cuts[0]) - int(at[a])  # what of the first row lies before the stretch
+                out.update((r + a, m, x + off if r == 0 else x) for r, m, x in self._windows(data[lo + cuts[0] : lo + cuts[-1]], cuts - cuts[0]))
+        return sorted(out)
+
+    def _windows(self, data: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
+        """The windows of one stretch."""
         hit_of: dict[int, list] = {w: [] for w in self.seeds}
         for lo in range(0, data.size, LOOK_BYTES):  # a size whose arrays stay in the cache
             x = eights(data[lo : lo + LOOK_BYTES + 8])[:LOOK_BYTES]
-            for width, (_, _, _, maybe) in self.seeds.items():
+            for width in self.seeds:
                 v = x << np.uint64(64 - 8 * width)
-                found = np.flatnonzero(maybe[_slot(v)])
+                found = np.flatnonzero(self._maybe(width)[_slot(v)])
                 if found.size:
                     hit_of[width].append((found + lo, v[found]))
         out: set[tuple[int, int, int]] = set()
-        for width, (values, first, where, _) in self.seeds.items():
+        for width, (values, first, where) in self.seeds.items():
             if not hit_of[width]:
                 continue
             hits, v = (np.concatenate(c) for c in zip(*hit_of[width], strict=True))
@@ -205,7 +258,7 @@ class Items:
             hits, place, row = hits[good], place[good], row[good]
             n = first[place + 1] - first[place]
             each = np.repeat(first[place] - np.concatenate([[0], np.cumsum(n)[:-1]]) if n.size else n, n) + np.arange(n.sum())
-            item, offset, piece = where[each].T
+            item, offset, piece = where[each].T.astype(np.int64)
             start = np.repeat(hits - at[row], n) - offset
             key = np.repeat(row, n) * len(self.texts) + item
             _, back, many = np.unique(key, return_inverse=True, return_counts=True)
@@ -220,16 +273,20 @@ class Items:
             for lo, hi in zip(bounds.tolist(), np.append(bounds[1:], key.size).tolist(), strict=True):
                 r, i = divmod(int(key[lo]), len(self.texts))
                 out.update((r, len(self.texts[i]), s) for s in _supported(start[lo:hi].tolist(), piece[lo:hi].tolist(), 4 * self.edits[i], self.support[i]))
-        return sorted(out)
+        return out
 
     def align(self, n: int, text: str) -> tuple[int, int, int]:
         """The least edits between the item and any part of the text, and that part's bounds (the first that ends)."""
         item = self.texts[n]
         if (at := text.find(item)) >= 0:
             return 0, at, at + len(item)
-        best, end = self._ends(self.masks[n], len(item), text)
+        if n not in self._held:
+            if len(self._held) >= 256:
+                self._held.clear()
+            self._held[n] = self._masks(item), self._masks(item[::-1])
+        masks, back = self._held[n]
+        best, end = self._ends(masks, len(item), text)
         # the start: the same from the part's end backwards, with its end fixed
-        back = self._masks(item[::-1])
         part = text[max(0, end - len(item) - best) : end][::-1]
         _, length = self._ends(back, len(item), part, anchored=True)
         return best, end - length, end
@@ -277,13 +334,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     """Adds ``leaks``: (item_id, edits, start, end) of each leaked item's best place; end exclusive, in characters."""
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter(F.length("t") > 0)
-    chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
+    chars = wanted.agg(F.sum(F.length("t") + ITEM_COST)).first()[0] or 0
     blocks = -(-2 * chars // ITEM_CHARS) if chars > ITEM_CHARS else 1
 
     def searched(df: DataFrame, b: int, drop: tuple[str, ...]) -> tuple[DataFrame, object]:
         rows = [(r["i"], r["t"]) for r in wanted.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]  # ITEM_CHARS at most, give or take
-        held = spark.sparkContext.broadcast(rows)
-        return extend(df, _searcher(held, text_col, ratio), f"leaks {_TYPE}", text_col, GROUP_BYTES, drop), held
+        known = Items(rows, ratio)
+        if known.nbytes() > INDEX_BYTES:
+            raise ValueError(f"an index of {known.nbytes()} bytes is too large to broadcast: lower ITEM_CHARS")
+        held = spark.sparkContext.broadcast(known)
+        return extend(df, _searcher(held, text_col), f"leaks {_TYPE}", text_col, GROUP_BYTES, drop), held
 
     if blocks == 1:
         return searched(docs, 0, drop)[0]
@@ -299,13 +359,38 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     return numbered.join(every, "row", "left").select(*(F.col(f"doc.`{c}`") for c in kept), leaks)
 
 
-def _searcher(held, text_col: str, ratio: float):
+def _searcher(held, text_col: str):
     def make():
-        known = Items(held.value, ratio)
+        known = held.value
 
         def work(part, data, at):
             found: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(part.num_rows)]
-            asked = []  # row, length, the window's first character, the row's text
+            asked: list[tuple[int, int, int, str]] = []  # row, length, the window's first character, the row's text
+            aligned: dict[tuple[int, str], tuple[int, int, int]] = {}
+
+            def answer():
+                each: dict[tuple[int, str], list[int]] = defaultdict(list)  # equal windows
+                for j, (_, m, first, text) in enumerate(asked):
+                    each[m, text[first : first + m]].append(j)
+                kinds = list(each)
+                for lo in range(0, len(kinds), 2048):
+                    some = kinds[lo : lo + 2048]
+                    for kind, near in zip(some, known.candidates([w for _, w in some], [m for m, _ in some]), strict=True):
+                        for n in near:
+                            k = known.edits[n]
+                            for row, m, first, text in (asked[j] for j in each[kind]):
+                                origin = max(0, first - k)
+                                part = text[origin : first + m + k]
+                                if (n, part) not in aligned:
+                                    if len(aligned) >= WINDOWS:
+                                        aligned.clear()
+                                    aligned[n, part] = known.align(n, part)
+                                edits, start, end = aligned[n, part]
+                                if edits <= k:
+                                    best = (edits, origin + start, origin + end)
+                                    found[row][n] = min(found[row].get(n, best), best)
+                asked.clear()
+
             base = 0
             for some, raw, bounds in steps(part, text_col) if known.texts or known.short else ():
                 small = plain_bytes(raw)
@@ -320,17 +405,10 @@ def _searcher(held, text_col: str, ratio: float):
                     text, char = texts[row]
                     first = int(char[start] - 1) if start >= 0 else 0
                     asked.append((base + row, m, first, text))
+                    if len(asked) >= WINDOWS:
+                        answer()
                 base += some.num_rows
-            for lo in range(0, len(asked), 2048):
-                some = asked[lo : lo + 2048]
-                for (row, m, first, text), near in zip(some, known.candidates([t[f : f + m] for _, m, f, t in some], [a[1] for a in some]), strict=True):
-                    for n in near:
-                        k = known.edits[n]
-                        origin = max(0, first - k)
-                        edits, start, end = known.align(n, text[origin : first + m + k])
-                        if edits <= k:
-                            best = (edits, origin + start, origin + end)
-                            found[row][n] = min(found[row].get(n, best), best)
+            answer()
             rows = [[{"item_id": i, "edits": e, "start": s, "end": t} for n, (e, s, t) in sorted(f.items()) for i in known.ids[n]] for f in found]
             return [pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))]
 

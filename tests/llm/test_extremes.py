@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,6 +427,46 @@ def test_leaks_in_a_long_text(spark):
     assert got == {1: [(0, len(text))], 2: [], 3: []}
 
 
+def test_a_long_text_of_one_repeated_unit_that_is_an_item(spark):
+    """A leak at every place: the windows are alike and are walked and aligned once."""
+    unit, n = "ha and ", MB // 7
+    item = unit * 12 + "so on"
+    rows = [(1, unit * n), (2, unit * n + "so on")]
+    began = time.perf_counter()
+    table = spark.createDataFrame([(1, unit * 12), (2, item)], "item_id long, text string")
+    got = {x.doc_id: {l.item_id: l.edits for l in x.leaks} for x in decontaminate.find_leaks(docs_of(spark, rows), table).collect()}
+    assert got[1] == {1: 0, 2: least_edits(item, [unit * 20])[0]} and got[2] == {1: 0, 2: 0}
+    assert time.perf_counter() - began < 60
+
+
+def test_stretches_lose_no_window(monkeypatch):
+    r = random.Random(21)
+    items = [(k, words(r, 20, 300)) for k in range(20)]
+    texts = [" ".join(words(r, r.randrange(30), 300) + " " + edited(r, r.choice(items)[1], r.randrange(6)) for _ in range(r.randrange(1, 8))) + " é" * r.randrange(9) for _ in range(40)]
+    known = decontaminate.Items(items)
+    data, at = common.text_bytes(pa.array(texts + ["", "x"]))
+    data = decontaminate.plain_bytes(data)
+    whole = known.windows(data, at)
+    monkeypatch.setattr(decontaminate, "STRETCH_BYTES", 100)
+    assert known.windows(data, at) == whole and len(whole) > 100
+
+
+def test_the_index_has_a_bound_however_small_the_items_are():
+    """Items of the least length, as many as a block may have, at a hundredth of its size."""
+    r = random.Random(22)
+    few = decontaminate.ITEM_CHARS // (decontaminate.LEAST + decontaminate.ITEM_COST) // 100
+    known = decontaminate.Items([(k, "".join(r.choice("abcdefghijklmnop") for _ in range(decontaminate.LEAST))) for k in range(few)])
+    assert 100 * known.nbytes() < decontaminate.INDEX_BYTES
+
+
+def test_items_of_very_unlike_lengths(spark):
+    """The longest does not set the width of all walks."""
+    r = random.Random(23)
+    items = [(k, words(r, 12, 500)) for k in range(300)] + [(1000, words(r, 1_500, 500))]
+    rows = [(1, items[3][1]), (2, items[-1][1] + " x"), (3, words(r, 50, 500))]
+    got = {x.doc_id: {l.item_id for l in x.leaks} for x in decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert 3 in got[1] and 1000 in got[2] and 1000 not in got[3]
+
 # ---- pages -------------------------------------------------------------------------------------------------------------
 BODY = "The words of the article, which are many and go on."
 

@@ -13,7 +13,8 @@ in an ``article`` or ``main`` they may be its references, and only tag, role or
 A name is a word list's guess, so it needs company: a class or id makes furniture by itself only if all of its words
 are names of furniture or of layout ("cookie-banner", "related-posts-list"). Where a word says something else
 ("social-history", "share-price", "story-related-art"), the figures of the block decide: it is furniture if half of its
-text stands in links. Furniture given by a form or a name is weighed: where most of a page lies in it, and no article or main stands outside,
+text stands in links; so they do for a "widget" within an article, and for a fieldset whether there is something to
+fill in. Furniture given by a form or a name is weighed: where most of a page lies in it, and no article or main stands outside,
 it is a wrapper ("no-comments", the one form of a page) and not furniture. Comments may be longer than what they comment
 on, so that a wrapper by their names must hold nearly all of the page. A ``main`` inside furniture by form or name, and
 an ``article`` inside a form, are content. Menus, asides, footers, roles, labels and hidden elements are final.
@@ -43,13 +44,15 @@ REGION_SHARE = 0.8
 #: Elements that hold blocks, elements that end a line but hold none, and elements that are furniture.
 CONTAINERS = {"body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "figure", "fieldset", "details", "dialog", "menu", "center", "address", "hgroup", "search"}
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "summary", "legend", "hr", "option", "html"}
-FURNITURE = {"nav", "aside", "footer", "dialog", "menu", "search", "fieldset"}
+FURNITURE = {"nav", "aside", "footer", "dialog", "menu", "search"}
+#: Elements that are filled in; a fieldset that holds one is a form, whether or not one stands around it.
+FIELDS = {"input", "select", "textarea", "button"}
 UNREAD = {"head", "title", "script", "style", "noscript", "template", "iframe", "object", "svg", "select", "button", "textarea", "canvas", "audio", "video"}
 #: Elements that may stand in a head; any other start tag ends it.
 IN_HEAD = {"html", "head", "title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation topnav breadcrumb breadcrumbs masthead footer header pagination pager share sharing social related recommended recommendations trending login signup search toolbar copyright disclaimer".split())
+NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation topnav breadcrumb breadcrumbs masthead footer header pagination pager share sharing social related recommended recommendations trending login signup search searchbox searchform toolbar copyright disclaimer adsbygoogle advertorial rail".split())
 ARTICLE_NAMES = {"article", "post", "entry", "story"}
 #: Words of layout and of what furniture is made of: beside a name of furniture they say nothing else.
 LAYOUT = set("a all area article articles bar block body bottom box btn button buttons center col column columns container content feed fixed float form global grid group heading holder icon icons inline inner input item items js label left line link links list main message mobile module more most news outer page panel part post posts primary region right row secondary section site slot sticky story stories strip text the title tool tools top unit up user wrap wrapper zone".split())
@@ -59,14 +62,29 @@ LINKED = 0.5
 LAYOUT_NAMES = {"sidebar", "aside", "menu", "nav", "navbar", "header", "footer", "widget", "widgets", "social", "search", "overlay", "notices"}
 LABELS = {"navigation", "menu", "breadcrumb", "breadcrumbs", "advertisement", "sidebar", "related"}
 COMMENT_NAMES = set("comment comments commentlist respond replies reply disqus discussion".split())
+#: Words that tell of comments together only ("reader-responses"; "emergency-response" is none).
+READERS, ANSWERS = {"reader", "readers", "user", "users", "visitor", "visitors"}, {"responses", "reactions", "feedback", "opinions"}
+#: Names of boxes that may hold anything: in an article only the figures of the block make them furniture.
+BOXES = {"widget", "widgets"}
 #: Shares of a page's text from which furniture by form, by name and by the names of comments is a wrapper.
 WRAPPER = {"form": 0.5, "name": 0.5, "comments": 0.9}
 #: Words by which an article or page tells of its comments ("comments-open").
 STATES = {"no", "open", "closed", "enabled", "disabled", "without"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def name_words(name: str) -> list[str]:
+    """The words of a class or id, in small letters: "siteNav", "site-nav" and "site_nav" have the same. Two that make a
+    name of furniture together count as it ("side-bar")."""
+    words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+    for k in range(len(words) - 1):
+        if words[k] + words[k + 1] in NAMES:
+            words[k : k + 2] = [words[k] + words[k + 1], ""]
+    return [w for w in words if w]
+
+
 class Lines(HTMLParser):
     """Cuts a page into lines while it is parsed."""
 
@@ -77,6 +95,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, int, bool]] = [("#page", 0, 0, False)]  # tag, container, furniture (0 no, 1 by name, 2 for good), in an article or main
         self.open: Counter[str] = Counter()  # elements on the stack
         self.mixed: set[int] = set()  # containers of a mixed name, which is furniture if their figures agree
+        self.fields: set[int] = set()  # containers with something to fill in
         self.named: dict[int, int] = {}  # container -> the outermost one whose name makes it furniture
         self.weighed: dict[int, str] = {}  # container -> form, name or comments, which make it furniture if it is no wrapper
         self.final: set[int] = set()  # containers that are furniture for good
@@ -100,6 +119,8 @@ class Lines(HTMLParser):
         self.text, self.linked, self.tags, self.links = [], 0, 0, 0
 
     def handle_starttag(self, tag, attrs):
+        if tag in FIELDS and not self.unread:
+            self.fields.add(self.stack[-1][1])
         if self.unread:
             if tag in UNREAD and tag not in VOID and (self.unread != ["head"] or tag in IN_HEAD):
                 self.unread.append(tag)
@@ -149,6 +170,10 @@ class Lines(HTMLParser):
             box, above = self.plain[c], self.plain[self.parents[c]]
             for k in (1, 2, 3):
                 above[k] += box[k]
+            if c in self.fields:
+                self.fields.add(self.parents[c])
+                if box[0] == "fieldset":
+                    self.weighed.setdefault(c, "form")
         for c in self.mixed:
             _, text, linked, links = self.plain[c]
             if links and linked >= LINKED * text:
@@ -175,18 +200,18 @@ class Lines(HTMLParser):
         if tag in FURNITURE or tag == "header" and not inside:
             return 2, None
         for name, value in attrs:
-            value = (value or "").lower()
+            raw, value = value or "", (value or "").lower()
             if name in ("class", "id"):
-                every = set(_SPLIT.split(value))
-                if every & COMMENT_NAMES and not (every & STATES and tag in ("body", "article", "main")):
+                parts = [name_words(one) for one in raw.split()]
+                every = {w for words in parts for w in words}
+                if (every & COMMENT_NAMES or any(READERS & set(w) and ANSWERS & set(w) for w in parts)) and not (every & STATES and tag in ("body", "article", "main")):
                     why = "comments"
                 elif tag not in ("body", "article", "main"):
-                    for one in value.split():
-                        words = set(_SPLIT.split(one)) - {""}
+                    for words in map(set, parts):
                         named = words & NAMES
                         if inside or every & ARTICLE_NAMES:  # an article's own header
                             named -= {"header"}
-                        if named and not all(w in NAMES or w in LAYOUT or not w.isalpha() for w in words):
+                        if named and (inside and named <= BOXES or not all(w in NAMES or w in LAYOUT or not w.isalpha() for w in words)):
                             why = why or "mixed"
                         elif named - LAYOUT_NAMES:
                             why = "name" if why in (None, "mixed") else why

@@ -490,6 +490,26 @@ def test_names_need_company(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["class=cookieConsent", "class=siteNav", "class=pageFooter", "class=userComments", "class=adsbygoogle", "class=advertorial", "class=side-bar", "class=rightRail", "id=searchbox", 'class="reader-responses"'])
+def test_names_of_several_words_in_any_spelling(name):
+    box = f"<section {name}>Something that is no part of it.</section>"
+    for page in (f"<body>{box}<div><p>{BODY}</p><p>{BODY}</p></div></body>", f"<main><p>{BODY}</p>{box}<p>{BODY}</p></main>"):
+        assert html_text.main_text(page) == f"{BODY}\n{BODY}"
+
+
+@pytest.mark.parametrize(
+    ("box", "kept"),
+    [
+        ("<div class=widget><p>A sentence without links.</p></div>", True), ("<div class=widget><a>one</a> <a>two</a></div>", False),
+        ("<fieldset><p>A box drawn around a paragraph.</p></fieldset>", True), ("<fieldset><p>Your name</p><input name=n></fieldset>", False),
+        ("<fieldset><div>Choose</div><div><select><option>a</select></div></fieldset>", False), ("<div class=emergencyResponse>The crews were out.</div>", True),
+    ],
+)
+def test_boxes_in_an_article_go_by_what_they_hold(box, kept):
+    text = re.sub("<[^>]+>", "", box)
+    assert html_text.main_text(f"<article><p>{BODY}</p>{box}<p>{BODY}</p></article>") == f"{BODY}\n{text}\n{BODY}" * kept + f"{BODY}\n{BODY}" * (not kept)
+
+
 @pytest.mark.parametrize("unit", ["<div>", "<div class=box>x", "<section><p>y", "<svg>", "<div></p>", "<ul><li><a>z</a>", "<b>", "<button>", "<article>w", "<form>v", "</div>", "<div class='share-price'>u"])
 def test_deep_and_broken_pages_take_linear_time(unit):
     n = 20_000

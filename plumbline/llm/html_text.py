@@ -8,7 +8,10 @@ set from their spread form clusters. The clusters choose the region: the ``artic
 container that holds most of their text, and the whole page where there is none. Every line of the region is returned,
 short ones too, but furniture, so that the ratios decide where the article is and never drop a paragraph of it. Where
 the region is the whole page, link lists (containers of three links or more that hold 80 % of their text) go as menus;
-in an ``article`` or ``main`` they may be its references, and only tag, role or name tell a menu.
+in an ``article`` or ``main`` they may be its references, and only tag, role or name tell a menu. There the clusters also
+decide on blocks: a plain block (``div``, ``section`` ...) beside the innermost container goes if no line of it is in a
+cluster by its own ratio, and it stands wholly before the first heading or such line or after the last one ("Skip to
+content", "Share this"), unless it holds a sentence, a list, a table, a quotation or a figure, which may end an article.
 
 A name is a word list's guess, so it needs company: a class or id makes furniture by itself only if all of its words
 are names of furniture or of layout ("cookie-banner", "related-posts-list"). Where a word says something else
@@ -45,6 +48,8 @@ REGION_SHARE = 0.8
 CONTAINERS = {"body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "figure", "fieldset", "details", "dialog", "menu", "center", "address", "hgroup", "search"}
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "summary", "legend", "hr", "option", "html"}
 FURNITURE = {"nav", "aside", "footer", "dialog", "menu", "search"}
+#: Blocks that say nothing of what they hold, those that an article is made of, and the headings of a page.
+PLAIN, PARTS, HEADS = {"div", "section", "center", "address", "header"}, {"ul", "ol", "dl", "table", "blockquote", "figure", "details"}, {"h1", "h2"}
 #: Elements that are filled in; a fieldset that holds one is a form, whether or not one stands around it.
 FIELDS = {"input", "select", "textarea", "button"}
 UNREAD = {"head", "title", "script", "style", "noscript", "template", "iframe", "object", "svg", "select", "button", "textarea", "canvas", "audio", "video"}
@@ -71,6 +76,7 @@ WRAPPER = {"form": 0.5, "name": 0.5, "comments": 0.9}
 #: Words by which an article or page tells of its comments ("comments-open").
 STATES = {"no", "open", "closed", "enabled", "disabled", "without"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_SENTENCE = re.compile(r"""[.!?…:。！？।؟][\"'”’»)\]]*\Z""")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -100,6 +106,7 @@ class Lines(HTMLParser):
         self.weighed: dict[int, str] = {}  # container -> form, name or comments, which make it furniture if it is no wrapper
         self.final: set[int] = set()  # containers that are furniture for good
         self.out: list[tuple[str, int, int, int, int]] = []  # text, in links, tags, container, furniture
+        self.heads: list[int] = []  # numbers of the lines that are headings
         self.text: list[str] = []
         self.unread: list[str] = []
         self.within: Counter[str] = Counter()  # containers and lines that opened in what is not read
@@ -146,6 +153,8 @@ class Lines(HTMLParser):
             self.push(tag, kind)
         elif tag in LINES:
             self.line()
+            if tag in HEADS:
+                self.heads.append(len(self.out))
             kind, why = self.kind(tag, attrs) if attrs and tag != "html" else (0, None)
             if kind > self.stack[-1][2] or why:  # a paragraph that is itself furniture
                 self.parents.append(self.stack[-1][1])
@@ -172,7 +181,7 @@ class Lines(HTMLParser):
                 above[k] += box[k]
             if c in self.fields:
                 self.fields.add(self.parents[c])
-                if box[0] == "fieldset":
+                if box[0] in ("fieldset", "dialog"):
                     self.weighed.setdefault(c, "form")
         for c in self.mixed:
             _, text, linked, links = self.plain[c]
@@ -197,7 +206,8 @@ class Lines(HTMLParser):
         if tag in ("article", "main"):
             above = 0
         inside = self.stack[-1][3]
-        if tag in FURNITURE or tag == "header" and not inside:
+        shown = tag == "dialog" and inside and any(name == "open" for name, _ in attrs)
+        if tag in FURNITURE and not shown or tag == "header" and not inside:
             return 2, None
         for name, value in attrs:
             raw, value = value or "", (value or "").lower()
@@ -275,12 +285,14 @@ def _kernel() -> np.ndarray:
     return k / k.sum()
 
 
-def regions(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
-    """Which lines are in a cluster: smoothed ratio above the threshold."""
+def regions(lines: list[tuple[str, int, int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are in a cluster (smoothed ratio above the threshold), and which would be without their neighbours."""
     ratio = np.array([0.0 if f else max(0, len(t) - linked) / max(1, tags) for t, linked, tags, _, f in lines])
     padded = np.pad(ratio, RADIUS, mode="edge")
     smooth = np.convolve(padded, _kernel(), "valid")
-    return (smooth >= min(THRESHOLD * smooth.std(), smooth.max())) & (ratio > 0)
+    least = min(THRESHOLD * smooth.std(), smooth.max())
+    hit = (smooth >= least) & (ratio > 0)
+    return hit, hit & (ratio >= least)
 
 
 def weighed(page: Lines) -> list[tuple[str, int, int, int, int]]:
@@ -328,19 +340,38 @@ def main_text(html: str | None) -> str:
     lines = [(t, linked, tags, c, f > 1 or f == 1 and weights[page.named[c]] <= half) for t, linked, tags, c, f in page.out]
     if not any(not f for *_, f in lines):
         return ""
-    hit = regions(lines)
+    hit, core = regions(lines)
     weight = _held(page, ((c, len(text)) for (text, _, _, c, _), h in zip(lines, hit, strict=True) if h))
     best = max((c for c, w in enumerate(weight) if w and w >= REGION_SHARE * weight[0] and page.plain[c][0] not in ("ul", "ol", "blockquote", "p", "li")), default=0)
     # without such an element nothing tells a lede or a closing beside the longest container from the rest of the article
     path = set(_ups(page, best))
     best = next((c for c in _ups(page, best) if page.plain[c][0] in ("article", "main")), 0)
-    keeps: list[bool] = []  # of each container, whether it is in the region and in no menu
+    beside = set() if best else _beside(page, lines, core)
+    keeps: list[bool] = []  # of each container, whether it is in the region and in no menu or block beside the article
     for c, box in enumerate(page.plain):
         above = c > 0 and keeps[page.parents[c]]
-        keeps.append(c == best or above and (best > 0 or c in path or not _is_menu(box)))
+        keeps.append(c == best or above and (best > 0 or c in path or c not in beside and not _is_menu(box)))
     return "\n".join(text for text, _, _, container, furniture in lines if not furniture and keeps[container])
 
 
+def _beside(page: Lines, lines: list[tuple[str, int, int, int, bool]], core: np.ndarray) -> set[int]:
+    """Plain blocks without a line of a cluster's core, before the first heading or core line or after the last one."""
+    hits = np.flatnonzero(core)
+    if not hits.size:
+        return set()
+    first = min([hits[0], *(h for h in page.heads if h < len(lines) and not lines[h][4])])
+    stays = [box[0] in PARTS and box[1] > 0 for box in page.plain]
+    parts = list(stays)  # whether a container is in such a part
+    for k, (text, linked, _, c, furniture) in enumerate(lines):
+        if not furniture and (first <= k <= hits[-1] or linked < LINKED * len(text) and _SENTENCE.search(text)):
+            stays[c] = True
+    for c in range(len(stays) - 1, 0, -1):  # parents come first
+        stays[page.parents[c]] |= stays[c]
+    for c in range(1, len(parts)):
+        parts[c] |= parts[page.parents[c]]
+    return {c for c, box in enumerate(page.plain) if box[0] in PLAIN and not stays[c] and not parts[c]}
+
+
 def _held(page: Lines, lines) -> list[int]:
     """Of each container, the text of those of the lines (container, length) that are in it."""
     held = [0] * len(page.plain)

@@ -510,6 +510,34 @@ def test_boxes_in_an_article_go_by_what_they_hold(box, kept):
     assert html_text.main_text(f"<article><p>{BODY}</p>{box}<p>{BODY}</p></article>") == f"{BODY}\n{text}\n{BODY}" * kept + f"{BODY}\n{BODY}" * (not kept)
 
 
+@pytest.mark.parametrize(
+    ("before", "after", "kept"),
+    [
+        ("<div>Skip to content</div>", "<div><div>Share this</div></div>", False), ("<section>Log in</section>", "<div>© 2021 Acme</div>", False),
+        ("<div><h1>A title</h1></div><div>By Ann Other</div>", "<div>It ended so.</div>", True), ("<div>Where it began:</div>", "<div><ul><li>one</li><li>two</li></ul></div>", True),
+        ("<h2>A title</h2><div>3 May</div>", "<div><table><tr><td><div>12</div></td></tr></table></div>", True), ("<div>“So he said.”</div>", "<figure><div>A map</div></figure>", True),
+        ("<p>Short</p>", "<p>Short</p>", True), ("<div>这样开始。</div>", "<blockquote><div>Farewell</div></blockquote>", True),
+    ],
+)
+def test_clusters_decide_on_blocks_of_a_page_without_article(before, after, kept):
+    """What stands in plain blocks at the ends of the page, with no line in a cluster, goes unless it tells of an article."""
+    story = [f"{BODY} {BODY} {BODY} {k}" for k in range(9)]
+    page = f"<body>{before}<div>{'<div>'.join(f'<p>{p}</p>' for p in story)}{'</div>' * 9}{after}</body>"
+    lines = lambda part: [x for x in re.split("<[^>]+>", part) if x]
+    got = html_text.main_text(page).split("\n")
+    assert got == ([*lines(before), *story, *lines(after)] if kept else story)
+    for tag in ("article", "main"):  # which says itself what it holds
+        assert html_text.main_text(f"<body><{tag}>{before}{story[0]}{after}</{tag}></body>").split("\n") == [*lines(before), story[0], *lines(after)]
+
+
+@pytest.mark.parametrize(("inner", "kept"), [("<p>A note that is open.</p>", True), ("<p>Your name</p><input>", False), ("<div class=cookies>We bake them.</div>", False)])
+def test_open_dialogs_in_an_article(inner, kept):
+    text = re.sub("<[^>]+>", "", inner)
+    page = lambda attrs: f"<article><p>{BODY}</p><dialog {attrs}>{inner}</dialog><p>{BODY}</p></article>"
+    assert html_text.main_text(page("open")).split("\n") == [BODY, *[text] * kept, BODY]
+    assert html_text.main_text(page("")) == f"{BODY}\n{BODY}"
+
+
 @pytest.mark.parametrize("unit", ["<div>", "<div class=box>x", "<section><p>y", "<svg>", "<div></p>", "<ul><li><a>z</a>", "<b>", "<button>", "<article>w", "<form>v", "</div>", "<div class='share-price'>u"])
 def test_deep_and_broken_pages_take_linear_time(unit):
     n = 20_000

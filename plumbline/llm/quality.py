@@ -5,7 +5,10 @@ digits and other bytes as classes, runs as one), hashed to 2**18 weights. A text
 its feature shares with the weights. Words are found and hashed for a megabyte of text at a time by array operations.
 
 Training reads at most ``TRAIN_ROWS`` labelled texts (a documented bound; those with the smallest hashes of ids, ids and
-texts, however often an id repeats) in one task, in that order, so that a lost task trains the same model again. The weights (1 MB) travel with the scoring tasks.
+texts, however often an id repeats), in that order, so that a lost task trains the same model again. Texts become counts of
+hashed features (2**18 at most, however long the text is) where they are read; the one task that learns, as each update needs
+the one before, gets these sorted by epoch and holds a batch of them at a time, never the sample. The weights (1 MB)
+travel with the scoring tasks.
 Nulls: a null text is empty and gets the score of the bias; null labels and ids are not learned from. A document with
 several labels counts as 1 if any is 1. Repeated rows are scored one by one; equal scores are equal chances.
 """
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, cut, crc_bucket, extend, lower, mix, sample_of, span_hash, table, text_bytes, word_bounds
+from .common import STEP_BYTES, cut, crc_bucket, extend, lower, mix, sample_of, span_hash, table, word_bounds
 
 BITS = 18
 #: Rows, at most, that the model learns from, and how often it sees them.
@@ -81,18 +84,28 @@ class Ftrl:
         self.n[i] += g * g
 
 
+def _counted():
+    """Turns texts into the distinct features of each, how often it has them, and their number in all."""
+
+    def work(part, data, at):
+        index, row = features(data, at)
+        order = np.argsort(row, kind="stable")
+        cuts = np.searchsorted(row[order], np.arange(1, part.num_rows))
+        pairs = [np.unique(one.astype(np.int32), return_counts=True) for one in np.split(index[order], cuts)]
+        found, often = ([x.astype(np.int32).tobytes() for x in xs] for xs in zip(*pairs, strict=True))
+        return [pa.array(found, pa.binary()), pa.array(often, pa.binary()), pa.array([int(n.sum()) for _, n in pairs], pa.int64())]
+
+    return work
+
+
 def _train(batches):
-    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("h", "id", "t", "text", "y")), strict=True)]
-    rows.sort(key=lambda r: r[:3])
-    ready = []
-    for *_, text, y in rows:
-        index, _ = features(*text_bytes(pa.array([text or ""])))
-        i, n = np.unique(index, return_counts=True)
-        ready.append((i, SCALE * n / max(1, index.size), float(y)))
+    """Learns from rows as they come, and gives the weights after the last."""
     model = Ftrl(1 << BITS)
-    for _ in range(EPOCHS):
-        for row in ready:
-            model.learn(*row)
+    for batch in batches:
+        for found, often, size, y, times in zip(*(batch.column(c) for c in ("found", "often", "size", "y", "times")), strict=True):
+            i, n = (np.frombuffer(x.as_py(), np.int32) for x in (found, often))
+            for _ in range(times.as_py()):
+                model.learn(i, SCALE * n / max(1, size.as_py()), y.as_py())
     yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
 
@@ -102,7 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = cut(sample_of(known, "id", most))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # of at most `most` ids
     rows = texts.select(F.xxhash64("id").alias("h"), "id", "text", F.xxhash64("text").alias("t"), F.col("y").cast("double").alias("y"))
-    got = rows.orderBy("h", "id", "t").limit(most).repartition(1).mapInArrow(_train, "weights binary").first()
+    counted = cut(extend(rows, _counted, "found binary, often binary, size long", "text", drop=("text",)))
+    key = ["h", "id", "t"]
+    taken = cut(counted.select(key).orderBy(key).limit(most).groupBy(key).agg(F.count("*").alias("times")))  # `most` rows at most
+    epochs = counted.join(F.broadcast(taken), key).dropDuplicates(key).withColumn("epoch", F.explode(F.lit([*range(EPOCHS)])))
+    got = epochs.repartition(1).sortWithinPartitions("epoch", *key).mapInArrow(_train, "weights binary").first()
     return np.frombuffer(got["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 

@@ -1,9 +1,12 @@
 """The corpus operators on very long texts and on texts made of what their patterns repeat."""
 
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -327,6 +330,76 @@ def test_an_id_that_repeats_is_read_within_the_bound(spark):
     assert (few[0] == few[1]).all() and few[0].any()
 
 
+def plain_features(text):
+    """Counts of hashed words, shapes and pairs of neighbours, word by word."""
+
+    def spread(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor % 2**64
+        return x
+
+    def whole(b):
+        return int(common.span_hash(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+
+    kind = lambda c: "a" if chr(c).islower() or c >= 128 else "A" if chr(c).isupper() else "0" if chr(c).isdigit() else chr(c)
+    found = [w.encode() for w in re.split("[ \x09-\x0d]+", text or "") if w]
+    words = [whole(common.lower(np.frombuffer(w, np.uint8)).tobytes()) for w in found]
+    shapes = [whole("".join(k for k, _ in groupby(map(kind, w))).encode()) for w in found]
+    pairs = lambda h, salt: [spread((a * 3 + b * 7 + salt) % 2**64) for a, b in zip(h, h[1:], strict=False)]
+    return Counter(h >> 64 - quality.BITS for h in [*words, *pairs(words, 1), *(spread((h + 2) % 2**64) for h in shapes), *pairs(shapes, 3)])
+
+
+def plain_ftrl(rows):
+    """Updates a coordinate at a time, in dictionaries; the bias is -1. Gives the scoring function."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= quality.L1 else (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    def shares(text):
+        counts = plain_features(text)
+        return {k: quality.SCALE * c / counts.total() for k, c in counts.items()} | {-1: 1.0}
+
+    def chance(x):
+        return 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+
+    for x, y in [(shares(t), y) for t, y in rows] * quality.EPOCHS:
+        p, w = chance(x), {k: weight(k) for k in x}
+        for k, v in x.items():
+            g = (p - y) * v
+            z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+            n[k] += g * g
+    return lambda text: chance(shares(text))
+
+
+def test_quality_equals_plain_updates(spark):
+    r = random.Random(3)
+    texts = {1: "", 2: "Ein Wort", 3: None, 4: "one"} | {k: " ".join(r.choice(["good", "Words", "BAD", "x9-y", "Élan", "été", "中文", "3.14", "don't", "\tTab"]) for _ in range(r.randint(1, 30))) for k in range(5, 60)}
+    labels = {k: int("good" in (t or "")) for k, t in texts.items()}
+    rows = [*texts.items(), (7, texts[7]), (7, "another text of the id")]  # a row that repeats, and an id that does
+    made = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    order = docs_of(spark, rows).select("doc_id", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).orderBy("h", "doc_id", "t").collect()
+    for n in (1, 7):
+        plain = plain_ftrl([(x.text, labels[x.doc_id]) for x in order])
+        got = quality.score(docs_of(spark, rows), quality.fit(docs_of(spark, rows).repartition(n), made)).collect()
+        assert [x.score for x in got] == pytest.approx([plain(x.text) for x in got], abs=1e-5)
+        assert len({round(x.score, 3) for x in got}) > 10
+    ids = list(dict.fromkeys(x.doc_id for x in order))
+    for most in (1, 9):  # the first ids by hash, and the first rows of these
+        plain = plain_ftrl([(x.text, labels[x.doc_id]) for x in order if x.doc_id in ids[:most]][:most])
+        got = quality.score(docs_of(spark, rows), quality.fit(docs_of(spark, rows), made, most=most)).collect()
+        assert [x.score for x in got] == pytest.approx([plain(x.text) for x in got], abs=1e-5)
+
+
+def test_quality_of_texts_of_megabytes(spark):
+    long = " ".join(f"w{k % 70_000}" for k in range(400_000))
+    docs = docs_of(spark, [(k, long[k:]) for k in range(6)] + [(9, "short")])
+    began = time.perf_counter()
+    weights = quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, quality int"))
+    got = {x.doc_id: x.score for x in quality.score(docs, weights).collect()}
+    assert len(got) == 7 and all(0 <= x <= 1 for x in got.values()) and time.perf_counter() - began < 60
+
+
 # ---- repeated substrings -----------------------------------------------------------------------------------------------
 TINY = [
     substrings.Bounds(group_bytes=2_000, dealt_bytes=3_000, hot_in_group=3, hot_rows=20, shard_bytes=400, part_bytes=5_000, held_rows=10),

@@ -5,9 +5,14 @@ into binary blocks, written to the shared checkpoint folder and held on the exec
 blocks: the drift of the segments goes out, partial sums per segment come back. Only where all blocks together are within
 ``DriftConfig.local_bytes`` (some MB, checked) are they evaluated on the driver, which saves a job per evaluation.
 
+From ``MERGED`` pairs on, those of like segments and differences are merged into moments (``operators/moments.py``), first
+in the task that finds them, then by cell. The cells that there can be do not grow with the localizations, and so neither
+do the blocks nor an evaluation of them. Where a width falls below the cells' size, finer cells are made of all pairs.
+
 Sums do not depend on how pairs are dealt: what a pair adds is rounded to a whole number of units, which are chosen so
 that the sum of all pairs fits into 62 bits, and whole numbers add up to the same in every order. So an estimate is the
-same, bit for bit, on the driver and on executors, and at every number of partitions.
+same, bit for bit, on the driver and on executors, and at every number of partitions. (Moments are sums of floats: merged
+pairs give the same at every dealing but for the last digits of these.)
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import os
 import warnings
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spline import evaluate, pieces
 from ..operators import drift as D
+from ..operators.moments import Cells, Grid, Merger
 from ..operators.pairs import estimate as pair_estimate
 from ..operators.pairs import _ROW, expected, numbered, within_radius
 from ..operators.segment import Segmentation, _described, ladder, segment, statistics
@@ -35,8 +41,23 @@ from ..sources.scratch import cut
 
 #: Pairs in a block, and bytes of a pair in it: three differences. (Segments are told once for each run of pairs.)
 BLOCK, PAIR_BYTES = 1 << 17, 24
+_BLOCKS = "block binary, n long, cells boolean"
 #: An estimate of pairs beyond which a run warns before it begins.
 MANY_PAIRS = 250_000_000
+#: An estimate of pairs (``pairs.estimate``, which counts them both ways) from which they are merged.
+MERGED = 20_000_000
+
+
+def _plain(i, j, *d) -> bytes:
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    runs = (i[first], j[first], np.diff(np.append(first, i.size)), np.array([first.size]))
+    return b"".join([*(x[order].astype("<f8").tobytes() for x in d), *(x.astype("<i4").tobytes() for x in runs)])
+
+
+def _block(data: bytes, n: int, cells: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([n]), pa.array([cells])], names=["block", "n", "cells"])
 
 
 def _pack(batches):
@@ -47,13 +68,7 @@ def _pack(batches):
 
     def block():
         rows = pa.Table.from_batches(held).combine_chunks()
-        i, j, *d = (rows.column(k).to_numpy() for k in range(5))
-        order = np.lexsort((j, i))
-        i, j = i[order], j[order]
-        first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        runs = (i[first], j[first], np.diff(np.append(first, i.size)), np.array([first.size]))
-        data = b"".join([*(x[order].astype("<f8").tobytes() for x in d), *(x.astype("<i4").tobytes() for x in runs)])
-        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([order.size])], names=["block", "n"])
+        return _block(_plain(*(rows.column(k).to_numpy() for k in range(5))), rows.num_rows, False)
 
     for batch in batches:
         for lo in range(0, batch.num_rows, BLOCK):
@@ -66,6 +81,59 @@ def _pack(batches):
         yield block()
 
 
+def _merged(pairs: DataFrame, grid: Grid) -> DataFrame:
+    """Pairs (segment_i, segment_j, dx0, dy0, dz0) as blocks of cells, and of pairs where a cell has few."""
+
+    def first(batches):
+        held = Merger(grid)
+        for batch in batches:
+            i, j, *d = (c.to_numpy() for c in batch.columns)
+            d = np.where(i > j, -1.0, 1.0) * np.stack(d)  # either way round is the same pair
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            held.add_pairs(grid.keys(i, j, d), d)
+            yield from rows(held.taken())
+        yield from rows(held.taken(last=True))
+
+    def rows(got):
+        if got is None:
+            return
+        keys, sums, few, d = got
+        for lo in range(0, keys.size, 4096):
+            part = sums[lo : lo + 4096]
+            none = pa.nulls(len(part), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 4096]), none, none, none, pa.array([m.tobytes() for m in part], pa.binary())], names=names)
+        if few.size:
+            yield pa.RecordBatch.from_arrays([pa.array(few), *map(pa.array, d), pa.nulls(few.size, pa.binary())], names=names)
+
+    def second(batches):
+        held = Merger(grid)
+        for batch in batches:
+            whole = np.asarray(batch.column("sums").is_valid())
+            keys = batch.column("key").to_numpy()
+            if whole.any():
+                held.add_moments(keys[whole], np.frombuffer(b"".join(batch.column("sums").drop_null().to_pylist())).reshape(int(whole.sum()), -1))
+            if not whole.all():
+                held.add_pairs(keys[~whole], np.stack([batch.column(c).to_numpy(zero_copy_only=False)[~whole] for c in names[1:4]]))
+            yield from blocks(held.taken())
+        yield from blocks(held.taken(last=True))
+
+    def blocks(got):
+        if got is None:
+            return
+        keys, sums, few, d = got
+        for lo in range(0, keys.size, 2048):
+            part = sums[lo : lo + 2048]
+            yield _block(Cells.packed(keys[lo : lo + 2048], part), int(np.rint(part[:, 0]).sum()), True)
+        i, j, _ = grid.places(few)
+        for lo in range(0, few.size, BLOCK):
+            at = slice(lo, lo + BLOCK)
+            yield _block(_plain(i[at], j[at], *(x[at] for x in d)), few[at].size, False)
+
+    names = ["key", "dx0", "dy0", "dz0", "sums"]
+    found = pairs.mapInArrow(first, "key long, dx0 double, dy0 double, dz0 double, sums binary")
+    return found.repartition("key").mapInArrow(second, _BLOCKS)
+
+
 class Block:
     """The pairs of one block: where each pair of segments begins, its two segments, and the differences."""
 
@@ -106,8 +174,10 @@ class Kernel:
         return self._unit(2.0 * self.norm / self.scale * math.sqrt(self.scale / 2.0) * math.exp(-0.5))
 
 
-def sums(pairs: Block, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]:
+def sums(pairs: Block | Cells, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]:
     """Cost and gradient of the pairs of one block, in units. The drift and the sums are taken per pair of segments."""
+    if isinstance(pairs, Cells):
+        return _cell_sums(pairs, mu, kernel)
     e = pairs.d - np.repeat((mu[pairs.i] - mu[pairs.j]).T, pairs.many, axis=1)
     w = np.exp(np.einsum("ij,ij->j", e, e) * (-1.0 / kernel.scale)) * kernel.norm
     g = np.zeros(mu.shape, np.int64)
@@ -120,22 +190,47 @@ def sums(pairs: Block, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]
     return cost, g
 
 
+def _cell_sums(cells: Cells, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]:
+    cost, g = 0, np.zeros(mu.shape, np.int64)
+    for at, w, e in cells.weights(mu, kernel.scale):
+        cost -= int(np.rint(w * (kernel.norm / kernel.cost_unit)).astype(np.int64).sum())
+        v = np.rint(e.T * (kernel.norm * 2.0 / kernel.scale / kernel.gradient_unit)).astype(np.int64)
+        np.subtract.at(g, cells.i[at], v)
+        np.add.at(g, cells.j[at], v)
+    return cost, g
+
+
+def _opened(data, cells: bool, grid: Grid | None) -> Block | Cells:
+    return Cells(data, grid) if cells else Block(data)
+
+
 class PairBlocks:
-    """The pairs of a run, ready to be evaluated again and again, until they are released."""
+    """The pairs of a run, ready to be evaluated again and again, until they are released.
+
+    ``grid``: pairs are merged into moments of its cells, which serve every width from the cells' size on.
+    """
 
     #: Rows of partial sums that the driver takes as they are; more are added up by segment first.
     FEW = 200_000
 
-    def __init__(self, pairs: DataFrame, segments: int, local_bytes: int = DriftConfig.local_bytes):
-        packed = pairs.select("segment_i", "segment_j", "dx0", "dy0", "dz0").mapInArrow(_pack, "block binary, n long")
-        self.blocks, self.segments = cut(packed), segments
-        self.n_pairs, self.parts = self.blocks.select("n", F.spark_partition_id().alias("part")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("part")).first()
+    def __init__(self, pairs: DataFrame, segments: int, local_bytes: int = DriftConfig.local_bytes, grid: Grid | None = None):
+        self.pairs, self.segments, self.local_bytes = pairs.select("segment_i", "segment_j", "dx0", "dy0", "dz0"), segments, local_bytes
+        self._make(grid)
+
+    def _make(self, grid: Grid | None) -> None:
+        self.grid = grid if grid is not None and grid.fits else None
+        packed = self.pairs.mapInArrow(_pack, _BLOCKS) if self.grid is None else _merged(self.pairs, self.grid)
+        self.blocks = cut(packed)
+        size = F.when(F.col("cells"), F.octet_length("block")).otherwise(F.col("n") * PAIR_BYTES)
+        counts = self.blocks.select("n", size.alias("size"), F.spark_partition_id().alias("part"))
+        self.n_pairs, self.held_bytes, self.parts = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "size")), F.count_distinct("part")).first()
         self.local = None
-        if self.n_pairs * PAIR_BYTES <= local_bytes:
-            self.local = [Block(b) for b in self.blocks.toArrow().column("block").to_pylist()]
+        if self.held_bytes <= self.local_bytes:
+            rows = self.blocks.toArrow()
+            self.local = [_opened(b, c, self.grid) for b, c in zip(rows.column("block").to_pylist(), rows.column("cells").to_pylist(), strict=True)]
             self.threads = ThreadPoolExecutor(os.cpu_count())
         else:
-            self.blocks = self.blocks.select("block").persist(StorageLevel.MEMORY_AND_DISK)
+            self.blocks = self.blocks.select("block", "cells").persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
         if self.local is None:
@@ -145,6 +240,9 @@ class PairBlocks:
 
     def objective(self, sigma: float, relabel: np.ndarray | None = None, segments: int | None = None) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
         """Cost and gradient at this width; ``relabel`` maps segments to coarser ones."""
+        if self.grid is not None and sigma < self.grid.size:  # the series would not do: finer cells, from all pairs again
+            self.release()
+            self._make(replace(self.grid, size=sigma / 2.0))
         kernel, n = Kernel(sigma, self.n_pairs), segments or self.segments
 
         def value(flat: np.ndarray) -> tuple[float, np.ndarray]:
@@ -166,19 +264,19 @@ class PairBlocks:
         return cost, g
 
     def _job(self, mu: np.ndarray, kernel: Kernel) -> tuple[int, np.ndarray]:
-        held = self.blocks.sparkSession.sparkContext.broadcast(mu)  # three numbers a segment
+        held, grid = self.blocks.sparkSession.sparkContext.broadcast(mu), self.grid  # three numbers a segment
 
         def run(batches):
             cost, g = 0, np.zeros(held.value.shape, np.int64)
             for batch in batches:
-                for b in batch.column("block"):
-                    c, h = sums(Block(b.as_buffer()), held.value, kernel)
+                for b, cells in zip(batch.column("block"), batch.column("cells").to_pylist(), strict=True):
+                    c, h = sums(_opened(b.as_buffer(), cells, grid), held.value, kernel)
                     cost, g = cost + c, g + h
             at = np.flatnonzero(g.any(1))
             arrays = [pa.array(np.append(at, -1)), pa.array(np.append(g[at, 0], cost)), *(pa.array(np.append(g[at, k], 0)) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(arrays, names=["segment", "gx", "gy", "gz"])
 
-        got = self.blocks.mapInArrow(run, "segment long, gx long, gy long, gz long")
+        got = self.blocks.select("block", "cells").mapInArrow(run, "segment long, gx long, gy long, gz long")
         if self.parts * (len(mu) + 1) > self.FEW:
             got = got.groupBy("segment").agg(*(F.sum(c).alias(c) for c in ("gx", "gy", "gz")))
         got = got.toArrow()
@@ -237,7 +335,9 @@ def _prepared(locs: DataFrame, cfg: DriftConfig, segmentation: Segmentation | No
     dense = pair_estimate(valid, cfg.max_drift_nm).first()["n_pairs"]
     if dense > MANY_PAIRS:
         warnings.warn(f"about {dense:,} pairs: a lower max_drift_nm or max_locs_per_segment would be faster", stacklevel=3)
-    blocks = PairBlocks(within_radius(valid, cfg.max_drift_nm, ("segment",)), len(centers), cfg.local_bytes)
+    # widths fall by 1.5 until they are at the target or below
+    grid = Grid(cfg.target_sigma_nm / 1.5, cfg.max_drift_nm, len(centers)) if dense >= MERGED else None
+    blocks = PairBlocks(within_radius(valid, cfg.max_drift_nm, ("segment",)), len(centers), cfg.local_bytes, grid)
     return seg, centers, blocks, statistics(seg).first().asDict()
 
 

@@ -12,6 +12,7 @@ from plumbline.functions import spline
 from plumbline.operators import cost as C
 from plumbline.operators import drift as D
 from plumbline.operators import metrics as M
+from plumbline.operators import moments as X
 from plumbline.operators import pairs as P
 from plumbline.operators import segment as S
 from plumbline.plans import estimate as E
@@ -324,6 +325,53 @@ def test_estimates_on_executors_and_driver_agree(spark, tmp_path):
     assert rounds.select("iteration").distinct().count() == here.trace.count() and rounds.count() == 8 * here.trace.count()
 
 
+def merging(monkeypatch, chunk=2000):
+    monkeypatch.setattr(X, "CHUNK", chunk)
+    return X.Grid(6.0, 100.0, 4)
+
+
+def some_pairs(spark, n, copies=1, spread=0.1):
+    r = np.random.default_rng(4)
+    d = np.where(r.random((n, 1)) < spread, r.uniform(-50, 50, (n, 3)), r.normal(0, 3, (n, 3)))
+    rows = [(int(i), int(j), *map(float, v)) for i, j, v in zip(r.integers(0, 4, n), r.integers(0, 4, n), d, strict=True)]
+    return spark.createDataFrame(rows, "segment_i int, segment_j int, dx0 double, dy0 double, dz0 double").crossJoin(spark.range(copies)).drop("id")
+
+
+@pytest.mark.parametrize("local", [1 << 30, 0])
+def test_merged_pairs_give_the_same_sums(spark, local, monkeypatch):
+    """Every pair counts, at widths above the cells' size and, with finer cells, below it."""
+    pairs, mu = some_pairs(spark, 9000).repartition(3), np.random.default_rng(2).normal(0, 4, 12)
+    plain, merged = E.PairBlocks(pairs, 4), E.PairBlocks(pairs, 4, local, merging(monkeypatch))
+    assert merged.n_pairs == plain.n_pairs == 9000 and merged.blocks.filter("cells").count() and merged.blocks.filter("NOT cells").count()
+    coarse = np.array([0, 0, 1, 1])
+    for sigma in (100.0, 12.0, 6.0, 4.0):
+        for relabel, n in ((None, 4), (coarse, 2)):
+            (c, g), (d, h) = (b.objective(sigma, relabel, n)(mu[: 3 * n]) for b in (plain, merged))
+            assert d == pytest.approx(c, rel=1e-9) and h == pytest.approx(g, abs=1e-8 * abs(c))
+    assert merged.grid.size == 2.0 and merged.n_pairs == 9000
+    merged.release()
+
+
+def test_merged_pairs_do_not_grow_with_the_localizations(spark, monkeypatch):
+    grid, held = merging(monkeypatch), []
+    for copies in (80, 160):  # every cell that is there has pairs enough
+        b = E.PairBlocks(some_pairs(spark, 4000, copies, 0.0), 4, 0, grid)
+        assert b.n_pairs == 4000 * copies
+        held.append(b.held_bytes)
+        b.release()
+    assert held[1] == held[0] < 320_000 * E.PAIR_BYTES / 10
+
+
+def test_an_estimate_over_merged_pairs_is_the_same(spark, monkeypatch):
+    locs, truth = synthetic.sites_in_cube(spark, 40, 60, 40), synthetic.waveform(spark, 60)
+    cfg = DriftConfig(2, 10, None, 120, 100, 10)
+    plain = E.estimate_drift(locs, cfg)
+    monkeypatch.setattr(E, "MERGED", 1)
+    merged = E.estimate_drift(locs, cfg)
+    assert M.error(plain.drift_frames, truth).first()["error"] < 5 and merged.params["n_pairs"] == plain.params["n_pairs"]
+    assert M.mean_distance(plain.drift_frames, merged.drift_frames).first()["mean_distance"] < 1e-6
+
+
 @pytest.mark.parametrize("parts", [1, 4, 200])
 def test_sums_do_not_depend_on_partitions(spark, parts, monkeypatch):
     """Cost and gradient to the bit: on the driver, on executors, added up by segment or not, relabelled or not."""

@@ -214,10 +214,16 @@ def lbfgsb(f: Objective, x0: np.ndarray, bound: float, gtol: float = 1e-5, ftol:
     return x, value, False, calls
 
 
+def _size(value: float) -> float:
+    return max(value, -1e-3 * value, 1.0)
+
+
 def dfp(f: Objective, x0: np.ndarray, gtol: float = 1e-7, max_rounds: int = 100, largest: int = 10_000) -> tuple[np.ndarray, float, bool, int]:
     """Minimum of f without bounds: (x, value, whether it ended well, number of evaluations).
 
-    The inverse Hessian is held as a whole: ``largest`` variables at most.
+    The inverse Hessian is held as a whole: ``largest`` variables at most. The gradient is held against the size of the
+    value: of a cost under 0, which adds up over ever more pairs, a thousandth, so that its rounding does not keep the
+    rounds going.
     """
     x = np.array(x0, float)
     if x.size > largest:
@@ -229,7 +235,9 @@ def dfp(f: Objective, x0: np.ndarray, gtol: float = 1e-7, max_rounds: int = 100,
         d = d * min(1.0, longest / max(float(np.linalg.norm(d)), 1e-300))
         slope = float(g @ d)
         if slope >= 0:
-            return x, value, np.abs(g).max(initial=0.0) <= gtol, calls
+            return x, value, np.abs(g).max(initial=0.0) <= gtol * _size(value), calls
+        if -slope <= EPS * abs(value):
+            return x, value, True, calls  # what is left to gain is less than the value's rounding
         least = EPS / max(float((np.abs(d) / np.maximum(np.abs(x), 1.0)).max()), 1e-300)
         step, last = 1.0, None
         while True:
@@ -253,7 +261,7 @@ def dfp(f: Objective, x0: np.ndarray, gtol: float = 1e-7, max_rounds: int = 100,
         s, y = new - x, h - g
         x, value, g = new, float(got), h
         weight = np.maximum(np.abs(x), 1.0)
-        if (np.abs(s) / weight).max() < 4 * EPS or (np.abs(g) * weight).max() / max(value, 1.0) < gtol:
+        if (np.abs(s) / weight).max() < 4 * EPS or (np.abs(g) * weight).max() / _size(value) < gtol:
             return x, value, True, calls
         hy, sy = inverse @ y, float(s @ y)
         if sy > np.sqrt(EPS * float(y @ y) * float(s @ s)):
@@ -261,7 +269,7 @@ def dfp(f: Objective, x0: np.ndarray, gtol: float = 1e-7, max_rounds: int = 100,
             u = s / sy - hy / yhy
             inverse += np.outer(s, s) / sy - np.outer(hy, hy) / yhy + yhy * np.outer(u, u)
         d = -inverse @ g
-    return x, value, bool(np.abs(g).max() <= 1e2 * gtol), calls  # out of rounds, but flat all the same
+    return x, value, bool(np.abs(g).max() <= 1e2 * gtol * _size(value)), calls  # out of rounds, but flat all the same
 
 
 def projected(f: Objective, x0: np.ndarray, bound: float, gtol: float = 1e-5, ftol: float = 1e3 * EPS, memory: int = 10, max_rounds: int = 15_000, max_trials: int = 40) -> tuple[np.ndarray, float, bool, int]:

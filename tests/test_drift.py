@@ -433,6 +433,22 @@ def test_whole_inverse_hessian_in_a_valley():
         dfp(f, np.zeros(5), largest=4)
 
 
+def test_rounds_of_the_whole_inverse_hessian_do_not_grow_with_the_cost():
+    """A cost below 0 of any size, as pairs add it up, with the rounding of its size."""
+    centre = np.linspace(-40, 40, 30)
+
+    def cost(size):
+        def f(v):
+            w = size * np.exp(-((v - centre) ** 2) / 1e4)
+            return -float(w.sum()), np.rint(2e-4 * w * (v - centre) / (size * 1e-15)) * (size * 1e-15)
+
+        return f
+
+    small, large = (dfp(cost(size), np.zeros(30)) for size in (1e2, 1e8))
+    assert small[2] and large[2] and large[0] == pytest.approx(centre, abs=1e-2)
+    assert small[3] < 30 and large[3] < 100
+
+
 def test_unbounded_minimiser_and_one_level():
     centre = np.array([0.3, 9.0, -9.0])
     bowl = lambda v: (float(((v - centre) ** 2).sum()), 2 * (v - centre))

@@ -73,13 +73,13 @@ def _polynomials(t: np.ndarray) -> np.ndarray:
 def moments(keys: np.ndarray, first: np.ndarray, d: np.ndarray, grid: Grid) -> np.ndarray:
     """The sums of the cells that begin at ``first`` among pairs in order of their keys: a row per cell."""
     out = np.zeros((first.size, _A.size, _N))
-    ends = np.append(first[1:], keys.size)
+    ends, middles = np.append(first[1:], keys.size), grid.places(keys[first])[2]
     lo = 0
     while lo < first.size:  # some thousand pairs at a time, so that their polynomials stay in the cache
         hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + 8 * STEP, "right")))
         for begin in range(first[lo], ends[hi - 1], 8 * STEP):  # one turn, unless a single cell is larger
             end = min(begin + 8 * STEP, ends[hi - 1])
-            middle = grid.places(keys[begin:end])[2]
+            middle = np.repeat(middles[:, lo:hi], np.minimum(ends[lo:hi], end) - np.maximum(first[lo:hi], begin), axis=1)
             x, y, z = (_polynomials(t) for t in (d[:, begin:end] - middle) * (2.0 / grid.size))
             xy = x[_A] * y[_B]
             for c in range(lo, hi):
@@ -117,7 +117,7 @@ class Merger:
             return
         keys, d = np.concatenate([k for k, _ in self.pairs]), np.concatenate([d for _, d in self.pairs], 1)
         order = np.argsort(keys)
-        keys, d = keys[order], d[:, order]
+        keys, d = keys[order], np.take(d, order, axis=1)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         many = np.diff(np.append(first, keys.size))
         dense = (many >= FEW_PAIRS) | np.isin(keys[first], self.keys)

@@ -1,11 +1,17 @@
 """Pair search. A radius search is an equi-join on grid cells of two radii: each row is at home in one cell and visits the
 cells after it (in order) that its search box touches, three and a half on average, so that every close pair meets once,
-and a residual distance test decides. Hot cells are split by adaptive execution."""
+and a residual distance test decides. Hot cells are split by adaptive execution.
+
+Where pairs are only summed up, ``chunks_within`` lets chunks of a cell's rows meet in the same join, and ``pairs_met``
+makes the pairs in the task that takes them, so that no pair is a row of a table."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +26,8 @@ JOIN = "merge"
 _ROW = "__row"
 #: Ids in a row of a histogram's index.
 PIECE = 4096
+#: Rows in a chunk at most, and pairs of rows that are tested at a time.
+CHUNK, TESTED = 64, 1 << 18
 
 
 def numbered(locs: DataFrame) -> DataFrame:
@@ -72,6 +80,85 @@ def turned(met: DataFrame, carry: tuple[str, ...], unique: bool = False) -> Data
     return met.select(*out)
 
 
+def _chunked(batches):
+    """Rows in order of their cells as chunks: the cell, a number, the bounds, and x, y, z and segment of each row."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        of = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        cell = np.stack([of[f"c{a}"] for a in AXES])
+        begin = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0)))
+        first = np.flatnonzero((np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))) % CHUNK == 0)
+        rows = np.stack([of[c].astype("<f8") for c in (*AXES, "segment")], 1)
+        ends = (np.append(first, n) * rows.strides[0]).astype(np.int32)
+        packed = pa.BinaryArray.from_buffers(pa.binary(), first.size, [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+        bounds = {f"{a}_{m}": f.reduceat(of[a], first) for a in AXES for m, f in (("lo", np.minimum), ("hi", np.maximum))}
+        yield pa.RecordBatch.from_pydict({**{f"c{a}": of[f"c{a}"][first] for a in AXES}, "id": of[_ROW][first], **bounds, "rows": packed})
+
+
+def chunks_within(locs: DataFrame, radius: float) -> DataFrame:
+    """Which chunks of numbered rows (of one cell each) to hold against which, for ``pairs_met``: same, rows_a, rows_b.
+
+    As in ``within_radius``, a chunk is at home in one cell and visits those after it that its bounds, widened by the
+    radius, touch. Cells of any size are as many chunks as it takes, on as many tasks as adaptive execution makes.
+    """
+    reach, size = radius * (1 + MARGIN), 2 * radius * (1 + 2 * MARGIN)
+    cell_of = [f"c{a}" for a in AXES]
+    rows = locs.filter(reduce(lambda p, q: p & q, (F.abs(F.col(a)) < float("inf") for a in AXES)))  # neither null nor NaN
+    rows = rows.select(*(F.floor(F.col(a) / size).alias(f"c{a}") for a in AXES), _ROW, *AXES, "segment")
+    rows = rows.hint("rebalance", *map(F.col, cell_of)).sortWithinPartitions(*cell_of, "x")
+    bounds = [f"{a}_{m}" for a in AXES for m in ("lo", "hi")]
+    # written, so that both sides see the same chunks
+    chunks = cut(rows.mapInArrow(_chunked, ", ".join([*(f"{c} long" for c in (*cell_of, "id")), *(f"{b} double" for b in bounds), "rows binary"])))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", *bounds, "rows")]
+    left, right = chunks.select(*side("a"), *cell_of), chunks.select(*side("b"), *(F.col(f"c{a}").alias(f"h{a}") for a in AXES))
+    for a in AXES:
+        right = right.select("*", F.explode(F.sequence(F.floor((F.col(f"{a}_lo_b") - reach) / size), F.floor((F.col(f"{a}_hi_b") + reach) / size))).alias(f"c{a}"))
+    cell, home = F.struct(*(F.col(f"c{a}").alias(a) for a in AXES)), F.struct(*(F.col(f"h{a}").alias(a) for a in AXES))
+    right = right.filter(cell >= home).withColumn("own", cell == home).drop(*(f"h{a}" for a in AXES))
+    near = reduce(lambda p, q: p & q, ((F.col(f"{a}_lo_{s}") - F.col(f"{a}_hi_{t}") <= reach) for a in AXES for s, t in ("ab", "ba")))
+    met = left.join(right.hint(JOIN), cell_of).filter(near & (~F.col("own") | (F.col("id_a") <= F.col("id_b"))))
+    return met.select((F.col("id_a") == F.col("id_b")).alias("same"), "rows_a", "rows_b")
+
+
+def pairs_met(batch: pa.RecordBatch, radius: float):
+    """The pairs within the radius among rows of ``chunks_within``, some at a time: segments i and j, differences by axis."""
+
+    def side(name):
+        column = batch.column(name)
+        rows = np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, 4)
+        many = pc.binary_length(column).to_numpy() // rows.strides[0]
+        return rows, many, np.append(0, np.cumsum(many))
+
+    def close(rows, of, others, first):
+        """Rows within the widened bounds of the other chunk."""
+        lo, hi = np.minimum.reduceat(others[:, :3], first) - reach, np.maximum.reduceat(others[:, :3], first) + reach
+        return ((rows[:, :3] >= lo[of]) & (rows[:, :3] <= hi[of])).all(1)
+
+    same, reach = batch.column("same").to_numpy(zero_copy_only=False), radius * (1 + MARGIN)
+    (a, na, at_a), (b, nb, at_b) = side("rows_a"), side("rows_b")
+    tested = np.cumsum(na * nb)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(tested, (tested[lo - 1] if lo else 0) + TESTED, "right")))
+        of_a, of_b = (np.repeat(np.arange(hi - lo), n[lo:hi]) for n in (na, nb))
+        rows_a, rows_b = a[at_a[lo] : at_a[hi]], b[at_b[lo] : at_b[hi]]
+        in_a, in_b = close(rows_a, of_a, rows_b, at_b[lo:hi] - at_b[lo]), close(rows_b, of_b, rows_a, at_a[lo:hi] - at_a[lo])
+        rows_a, of_a, rows_b, of_b = rows_a[in_a].T.copy(), of_a[in_a], rows_b[in_b].T.copy(), of_b[in_b]
+        many_a, many_b = (np.bincount(of, minlength=hi - lo) for of in (of_a, of_b))
+        first_a, first_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
+        times = many_b[of_a]  # each row of a meets the rows of the chunk opposite
+        ib = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first_b[of_a], times)
+        d = np.stack([np.repeat(rows_a[k], times) - rows_b[k][ib] for k in range(3)])
+        near = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= radius * radius
+        if same[lo:hi].any():  # a chunk against itself: each pair once
+            after = np.where(same[lo:hi][of_a], np.arange(of_a.size) - first_a[of_a], -1)
+            near &= np.repeat(after, times) < (np.arange(of_b.size) - first_b[of_b])[ib]
+        yield np.repeat(rows_a[3], times)[near].astype(np.int64), rows_b[3][ib[near]].astype(np.int64), d[:, near]
+        lo = hi
+
+
 def _shifted(locs: DataFrame) -> DataFrame:
     """The rows beside the least coordinate of each axis (one row is joined to all)."""
     return locs.crossJoin(F.broadcast(locs.agg(*(F.min(a).alias(f"{a}_min") for a in AXES), *(F.max(a).alias(f"{a}_max") for a in AXES))))  # one row

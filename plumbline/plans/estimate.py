@@ -34,7 +34,7 @@ from ..functions.spline import evaluate, pieces
 from ..operators import drift as D
 from ..operators.moments import Cells, Grid, Merger
 from ..operators.pairs import estimate as pair_estimate
-from ..operators.pairs import _ROW, expected, numbered, within_radius
+from ..operators.pairs import _ROW, chunks_within, expected, numbered, pairs_met, within_radius
 from ..operators.segment import Segmentation, _described, ladder, segment, statistics
 from ..schema import DRIFT, DriftConfig
 from ..sources.scratch import cut
@@ -82,18 +82,25 @@ def _pack(batches):
 
 
 def _merged(pairs: DataFrame, grid: Grid) -> DataFrame:
-    """Pairs (segment_i, segment_j, dx0, dy0, dz0) as blocks of cells, and of pairs where a cell has few."""
+    """Pairs (segment_i, segment_j, dx0, dy0, dz0), or chunks that make them up (``chunks_within`` of the grid's radius),
+    as blocks of cells, and of pairs where a cell has few.
+    """
+    in_chunks = "same" in pairs.columns
 
     def first(batches):
         held = Merger(grid)
         for batch in batches:
-            i, j, *d = (c.to_numpy() for c in batch.columns)
-            d = np.where(i > j, -1.0, 1.0) * np.stack(d)  # either way round is the same pair
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            held.add_pairs(grid.keys(i, j, d), d)
-            yield from rows(held.taken())
+            for i, j, d in pairs_met(batch, grid.radius) if in_chunks else [pair_rows(batch)]:
+                d = np.where(i > j, -1.0, 1.0) * d  # either way round is the same pair
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                held.add_pairs(grid.keys(i, j, d), d)
+                yield from rows(held.taken())
         yield from rows(held.taken(last=True))
 
+    def pair_rows(batch):
+        i, j, *d = (c.to_numpy() for c in batch.columns)
+        return i, j, np.stack(d)
+
     def rows(got):
         if got is None:
             return
@@ -207,19 +214,21 @@ def _opened(data, cells: bool, grid: Grid | None) -> Block | Cells:
 class PairBlocks:
     """The pairs of a run, ready to be evaluated again and again, until they are released.
 
-    ``grid``: pairs are merged into moments of its cells, which serve every width from the cells' size on.
+    ``grid``: pairs are merged into moments of its cells, which serve every width from the cells' size on; ``chunks`` make
+    up the same pairs, and are merged in their place.
     """
 
     #: Rows of partial sums that the driver takes as they are; more are added up by segment first.
     FEW = 200_000
 
-    def __init__(self, pairs: DataFrame, segments: int, local_bytes: int = DriftConfig.local_bytes, grid: Grid | None = None):
+    def __init__(self, pairs: DataFrame, segments: int, local_bytes: int = DriftConfig.local_bytes, grid: Grid | None = None, chunks: DataFrame | None = None):
         self.pairs, self.segments, self.local_bytes = pairs.select("segment_i", "segment_j", "dx0", "dy0", "dz0"), segments, local_bytes
+        self.chunks = self.pairs if chunks is None else chunks
         self._make(grid)
 
     def _make(self, grid: Grid | None) -> None:
         self.grid = grid if grid is not None and grid.fits else None
-        packed = self.pairs.mapInArrow(_pack, _BLOCKS) if self.grid is None else _merged(self.pairs, self.grid)
+        packed = self.pairs.mapInArrow(_pack, _BLOCKS) if self.grid is None else _merged(self.chunks, self.grid)
         self.blocks = cut(packed)
         size = F.when(F.col("cells"), F.octet_length("block")).otherwise(F.col("n") * PAIR_BYTES)
         counts = self.blocks.select("n", size.alias("size"), F.spark_partition_id().alias("part"))
@@ -337,7 +346,8 @@ def _prepared(locs: DataFrame, cfg: DriftConfig, segmentation: Segmentation | No
         warnings.warn(f"about {dense:,} pairs: a lower max_drift_nm or max_locs_per_segment would be faster", stacklevel=3)
     # widths fall by 1.5 until they are at the target or below
     grid = Grid(cfg.target_sigma_nm / 1.5, cfg.max_drift_nm, len(centers)) if dense >= MERGED else None
-    blocks = PairBlocks(within_radius(valid, cfg.max_drift_nm, ("segment",)), len(centers), cfg.local_bytes, grid)
+    chunks = chunks_within(valid, cfg.max_drift_nm) if grid is not None and grid.fits else None
+    blocks = PairBlocks(within_radius(valid, cfg.max_drift_nm, ("segment",)), len(centers), cfg.local_bytes, grid, chunks)
     return seg, centers, blocks, statistics(seg).first().asDict()
 
 

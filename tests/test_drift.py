@@ -362,6 +362,40 @@ def test_merged_pairs_do_not_grow_with_the_localizations(spark, monkeypatch):
     assert held[1] == held[0] < 320_000 * E.PAIR_BYTES / 10
 
 
+def pairs_of_chunks(locs, radius):
+    out = [p for b in P.chunks_within(locs, radius).toArrow().to_batches(max_chunksize=40) if b.num_rows for p in P.pairs_met(b, radius)]
+    return sorted((*((i, j) if i <= j else (j, i)), *np.round(np.abs(v), 9)) for a, b, d in out for i, j, v in zip(a.tolist(), b.tolist(), d.T.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("size,radius,tested", [(60.0, 25.0, 1 << 18), (60.0, 25.0, 100), (400.0, 60.0, 1 << 18), (10.0, 100.0, 5000)])
+def test_chunks_make_up_the_same_pairs(spark, size, radius, tested, monkeypatch):
+    """Each pair once: over the edges of cells, in cells of many chunks, of rows at one place, and none of rows without place."""
+    monkeypatch.setattr(P, "TESTED", tested)
+    at = 2 * radius * (1 + 2 * P.MARGIN)
+    rows = [*cloud(500, size=size), *((600 + k, k % 3 * at, -at, 0.0, k % 4) for k in range(9))]
+    rows += [(700, 0.0, 0.0, 0.0, 1), (701, float("nan"), 0.0, 0.0, 1), (702, float("inf"), 0.0, 0.0, 1), (703, 0.0, 0.0, float("nan"), 2)]
+    locs = P.numbered(frame_of(spark, rows).repartition(3).withColumns({"segment": F.col("frame"), "x": F.when(F.col("loc_id") != 700, F.col("x"))}))
+    want = P.within_radius(locs, radius, ("segment",)).select("segment_i", "segment_j", "dx0", "dy0", "dz0").collect()
+    want = sorted((*sorted(r[:2]), *np.round(np.abs(r[2:]), 9)) for r in want)
+    got = pairs_of_chunks(locs, radius)
+    assert len(got) == len(want) > 100 and got == want
+
+
+def test_no_chunks_no_pairs(spark):
+    locs = P.numbered(frame_of(spark, []).withColumn("segment", F.col("frame")))
+    assert pairs_of_chunks(locs, 10.0) == []
+
+
+def test_merged_pairs_are_no_rows_of_a_table(spark, monkeypatch):
+    """What meets in the join is chunks; the pairs are made where they are merged."""
+    monkeypatch.setattr(E, "MERGED", 1)
+    locs = synthetic.sites_in_cube(spark, 20, 40, 40)
+    _, _, blocks, _ = E._prepared(locs, DriftConfig(2, 10, None, 120, 100, 10), None)
+    n = P.within_radius(locs, 100.0).count()
+    assert blocks.n_pairs == n and blocks.chunks.count() * 20 < n
+    blocks.release()
+
+
 def test_an_estimate_over_merged_pairs_is_the_same(spark, monkeypatch):
     locs, truth = synthetic.sites_in_cube(spark, 40, 60, 40), synthetic.waveform(spark, 60)
     cfg = DriftConfig(2, 10, None, 120, 100, 10)

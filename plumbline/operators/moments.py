@@ -22,12 +22,14 @@ NODES = np.cos(_ANGLES)
 _SERIES = np.cos(np.outer(_ANGLES, np.arange(_N))) * np.where(np.arange(_N), 2.0, 1.0) / _N
 _A, _B = (np.array(v) for v in zip(*((a, b) for a in range(_N) for b in range(_N - a)), strict=True))
 _AT, _C = np.nonzero(_A[:, None] + _B[:, None] + np.arange(_N) <= DEGREE)
+#: Where the products with each polynomial of the first axis begin.
+_ROWS = np.flatnonzero(_B == 0)
 _KA, _KB, _KC = _A[_AT], _B[_AT], _C
 #: Numbers kept of a cell; cells of fewer pairs than take as much room are kept as pairs.
 KEPT = _C.size
 FEW_PAIRS = KEPT // 3 + 1
-#: Pairs taken together in a task, cells that it holds, rows that are multiplied at a time.
-CHUNK, MOST, STEP = 1 << 20, 1 << 15, 256
+#: Pairs taken together in a task, cells that it holds, pairs whose polynomials are made and that are multiplied at a time.
+CHUNK, MOST, TURN, STEP = 1 << 20, 1 << 15, 2048, 256
 
 
 @dataclass(frozen=True)
@@ -62,26 +64,44 @@ class Grid:
         return keys // self.segments, keys % self.segments, middle
 
 
-def _polynomials(t: np.ndarray) -> np.ndarray:
-    out = np.empty((_N, t.size))
+def _polynomials(t: np.ndarray, out: np.ndarray) -> np.ndarray:
     out[0], out[1] = 1.0, t
+    twice = 2.0 * t
     for k in range(2, _N):
-        out[k] = 2.0 * t * out[k - 1] - out[k - 2]
+        np.multiply(twice, out[k - 1], out=out[k])
+        out[k] -= out[k - 2]
     return out
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The order of the keys, equal ones as they come: by 16 bits at a time where they span no more than 48."""
+    low = keys.min()
+    span = int(keys.max()) - int(low)
+    if span >> 48:
+        return np.argsort(keys, kind="stable")
+    rest = keys - low
+    order = np.argsort(rest.astype(np.uint16), kind="stable")
+    for shift in range(16, span.bit_length(), 16):
+        order = order[np.argsort((rest >> shift).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def moments(keys: np.ndarray, first: np.ndarray, d: np.ndarray, grid: Grid) -> np.ndarray:
     """The sums of the cells that begin at ``first`` among pairs in order of their keys: a row per cell."""
     out = np.zeros((first.size, _A.size, _N))
     ends, middles = np.append(first[1:], keys.size), grid.places(keys[first])[2]
+    # used again at every turn, as fresh arrays of this size would be new pages; a line wider, lest rows share cache sets
+    room, products = np.empty((_N, 3, TURN + 8)), np.empty((_A.size, TURN + 8))
     lo = 0
     while lo < first.size:  # some thousand pairs at a time, so that their polynomials stay in the cache
-        hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + 8 * STEP, "right")))
-        for begin in range(first[lo], ends[hi - 1], 8 * STEP):  # one turn, unless a single cell is larger
-            end = min(begin + 8 * STEP, ends[hi - 1])
+        hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + TURN, "right")))
+        for begin in range(first[lo], ends[hi - 1], TURN):  # one turn, unless a single cell is larger
+            end = min(begin + TURN, ends[hi - 1])
             middle = np.repeat(middles[:, lo:hi], np.minimum(ends[lo:hi], end) - np.maximum(first[lo:hi], begin), axis=1)
-            x, y, z = (_polynomials(t) for t in (d[:, begin:end] - middle) * (2.0 / grid.size))
-            xy = x[_A] * y[_B]
+            x, y, z = _polynomials((d[:, begin:end] - middle) * (2.0 / grid.size), room[:, :, : end - begin]).swapaxes(0, 1)
+            xy = products[:, : end - begin]
+            for a, at in enumerate(_ROWS):
+                np.multiply(x[a], y[: _N - a], out=xy[at : at + _N - a])
             for c in range(lo, hi):
                 for s in range(max(first[c], begin), min(ends[c], end), STEP):
                     e = min(s + STEP, ends[c], end)
@@ -116,8 +136,8 @@ class Merger:
         if not self.n:
             return
         keys, d = np.concatenate([k for k, _ in self.pairs]), np.concatenate([d for _, d in self.pairs], 1)
-        order = np.argsort(keys)
-        keys, d = keys[order], np.take(d, order, axis=1)
+        order = _order(keys)
+        keys = keys[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         many = np.diff(np.append(first, keys.size))
         dense = (many >= FEW_PAIRS) | np.isin(keys[first], self.keys)
@@ -125,8 +145,8 @@ class Merger:
         if dense.any():
             taken = keys[rows]
             begin = np.cumsum(many[dense]) - many[dense]
-            self.add_moments(taken[begin], moments(taken, begin, d[:, rows], self.grid))
-        self.pairs, self.n = [(keys[~rows], d[:, ~rows])], int((~rows).sum())
+            self.add_moments(taken[begin], moments(taken, begin, np.take(d, order[rows], axis=1), self.grid))
+        self.pairs, self.n = [(keys[~rows], np.take(d, order[~rows], axis=1))], int((~rows).sum())
 
     def taken(self, last: bool = False):
         """(keys, sums, keys of pairs, pairs) to hand on, where too much is held, or all at the end."""

@@ -362,6 +362,32 @@ def test_merged_pairs_do_not_grow_with_the_localizations(spark, monkeypatch):
     assert held[1] == held[0] < 320_000 * E.PAIR_BYTES / 10
 
 
+@pytest.mark.parametrize("span", [1, 1 << 15, 1 << 20, 1 << 40, 1 << 55])
+def test_pairs_of_small_cells_stay_in_the_order_they_came(span):
+    grid, rng = X.Grid(4.0, 20.0, 3), np.random.default_rng(5)
+    keys = 7 + span * rng.integers(0, 200, 6000)
+    held = X.Merger(grid)
+    held.add_pairs(keys, np.stack([np.arange(6000.0)] * 3))
+    whole, _, few, d = held.taken(last=True)
+    assert not whole.size and (np.diff(few) >= 0).all()
+    assert (np.diff(d[0])[np.diff(few) == 0] > 0).all() and (keys[d[0].astype(int)] == few).all()
+
+
+def test_moments_over_many_turns_are_the_plain_sums():
+    """Cells of some pairs and of more than a turn takes, against numpy's own polynomials."""
+    grid, rng = X.Grid(4.0, 20.0, 3), np.random.default_rng(6)
+    many = np.array([90, 700, 3 * X.TURN + 5, 80, X.TURN, 74])
+    middles = np.array([[2.0, 2.0, -6.0], [6.0, -2.0, 2.0], [10.0, 10.0, 10.0], [-2.0, 6.0, 14.0], [14.0, 2.0, 2.0], [-10.0, -10.0, 6.0]])
+    t = rng.uniform(-0.999, 0.999, (3, many.sum()))
+    d = np.repeat(middles, many, axis=0).T + 2.0 * t
+    keys = grid.keys(np.zeros(many.sum(), int), np.ones(many.sum(), int), d)
+    first = np.cumsum(many) - many
+    got = X.moments(keys, first, d, grid)
+    x, y, z = (np.polynomial.chebyshev.chebvander(v, X.DEGREE) for v in t)
+    plain = np.add.reduceat(x[:, X._KA] * y[:, X._KB] * z[:, X._KC], first, axis=0)
+    assert (got[:, 0] == many).all() and np.abs(got - plain).max() < 1e-9
+
+
 def pairs_of_chunks(locs, radius):
     out = [p for b in P.chunks_within(locs, radius).toArrow().to_batches(max_chunksize=40) if b.num_rows for p in P.pairs_met(b, radius)]
     return sorted((*((i, j) if i <= j else (j, i)), *np.round(np.abs(v), 9)) for a, b, d in out for i, j, v in zip(a.tolist(), b.tolist(), d.T.tolist(), strict=True))
